@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumicell.llm import decontam, mixing, sharding, simhash, toxicity
+from lumicell.llm import decontam, mixing, permindex, sharding, simhash, toxicity, warc
 from lumicell.llm.shared import read_table
 
 
@@ -30,6 +30,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permindex.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -37,4 +45,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.MIX_SQL.format(documents="documents"),
+        "op10_warc": warc.ROUND_TRIP_SQL,
     }
