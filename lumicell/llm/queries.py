@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumicell.llm import decontam, mixing, permindex, sharding, simhash, toxicity, warc
+from lumicell.llm import decontam, mixing, permindex, pii, sharding, simhash, toxicity, warc
 from lumicell.llm.shared import read_table
 
 
@@ -30,6 +30,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permindex.nearest(read_table(spark, sf_dir, "embeddings"))
 
