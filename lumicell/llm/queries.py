@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumicell.llm import decontam, mixing, permindex, pii, sharding, simhash, toxicity, warc
+from lumicell.llm import decontam, mixing, permindex, pii, pseudolm, sharding, simhash, toxicity, warc
 from lumicell.llm.shared import read_table
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return pseudolm.score(documents, pseudolm.train(documents))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
