@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumicell.llm import decontam, mixing, permindex, pii, pseudolm, sharding, simhash, toxicity, warc
+from lumicell.llm import decontam, mixing, permindex, pii, pseudolm, sharding, simhash, toolcalls, toxicity, warc
 from lumicell.llm.shared import read_table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.calls_of_conversations(read_table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.SCHEMAS)
+
+
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return pseudolm.score(documents, pseudolm.train(documents))
