@@ -172,8 +172,8 @@ def dapi_threshold(dapi: DataFrame, images: DataFrame, max_size: int = OVERVIEW_
     found = overview_resample(dapi, images, max_size).groupBy("image_id").agg(F.percentile(value, F.array(F.lit(0.2), F.lit(0.995))).alias("p"), F.max(value).alias("most"))
     low = F.col("p")[0]
     high = F.when(F.col("p")[1] <= low, F.col("most")).otherwise(F.col("p")[1])
-    require(found.filter(low.isNull() | (high <= low)), "the nuclear channel is flat")
-    return found.select("image_id", (low + 0.2 * (high - low)).alias("threshold"))
+    flat = low.isNull() | (high <= low)
+    return found.select("image_id", F.when(flat, F.raise_error(F.lit("the nuclear channel is flat"))).otherwise(low + 0.2 * (high - low)).alias("threshold"))
 
 
 def dapi_positive_fraction(regions: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
@@ -207,8 +207,8 @@ def random_fov(dapi: DataFrame, images: DataFrame, size: int = FOV_SIZE, seed: i
     fractions = dapi_positive_fraction(found, thresholds, ["image_id", "attempt", "y0", "x0"])
     good = F.struct("attempt", "y0", "x0", "fraction")
     best = fractions.groupBy("image_id").agg(F.min(F.when(F.col("fraction") >= least, good)).alias("f"), F.max("fraction").alias("best"))
-    require(best.filter("f is null"), "no field of view has enough nuclear pixels")
-    return best.select("image_id", "f.attempt", "f.y0", "f.x0", "f.fraction")
+    none = F.raise_error(F.concat(F.lit("no field of view has enough nuclear pixels; the best has "), F.col("best").cast("string")))
+    return best.select("image_id", F.when(F.col("f").isNull(), none).otherwise(F.col("f.attempt")).alias("attempt"), "f.y0", "f.x0", "f.fraction")
 
 
 def cells_in_fov(cells: DataFrame, fovs: DataFrame, side: int = BIN) -> DataFrame:
