@@ -1,6 +1,6 @@
 """Registered queries, composed of operators, with their SQL."""
 
-from lumicell.plans import cell_queries, raster_queries  # noqa: F401
+from lumicell.plans import automated, cell_queries, raster_queries, source_queries, training_queries  # noqa: F401
 from lumicell.plans.registry import QUERIES, SQL
 
 

@@ -61,12 +61,12 @@ def overview_resample(spark, sf):
     return found.withColumn("value", v.when_finite(F.col("value")))
 
 
-CHANNELS = "channels AS (SELECT image_id, i AS channel_index, CASE WHEN i = image_id THEN '  dapi ' || i WHEN i = 3 THEN 'DAPI' ELSE 'CD' || i END AS name FROM images, range(4) t(i))"
+CHANNELS = "channels AS (SELECT image_id, i AS channel_index, CASE WHEN i = image_id THEN '  dapi ' || i WHEN i = 3 THEN 'DAPI' ELSE 'CD' || i END AS name FROM images, range(6) t(i))"
 
 
 def channels(spark, sf):
     i = F.col("channel_index")
-    rows = fx.images(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("channel_index"))
+    rows = fx.images(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("channel_index"))
     return rows.withColumn("name", F.when(i == F.col("image_id"), F.concat(F.lit("  dapi "), i.cast("string"))).when(i == 3, "DAPI").otherwise(F.concat(F.lit("CD"), i.cast("string"))))
 
 
