@@ -38,11 +38,11 @@ def words(text: str | None) -> list[str]:
 
 
 def best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """``(matching words, start, end)`` of the run with the largest sum of +1 for a match and -2 for a difference."""
+    """``(matching words, start, end)`` of the run with the largest sum of +1 for a match and -2 for a difference; the longest of equals."""
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
     least = np.minimum.accumulate(total)
     end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
+    start = int(np.flatnonzero(total[: end + 1] == least[end])[0])
     return int(same[start:end].sum()), start, end
 
 

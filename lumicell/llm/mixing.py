@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumicell.llm.shared import cut, power_of_two, uniform_bits
+from lumicell.llm.shared import cut, free_name, power_of_two
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -100,8 +100,10 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """
     taken = mix(documents, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
     often = taken.filter("mix_taken > 0").select("doc_id", F.expr("cast(ceil(mix_taken / mix_size) as int)").alias("mix_epochs"))
-    joined = documents.withColumn("mix_id", F.col("doc_id")).join(often.withColumnRenamed("doc_id", "mix_key"), F.col("mix_id").eqNullSafe(F.col("mix_key")))
-    return joined.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), "mix_epochs"))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    key, often_name, epoch = (free_name(documents, n) for n in ("mix_key", "mix_epochs", "mix_epoch"))
+    often = often.select(F.col("doc_id").alias(key), F.col("mix_epochs").alias(often_name))
+    joined = documents.join(often, documents.doc_id.cast("long").eqNullSafe(often[key]))
+    return joined.withColumn(epoch, F.explode(F.sequence(F.lit(1), often_name))).select(*[documents[c] for c in documents.columns])
 
 
 #: DuckDB SQL for ``mix``.

@@ -62,3 +62,11 @@ def uniform_bits(column, bits: int, seed: str = ""):
     """The leading ``bits`` (at most 32) of an MD5 over ``seed`` and the column's text, as a long; null counts as its own value."""
     text = F.concat(F.lit(seed), F.coalesce(column.cast("string"), F.lit("\u0000")))
     return F.shiftright(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), 32 - bits)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores after it as long as a column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

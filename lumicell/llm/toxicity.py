@@ -78,7 +78,8 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         cache = self.__dict__.setdefault("_cache", {})
         z = np.array([self.bias + sum(self.weights[i] for i in sorted(self.rows(words(t), cache))) for t in texts], float)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-z))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_cache"}
