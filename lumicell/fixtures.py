@@ -22,6 +22,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
         key, "p_size", (3 + F.col("p_size") % 6).alias("rad"), (key % 4).alias("image_id"),
         F.floor(key / 4).alias("k"), F.floor(key / 128).alias("gy"), (F.floor(key / 4) % 32).alias("gx"),
     )
+    part = part.repartition(spark.sparkContext.defaultParallelism)  # a row becomes 256, and the file is one small split
     block = part.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(255))))
     block = block.withColumn("dy", F.floor(F.col("i") / 16)).withColumn("dx", F.col("i") % 16)
     r2 = (F.col("dy") - 8) * (F.col("dy") - 8) + (F.col("dx") - 8) * (F.col("dx") - 8)

@@ -108,9 +108,10 @@ def unit_scaled(value: Column, low: Column, high: Column) -> Column:
 
 
 def normalize_uint8(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """Pixels with ``grey``, 0 to 255, between the contrast limits of their group."""
+    """Pixels with ``grey``, 0 to 255, between the contrast limits of their group; what is within 1e-9 of a half counts as one."""
     limits = contrast_limits(pixels, by)
-    return pixels.join(limits, by).withColumn("grey", whole(unit_scaled(F.col("value"), F.col("low"), F.col("high")) * 255)).drop("low", "high")
+    grey = whole(F.round(unit_scaled(F.col("value"), F.col("low"), F.col("high")) * 255, 9))
+    return pixels.join(limits, by).withColumn("grey", grey).drop("low", "high")
 
 
 def normalize_channel(pixels: DataFrame, images: DataFrame, sample_pixels: int = 1_000_000) -> DataFrame:

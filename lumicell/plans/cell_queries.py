@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumicell import fixtures as fx
 from lumicell.functions import values as v
+from lumicell.functions.rank import checkpointed
 from lumicell.operators import aggregate as agg
 from lumicell.operators import mask as mk
 from lumicell.operators import match as mt
@@ -57,7 +58,8 @@ def statistics(spark, sf, compartment="all"):
 
 
 def matched(spark, sf):
-    return mt.map_cells_to_labels(cells(spark, sf), fx.mask(spark, sf))
+    # the derived mask and table are used several times; stored ones would be read each time
+    return mt.map_cells_to_labels(checkpointed(cells(spark, sf)), checkpointed(fx.mask(spark, sf)))
 
 
 def calls(spark, sf, cutoff=0.25, compartment="all"):

@@ -125,7 +125,7 @@ def contrast_limits(spark, sf):
     return op.contrast_limits(fx.pixels(spark, sf), ["image_id", "channel"]).select("image_id", "channel", *six("low", "high"))
 
 
-GREY = """CAST(round_even(least(greatest(((CASE WHEN isnan(value) OR value = CAST('-Infinity' AS DOUBLE) THEN low WHEN value = CAST('Infinity' AS DOUBLE) THEN high ELSE value END) - low)/(high - low), 0.0), 1.0)*255, 0) AS BIGINT)"""
+GREY = """CAST(round_even(round(least(greatest(((CASE WHEN isnan(value) OR value = CAST('-Infinity' AS DOUBLE) THEN low WHEN value = CAST('Infinity' AS DOUBLE) THEN high ELSE value END) - low)/(high - low), 0.0), 1.0)*255, 9), 0) AS BIGINT)"""
 
 
 @query("normalize_uint8", "pixels images", PICKED + ", lim AS (SELECT image_id, channel, low, CASE WHEN high0 <= low THEN low+1 ELSE high0 END AS high FROM " + LIMITS.format(by="image_id, channel", rows="overview") + f""")
