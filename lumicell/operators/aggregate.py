@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,43 @@ def pixel_statistics_by_label(pixels: DataFrame, mask: DataFrame, thresholds: Da
     )
 
 
+def tile_statistics_by_label(values: DataFrame, masks: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """The same statistics, compartment ``all``, from stored tiles: the way for whole slides.
+
+    Value and mask tiles of one place meet by image and tile number, so a tile moves as one block instead of a row for each
+    pixel; each pair gives one partial row for each of its labels, and these are added up.  Tiles of both tables must
+    have the same side; ``values`` has one channel.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                label, value = (np.frombuffer(r[f"{k}_data"], r[f"{k}_dtype"]).reshape(r[f"{k}_height"], r[f"{k}_width"]) for k in ("mask", "value"))
+                full = np.full(label.shape, np.nan)
+                h, w = min(label.shape[0], value.shape[0]), min(label.shape[1], value.shape[1])
+                full[:h, :w] = value[:h, :w]
+                keep = label > 0
+                names, at = np.unique(label[keep].astype(np.int64), return_inverse=True)
+                own, good = full[keep], np.isfinite(full[keep])
+                count = lambda chosen: np.bincount(at[chosen], minlength=len(names))
+                whole = np.bincount(at, minlength=len(names))
+                sums = np.bincount(at[good], own[good], len(names))
+                above = ~np.isnan(own) & (own > r["threshold"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["image_id"]] * len(names), batch.schema.field("image_id").type), *(pa.array(c) for c in (names, whole, count(above), count(good), sums))],
+                    names=["image_id", "label", "whole", "positive", "finite", "total"],
+                )
+
+    side = lambda t, k: t.select("image_id", "tile_y", "tile_x", *[F.col(c).alias(f"{k}_{c}") for c in ("height", "width", "dtype", "data")])
+    met = side(masks, "mask").join(side(values, "value"), ["image_id", "tile_y", "tile_x"]).join(F.broadcast(thresholds), "image_id")  # one row for each image
+    kind = dict(met.dtypes)["image_id"]
+    parts = met.mapInArrow(run, f"image_id {kind}, label long, whole long, positive long, finite long, total double")
+    return parts.groupBy("image_id", "label").agg(
+        F.sum("whole").alias("whole_pixels"), F.sum("whole").alias("denominator_pixels"), F.sum("positive").alias("positive_pixels"), F.sum("finite").alias("finite_pixels"),
+        F.when(F.sum("finite") > 0, F.sum("total")).alias("intensity_sum"),
+    )
+
+
 def pixel_counts_by_label(*args, **options) -> DataFrame:
     return pixel_statistics_by_label(*args, **options).select("image_id", "label", "whole_pixels", "denominator_pixels", "positive_pixels")
 

@@ -202,8 +202,11 @@ def fov_candidates(images: DataFrame, size: int, seed: int | None, attempts: int
 
 def random_fov(dapi: DataFrame, images: DataFrame, size: int = FOV_SIZE, seed: int | None = 42, least: float = FOV_LEAST_FRACTION, attempts: int = FOV_ATTEMPTS, bin_side: int = BIN) -> DataFrame:
     """``image_id, attempt, y0, x0, fraction``: the first draw with enough nuclear pixels."""
-    drawn = fov_candidates(images, size, seed, attempts)
-    thresholds = dapi_threshold(dapi, images)
+    return first_good_fov(dapi, fov_candidates(images, size, seed, attempts), dapi_threshold(dapi, images), least, bin_side)
+
+
+def first_good_fov(dapi: DataFrame, drawn: DataFrame, thresholds: DataFrame, least: float = FOV_LEAST_FRACTION, bin_side: int = BIN) -> DataFrame:
+    """The first of the drawn windows ``(image_id, attempt, y0, x0, height, width)`` with enough nuclear pixels; an error if none has."""
     found = read_region(dapi, drawn, bin_side)
     fractions = dapi_positive_fraction(found, thresholds, ["image_id", "attempt", "y0", "x0"])
     good = F.struct("attempt", "y0", "x0", "fraction")

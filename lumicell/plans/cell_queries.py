@@ -13,6 +13,7 @@ from lumicell.operators import match as mt
 from lumicell.operators import raster as rs
 from lumicell.plans.raster_queries import WINDOWS, six, windows
 from lumicell.plans.registry import query
+from lumicell.sources import tiles as tl
 
 EDGE = """edges AS (SELECT m.image_id, m.y, m.x, m.label FROM mask m
  LEFT JOIN mask a ON a.image_id = m.image_id AND a.label = m.label AND a.y = m.y AND a.x = m.x+1 LEFT JOIN mask b ON b.image_id = m.image_id AND b.label = m.label AND b.y = m.y AND b.x = m.x-1
@@ -100,6 +101,12 @@ def pixel_counts_by_label(spark, sf):
     return agg.pixel_counts_by_label(fx.marker(spark, sf), fx.mask(spark, sf), thresholds(spark, sf))
 
 
+@query("tile_statistics_by_label", "dirty", ALL_STATS + " SELECT * FROM stats")
+def tile_statistics_by_label(spark, sf):
+    labels = fx.mask(spark, sf).select("image_id", F.lit("mask").alias("channel"), "y", "x", F.col("label").alias("value"))
+    return agg.tile_statistics_by_label(tl.pixels_to_tiles(fx.marker(spark, sf), 128), tl.pixels_to_tiles(labels, 128, "<u4"), thresholds(spark, sf))
+
+
 @query("cell_statistics", "dirty mask cell_rows", NUCLEUS_STATS + ", " + MATCH + ", " + CELLS + " SELECT image_id, row_index, mask_label, denominator_pixels, round(mean_intensity, 6) AS mean_intensity, round(positive_fraction, 6) AS positive_fraction FROM cell_stats")
 def cell_statistics(spark, sf):
     found = agg.cell_statistics(statistics(spark, sf, "nucleus"), matched(spark, sf))

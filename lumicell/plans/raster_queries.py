@@ -70,6 +70,11 @@ def channels(spark, sf):
     return rows.withColumn("name", F.when(i == F.col("image_id"), F.concat(F.lit("  dapi "), i.cast("string"))).when(i == 3, "DAPI").otherwise(F.concat(F.lit("CD"), i.cast("string"))))
 
 
+@query("is_dapi", "images", CHANNELS + " SELECT image_id, channel_index, lower(trim(name)) LIKE '%dapi%' AS is_dapi FROM channels")
+def is_dapi(spark, sf):
+    return channels(spark, sf).select("image_id", "channel_index", op.is_dapi(F.col("name")).alias("is_dapi"))
+
+
 @query("dapi_channel", "images", CHANNELS + " SELECT image_id, min(CASE WHEN lower(trim(name)) LIKE '%dapi%' THEN channel_index END) AS dapi_index FROM channels GROUP BY image_id")
 def dapi_channel(spark, sf):
     return op.dapi_channel(channels(spark, sf))
@@ -104,6 +109,19 @@ def random_fov(spark, sf):
     return found.select("image_id", "attempt", "y0", "x0", *six("fraction"))
 
 
+@query("first_good_fov", "pixels images", DAPI_THRESHOLD + """, drawn AS (SELECT image_id, a AS attempt, (a*11 + image_id) % (height-7) AS y0, (a*67 + 5) % (width-7) AS x0, 8 AS height, 8 AS width FROM images, range(30) t(a)),
+f AS (SELECT p.image_id, attempt, y0, x0, count(*) FILTER (value > threshold) / CAST(count(*) AS DOUBLE) AS fraction FROM pixels p JOIN drawn w ON p.image_id = w.image_id AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width
+ JOIN thresholds t ON t.image_id = p.image_id WHERE channel = 'dapi' GROUP BY 1, 2, 3, 4)
+SELECT image_id, attempt, y0, x0, round(fraction, 6) AS fraction FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY attempt) AS n FROM f WHERE fraction >= 0.25) WHERE n = 1""")
+def first_good_fov(spark, sf):
+    images, dapi = fx.images(spark, sf), fx.dapi(spark, sf)
+    a = F.col("attempt")
+    drawn = images.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
+    drawn = drawn.select("image_id", "attempt", ((a * 11 + F.col("image_id")) % (F.col("height") - 7)).alias("y0"), ((a * 67 + 5) % (F.col("width") - 7)).alias("x0"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    found = op.first_good_fov(dapi, drawn, op.dapi_threshold(dapi, images, OVERVIEW), 0.25, 64)
+    return found.select("image_id", "attempt", "y0", "x0", *six("fraction"))
+
+
 @query("fov_around_cells", "cell_rows images", """SELECT c.image_id, row_index, least(greatest(CAST(round_even(cy - 16, 0) AS BIGINT), 0), greatest(height - 32, 0)) AS y0,
 least(greatest(CAST(round_even(cx - 16, 0) AS BIGINT), 0), greatest(width - 32, 0)) AS x0 FROM cell_rows c JOIN images i ON c.image_id = i.image_id""")
 def fov_around_cells(spark, sf):
