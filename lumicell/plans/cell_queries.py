@@ -156,7 +156,7 @@ def sized_images(spark, sf):
 
 
 @query("physical_units", "mask", """SELECT image_id, label, round(cx*um, 6) AS "Centroid X µm", round(cy*um, 6) AS "Centroid Y µm", round(area*um*um, 6) AS "Area µm²", round(sqrt(4*area/pi())*um, 6) AS "Equivalent diameter µm"
-FROM (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, CASE WHEN image_id <> 3 THEN 0.25*(1+image_id) ELSE 0.5064 END AS um FROM mask GROUP BY 1, 2)""")
+FROM (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, CAST(CASE WHEN image_id <> 3 THEN 0.25*(1+image_id) ELSE 0.5064 END AS DOUBLE) AS um FROM mask GROUP BY 1, 2)""")
 def physical_units(spark, sf):
     found = agg.physical_units(agg.morphology_basic(fx.mask(spark, sf)), sized_images(spark, sf), v.DEFAULT_PIXEL_SIZE_UM)
     return found.select("image_id", "label", *[F.round(v.column(n), 6).alias(n) for _, n, _ in agg.PHYSICAL if n in found.columns])
@@ -166,7 +166,7 @@ def physical_units(spark, sf):
 v AS (SELECT m.image_id, m.label, channel, CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS v FROM mask m JOIN pixels p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x)
 SELECT s.image_id, s.label AS "Cell ID", round(cy, 6) AS "Centroid Y px", CAST(area AS DOUBLE) AS "Area px", round(area*um*um, 6) AS "Area µm²",
  round(avg(v) FILTER (channel = 'marker'), 6) AS "marker: Cell Mean", round(stddev_pop(v) FILTER (channel = 'marker'), 6) AS "marker: Cell Std Dev", max(v) FILTER (channel = 'dapi') AS "dapi: Cell Max"
-FROM shape s JOIN v ON v.image_id = s.image_id AND v.label = s.label JOIN (SELECT i AS image_id, CASE WHEN i <> 3 THEN 0.25*(1+i) ELSE 0.5064 END AS um FROM range(4) t(i)) u ON u.image_id = s.image_id GROUP BY s.image_id, s.label, cy, area, um""")
+FROM shape s JOIN v ON v.image_id = s.image_id AND v.label = s.label JOIN (SELECT i AS image_id, CAST(CASE WHEN i <> 3 THEN 0.25*(1+i) ELSE 0.5064 END AS DOUBLE) AS um FROM range(4) t(i)) u ON u.image_id = s.image_id GROUP BY s.image_id, s.label, cy, area, um""")
 def measure_cells(spark, sf):
     found = agg.measure_cells(fx.pixels(spark, sf), fx.mask(spark, sf), sized_images(spark, sf), ["marker", "dapi"], v.DEFAULT_PIXEL_SIZE_UM)
     names = ["Centroid Y px", "Area px", "Area µm²", "marker: Cell Mean", "marker: Cell Std Dev", "dapi: Cell Max"]

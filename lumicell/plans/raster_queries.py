@@ -49,7 +49,7 @@ def read_region(spark, sf):
 ranked AS (SELECT *, greatest(height, width) AS s, row_number() OVER (PARTITION BY image_id ORDER BY greatest(height, width) < 100, CASE WHEN greatest(height, width) >= 100 THEN greatest(height, width) ELSE -greatest(height, width) END, level) AS n FROM levels)
 SELECT image_id, level, height, width FROM ranked WHERE n = 1""")
 def overview_level(spark, sf):
-    level = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    level = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
     rows = fx.images(spark, sf).select("image_id", level.alias("level"), "height", "width")
     half = lambda c: F.greatest(F.floor(F.col(c) / F.pow(F.lit(2), F.col("level"))), F.lit(1)).alias(c)
     return op.overview_level(rows.select("image_id", "level", half("height"), half("width")), 100)

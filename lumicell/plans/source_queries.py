@@ -68,7 +68,7 @@ places AS (SELECT project_id, image_id, CAST(row_number() OVER (PARTITION BY pro
 def write_projects(spark, sf):
     documents = pj.write_projects(*project_parts(spark, sf))
     parsed = documents.select("project_id", F.from_json("value", pj.SCHEMA).alias("p")).select("project_id", "p.format", "p.version", F.posexplode("p.images").alias("image_index", "image"))
-    return parsed.select("project_id", "format", "version", "image_index", F.size("image.annotations").alias("annotations"), F.size("image.automated_exclusions").alias("exclusions"))
+    return parsed.select("project_id", "format", "version", "image_index", F.size("image.annotations").cast("long").alias("annotations"), F.size("image.automated_exclusions").cast("long").alias("exclusions"))
 
 
 @query("read_projects", "actions", PROJECTS + """ SELECT a.project_id, image_index, cell_id, label, CAST(cell_id AS DOUBLE) AS centroid_x FROM ann a JOIN places p ON p.project_id = a.project_id AND p.image_id = a.image_id
@@ -108,7 +108,7 @@ def resolve_channel_names(spark, sf):
     return md.resolve_channel_names(metadata_files(spark, sf))
 
 
-@query("resolve_pixel_size", sql="SELECT p_partkey AS file_id, round(CASE WHEN p_partkey % 5 <> 0 THEN p_size * CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.001 WHEN 2 THEN 1000.0 ELSE 1.0 END END, 6) AS pixel_size_um FROM part")
+@query("resolve_pixel_size", sql="SELECT p_partkey AS file_id, round(CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) * CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.001 WHEN 2 THEN 1000.0 ELSE 1.0 END END, 6) AS pixel_size_um FROM part")
 def resolve_pixel_size(spark, sf):
     return md.resolve_pixel_size(metadata_files(spark, sf)).select("file_id", *six("pixel_size_um"))
 
