@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicell.functions.values import DEFAULT_BUFFER_PX, close, column, finite, when_finite
-from lumicell.operators.mask import TILE, mask_flags
+from lumicell.operators.mask import TILE, boundary_grid, mask_flags, shifted, tile_grid, with_halo
 
 AT = ["image_id", "y", "x"]
 BINS = 30
@@ -131,21 +131,36 @@ def morphology_ellipse(mask: DataFrame) -> DataFrame:
     return found.select("image_id", "label", (4 * F.sqrt(large)).alias("major_axis"), (4 * F.sqrt(small)).alias("minor_axis"), eccentricity.alias("eccentricity"))
 
 
-def morphology_perimeter(mask: DataFrame) -> DataFrame:
+def perimeter_weights(labels: np.ndarray) -> np.ndarray:
+    """The part of its label's perimeter that each pixel contributes; right for pixels two or more from the sides."""
+    border = boundary_grid(labels)
+    code = np.ones(labels.shape, np.int64)
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if dy or dx:
+                code += (10 if dy and dx else 2) * (shifted(border, dy, dx) & (shifted(labels, dy, dx) == labels))
+    weights = np.zeros(50)
+    weights[list(PERIMETER_WEIGHTS)] = list(PERIMETER_WEIGHTS.values())
+    return np.where(border, weights[code], 0.0)
+
+
+def morphology_perimeter(mask: DataFrame, side: int = TILE) -> DataFrame:
     """Perimeter of each label from its border pixels' border neighbourhoods.
 
-    A border pixel has a 4-neighbour that is not of its label.
+    A border pixel has a 4-neighbour that is not of its label.  Tiles with a halo of two give partial sums.
     """
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(10 if dy and dx else 2).alias("w")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    at = ["image_id", "label", "y", "x"]
-    own = mask.select(*at)
-    beside = own.select("image_id", "label", "y", "x", F.explode(steps).alias("s")).filter("s.w = 2").select("image_id", "label", F.expr("y + s.dy").alias("y"), F.expr("x + s.dx").alias("x"))
-    same = beside.groupBy(*at).agg(F.count("*").alias("same"))
-    border = own.join(same, at, "left").filter(F.coalesce("same", F.lit(0)) < 4).select(*at)
-    around = border.select("image_id", "label", "y", "x", F.explode(steps).alias("s")).select("image_id", "label", F.expr("y + s.dy").alias("y"), F.expr("x + s.dx").alias("x"), "s.w")
-    codes = border.join(around.groupBy(*at).agg(F.sum("w").alias("w")), at, "left").withColumn("code", 1 + F.coalesce("w", F.lit(0)))
-    weights = F.create_map(*[F.lit(x) for item in PERIMETER_WEIGHTS.items() for x in item])
-    return codes.groupBy("image_id", "label").agg(F.sum(F.coalesce(F.try_element_at(weights, F.col("code").cast("int")), F.lit(0.0))).alias("perimeter"))
+    halo = 2
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        image_id, ty, tx = key
+        grid, y, x, own = tile_grid(rows, ty, tx, side, halo)
+        names, at = np.unique(grid[y[own], x[own]], return_inverse=True)
+        return pd.DataFrame({"image_id": image_id, "label": names, "part": np.bincount(at, perimeter_weights(grid)[y[own], x[own]], len(names))})
+
+    kind = dict(mask.dtypes)["image_id"]
+    narrow = mask.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("y", "x", "label")])
+    parts = with_halo(narrow, side, halo).groupBy("image_id", "tile_y", "tile_x").applyInPandas(run, f"image_id {kind}, label long, part double")
+    return parts.groupBy("image_id", "label").agg(F.sum("part").alias("perimeter"))
 
 
 def hull_pixels(y: np.ndarray, x: np.ndarray) -> int:
@@ -168,14 +183,19 @@ def hull_pixels(y: np.ndarray, x: np.ndarray) -> int:
     return int(inside.sum())
 
 
-def morphology_solidity(mask: DataFrame) -> DataFrame:
-    """Area over the area of the convex hull; a label's pixels meet in one task."""
+def morphology_solidity(mask: DataFrame, together: int = 64) -> DataFrame:
+    """Area over the area of the convex hull; the pixels of ``together`` neighbouring labels meet in one task."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image_id": [key[0]], "label": [key[1]], "solidity": [len(rows) / hull_pixels(rows["y"].to_numpy(), rows["x"].to_numpy())]})
+        rows = rows.sort_values("label", kind="stable")
+        label, y, x = (rows[c].to_numpy() for c in ("label", "y", "x"))
+        starts = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+        shares = [len(ys) / hull_pixels(ys, xs) for ys, xs in zip(np.split(y, starts[1:]), np.split(x, starts[1:]))]
+        return pd.DataFrame({"image_id": key[0], "label": label[starts], "solidity": shares})
 
     kinds = dict(mask.dtypes)
-    return mask.select("image_id", "label", "y", "x").groupBy("image_id", "label").applyInPandas(run, f"image_id {kinds['image_id']}, label {kinds['label']}, solidity double")
+    grouped = mask.select("image_id", "label", "y", "x", F.floor(F.col("label") / together).alias("chunk")).groupBy("image_id", "chunk")
+    return grouped.applyInPandas(run, f"image_id {kinds['image_id']}, label {kinds['label']}, solidity double")
 
 
 #: Columns of a measurement table that have a physical size: name in pixels, name in microns, power of the pixel size.

@@ -24,7 +24,7 @@ def disk(radius: float) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= radius * radius]
 
 
-def _shifted(grid: np.ndarray, dy: int, dx: int) -> np.ndarray:
+def shifted(grid: np.ndarray, dy: int, dx: int) -> np.ndarray:
     """``grid[y - dy, x - dx]`` at ``[y, x]``, zero beyond the sides."""
     out = np.zeros_like(grid)
     h, w = grid.shape
@@ -36,14 +36,14 @@ def boundary_grid(labels: np.ndarray) -> np.ndarray:
     """Labelled pixels with a 4-neighbour of another label; beyond the sides is background."""
     differs = np.zeros(labels.shape, bool)
     for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
-        differs |= _shifted(labels, dy, dx) != labels
+        differs |= shifted(labels, dy, dx) != labels
     return differs & (labels > 0)
 
 
 def near_grid(boundary: np.ndarray, radius: float) -> np.ndarray:
     near = np.zeros(boundary.shape, bool)
     for dy, dx in disk(radius):
-        near |= _shifted(boundary, dy, dx)
+        near |= shifted(boundary, dy, dx)
     return near
 
 
@@ -53,6 +53,14 @@ def with_halo(mask: DataFrame, side: int, halo: int) -> DataFrame:
     return mask.withColumn("tile_y", tiles("y")).withColumn("tile_x", tiles("x"))
 
 
+def tile_grid(rows: pd.DataFrame, tile_y: int, tile_x: int, side: int, halo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(labels, y, x, own)``: a tile with its halo as an array, the places of its rows in it, and which are in its core."""
+    y, x = (rows[c].to_numpy() - t * side + halo for c, t in (("y", tile_y), ("x", tile_x)))
+    grid = np.zeros((side + 2 * halo, side + 2 * halo), np.int64)
+    grid[y, x] = rows["label"].to_numpy()
+    return grid, y, x, (y >= halo) & (y < halo + side) & (x >= halo) & (x < halo + side)
+
+
 def mask_flags(mask: DataFrame, buffer: float = DEFAULT_BUFFER_PX, side: int = TILE) -> DataFrame:
     """``image_id, y, x, label, boundary, near``; ``near``: within ``buffer`` of a boundary pixel of any cell.
 
@@ -62,12 +70,9 @@ def mask_flags(mask: DataFrame, buffer: float = DEFAULT_BUFFER_PX, side: int = T
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         image_id, ty, tx = key
-        y, x = (rows[c].to_numpy() - t * side + halo for c, t in (("y", ty), ("x", tx)))
-        grid = np.zeros((side + 2 * halo, side + 2 * halo), np.int64)
-        grid[y, x] = rows["label"].to_numpy()
+        grid, y, x, own = tile_grid(rows, ty, tx, side, halo)
         boundary = boundary_grid(grid)
         near = near_grid(boundary, buffer)
-        own = (y >= halo) & (y < halo + side) & (x >= halo) & (x < halo + side)
         y, x = y[own], x[own]
         return pd.DataFrame({"image_id": image_id, "y": y + ty * side - halo, "x": x + tx * side - halo, "label": grid[y, x], "boundary": boundary[y, x], "near": near[y, x]})
 

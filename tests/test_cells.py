@@ -97,6 +97,7 @@ def test_morphology(spark):
     assert math.isclose(ellipse[1]["major_axis"], 4 * math.sqrt(35 / 12)) and ellipse[2]["eccentricity"] == 0 and ellipse[2]["major_axis"] == 0
     perimeter = {r["label"]: r["perimeter"] for r in agg.morphology_perimeter(own).collect()}
     assert perimeter[1] == 16.0 and perimeter[2] == 0.0  # a rectangle's border pixels
+    assert {r["label"]: r["perimeter"] for r in agg.morphology_perimeter(own, 3).collect()} == perimeter
     solidity = {r["label"]: r["solidity"] for r in agg.morphology_solidity(own).collect()}
     assert solidity[1] == 1.0 and solidity[2] == 1.0 and 0.5 < solidity[3] < 1
 
