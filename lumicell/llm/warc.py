@@ -250,8 +250,7 @@ def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     rows stay, a null id reads back as null, an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    folder = shared_folder(spark)
-    path = f"{folder if '://' in folder else 'file://' + folder}/warc-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
     write_archives(archive_rows(pages), path)
     return read_archives(spark, path, split_bytes).select(
         "page_id",
