@@ -1,57 +1,95 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Every word of every document is predicted from the two words on either side.  Words go to a fixed number of
-slots by a hash; slot counts over the whole corpus group the slots into classes (each of the commonest has
-its own, the others share classes of equal mass).  A small network gives the class of a word from the
-classes around it, and the corpus counts give the slot within its class; both are normalised, so a
+Every word of every document is predicted from the two words on either side.  Every distinct word has a slot of
+its own: a hash gives it, words whose slot is taken get further ones, and the number of slots follows the
+number of distinct words.  Slot counts over the whole corpus group the slots into classes (each of the
+commonest has its own, the others share classes of equal mass).  A small network gives the class of a word
+from the classes around it, and the corpus counts give the slot within its class; both are normalised, so a
 document's score is a sum of conditional log-probabilities.
 
-Training windows are taken at a fixed rate from every document, so they grow with the corpus; they are dealt
-over tasks of a bounded size, each trains a copy of the network, and the copies are averaged, in rounds.
+Every window of every document is trained on, in every round: windows are dealt over tasks of a bounded size,
+each trains a copy of the network, and the copies are averaged.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicell.llm.shared import cut, in_small_batches, map_batches
 
+#: ``SLOTS`` is the least number of slots; a larger vocabulary has more.
 SLOTS, OWN, SHARED, WIDTH = 1 << 17, 64, 64, 16
 OFFSETS = (-2, -1, 1, 2)
-#: One window in so many is trained on; windows of one training task; rounds of averaging.
-RATE, TASK_WINDOWS, ROUNDS = 16, 400_000, 3
+#: Windows of one training task; rounds of averaging.  Each round trains on all windows.
+TASK_WINDOWS, ROUNDS = 400_000, 3
+#: So many windows in a row go to the same task, which bounds the rows that deal them.
+_RUN = 64
 _BATCH, _CHUNK, _CACHE = 2048, 8192, 400_000
 
 
-def slots(text: bytes | None, cache: dict[bytes, int], n: int = SLOTS) -> np.ndarray:
-    """The slot of each word of a UTF-8 text (A-Z lower-cased, split at ASCII spaces)."""
-    out = []
-    for word in (text or b"").lower().split():
-        slot = cache.get(word)
-        if slot is None:
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+@dataclass
+class Vocabulary:
+    """``n`` slots by CRC, and a slot from ``n`` on for each word (by its 64-bit hash, sorted) whose CRC slot is another word's."""
+
+    n: int = SLOTS
+    displaced: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+
+    @staticmethod
+    def of(hashes: np.ndarray, crcs: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
+        """The vocabulary of distinct words, and the slot of each."""
+        n = SLOTS
+        while n < 2 * len(hashes):
+            n *= 2
+        order = np.argsort(hashes)
+        _, first = np.unique(crcs[order] % n, return_index=True)
+        moved = np.ones(len(hashes), bool)
+        moved[order[first]] = False
+        words = Vocabulary(n, np.sort(hashes[moved]))
+        return words, words.placed(hashes, crcs)
+
+    def placed(self, hashes: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+        out = crcs % self.n
+        if len(self.displaced):
+            at = np.searchsorted(self.displaced, hashes)
+            moved = self.displaced[np.minimum(at, len(self.displaced) - 1)] == hashes
+            out[moved] = self.n + at[moved]
+        return out
+
+    def slots(self, text: bytes | None, cache: dict[bytes, int]) -> np.ndarray:
+        """The slot of each word of a UTF-8 text (A-Z lower-cased, split at ASCII spaces)."""
+        words = (text or b"").lower().split()
+        found = list(map(cache.get, words))
+        if None in found:
             if len(cache) > _CACHE:
                 cache.clear()
-            slot = cache[word] = zlib.crc32(word) % n
-        out.append(slot)
-    return np.array(out, np.int64)
+            new = list({w for w in words if w not in cache})
+            cache.update(zip(new, self.placed(_hashes(new), np.fromiter(map(zlib.crc32, new), np.int64, len(new))).tolist()))
+            found = list(map(cache.__getitem__, words))
+        return np.array(found, np.int64)
 
 
 def classes(counts: np.ndarray, own: int = OWN, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
     """``(class of each slot, log-probability of each slot within its class)``."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
+    order = np.argsort(-counts, kind="stable")
     mass = np.cumsum(counts[order[own:]] + 0.5)
-    of = np.empty(len(counts), np.int64)
+    of = np.empty(len(counts), np.uint8 if own + shared < 256 else np.uint16)
     of[order[:own]] = np.arange(min(own, len(counts)))
     of[order[own:]] = own + np.minimum((mass - 0.5) * shared / mass[-1], shared - 1).astype(np.int64) if len(mass) else 0
     total = np.bincount(of, counts + 0.5, own + shared)
-    return of, np.log((counts + 0.5) / total[of])
+    return of, np.log((counts + 0.5) / total[of]).astype(np.float32)
 
 
 @dataclass
@@ -84,26 +122,36 @@ class Network:
             at += p.size
         return Network(*out)
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log-probabilities of every class, for rows of surrounding classes."""
+    def logits(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden values and logits of every class (the largest is 0), for rows of surrounding classes."""
         hidden = np.tanh(sum(self.inputs[o][around[:, o]] for o in range(len(OFFSETS))) + self.hidden_bias)
-        logits = hidden @ self.outputs + self.output_bias
+        logits = hidden @ self.outputs
+        logits += self.output_bias
         logits -= logits.max(1, keepdims=True)
-        return hidden, logits - np.log(np.exp(logits).sum(1, keepdims=True))
+        return hidden, logits
+
+    def log_p(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The log-probability of the class ``target`` in the middle of each row of surrounding classes."""
+        _, logits = self.logits(around)
+        own = logits[np.arange(len(target)), target]
+        return own - np.log(np.exp(logits, out=logits).sum(1))
 
     def trained(self, windows: np.ndarray, rate: float = 0.01) -> Network:
         """One pass over ``windows`` (surrounding classes, then the class in the middle) with Adam."""
         net = Network(*[p.copy() for p in self.parts()])
-        ones = np.eye(self.inputs.shape[1], dtype=np.float32)
+        n = self.inputs.shape[1]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
         for step, at in enumerate(range(0, len(windows), _BATCH), 1):
             around, target = windows[at : at + _BATCH, :-1], windows[at : at + _BATCH, -1]
-            hidden, log_p = net.forward(around)
-            error = np.exp(log_p)
+            hidden, error = net.logits(around)
+            np.exp(error, out=error)
+            error /= error.sum(1, keepdims=True)
             error[np.arange(len(target)), target] -= 1
             error /= len(target)
             back = (error @ net.outputs.T) * (1 - hidden * hidden)
-            slopes = [np.stack([ones[around[:, o]].T @ back for o in range(len(OFFSETS))]), hidden.T @ error, back.sum(0), error.sum(0)]
+            at_inputs = (around.T + n * np.arange(len(OFFSETS))[:, None]).ravel()
+            to_inputs = [np.bincount(at_inputs, np.tile(c, len(OFFSETS)), n * len(OFFSETS)) for c in back.T]
+            slopes = [np.stack(to_inputs, 1).astype(np.float32).reshape(self.inputs.shape), hidden.T @ error, back.sum(0), error.sum(0)]
             for p, (m, v), g in zip(net.parts(), moments, slopes):
                 m *= 0.9
                 m += 0.1 * g
@@ -125,50 +173,63 @@ class PseudoLikelihood:
     of: np.ndarray
     within: np.ndarray
     network: Network
+    words: Vocabulary
 
     def score(self, found: np.ndarray) -> float:
         """Sum over a document's slots of log p(word | two words on either side)."""
         own = self.of[found]
         near = around(own, len(self.network.output_bias))
-        total = float(self.within[found].sum())
+        total = float(self.within[found].sum(dtype=np.float64))
         for at in range(0, len(own), _CHUNK):
-            _, log_p = self.network.forward(near[at : at + _CHUNK])
-            total += float(log_p[np.arange(len(log_p)), own[at : at + _CHUNK]].sum(dtype=np.float64))
+            total += float(self.network.log_p(near[at : at + _CHUNK], own[at : at + _CHUNK]).sum(dtype=np.float64))
         return total
 
 
-def slot_counts(documents: DataFrame) -> np.ndarray:
-    """How often each slot occurs in the corpus; tasks count, a shuffle adds up."""
+def vocabulary(documents: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The corpus' words and how often each slot occurs; tasks count words, a shuffle adds up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, n = {}, np.zeros(SLOTS, np.int64)
+        def emit() -> Iterator[pa.RecordBatch]:
+            words, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+            hashes, crcs = _hashes(words), np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+            seen.clear()
+            for at in range(0, len(words), _CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + _CHUNK]) for x in (hashes, crcs, times)], names=["hash", "crc", "n"])
+
+        seen: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                own, times = np.unique(slots(text, cache), return_counts=True)
-                n[own] += times
-        seen = np.flatnonzero(n)
-        for at in range(0, len(seen), _CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[at : at + _CHUNK]), pa.array(n[seen[at : at + _CHUNK]])], names=["slot", "n"])
+                seen.update((text or b"").lower().split())
+            if len(seen) > _CACHE:
+                yield from emit()
+        yield from emit()
 
     in_small_batches(documents.sparkSession)
-    counted = documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows
-    out = np.zeros(SLOTS, np.int64)
-    out[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    return out
+    counted = documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "hash long, crc long, n long").groupBy("hash").agg(F.first("crc").alias("crc"), F.sum("n").alias("n"))
+    hashes, crcs, n = (c.to_numpy() for c in counted.toArrow().columns)  # a row for each distinct word
+    words, at = Vocabulary.of(hashes, crcs)
+    out = np.zeros(words.n + len(words.displaced), np.int64)
+    out[at] = n
+    return words, out
+
+
+def slot_counts(documents: DataFrame) -> np.ndarray:
+    """How often each slot occurs in the corpus."""
+    return vocabulary(documents)[1]
 
 
-def _windows(documents: DataFrame, of, edge: int, parts: int) -> DataFrame:
-    """Rows ``(part, first, windows)``: the windows of a batch of documents that go to one training task."""
+def _windows(documents: DataFrame, known, edge: int, parts: int) -> DataFrame:
+    """Rows ``(part, first, windows)``: the windows of a batch of documents that go to one training task; every word has one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache: dict = {}
         rows, to = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = of.value[slots(text, cache)]
-            picked = np.arange(key % min(RATE, max(1, len(own))), len(own), RATE)
-            if len(picked):
-                rows.append(np.column_stack((around(own, edge)[picked], own[picked])).astype(np.uint8 if edge < 256 else np.uint16))
-                to.append((key // RATE + picked // RATE) % parts)
+            words, of = known.value
+            own = of[words.slots(text, cache)]
+            if len(own):
+                rows.append(np.column_stack((around(own, edge), own)).astype(np.uint8 if edge < 256 else np.uint16))
+                to.append(((key + np.arange(len(own)) // _RUN) % parts).astype(np.int32))
         if not rows:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["part", "first", "windows"])
         rows, to = np.concatenate(rows), np.concatenate(to)
@@ -177,19 +238,19 @@ def _windows(documents: DataFrame, of, edge: int, parts: int) -> DataFrame:
         blobs = [x.tobytes() for x in np.split(rows[order], starts[1:])]
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([min(batch.column(0).to_pylist())] * len(used), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "first", "windows"])
 
-    keyed = documents.select(F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("key"), F.col("text").cast("binary").alias("text"))
+    keyed = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("key"), F.col("text").cast("binary").alias("text"))
     return map_batches(keyed, run, "part int, first long, windows binary")
 
 
 def train(documents: DataFrame, rounds: int = ROUNDS, task_windows: int = TASK_WINDOWS) -> PseudoLikelihood:
     """Fit on the whole corpus; an empty one gives even probabilities."""
     spark = documents.sparkSession
-    counts = slot_counts(documents)
+    words, counts = vocabulary(documents)
     of, within = classes(counts)
     edge = OWN + SHARED
     network = Network.start(np.bincount(of, counts, edge))
-    parts = max(1, int(-(-counts.sum() // (RATE * task_windows))))
-    shared = spark.sparkContext.broadcast(of)  # SLOTS numbers
+    parts = max(1, int(-(-counts.sum() // task_windows)))
+    shared = spark.sparkContext.broadcast((words, of))  # some numbers for each distinct word
     windows = cut(_windows(documents, shared, edge, parts).repartition(parts, "part").sortWithinPartitions("part", "first", "windows"))
     kind = np.uint8 if edge < 256 else np.uint16
     for _ in range(rounds):
@@ -220,7 +281,7 @@ def train(documents: DataFrame, rounds: int = ROUNDS, task_windows: int = TASK_W
         sums = sorted(meet.collect(), key=lambda r: r["part"])  # at most 16 networks
         if sums:
             network = network.like(sum(np.frombuffer(r["network"], float) for r in sums) / sum(r["n"] for r in sums))
-    return PseudoLikelihood(of, within, network)
+    return PseudoLikelihood(of, within, network, words)
 
 
 def score(documents: DataFrame, model: PseudoLikelihood) -> DataFrame:
@@ -234,7 +295,7 @@ def score(documents: DataFrame, model: PseudoLikelihood) -> DataFrame:
     caches: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [slots(t, caches) for t in batch.column(1).to_pylist()]
+        found = [shared.value.words.slots(t, caches) for t in batch.column(1).to_pylist()]
         sums = [shared.value.score(f) if len(f) else 0.0 for f in found]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(sums, pa.float64()), pa.array([s / len(f) if len(f) else None for s, f in zip(sums, found)], pa.float64())],

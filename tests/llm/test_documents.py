@@ -416,3 +416,23 @@ def test_slots_add_up_to_one():
     of, within = pseudolm.classes(counts)
     total = np.bincount(of, np.exp(within), pseudolm.OWN + pseudolm.SHARED)
     assert np.allclose(total, 1)
+
+
+def test_every_window_is_trained_on(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h " * (i % 5)) for i in range(40)] + [(40, None)], "doc_id long, text string")
+    words, counts = pseudolm.vocabulary(docs)
+    of, _ = pseudolm.classes(counts)
+    rows = pseudolm._windows(docs, spark.sparkContext.broadcast((words, of)), pseudolm.OWN + pseudolm.SHARED, 3).collect()
+    windows = np.concatenate([np.frombuffer(r["windows"], np.uint8).reshape(-1, 5) for r in rows])
+    assert len(windows) == counts.sum() == 40 // 5 * 8 * (1 + 2 + 3 + 4)
+    middle = np.bincount(windows[:, -1], minlength=128)
+    assert (middle == np.bincount(of, counts, 128)).all()
+
+
+def test_every_word_has_a_count_of_its_own(spark):
+    words = [f"w{i}" for i in range(150_000)]  # more than SLOTS
+    docs = spark.createDataFrame([(i, " ".join(words[i * 1000 : i * 1000 + 1000] + words[:i])) for i in range(150)], "doc_id long, text string")
+    known, counts = pseudolm.vocabulary(docs)
+    assert (counts > 0).sum() == len(words)
+    at = known.slots(" ".join(words).encode(), {})
+    assert len(np.unique(at)) == len(words) and counts[at[0]] == 150 and counts[at[148]] == 2 and counts[at[149]] == 1
