@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data; DataFrame functions only.
 
-Patterns find the protected entities.  The corpus then says which words around them give them away: for a
-term t near an entity e, the share of documents with t that also hold e, p(e|t), and the information
-log2(p(e|t) / p(e)).  A term that passes both thresholds in enough different texts is a disclosing term: where
-it stands near its entity it is generalised, or removed if it nearly always means that entity.
+Patterns find the protected entities.  The corpus then says which words give them away: for a term t and an
+entity e, the share of documents with t that also hold e, p(e|t), and the information log2(p(e|t) / p(e)).  A
+term is a run of letters and digits outside entities, of any length and anywhere in the text.  One that passes
+both thresholds in enough different texts is a disclosing term: wherever it stands, in whatever document, it is
+generalised, or removed if it nearly always means that entity.
 
 Patterns are written so that a search takes time in proportion to the text: quantifiers do not give back
 what they took, and a run of characters that cannot start a match is tried only at its beginning.
@@ -31,9 +32,9 @@ KINDS = {
 }
 TERM = "term"
 _SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
-_WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}(?![\p{L}\p{N}])"
-#: Characters on either side of an entity in which a term can disclose it.
-CONTEXT = 80
+_WORD, _GAP = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]+"
+#: The most disclosing terms that are broadcast.
+_SENT = 1 << 18
 #: A disclosing term: least p(e|t), least information in bits, least number of different texts; and p(e|t) from which it is removed.
 LEAST_SHARE, LEAST_BITS, LEAST_TEXTS, REMOVE_SHARE = 0.5, 3.0, 3, 0.9
 
@@ -60,69 +61,64 @@ def base_spans(text: str = "text") -> str:
     return f"array_sort(concat({', '.join(each)}))"
 
 
-def _nearby(side: str) -> str:
-    """SQL for the terms on one side of base span ``s``: an array of ``(entity, term, start, end)``."""
-    low = f"greatest(s.start - {CONTEXT}, 0L)" if side == "left" else "s.end"
-    size = f"least(s.start, {CONTEXT}L)" if side == "left" else f"{CONTEXT}L"
-    piece = f"substring(text, int({low}) + 1, int({size}))"
-    spans = matches("c", _WORD, 0, "true", "true")
-    # a word that the edge of the context may have cut does not count
-    whole = "t.start > 0 OR at = 0" if side == "left" else f"t.end < {CONTEXT}"
-    clear = "NOT exists(base, b -> b.start < at + t.end AND at + t.start < b.end)"
-    return (
-        f"flatten(transform(array(named_struct('c', {piece}, 'at', {low})), w -> transform(filter({spans.replace('(c,', '(w.c,')}, "
-        f"t -> ({whole.replace('at', 'w.at')}) AND {clear.replace('at +', 'w.at +')}), "
-        f"t -> named_struct('entity', concat(s.kind, ':', lower(s.value)), 'term', lower(t.value), 'start', w.at + t.start, 'end', w.at + t.end))))"
-    )
-
-
 def find(documents: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, text_key, base, terms)``: base spans, and the terms near them with their places."""
+    """Rows ``(doc_id, text_key, base, rest)``: base spans, and the text with spaces in their place."""
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     based = text.withColumn("text_key", F.xxhash64("text")).withColumn("base", F.expr(base_spans()))
-    near = f"CASE WHEN size(base) = 0 THEN cast(array() AS array<struct<entity:string,term:string,start:bigint,end:bigint>>) ELSE flatten(transform(base, s -> concat({_nearby('left')}, {_nearby('right')}))) END"
-    return based.withColumn("terms", F.expr(near)).select("doc_id", "text_key", "base", "terms")
-
-
-def disclosures(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows ``(entity, term, share, bits)`` for every disclosing term, from counts over all documents."""
-    pair = F.array_distinct(F.transform("terms", lambda t: F.struct(t.entity.alias("entity"), t.term.alias("term"))))
-    seen = found.select("text_key", F.explode(pair).alias("t")).select("text_key", "t.*")
-    per_text = seen.groupBy("entity", "term", "text_key").agg(F.count("*").alias("docs"))
-    joint = per_text.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
-    named = F.array_distinct(F.transform("base", lambda s: F.concat(s.kind.cast("string"), F.lit(":"), F.lower(s.value))))
-    entities = found.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    frequency = documents.select(F.explode(F.filter(words, lambda w: F.length(w) >= 4)).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    total = documents.count()
-    counted = joint.join(entities, "entity").join(frequency, "term").withColumn("share", F.col("both") / F.col("with_term"))
-    counted = counted.withColumn("bits", F.log2(F.col("share") / (F.col("with_entity") / max(1, total))))
+    rest = (
+        "CASE WHEN size(base) = 0 THEN text ELSE aggregate(base, named_struct('at', 0L, 'out', ''), (a, s) -> CASE WHEN s.end <= a.at THEN a ELSE named_struct('at', s.end, "
+        "'out', concat(a.out, substring(text, int(a.at) + 1, int(greatest(s.start - a.at, 0L))), repeat(' ', int(s.end - greatest(s.start, a.at))))) END, a -> concat(a.out, substring(text, int(a.at) + 1))) END"
+    )
+    return based.select("doc_id", "text_key", "base", F.expr(rest).alias("rest"))
+
+
+def terms(found: DataFrame, *names: str) -> DataFrame:
+    """Rows ``(*names, term)``: the distinct terms of each document."""
+    words = F.array_distinct(F.transform(F.split("rest", _GAP), F.lower))
+    return found.select(*names, F.explode(F.filter(words, lambda w: w != "")).alias("term"))
+
+
+def disclosures(found: DataFrame) -> DataFrame:
+    """Rows ``(entity, term, share, bits)`` for every disclosing term, from counts over all documents.
+
+    Only entities and terms that can still pass are paired: both need enough texts, p(e) is at most
+    2^-LEAST_BITS, and as share is at most with_entity / with_term, a term is not much more frequent than its entity.
+    """
+    held = F.array_distinct(F.transform("base", lambda s: F.concat(s.kind.cast("string"), F.lit(":"), F.lower(s.value))))
+    entity_docs = cut(found.select("text_key", F.explode(held).alias("entity")).groupBy("text_key", "entity").agg(F.count("*").alias("docs")))
+    total = max(1, found.count())
+    entities = entity_docs.groupBy("entity").agg(F.sum("docs").alias("with_entity"), F.count("*").alias("texts"))
+    entities = cut(entities.filter((F.col("texts") >= LEAST_TEXTS) & (F.col("with_entity") <= total * 2.0**-LEAST_BITS)).select("entity", "with_entity"))
+    most = entities.agg(F.max("with_entity")).first()[0] or 0
+    frequency = terms(found).groupBy("term").agg(F.count("*").alias("with_term")).filter(f"with_term >= {LEAST_TEXTS} and with_term * {LEAST_SHARE} <= {most}")
+    of = entity_docs.join(entities, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "with_entity")).alias("entities"), F.max("docs").alias("docs"))  # one text's entities
+    texts = found.filter("size(base) > 0").join(of, "text_key").dropDuplicates(["text_key"])
+    pairs = terms(texts, "entities", "docs").join(frequency, "term").select("term", "with_term", "docs", F.explode("entities").alias("e")).select("term", "with_term", "docs", "e.*")
+    pairs = pairs.filter(f"with_term * {LEAST_SHARE} <= with_entity")
+    joint = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.sum("docs").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
+    counted = joint.withColumn("share", F.col("both") / F.col("with_term"))
+    counted = counted.withColumn("bits", F.log2(F.col("share") / (F.col("with_entity") / total)))
     return counted.filter((F.col("share") >= LEAST_SHARE) & (F.col("bits") >= LEAST_BITS)).select("entity", "term", "share", "bits")
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, text_key, base, extra)``, one for each document: base spans and the disclosing terms near them.
+    """Rows ``(doc_id, text_key, base, extra)``, one for each document: base spans and every place of a disclosing term.
 
-    ``extra`` holds ``(start, end, term, share)``; a term near several entities counts with its largest share.
+    ``extra`` holds ``(start, end, term, share)``; a term of several entities counts with its largest share.
     A null or empty text has no spans; repeated rows have the same; an empty table gives no rows; other
     columns are ignored.
     """
-    found = cut(find(documents))
-    telling = disclosures(documents, found)
-    hits = (
-        found.select("doc_id", "text_key", F.explode("terms").alias("t"))
-        .select("doc_id", "text_key", "t.*")
-        .distinct()
-        .join(telling, ["entity", "term"])
-        .groupBy("doc_id", "text_key", "start", "end", "term")
-        .agg(F.max("share").alias("share"))
-        .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "share"))).alias("extra"))  # one text's spans
-        .select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "extra")
+    found = find(documents)
+    telling = cut(disclosures(found).groupBy("term").agg(F.max("share").alias("share")))
+    few = F.broadcast(telling) if telling.count() <= _SENT else telling
+    met = terms(found, "text_key").join(few, "term").groupBy("text_key", "term").agg(F.max("share").alias("share"))
+    hits = met.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))  # one text's terms
+    places = matches("rest", _WORD, 0, "true", "map_contains_key(shares, lower(x.m))")
+    extra = (
+        f"CASE WHEN shares IS NULL THEN cast(array() AS array<struct<start:bigint,end:bigint,term:string,share:double>>) ELSE transform({places}, "
+        "t -> named_struct('start', t.start, 'end', t.end, 'term', lower(t.value), 'share', shares[lower(t.value)])) END"
     )
-    both = found.join(hits, found.doc_id.eqNullSafe(hits.of_doc) & (found.text_key == hits.of_text), "left")
-    nothing = F.expr("cast(array() as array<struct<start:bigint,end:bigint,term:string,share:double>>)")
-    return both.select("doc_id", "text_key", "base", F.coalesce("extra", nothing).alias("extra"))
+    return found.join(hits, "text_key", "left").select("doc_id", "text_key", "base", F.expr(extra).alias("extra"))
 
 
 def digest(found: DataFrame) -> DataFrame:

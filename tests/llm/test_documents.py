@@ -274,6 +274,19 @@ def test_disclosing_terms_are_found_and_sanitised(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_count_and_are_marked_in_the_whole_text(spark):
+    far = "word " * 60
+    rows = [(i, f"Qx7 boss {far}{'more ' * i}mail bruce@wayne.com") for i in range(4)]  # the term is 300 characters away
+    rows += [(4, "nothing here but qx7 and qx7"), (5, f"qx7 at bruce@wayne.com {far} QX7")] + [(10 + i, f"boss mail word more at {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text, held = dict(rows), {r["doc_id"]: r["extra"] for r in pii.personal_data(docs).collect()}
+    for i, t in text.items():
+        assert [(e["start"], e["end"]) for e in held[i] if e["term"] == "qx7"] == [m.span() for m in re.finditer("qx7", t, re.I)]
+        assert all(abs(e["share"] - 5 / 6) < 1e-9 for e in held[i]) and {e["term"] for e in held[i]} <= {"qx7"}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[4] == "nothing here but [TERM] and [TERM]"
+
+
 # Decontamination
 
 
