@@ -1,22 +1,28 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Every word of every document is predicted from the two words on either side.  Every distinct word has a slot of
-its own: a hash gives it, words whose slot is taken get further ones, and the number of slots follows the
-number of distinct words.  Slot counts over the whole corpus group the slots into classes (each of the
-commonest has its own, the others share classes of equal mass).  A small network gives the class of a word
-from the classes around it, and the corpus counts give the slot within its class; both are normalised, so a
-document's score is a sum of conditional log-probabilities.
-
-Every window of every document is trained on, in every round: windows are dealt over tasks of a bounded size,
-each trains a copy of the network, and the copies are averaged.
+Every word of every document is predicted from the two words on either side, by a hierarchical softmax: words
+lie in order of frequency on a line, each as long as its share of the corpus, and the line is halved again and
+again.  At every halving the network says on which side the word is, from the embeddings of the words around
+it; ``LEVELS`` halvings give one of 65,535 cells.  A cell that holds one word ends there; in a cell that rare words
+share, the corpus counts give the word.  All steps are normalised, so a document's score is a sum of conditional
+log-probabilities over all words of the corpus.
+
+Counts of words are a table in the cluster.  Only words that are at least one in ``HEAD`` of the corpus (so at most ``HEAD``
+words) go to the driver and into the broadcast model; the others get their cell by hash, and a join brings their
+own counts to the documents that hold them.
+
+Every window of every document trains the network, in every round: runs of words are dealt over tasks of a
+bounded size by a hash of their document, each task trains a copy of the network, and every row of the copies
+is averaged by how often they touched it.  Runs are sorted before training, so the same documents give the same scores, up to
+rounding of single precision, however they are split.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,281 +32,442 @@ from pyspark.sql import functions as F
 
 from lumicell.llm.shared import cut, in_small_batches, map_batches
 
-#: ``SLOTS`` is the least number of slots; a larger vocabulary has more.
-SLOTS, OWN, SHARED, WIDTH = 1 << 17, 64, 64, 16
+#: Halvings of the line, cells (the last code stands for what is beyond a text), width of embeddings.
+LEVELS, CELLS, EDGE, WIDTH = 16, (1 << 16) - 1, (1 << 16) - 1, 11
 OFFSETS = (-2, -1, 1, 2)
+#: Words rarer than one in ``HEAD`` share cells by hash.
+HEAD = 1 << 20
 #: Windows of one training task; rounds of averaging.  Each round trains on all windows.
-TASK_WINDOWS, ROUNDS = 400_000, 3
-#: So many windows in a row go to the same task, which bounds the rows that deal them.
-_RUN = 64
-_BATCH, _CHUNK, _CACHE = 2048, 8192, 400_000
+TASK_WINDOWS, ROUNDS = 3_000_000, 1
+RATE = 0.2
+_RUN, _REACH, _TOP = 64, 2, 6
+_TOP_NODES = (1 << _TOP) - 1
+_BATCH_RUNS, _SCORE_RUNS, _CHUNK, _CACHE, _CHUNK_BYTES = 64, 64, 8192, 400_000, 1 << 20
+#: Copies that one task averages, and row ranges that a copy is sent in.
+_MEET, _PIECES = 8, 16
+_UNSEEN = 0.5
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text: A-Z lower-cased, split at ASCII spaces."""
+    return (text or b"").lower().split()
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """63-bit hashes; words are told apart by them."""
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).view(np.int64)
 
 
 @dataclass
 class Vocabulary:
-    """``n`` slots by CRC, and a slot from ``n`` on for each word (by its 64-bit hash, sorted) whose CRC slot is another word's."""
+    """Cells of words.  ``heads`` are hashes of the frequent words, sorted, with ``cells`` and log-shares ``within`` them.
 
-    n: int = SLOTS
-    displaced: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    Other words fall by hash on the cells from ``first`` on.  ``mass`` is the number of words in each cell, all counted.
+    """
 
-    @staticmethod
-    def of(hashes: np.ndarray, crcs: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
-        """The vocabulary of distinct words, and the slot of each."""
-        n = SLOTS
-        while n < 2 * len(hashes):
-            n *= 2
-        order = np.argsort(hashes)
-        _, first = np.unique(crcs[order] % n, return_index=True)
-        moved = np.ones(len(hashes), bool)
-        moved[order[first]] = False
-        words = Vocabulary(n, np.sort(hashes[moved]))
-        return words, words.placed(hashes, crcs)
-
-    def placed(self, hashes: np.ndarray, crcs: np.ndarray) -> np.ndarray:
-        out = crcs % self.n
-        if len(self.displaced):
-            at = np.searchsorted(self.displaced, hashes)
-            moved = self.displaced[np.minimum(at, len(self.displaced) - 1)] == hashes
-            out[moved] = self.n + at[moved]
-        return out
+    heads: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    cells: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint16))
+    within: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+    first: int = 0
+    mass: np.ndarray = field(default_factory=lambda: np.zeros(CELLS))
+
+    def tail_cells(self, hashed: np.ndarray) -> np.ndarray:
+        return (self.first + ((hashed >> 32) * (CELLS - self.first) >> 31)).astype(np.uint16)
 
-    def slots(self, text: bytes | None, cache: dict[bytes, int]) -> np.ndarray:
-        """The slot of each word of a UTF-8 text (A-Z lower-cased, split at ASCII spaces)."""
-        words = (text or b"").lower().split()
+    def ids(self, words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
+        """For each word its place among the heads, or ``-1 - hash``."""
         found = list(map(cache.get, words))
         if None in found:
             if len(cache) > _CACHE:
                 cache.clear()
             new = list({w for w in words if w not in cache})
-            cache.update(zip(new, self.placed(_hashes(new), np.fromiter(map(zlib.crc32, new), np.int64, len(new))).tolist()))
+            hashed = hashes(new)
+            at = np.minimum(np.searchsorted(self.heads, hashed), max(0, len(self.heads) - 1))
+            known = self.heads[at] == hashed if len(self.heads) else np.zeros(len(new), bool)
+            cache.update(zip(new, np.where(known, at, -1 - hashed).tolist()))
             found = list(map(cache.__getitem__, words))
         return np.array(found, np.int64)
 
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        """The cell of each word."""
+        head = ids >= 0
+        out = np.empty(len(ids), np.uint16)
+        out[head] = self.cells[ids[head]]
+        out[~head] = self.tail_cells(-1 - ids[~head])
+        return out
+
 
-def classes(counts: np.ndarray, own: int = OWN, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
-    """``(class of each slot, log-probability of each slot within its class)``."""
-    order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order[own:]] + 0.5)
-    of = np.empty(len(counts), np.uint8 if own + shared < 256 else np.uint16)
-    of[order[:own]] = np.arange(min(own, len(counts)))
-    of[order[own:]] = own + np.minimum((mass - 0.5) * shared / mass[-1], shared - 1).astype(np.int64) if len(mass) else 0
-    total = np.bincount(of, counts + 0.5, own + shared)
-    return of, np.log((counts + 0.5) / total[of]).astype(np.float32)
+def vocabulary(documents: DataFrame, head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
+    """The corpus' words, and rows ``(hash, n)`` with the counts of those that are rarer than one in ``head``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> Iterator[pa.RecordBatch]:
+            hashed, times = hashes(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+            seen.clear()
+            for at in range(0, len(hashed), _CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[at : at + _CHUNK]), pa.array(times[at : at + _CHUNK])], names=["hash", "n"])
+
+        seen: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(words_of(text))
+                if len(seen) > _CACHE:
+                    yield from emit()
+        yield from emit()
+
+    in_small_batches(documents.sparkSession)
+    counted = cut(documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(1, -(-total // head))
+    heads = counted.filter(F.col("n") >= least).toArrow()  # at most ``head`` words
+    hashed, n = (heads.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.lexsort((hashed, -n))
+    hashed, n = hashed[order], n[order]
+    cells = np.minimum((np.cumsum(n) - n / 2) * (CELLS / max(1, total)), CELLS - 1).astype(np.int64)
+    words = Vocabulary(first=min(int(n.sum() * (CELLS / max(1, total))), CELLS - 1))
+    words.mass = np.bincount(cells, n, CELLS)
+    tail = counted.filter(F.col("n") < least)
+    of_tail = F.lit(words.first) + F.shiftright(F.shiftright("hash", 32) * (CELLS - words.first), 31)
+    for r in tail.groupBy(of_tail.alias("cell")).agg(F.sum("n").alias("n")).collect():  # at most CELLS rows
+        words.mass[r["cell"]] += r["n"]
+    by_hash = np.argsort(hashed)
+    words.heads, words.cells = hashed[by_hash], cells[by_hash].astype(np.uint16)
+    words.within = np.log(n[by_hash] / words.mass[cells[by_hash]]).astype(np.float32)
+    return words, tail
+
+
+class Tree:
+    """The halvings that lead to each cell in use; one whose other side is empty is none.
+
+    Nodes are numbered from the root, level by level.  The first ``_TOP`` levels have so few that all of them are worked out for
+    every window at once; those below are listed for each cell.
+    """
+
+    def __init__(self, mass: np.ndarray):
+        used = np.flatnonzero(mass)
+        self.prior, self.real = np.zeros(1 << LEVELS, np.float32), np.zeros(1 << LEVELS, bool)
+        nodes, sides, of = [], [], []
+        for level in range(LEVELS):
+            here, side = used >> (LEVELS - level), (used >> (LEVELS - 1 - level)) & 1
+            both = np.bincount(2 * here + side, mass[used], 2 << level).reshape(-1, 2)
+            real = (both > 0).all(1)
+            at = (1 << level) - 1 + np.flatnonzero(real)
+            self.prior[at], self.real[at] = np.log(both[real, 1] / both[real, 0]), True
+            if level >= _TOP:
+                kept = real[here]
+                nodes.append(((1 << level) - 1 + here)[kept])
+                sides.append(2 * side[kept] - 1)
+                of.append(used[kept])
+        of = np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        self.nodes, self.sides = np.concatenate(nodes)[order].astype(np.uint16), np.concatenate(sides)[order].astype(np.float32)
+        self.steps = np.bincount(of, minlength=1 << LEVELS)
+        self.starts = np.cumsum(self.steps) - self.steps
+
+    def top(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(nodes, sides)`` of the first levels, a row for each target; a side of 0 where there is no halving."""
+        levels = np.arange(_TOP)
+        nodes = (1 << levels) - 1 + (targets[:, None].astype(np.int64) >> (LEVELS - levels))
+        sides = ((targets[:, None] >> (LEVELS - 1 - levels)) & 1).astype(np.float32) * 2 - 1
+        return nodes, sides * self.real[nodes]
+
+    def below(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, node, side, steps)``: every further halving on the way to each target, in order of the targets."""
+        steps = self.steps[targets]
+        row = np.repeat(np.arange(len(targets)), steps)
+        at = np.arange(len(row)) + np.repeat(self.starts[targets] - (np.cumsum(steps) - steps), steps)
+        return row, self.nodes[at], self.sides[at], steps
+
+
+def softplus(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
+
+
+def _gathered(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, sum of values of each, how many)`` for 16-bit row numbers ``at``."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[starts].astype(np.int64), np.add.reduceat(values[order], starts, axis=0), np.diff(starts, append=len(at))
 
 
 @dataclass
 class Network:
-    """``inputs``: (offset, class or edge, width); ``outputs``: (width, class); biases."""
+    """One matrix: an embedding for each cell and the edge, a vector and bias for each halving, a scale for each offset, a bias."""
 
-    inputs: np.ndarray
-    outputs: np.ndarray
-    hidden_bias: np.ndarray
-    output_bias: np.ndarray
+    rows: np.ndarray
 
     @staticmethod
-    def start(class_counts: np.ndarray, width: int = WIDTH) -> Network:
+    def start(tree: Tree) -> Network:
         random = np.random.default_rng(0)
-        n = len(class_counts)
-        draw = lambda *shape: random.normal(0, 0.1, shape).astype(np.float32)
-        prior = np.log((class_counts + 0.5) / (class_counts + 0.5).sum())
-        return Network(draw(len(OFFSETS), n + 1, width), draw(width, n), np.zeros(width, np.float32), prior.astype(np.float32))
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.inputs, self.outputs, self.hidden_bias, self.output_bias]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
-
-    def like(self, flat: np.ndarray) -> Network:
-        out, at = [], 0
-        for p in self.parts():
-            out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
-            at += p.size
-        return Network(*out)
-
-    def logits(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and logits of every class (the largest is 0), for rows of surrounding classes."""
-        hidden = np.tanh(sum(self.inputs[o][around[:, o]] for o in range(len(OFFSETS))) + self.hidden_bias)
-        logits = hidden @ self.outputs
-        logits += self.output_bias
-        logits -= logits.max(1, keepdims=True)
-        return hidden, logits
-
-    def log_p(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The log-probability of the class ``target`` in the middle of each row of surrounding classes."""
-        _, logits = self.logits(around)
-        own = logits[np.arange(len(target)), target]
-        return own - np.log(np.exp(logits, out=logits).sum(1))
-
-    def trained(self, windows: np.ndarray, rate: float = 0.01) -> Network:
-        """One pass over ``windows`` (surrounding classes, then the class in the middle) with Adam."""
-        net = Network(*[p.copy() for p in self.parts()])
-        n = self.inputs.shape[1]
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
-        for step, at in enumerate(range(0, len(windows), _BATCH), 1):
-            around, target = windows[at : at + _BATCH, :-1], windows[at : at + _BATCH, -1]
-            hidden, error = net.logits(around)
-            np.exp(error, out=error)
-            error /= error.sum(1, keepdims=True)
-            error[np.arange(len(target)), target] -= 1
-            error /= len(target)
-            back = (error @ net.outputs.T) * (1 - hidden * hidden)
-            at_inputs = (around.T + n * np.arange(len(OFFSETS))[:, None]).ravel()
-            to_inputs = [np.bincount(at_inputs, np.tile(c, len(OFFSETS)), n * len(OFFSETS)) for c in back.T]
-            slopes = [np.stack(to_inputs, 1).astype(np.float32).reshape(self.inputs.shape), hidden.T @ error, back.sum(0), error.sum(0)]
-            for p, (m, v), g in zip(net.parts(), moments, slopes):
-                m *= 0.9
-                m += 0.1 * g
-                v *= 0.99
-                v += 0.01 * g * g
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        return net
-
-
-def around(own: np.ndarray, edge: int) -> np.ndarray:
-    """Rows of the classes at ``OFFSETS`` around each position; ``edge`` beyond the ends."""
-    reach = max(map(abs, OFFSETS))
-    padded = np.concatenate((np.full(reach, edge), own, np.full(reach, edge)))
-    return np.stack([padded[reach + o : reach + o + len(own)] for o in OFFSETS], 1)
+        rows = np.zeros(((2 << LEVELS) + len(OFFSETS) + 1, WIDTH + 1), np.float32)
+        rows[: 1 << LEVELS, :WIDTH] = random.normal(0, 0.3, (1 << LEVELS, WIDTH))
+        rows[1 << LEVELS : 2 << LEVELS, WIDTH] = tree.prior  # at first every halving has its share of the corpus
+        rows[2 << LEVELS : -1, :WIDTH] = random.normal(0.5, 0.2, (len(OFFSETS), WIDTH))
+        return Network(rows)
+
+    @property
+    def embeddings(self) -> np.ndarray:
+        return self.rows[: 1 << LEVELS]
+
+    @property
+    def halvings(self) -> np.ndarray:
+        return self.rows[1 << LEVELS : 2 << LEVELS]
+
+    @property
+    def scales(self) -> np.ndarray:
+        return self.rows[2 << LEVELS :]
+
+    def hidden(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(embeddings of the runs, hidden values of the words in them)``; the last hidden value is one."""
+        held = self.embeddings[runs]
+        out = sum(held[:, _REACH + o : _REACH + o + _RUN] * s for o, s in zip(OFFSETS, self.scales)) + self.scales[-1]
+        np.tanh(out, out=out)
+        out[:, :, WIDTH] = 1
+        return held, out.reshape(-1, WIDTH + 1)
+
+    def log_p(self, tree: Tree, runs: np.ndarray) -> np.ndarray:
+        """The log-probability of the cell of each word in the runs, given those around it."""
+        target = runs[:, _REACH : _REACH + _RUN].ravel()
+        real = np.flatnonzero(target != EDGE)
+        target, hidden = target[real], self.hidden(runs)[1][real]
+        nodes, sides = tree.top(target)
+        z = np.take_along_axis(hidden @ self.halvings[:_TOP_NODES].T, nodes, 1)
+        out = (np.abs(sides) * softplus(-sides * z)).sum(1, dtype=float)
+        row, node, side, _ = tree.below(target)
+        z = side * (hidden[row] * self.halvings[node]).sum(1)
+        return -out - np.bincount(row, softplus(-z), len(target))
+
+    def trained(self, tree: Tree, runs: np.ndarray, rate: float = RATE) -> tuple[Network, np.ndarray]:
+        """One pass over the windows of ``runs`` by Adagrad; the network and how often each row was touched."""
+        net = Network(self.rows.copy())
+        touched, seen = np.zeros(len(self.rows), np.float32), np.full(len(self.rows), 1e-6, np.float32)
+
+        def step(rows, slope: np.ndarray, many) -> None:
+            touched[rows] += many
+            seen[rows] += (slope * slope).sum(1) / (WIDTH + 1)
+            net.rows[rows] -= (rate / np.sqrt(seen[rows]))[:, None] * slope
+
+        for at in range(0, len(runs), _BATCH_RUNS):
+            lines = runs[at : at + _BATCH_RUNS]
+            held, every = net.hidden(lines)
+            target = lines[:, _REACH : _REACH + _RUN].ravel()
+            real = np.flatnonzero(target != EDGE)
+            target, hidden, top = target[real], every[real], net.halvings[:_TOP_NODES]
+            nodes, sides = tree.top(target)
+            z = np.take_along_axis(hidden @ top.T, nodes, 1)
+            errors = np.zeros((len(target), _TOP_NODES), np.float32)
+            np.put_along_axis(errors, nodes, -sides / (1 + np.exp(np.clip(sides * z, -30, 30))), 1)
+            slope = errors @ top
+            row, node, side, steps = tree.below(target)
+            if len(row):
+                halving, here = net.halvings[node], hidden[row]
+                error = -side / (1 + np.exp(np.clip(side * (here * halving).sum(1), -30, 30)))
+                some = np.flatnonzero(steps)
+                slope[some] += np.add.reduceat(error[:, None] * halving, (np.cumsum(steps) - steps)[some], axis=0)
+            slope *= 1 - hidden * hidden  # the constant one has no slope
+            inner = np.zeros_like(every)
+            inner[real] = slope
+            inner = inner.reshape(len(lines), _RUN, -1)
+            to_held, to_scales = np.zeros_like(held), np.empty((len(OFFSETS) + 1, WIDTH + 1), np.float32)
+            for i, o in enumerate(OFFSETS):
+                place = slice(_REACH + o, _REACH + o + _RUN)
+                to_held[:, place] += inner * net.scales[i]
+                to_scales[i] = np.einsum("rwd,rwd->d", held[:, place], inner)
+            to_scales[-1] = slope.sum(0)
+            if len(row):
+                rows, of_node, many = _gathered(error[:, None] * here, node)
+                step(rows + (1 << LEVELS), of_node, many)
+            step(slice(1 << LEVELS, (1 << LEVELS) + _TOP_NODES), errors.T @ hidden, np.bincount(nodes.ravel(), minlength=_TOP_NODES))
+            step(*_gathered(to_held.reshape(-1, WIDTH + 1), lines.ravel()))
+            step(slice(2 << LEVELS, None), to_scales, len(target))
+        return net, touched
+
+
+def runs_of(codes: np.ndarray) -> np.ndarray:
+    """A text's cells in rows of ``_RUN`` words with the words on either side; the edge beyond the text."""
+    n = -(-len(codes) // _RUN)
+    padded = np.full(n * _RUN + 2 * _REACH, EDGE, np.uint16)
+    padded[_REACH : _REACH + len(codes)] = codes
+    return np.lib.stride_tricks.sliding_window_view(padded, _RUN + 2 * _REACH)[::_RUN] if n else np.empty((0, _RUN + 2 * _REACH), np.uint16)
+
+
+def encode(documents: DataFrame, words: Vocabulary) -> DataFrame:
+    """Rows ``(doc_id, n_words, within, tail, cells)``, one for each document.
+
+    ``cells`` are its words' cells, 16 bits each; ``tail`` the hashes of words that are not among the heads; ``within`` the
+    log-shares of all words in their cells, but for the counts of the tail.
+    """
+    in_small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(words)  # at most HEAD words and CELLS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        log_mass = np.log(np.maximum(shared.value.mass, 1.0))
+
+        def coded(ids: list, texts: list) -> pa.RecordBatch:
+            split = [words_of(t) for t in texts]
+            many = np.array([len(w) for w in split], np.int64)
+            found = shared.value.ids(list(chain.from_iterable(split)), cache)
+            cells, head = shared.value.codes(found), found >= 0
+            each = np.empty(len(found))
+            each[head] = shared.value.within[found[head]]
+            each[~head] = -log_mass[cells[~head]]
+            ends = np.cumsum(many)
+            of = np.repeat(np.arange(len(texts)), many)
+            tails = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[~head], minlength=len(texts))))), pa.int32()), pa.array(-1 - found[~head]))
+            blobs = [cells[e - m : e].tobytes() for e, m in zip(ends, many)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(many), pa.array(np.bincount(of, each, len(texts))), tails, pa.array(blobs, pa.binary())], names=["doc_id", "n_words", "within", "tail", "cells"])
+
+        for batch in batches:
+            ids, texts, size = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text or b"")
+                if size > _CHUNK_BYTES:
+                    yield coded(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield coded(ids, texts)
+
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, n_words long, within double, tail array<long>, cells binary")
 
 
 @dataclass
 class PseudoLikelihood:
-    of: np.ndarray
-    within: np.ndarray
-    network: Network
+    """``tail`` has rows ``(hash, n)`` for the words that are not among the heads."""
+
     words: Vocabulary
+    network: Network
+    tail: DataFrame
 
-    def score(self, found: np.ndarray) -> float:
-        """Sum over a document's slots of log p(word | two words on either side)."""
-        own = self.of[found]
-        near = around(own, len(self.network.output_bias))
-        total = float(self.within[found].sum(dtype=np.float64))
-        for at in range(0, len(own), _CHUNK):
-            total += float(self.network.log_p(near[at : at + _CHUNK], own[at : at + _CHUNK]).sum(dtype=np.float64))
-        return total
 
+def _runs(coded: DataFrame, parts: int) -> DataFrame:
+    """Rows ``(part, run)``: runs of cells, dealt over training tasks; every word is in the middle of one window."""
 
-def vocabulary(documents: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """The corpus' words and how often each slot occurs; tasks count words, a shuffle adds up."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        part, blobs = [], []
+        for key, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = np.ascontiguousarray(runs_of(np.frombuffer(cells, np.uint16)))
+            part.append(((key + np.arange(len(lines))) % parts).astype(np.int32))
+            blobs += map(bytes, lines)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(blobs, pa.binary())], names=["part", "run"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit() -> Iterator[pa.RecordBatch]:
-            words, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-            hashes, crcs = _hashes(words), np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-            seen.clear()
-            for at in range(0, len(words), _CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + _CHUNK]) for x in (hashes, crcs, times)], names=["hash", "crc", "n"])
+    return map_batches(coded.select(F.pmod(F.xxhash64("cells"), F.lit(1 << 40)).alias("key"), "cells"), run, "part int, run binary")
 
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update((text or b"").lower().split())
-            if len(seen) > _CACHE:
-                yield from emit()
-        yield from emit()
 
-    in_small_batches(documents.sparkSession)
-    counted = documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "hash long, crc long, n long").groupBy("hash").agg(F.first("crc").alias("crc"), F.sum("n").alias("n"))
-    hashes, crcs, n = (c.to_numpy() for c in counted.toArrow().columns)  # a row for each distinct word
-    words, at = Vocabulary.of(hashes, crcs)
-    out = np.zeros(words.n + len(words.displaced), np.int64)
-    out[at] = n
-    return words, out
+_COPY = "part int, piece int, rows binary, weights binary"
 
 
-def slot_counts(documents: DataFrame) -> np.ndarray:
-    """How often each slot occurs in the corpus."""
-    return vocabulary(documents)[1]
+def _copies(part: int, rows: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for piece, (r, w) in enumerate(zip(np.array_split(rows, _PIECES), np.array_split(weights, _PIECES))):
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([piece], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["part", "piece", "rows", "weights"])
 
 
-def _windows(documents: DataFrame, known, edge: int, parts: int) -> DataFrame:
-    """Rows ``(part, first, windows)``: the windows of a batch of documents that go to one training task; every word has one."""
+def _averaged(copies: DataFrame) -> DataFrame:
+    """One copy for every ``_MEET`` of them: each row's mean, weighted by how often the copies touched it."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache: dict = {}
-        rows, to = [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words, of = known.value
-            own = of[words.slots(text, cache)]
-            if len(own):
-                rows.append(np.column_stack((around(own, edge), own)).astype(np.uint8 if edge < 256 else np.uint16))
-                to.append(((key + np.arange(len(own)) // _RUN) % parts).astype(np.int32))
-        if not rows:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["part", "first", "windows"])
-        rows, to = np.concatenate(rows), np.concatenate(to)
-        order = np.argsort(to, kind="stable")
-        used, starts = np.unique(to[order], return_index=True)
-        blobs = [x.tobytes() for x in np.split(rows[order], starts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([min(batch.column(0).to_pylist())] * len(used), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "first", "windows"])
-
-    keyed = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("key"), F.col("text").cast("binary").alias("text"))
-    return map_batches(keyed, run, "part int, first long, windows binary")
-
-
-def train(documents: DataFrame, rounds: int = ROUNDS, task_windows: int = TASK_WINDOWS) -> PseudoLikelihood:
-    """Fit on the whole corpus; an empty one gives even probabilities."""
-    spark = documents.sparkSession
-    words, counts = vocabulary(documents)
-    of, within = classes(counts)
-    edge = OWN + SHARED
-    network = Network.start(np.bincount(of, counts, edge))
-    parts = max(1, int(-(-counts.sum() // task_windows)))
-    shared = spark.sparkContext.broadcast((words, of))  # some numbers for each distinct word
-    windows = cut(_windows(documents, shared, edge, parts).repartition(parts, "part").sortWithinPartitions("part", "first", "windows"))
-    kind = np.uint8 if edge < 256 else np.uint16
-    for _ in range(rounds):
-        now = spark.sparkContext.broadcast(network)
-
-        def fit(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            blobs: dict[int, list[bytes]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                w = np.frombuffer(r["weights"], np.float32)
+                rows = np.frombuffer(r["rows"], np.float32).reshape(len(w), -1)
+                total = sums.setdefault((r["part"], r["piece"]), [np.zeros(rows.shape), np.zeros(len(w)), rows])
+                total[0] += rows * w[:, None]
+                total[1] += w
+        for (part, piece), (total, w, own) in sums.items():
+            mean = np.where(w[:, None] > 0, total / np.maximum(w, 1e-30)[:, None], own).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([piece], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["part", "piece", "rows", "weights"])
+
+    grouped = copies.withColumn("of", F.col("part")).withColumn("part", F.floor(F.col("part") / _MEET).cast("int"))
+    return grouped.repartition("part", "piece").sortWithinPartitions("part", "piece", "of").drop("of").mapInArrow(run, _COPY)
+
+
+def fit(coded: DataFrame, words: Vocabulary, rounds: int = ROUNDS, task_windows: int = TASK_WINDOWS) -> Network:
+    """Train on all windows of the coded documents; without words the network stays as it starts."""
+    spark = coded.sparkSession
+    network = Network.start(Tree(words.mass))
+    total = int(words.mass.sum())
+    if not total:
+        return network
+    parts = -(-total // task_windows)
+    runs = _runs(coded, parts).repartition(parts, "part").sortWithinPartitions("part", "run")
+    runs = cut(runs) if rounds > 1 else runs
+    for turn in range(rounds):
+        now = spark.sparkContext.broadcast((network, words.mass))
+
+        def trained(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
+            def of(part: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+                lines = np.frombuffer(b"".join(blobs), np.uint16).reshape(len(blobs), -1)
+                lines = lines[np.random.default_rng((part, turn)).permutation(len(lines))]
+                net, touched = start.trained(tree, lines)
+                yield from _copies(part, net.rows, touched)
+
+            start, tree = now.value[0], Tree(now.value[1])
+            at, blobs = None, []
             for batch in batches:
                 for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    blobs.setdefault(part, []).append(blob)
-            for part, own in blobs.items():  # about task_windows rows
-                rows = np.frombuffer(b"".join(own), kind).reshape(-1, len(OFFSETS) + 1).astype(np.int64)
-                rows = rows[np.random.default_rng(part).permutation(len(rows))]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([now.value.trained(rows).flat().tobytes()], pa.binary())], names=["part", "n", "network"])
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n, first = None, 0, 0
-            for batch in batches:
-                for part, weight, flat in zip(*(c.to_pylist() for c in batch.columns)):
-                    value = weight * np.frombuffer(flat, np.float32).astype(float)
-                    total, n, first = value if total is None else total + value, n + weight, part
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "network"])
+                    if part != at and blobs:
+                        yield from of(at, blobs)
+                        blobs = []
+                    at = part
+                    blobs.append(blob)  # about task_windows words in all
+            if blobs:
+                yield from of(at, blobs)
+
+        copies, many = cut(runs.mapInArrow(trained, _COPY)), parts
+        while many > 1:
+            copies, many = _averaged(copies), -(-many // _MEET)
+        pieces = {r["piece"]: np.frombuffer(r["rows"], np.float32).reshape(-1, WIDTH + 1) for r in copies.collect()}  # one network
+        network = Network(np.concatenate([pieces[p] for p in range(_PIECES)]))
+    return network
 
-        schema = "part int, n long, network binary"
-        fitted = windows.select("part", "windows").mapInArrow(fit, schema)
-        meet = fitted.repartition(min(parts, 16), "part").sortWithinPartitions("part").mapInArrow(average, schema)
-        sums = sorted(meet.collect(), key=lambda r: r["part"])  # at most 16 networks
-        if sums:
-            network = network.like(sum(np.frombuffer(r["network"], float) for r in sums) / sum(r["n"] for r in sums))
-    return PseudoLikelihood(of, within, network, words)
+
+def _score(coded: DataFrame, model: PseudoLikelihood) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast((model.network, model.words.mass))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, tree = shared.value[0], Tree(shared.value[1])
+        for batch in batches:
+            cells = [np.frombuffer(c, np.uint16) for c in batch.column(2).to_pylist()]
+            of = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+            lines = np.concatenate([runs_of(c) for c in cells])
+            sums, at = np.zeros(len(cells)), 0
+            for i in range(0, len(lines), _SCORE_RUNS):
+                found = network.log_p(tree, lines[i : i + _SCORE_RUNS])
+                sums += np.bincount(of[at : at + len(found)], found, len(cells))
+                at += len(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_numpy() + sums)], names=["row", "known"])
+
+    rows = coded.withColumn("row", F.monotonically_increasing_id())
+    known = rows.select("row", "within", "cells").mapInArrow(run, "row long, known double")
+    rare = rows.select("row", F.explode("tail").alias("hash")).join(model.tail, "hash", "left")
+    rare = rare.groupBy("row").agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(_UNSEEN)))).alias("rare"))
+    total = F.col("known") + F.coalesce("rare", F.lit(0.0))
+    joined = rows.select("row", "doc_id", "n_words").join(known, "row").join(rare, "row", "left")
+    return joined.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))
+
+
+def train(documents: DataFrame, rounds: int = ROUNDS, task_windows: int = TASK_WINDOWS, head: int = HEAD) -> PseudoLikelihood:
+    """Fit on the whole corpus; an empty one gives a model that has seen no word."""
+    words, tail = vocabulary(documents, head)
+    return PseudoLikelihood(words, fit(cut(encode(documents, words)), words, rounds, task_windows), tail)
 
 
 def score(documents: DataFrame, model: PseudoLikelihood) -> DataFrame:
     """Rows ``(doc_id, n_words, log_likelihood, mean_log_likelihood)``, one for each document.
 
-    Null and wordless texts have no words, a sum of 0 and a null mean; repeated rows get equal scores; an empty
-    table gives no rows; other columns are ignored.
+    Null and wordless texts have no words, a sum of 0 and a null mean; repeated rows get equal scores (up to rounding); an empty
+    table gives no rows; a word that the corpus has not counts half; other columns are ignored.
     """
-    in_small_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    caches: dict = {}
+    return _score(cut(encode(documents, model.words)), model)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.words.slots(t, caches) for t in batch.column(1).to_pylist()]
-        sums = [shared.value.score(f) if len(f) else 0.0 for f in found]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(sums, pa.float64()), pa.array([s / len(f) if len(f) else None for s, f in zip(sums, found)], pa.float64())],
-            names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
-        )
 
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_batches(narrow, run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+def train_and_score(documents: DataFrame, rounds: int = ROUNDS, task_windows: int = TASK_WINDOWS, head: int = HEAD) -> DataFrame:
+    """``score(documents, train(documents))``, with the words looked up once."""
+    words, tail = vocabulary(documents, head)
+    coded = cut(encode(documents, words))
+    return _score(coded, PseudoLikelihood(words, fit(coded, words, rounds, task_windows), tail))

@@ -14,8 +14,7 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
-    return pseudolm.score(documents, pseudolm.train(documents))
+    return pseudolm.train_and_score(read_table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only a local master may leave it unset."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if folder is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -34,9 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def in_small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once when whole texts are passed to it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once when whole texts are passed to it.
+
+    The session's own bound is only ever lowered, so a frame that runs later never meets larger batches.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXT_BATCH_ROWS:
+        spark.conf.set(name, str(TEXT_BATCH_ROWS))
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -50,6 +59,18 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of numbers of several batches at a time, about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if len(held) * batch.num_rows >= rows:
+            yield [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(batch.num_columns)]
+            held = []
+    if held:
+        yield [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(held[0].num_columns)]
+
+
 def power_of_two(least: int, most: int) -> int:
     """The smallest power of two that is ``least`` or more, but never above ``most``."""
     n = 1

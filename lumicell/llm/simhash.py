@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicell.llm.components import components
-from lumicell.llm.shared import cut, in_small_batches, map_batches
+from lumicell.llm.shared import cut, gathered, in_small_batches, map_batches
 
 BUCKET_ROWS = 256
 _CHUNK = 1 << 16
@@ -104,9 +104,9 @@ def _meet(k: int, bucket_rows: int):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
         key, fp, hot = np.empty((0, 2), np.int64), np.empty(0, np.int64), None
-        for batch in batches:
-            more = np.stack((batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()), 1)
-            more_fp = batch.column(2).to_numpy()
+        for columns in gathered(batches, _CHUNK):
+            more = np.stack((columns[0].astype(np.int64), columns[1]), 1)
+            more_fp = columns[2]
             if hot is not None:  # the rest of a key already known to be hot
                 same = (more == hot).all(1)
                 yield from emit([np.stack((more_fp[same], more_fp[same]), 1)])
@@ -141,7 +141,6 @@ def _hot_links(hot: DataFrame, k: int) -> DataFrame:
 def links(prints: DataFrame, k: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints (column ``fp``) that connect all pairs at ``k`` or fewer differing bits."""
     posted = prints.select("fp", F.explode(F.expr(_variant_keys(k))).alias("key")).select("key.slot", "key.rest", "fp")
-    in_small_batches(prints.sparkSession, 65536)
     met = cut(
         posted.repartition("slot", "rest")
         .sortWithinPartitions("slot", "rest")

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -396,56 +396,99 @@ def test_penalty_keeps_weight_off_group_names():
 # Pseudo-likelihood
 
 
-def test_pseudo_likelihood(spark):
+def sentences(n=150):
     rng = random.Random(11)
-    sentences = ["the cat sat on the mat", "a dog ran in the park", "the sun set on the hill"]
-    rows = [(i, " ".join(rng.choice(sentences) for _ in range(rng.randint(1, 40)))) for i in range(150)]
-    rows += [(None, "the cat"), (500, None), (501, "  "), rows[0], (502, " ".join(rng.sample(rows[1][1].split() * 3, 60))), (503, rows[2][1] + " " + rows[3][1])]
-    docs = spark.createDataFrame([r + (1,) for r in rows], "doc_id long, text string, key int")
-    model = pseudolm.train(docs, task_windows=200)
+    lines = ["the cat sat on the mat", "a dog ran in the park", "the sun set on the hill"]
+    rows = [(i, " ".join(rng.choice(lines) for _ in range(rng.randint(1, 40))) + f" odd{i % 50}") for i in range(n)]
+    return rows + [(None, "the cat"), (500, None), (501, "  "), rows[0], (502, " ".join(rng.sample(rows[1][1].split() * 3, 20))), (503, "The\u00e9 CAT sat" + " the mat" * 300)]
+
+
+def plain_log_p(model, counts, words):
+    """Sum of log p(word | two words on either side), one halving after another."""
+    at = {int(h): int(c) for h, c in zip(model.words.heads, model.words.cells)}
+
+    def cell(w):
+        h = int(xxhash.xxh3_64_intdigest(w)) >> 1
+        return at.get(h, model.words.first + ((h >> 32) * (pseudolm.CELLS - model.words.first) >> 31))
+
+    mass, rows = Counter(), model.network.rows.astype(float)
+    for w, n in counts.items():
+        mass[cell(w)] += n
+    assert all(model.words.mass[c] == n for c, n in mass.items()) and model.words.mass.sum() == sum(counts.values())
+    emb, halves, scales = rows[: 1 << 16], rows[1 << 16 : 2 << 16], rows[2 << 16 :]
+    cells = [cell(w) for w in words]
+
+    def one(i, c):
+        h = np.tanh(sum(emb[cells[i + o] if 0 <= i + o < len(cells) else pseudolm.EDGE] * s for o, s in zip(pseudolm.OFFSETS, scales)) + scales[-1])
+        h[-1], total, low, high = 1, 0.0, 0, 1 << 16
+        for level in range(16):
+            middle = (low + high) // 2
+            left, right = (any(a <= m < b for m in mass) for a, b in ((low, middle), (middle, high)))
+            z = h @ halves[(1 << level) - 1 + (c >> (16 - level))]
+            if left and right:
+                total -= np.log1p(np.exp(-z if c >= middle else z))
+            low, high = (middle, high) if c >= middle else (low, middle)
+        return total
+
+    own = sum(one(i, c) + np.log(counts[w] / mass[c]) for i, (c, w) in enumerate(zip(cells, words)))
+    every = sum(np.exp(one(1, cell(w))) * n / mass[cell(w)] for w, n in counts.items()) if len(words) > 1 else 1
+    assert abs(every - 1) < 1e-4  # the words of the corpus share the whole probability
+    return own
+
+
+@pytest.mark.parametrize("head", [1 << 20, 40])
+def test_pseudo_likelihood_equals_halving_by_halving(spark, head):
+    rows = sentences()
+    docs = spark.createDataFrame([r + (1, "x") for r in rows], "doc_id long, text string, row int, hash string")
+    model = pseudolm.train(docs, task_windows=500, head=head)
     found = pseudolm.score(docs, model).collect()
     assert len(found) == len(rows)
-    net = model.network
+    counts = Counter(w for _, t in rows for w in (t or "").encode().lower().split())
+    assert (len(model.words.heads) < len(counts)) == (head == 40) and model.tail.count() == len(counts) - len(model.words.heads)
+    text = dict(rows)
     for r in found:
-        words = (dict(rows)[r["doc_id"]] or "").lower().split()
-        own = [model.of[zlib.crc32(w.encode()) % pseudolm.SLOTS] for w in words]
-        edge, total = len(net.output_bias), 0.0
-        for i, w in enumerate(words):
-            at = [own[i + o] if 0 <= i + o < len(own) else edge for o in pseudolm.OFFSETS]
-            h = np.tanh(sum(net.inputs[k][c].astype(float) for k, c in enumerate(at)) + net.hidden_bias)
-            z = h @ net.outputs.astype(float) + net.output_bias
-            total += z[own[i]] - np.log(np.exp(z).sum()) + model.within[zlib.crc32(w.encode()) % pseudolm.SLOTS]
-        assert r["n_words"] == len(words) and abs(r["log_likelihood"] - total) < 1e-3 * max(1, len(words))
-        assert (r["mean_log_likelihood"] is None) == (not words)
-    mean = {r["doc_id"]: r["mean_log_likelihood"] for r in found}
-    counts = pseudolm.slot_counts(docs)
-    p = counts[counts > 0] / counts.sum()
-    assert mean[503] > (p * np.log(p)).sum() > mean[502]  # better than unigrams, which order does not touch
-    assert pseudolm.score(docs.limit(0), pseudolm.train(docs.limit(0))).count() == 0
-
-
-def test_slots_add_up_to_one():
-    counts = np.random.default_rng(0).poisson(2, pseudolm.SLOTS)
-    of, within = pseudolm.classes(counts)
-    total = np.bincount(of, np.exp(within), pseudolm.OWN + pseudolm.SHARED)
-    assert np.allclose(total, 1)
-
-
-def test_every_window_is_trained_on(spark):
-    docs = spark.createDataFrame([(i, "a b c d e f g h " * (i % 5)) for i in range(40)] + [(40, None)], "doc_id long, text string")
-    words, counts = pseudolm.vocabulary(docs)
-    of, _ = pseudolm.classes(counts)
-    rows = pseudolm._windows(docs, spark.sparkContext.broadcast((words, of)), pseudolm.OWN + pseudolm.SHARED, 3).collect()
-    windows = np.concatenate([np.frombuffer(r["windows"], np.uint8).reshape(-1, 5) for r in rows])
-    assert len(windows) == counts.sum() == 40 // 5 * 8 * (1 + 2 + 3 + 4)
-    middle = np.bincount(windows[:, -1], minlength=128)
-    assert (middle == np.bincount(of, counts, 128)).all()
-
-
-def test_every_word_has_a_count_of_its_own(spark):
-    words = [f"w{i}" for i in range(150_000)]  # more than SLOTS
-    docs = spark.createDataFrame([(i, " ".join(words[i * 1000 : i * 1000 + 1000] + words[:i])) for i in range(150)], "doc_id long, text string")
-    known, counts = pseudolm.vocabulary(docs)
-    assert (counts > 0).sum() == len(words)
-    at = known.slots(" ".join(words).encode(), {})
-    assert len(np.unique(at)) == len(words) and counts[at[0]] == 150 and counts[at[148]] == 2 and counts[at[149]] == 1
+        words = (text[r["doc_id"]] or "").encode().lower().split()
+        assert r["n_words"] == len(words) and (r["mean_log_likelihood"] is None) == (not words)
+        if not words:
+            assert r["log_likelihood"] == 0
+        elif r["doc_id"] in (0, 7, 502, None):
+            assert abs(r["log_likelihood"] - plain_log_p(model, counts, words)) < 1e-3 * len(words)
+    again = pseudolm.train_and_score(docs.repartition(3), task_windows=500, head=head).collect()
+    order = lambda rs: sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["log_likelihood"]) for r in rs)
+    assert np.allclose(order(again), order(found), rtol=1e-6)
+
+
+def test_the_network_learns_what_unigrams_do_not_know(spark):
+    rows = sentences(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, held = docs.filter("doc_id % 4 <> 0"), docs.filter("doc_id % 4 = 0 and doc_id < 400")
+    model = pseudolm.train(seen, rounds=10, task_windows=20_000)
+    mean = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudolm.score(docs, model).collect()}
+    counts = Counter(w for i, t in rows if i is not None and i % 4 for w in (t or "").encode().lower().split())
+    total = sum(counts.values())
+    words = [w for r in held.collect() for w in r["text"].encode().lower().split()]
+    unigram = np.mean([np.log(counts.get(w, 0.5) / total) for w in words])
+    assert np.mean([mean[r["doc_id"]] for r in held.collect()]) > unigram + 0.7
+    assert mean[502] < mean[501 + 2] and pseudolm.score(docs.limit(0), model).count() == 0
+    assert pseudolm.score(docs, pseudolm.train(docs.limit(0))).count() == len(rows)
+
+
+def test_every_window_is_trained_on_once(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h " * (i % 50)) for i in range(40)] + [(40, None)], "doc_id long, text string")
+    words, _ = pseudolm.vocabulary(docs)
+    runs = np.stack([np.frombuffer(r["run"], np.uint16) for r in pseudolm._runs(pseudolm.encode(docs, words), 3).collect()])
+    middle = runs[:, 2:66].ravel()
+    assert (np.bincount(middle[middle != pseudolm.EDGE], minlength=pseudolm.CELLS) == words.mass).all() and words.mass.sum() == 8 * sum(i % 50 for i in range(40))
+    net, touched = pseudolm.Network.start(pseudolm.Tree(words.mass)).trained(pseudolm.Tree(words.mass), runs)
+    assert touched[1 << 16] == words.mass.sum()  # the root is touched by every word
+
+
+def test_copies_are_averaged_by_touches(spark):
+    rng = np.random.default_rng(0)
+    rows = [rng.normal(size=(pseudolm._PIECES * 2, 3)).astype(np.float32) for _ in range(11)]
+    weights = [rng.integers(0, 3, pseudolm._PIECES * 2).astype(np.float32) for _ in range(11)]
+    sent = [tuple(c[0].as_py() for c in b.columns) for i in range(11) for b in pseudolm._copies(i, rows[i], weights[i])]
+    met = pseudolm._averaged(pseudolm._averaged(spark.createDataFrame(sent, pseudolm._COPY))).collect()
+    got = np.concatenate([np.frombuffer(r["rows"], np.float32).reshape(-1, 3) for r in sorted(met, key=lambda r: r["piece"])])
+    want = sum(r * w[:, None] for r, w in zip(rows, weights)) / sum(weights)[:, None]
+    assert len(met) == pseudolm._PIECES and np.allclose(got, want, atol=1e-5)
