@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots.  Each task posts its block of vectors in pivot
-inverted files (for each pivot, the vectors that have it among their nearest, with its place), reads the
-lists of a query's own pivots, adds up the footrule distance, and reranks every vector within the query's
-footrule cutoff by exact cosine.  The cutoff is the query's own quantile over a bounded sample, so the
-number reranked follows the table; nothing is capped.  Queries go in blocks, each against all rows.
+A vector is represented by the order of its nearest pivots.  That order is computed once for every row, and the rows
+are stored with it, ranged by their nearest pivots: each part of the table is a block of the index, and what it
+holds of a pivot's inverted file is the vectors of the block that have the pivot among their nearest, with its place.  A query
+reads the lists of its own pivots (those a block does not have cost nothing), adds up the footrule distance, and
+reranks every vector within its cutoff by exact cosine.
+
+The cutoff is a quantile of the query's own distances to a bounded sample.  Which quantile follows from a recall target: the
+one within which that part of the sample's true neighbours lies.  Nothing is capped.  Queries go in blocks
+of a bounded size against all rows; results of a block are stored before the next one is asked.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,34 +21,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumicell.llm.shared import in_small_batches, uniform_bits
+from lumicell.llm.shared import cut, in_small_batches, map_batches, shared_folder, uniform_bits
 
 #: Pivots, and how many of them represent a vector.
-PIVOTS, PLACES = 256, 64
-#: Part of the rows that is reranked, the size of the sample that sets the cutoff, and the least rank in it.
-RERANK, SAMPLE, LEAST = 0.12, 4096, 200
-QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
+PIVOTS, PLACES = 1024, 64
+#: Part of the true neighbours that should be within the cutoff; rows of the sample that sets it; rows asked in it.
+RECALL, SAMPLE, TRIED = 0.96, 1 << 14, 256
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 1 << 15
 
 
-def usable(vectors: np.ndarray) -> np.ndarray:
-    return np.isfinite(vectors).all(1) & (vectors != 0).any(1)
-
-
-def unit(vectors: np.ndarray) -> np.ndarray:
-    largest = np.abs(vectors).max(1, keepdims=True)
-    scaled = vectors / largest  # no square over- or underflows
-    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component to one half or more: exact, and no square over- or underflows."""
+    _, exponent = np.frexp(np.abs(vectors).max(1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row by row, so that equal vectors get equal scores."""
+    """Row by row, so that equal vectors get equal scores; both sides scaled."""
     return (vectors * query).sum(1) / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((query * query).sum()))
 
 
 def places(vectors: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
-    """For each vector its ``most`` nearest pivots, nearest first; ties go to the earlier pivot."""
-    near = np.einsum("vd,pd->vp", unit(vectors), pivots)
-    return np.argsort(-near, axis=1, kind="stable")[:, :most]
+    """For each (scaled) vector its ``most`` nearest of the unit pivots, nearest first; ties go to the earlier pivot."""
+    out = np.empty((len(vectors), most), np.uint16)
+    for at in range(0, len(vectors), 4096):
+        near = -(vectors[at : at + 4096] @ pivots.T)
+        some = np.sort(np.argpartition(near, most - 1, axis=1)[:, :most], axis=1)
+        out[at : at + 4096] = np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 class Postings:
@@ -53,87 +58,128 @@ class Postings:
         self.rows, self.most = order.shape
         flat = order.ravel()
         by_pivot = np.argsort(flat, kind="stable")
-        bounds = np.searchsorted(flat[by_pivot], np.arange(pivots + 1))
-        row, place = by_pivot // self.most, by_pivot % self.most
-        self.lists = [(row[a:b], place[a:b]) for a, b in zip(bounds, bounds[1:])]
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=pivots)))).tolist()
+        self.row, self.place = (by_pivot // self.most).astype(np.int32), (by_pivot % self.most).astype(np.int32)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Footrule distance of a query's pivot order to every vector; a pivot not among the nearest stands at place ``most``."""
         k = self.most
-        distance = np.full(self.rows, k * (k + 1), np.int64)
+        distance = np.full(self.rows, k * (k + 1), np.int32)
         for here, pivot in enumerate(order.tolist()):
-            row, place = self.lists[pivot]
-            distance[row] += np.abs(place - here) - (k - here) - (k - place)
+            a, b = self.bounds[pivot], self.bounds[pivot + 1]
+            if a < b:
+                place = self.place[a:b]
+                distance[self.row[a:b]] += np.abs(place - here) + place + (here - 2 * k)
         return distance
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose vectors can be compared, as float64, and their positions."""
-    vectors = [(i, v) for i, v in enumerate(column.to_pylist()) if v is not None and len(v) == width and None not in v]
-    at = np.array([i for i, _ in vectors], np.int64)
-    matrix = np.array([v for _, v in vectors], float).reshape(len(at), width)
-    good = usable(matrix) if len(at) else np.zeros(0, bool)
-    return matrix[good], at[good]
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
 
+def quantile_for(sample: np.ndarray, orders: np.ndarray, posted: Postings, k: int, recall: float) -> float:
+    """The part of the sample that must be reranked so that ``recall`` of the ``k`` true neighbours of some of its rows are."""
+    needed = []
+    for at in np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int):
+        score = cosines(sample, sample[at])
+        score[at] = -np.inf
+        near = np.argpartition(-score, min(k, len(score) - 1))[:k]
+        distance = np.sort(posted.footrule(orders[at]))
+        needed.append(np.searchsorted(distance, posted.footrule(orders[at])[near], "right") / len(sample))
+    return float(np.quantile(np.concatenate(needed), recall))
 
-def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS, most: int = PLACES, rerank: float = RERANK) -> DataFrame:
+
+def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS, most: int = PLACES, recall: float = RECALL) -> DataFrame:
     """Rows ``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     Ranks start at 1; the largest cosine comes first, ties go to the smaller id.  Null, zero and non-finite
-    vectors, null ids, and vectors whose length is not the commonest of the sample take no part.  Rows that
-    share a query's id are never its candidates; a repeated query id is asked once, with its smallest vector.
-    An empty table gives no rows; other columns are ignored.
+    vectors and null ids take no part; a query is compared with vectors of its own length.  Rows that
+    share a query's id are never its candidates; a repeated query id is asked once for each length, with its smallest vector.
+    With ``recall`` 1 or more every row is reranked.  An empty table gives no rows; other columns are ignored.
     """
     spark = embeddings.sparkSession
-    schema = "query_id long, vec_id long, score double"
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter("vec_id is not null and size(embedding) > 0 and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    sample = rows.orderBy(uniform_bits(F.col("vec_id"), 32, "pivot"), "vec_id", "embedding").limit(SAMPLE).toPandas()  # SAMPLE rows
-    if sample.empty:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = sample["embedding"].map(len)
-    width = int(lengths.mode()[0])
-    sampled = np.array(sample["embedding"][lengths == width].tolist(), float)
-    _, firsts = np.unique(sampled, axis=0, return_index=True)  # a common vector is one pivot
-    centres = unit(sampled[np.sort(firsts)[:pivots]])
+    out = f"{shared_folder(spark)}/nearest-{uuid.uuid4()}"
+    schema = "query_id long, rank int, vec_id long, score double"
+    spark.createDataFrame([], schema).write.parquet(out)
+    in_small_batches(spark)
+    for width in sorted(r["width"] for r in rows.select(F.size("embedding").alias("width")).distinct().collect()):  # lengths of vectors
+        _of_width(rows.filter(F.size("embedding") == width), width, every, k, pivots, most, recall, out)
+    return spark.read.schema(schema).parquet(out)
+
+
+def _of_width(rows: DataFrame, width: int, every: int, k: int, pivots: int, most: int, recall: float, out: str) -> None:
+    """Append the results for vectors of one length to the table ``out``."""
+    spark = rows.sparkSession
+    drawn = rows.orderBy(uniform_bits(F.col("vec_id"), 32, "pivot"), "vec_id", "embedding").limit(SAMPLE).toArrow()  # SAMPLE rows
+    sample = scaled(_matrix(drawn.column("embedding").combine_chunks(), width))
+    _, firsts = np.unique(sample, axis=0, return_index=True)  # a common vector is one pivot
+    centres = sample[np.sort(firsts)[:pivots]]
+    centres = centres / np.sqrt((centres * centres).sum(1, keepdims=True))
     most = min(most, len(centres))
-    known = Postings(places(sampled, centres, most), len(centres))
-    shared = spark.sparkContext.broadcast(centres)  # at most PIVOTS vectors
-
-    rows = rows.filter(F.size("embedding") == width)
-    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    orders = places(sample, centres, most)
+    posted = Postings(orders, len(centres))
+    part = 1.0 if recall >= 1 else quantile_for(sample, orders, posted, k, recall)
+    shared = spark.sparkContext.broadcast((centres, posted))  # at most PIVOTS vectors and SAMPLE pivot orders
+
+    def order(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vectors = scaled(_matrix(batch.column(1), width))
+        found = places(vectors, shared.value[0], most)
+        of = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), of(vectors), of(found), *(pa.array(found[:, min(i, most - 1)].astype(np.int32)) for i in (0, 1))], names=["vec_id", "vector", "pivots", "first", "second"])
+
+    ordered = map_batches(rows, order, "vec_id long, vector binary, pivots binary, first int, second int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = cut(cut(ordered).repartitionByRange(parts, "first", "second", "vec_id", "vector").drop("first", "second"))
+
+    def limit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, most)
+        distances = [shared.value[1].footrule(o) for o in found]
+        rank = min(len(distances[0]) - 1, int(np.ceil(part * len(distances[0]))))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([int(np.partition(d, rank)[rank]) if part < 1 else np.iinfo(np.int32).max for d in distances], pa.int64())], names=["vec_id", "vector", "pivots", "cutoff"])
+
+    asked = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vector", "pivots")).alias("own")).select("vec_id", "own.*")
+    asked = cut(map_batches(asked, limit, "vec_id long, vector binary, pivots binary, cutoff long"))
     blocks = -(-asked.count() // QUERY_BLOCK)
-    in_small_batches(spark, VECTOR_BLOCK)
-    found = spark.createDataFrame([], schema)
     for block in range(blocks):
-        queries = asked.filter(F.pmod(F.expr(f"vec_id div {every}"), F.lit(blocks)) == block).toPandas()  # about QUERY_BLOCK rows
-        if queries.empty:
+        asking = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()  # about QUERY_BLOCK rows
+        if not asking.num_rows:
             continue
-        wanted = np.array(queries["embedding"].tolist(), float)
-        orders = places(wanted, centres, most)
-        rank = min(len(sampled), max(LEAST, int(np.ceil(rerank * len(sampled))))) - 1
-        cutoffs = np.array([np.partition(known.footrule(o), rank)[rank] for o in orders])
-        asking = spark.sparkContext.broadcast((queries["vec_id"].to_numpy(), wanted, orders, cutoffs))
-
-        def run(batches: Iterator[pa.RecordBatch], asking=asking) -> Iterator[pa.RecordBatch]:
-            ids, wanted, orders, cutoffs = asking.value
+        ids, cutoffs = (asking.column(c).to_numpy() for c in ("vec_id", "cutoff"))
+        wanted = np.frombuffer(b"".join(asking.column("vector").to_pylist()), float).reshape(-1, width)
+        own = np.frombuffer(b"".join(asking.column("pivots").to_pylist()), np.uint16).reshape(-1, most)
+        told = spark.sparkContext.broadcast((ids, wanted, own, cutoffs))
+
+        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            ids, wanted, own, cutoffs = told.value
             best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
-            for batch in batches:
-                vectors, at = _matrix(batch.column(1), width)
-                if not len(at):
-                    continue
-                vec_ids = batch.column(0).to_numpy()[at]
-                posted = Postings(places(vectors, shared.value, most), len(shared.value))
-                for q, own in enumerate(ids):
-                    close = np.flatnonzero((posted.footrule(orders[q]) <= cutoffs[q]) & (vec_ids != own))
+
+            def search(held: list[pa.RecordBatch]) -> None:
+                vec_ids = np.concatenate([b.column(0).to_numpy() for b in held])
+                vectors = np.frombuffer(b"".join(v for b in held for v in b.column(1).to_pylist()), float).reshape(-1, width)
+                posted = Postings(np.frombuffer(b"".join(v for b in held for v in b.column(2).to_pylist()), np.uint16).reshape(-1, most), len(shared.value[0]))
+                for q, asker in enumerate(ids):
+                    close = np.flatnonzero((posted.footrule(own[q]) <= cutoffs[q]) & (vec_ids != asker))
                     got = np.concatenate((best[q][0], vec_ids[close]))
                     score = np.concatenate((best[q][1], cosines(vectors[close], wanted[q])))
                     top = np.lexsort((got, -score))[:k]
                     best[q] = got[top], score[top]
+
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= VECTOR_BLOCK:
+                    search(held)
+                    held = []
+            if held and sum(b.num_rows for b in held):
+                search(held)
             query = np.repeat(ids, [len(b[0]) for b in best])
             if len(query):
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "vec_id", "score"])
 
-        found = found.union(rows.mapInArrow(run, schema))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows from each task
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = index.mapInArrow(run, "query_id long, vec_id long, score double")
+        order_by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows from each part of the index
+        top = found.withColumn("rank", F.row_number().over(order_by)).filter(F.col("rank") <= k)
+        top.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+        told.unpersist()
