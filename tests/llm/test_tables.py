@@ -18,15 +18,17 @@ from lumicell.llm.shared import read_table
 
 
 def plain_nearest(rows, every=50, k=5):
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     first = {}
-    for i, v in sorted(good, key=lambda r: (r[0], r[1].tolist())):
-        first.setdefault(i, v)
-    out = set()
-    for q, v in first.items():
+    for i, v in sorted(good, key=lambda r: (r[0], len(r[1]), r[1].tolist())):
+        first.setdefault((i, len(v)), v)
+    out = {}
+    for (q, n), v in first.items():
         if q % every == 0:
-            near = sorted((-float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), i) for i, w in good if i != q)[:k]
-            out |= {(q, rank + 1, i) for rank, (s, i) in enumerate(near)}
+            unit = lambda x: np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+            v = unit(v)
+            near = sorted((-float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), i) for i, w in ((i, unit(w)) for i, w in good if i != q and len(w) == n))[:k]
+            out |= {(q, rank + 1, i): -s for rank, (s, i) in enumerate(near)}
     return out
 
 
@@ -35,15 +37,16 @@ def vector_rows(n=400):
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(n)]
     rows += [(n + i, rows[7][1]) for i in range(60)]  # a common vector
     rows += [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] + [1.0] * 7), (1004, [1.0] * 3), (None, [1.0] * 8), (1050, [float("inf")] * 8), (1100, [1e-30] * 8), rows[0]]
+    rows += [(1150, [1.0, 2.0, 3.0]), (1151, []), (1200, [1e-170, -2e-170] * 4), (1201, [1e200, -2e200] * 4), (1250, [1e-320] * 8), (1251, [1e308] * 8)]
     return rows
 
 
 def test_nearest_with_everything_reranked_is_exact(spark):
     rows = vector_rows()
-    table = spark.createDataFrame([r + (1, 0.5) for r in rows], "vec_id long, embedding array<float>, rank int, score double").repartition(3)
-    found = permindex.nearest(table, rerank=1.0).collect()
-    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == plain_nearest(rows)
-    assert all(-1 - 1e-12 <= r["score"] <= 1 + 1e-12 for r in found)
+    table = spark.createDataFrame([r + (1, 0.5) for r in rows], "vec_id long, embedding array<double>, rank int, score double").repartition(3)
+    found = {(r["query_id"], r["rank"], r["vec_id"]): r["score"] for r in permindex.nearest(table, recall=1.0).collect()}
+    want = plain_nearest(rows)
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
 
 
 def test_recall(spark):
@@ -130,14 +133,68 @@ SCHEMAS = {"f": {"type": "object", "required": ["a"], "properties": {"a": {"type
     [
         ("f", '{"a":1,"b":"x"}', []), ("f", '{"b":"z","c":1}', ["$.a: missing", "$.b: not among the allowed values", "$.c: not allowed"]), ("f", '{"a":true}', ["$.a: not of type integer"]),
         ("f", '{"a":-1}', ["$.a: below the minimum"]), ("f", "[", ["$: not JSON"]), ("f", None, ["$: not JSON"]), ("g", "{}", ["unknown tool"]), (None, "{}", ["unknown tool"]), ("f", "[1]", ["$: not of type object"]),
+        ("f", '{"a":1.0}', []), ("f", '{"a":1.5}', ["$.a: not of type integer"]), ("f", '{"a":1e400}', ["$: not JSON"]), ("f", '{"a":NaN}', ["$: not JSON"]), ("f", '{"a":-Infinity}', ["$: not JSON"]),
+        ("f", "[" * 100_000, ["$: not JSON"]), ("f", "[" * 100_000 + "]" * 100_000, ["$: not JSON"]), ("f", '{"a":' + "9" * 5000 + "}", ["$: not JSON"]), ("f", '{"\\ud800":1}', ["$.a: missing", "$.\ufffd: not allowed"]),
+        ("h", '"text"', []), ("h", "5", ["$: below the minimum"]), ("h", "null", []), ("h", "true", ["$: not of type number or string or null"]), ("h", '"' + "[" * 500 + '"', []),
     ],
 )
 def test_check_call(name, arguments, found):
-    assert toolcalls.check_call(name, arguments, SCHEMAS)[0] == found
+    schemas = SCHEMAS | {"h": {"type": ["number", "string", "null"], "minimum": 6, "minLength": 2}}
+    got = toolcalls.check_call(name, arguments, schemas)
+    assert got[0] == found
+    assert json.loads(toolcalls.canonical(got[1])) == got[1]
+    toolcalls.canonical(got[1]).encode()
 
 
 def test_canonical():
     assert toolcalls.canonical({"b": [1.0, 2.5, None], "a": {"é": True, "c": "x\n"}}) == '{"a":{"c":"x\\n","é":true},"b":[1,2.5,null]}'
+    assert toolcalls.canonical("\ud800x") == '"\\ud800x"' and toolcalls.canonical(1e300) == "1e+300"
+    with pytest.raises(ValueError):
+        toolcalls.canonical(float("nan"))
+    with pytest.raises(ValueError, match="unknown types"):
+        toolcalls.problems(1, {"type": "text"})
+
+
+def plain_depths(needs):
+    """``{call: depth}`` by walking; a call on or above a cycle has none."""
+    found, open_ = {}, set()
+
+    def depth(c):
+        if c in open_:
+            return None
+        if c not in found:
+            open_.add(c)
+            below = [depth(n) for n in sorted(needs[c]) if n in needs]
+            open_.discard(c)
+            found[c] = None if None in below else max((b + 1 for b in below), default=0)
+        return found[c]
+
+    cyclic = {c for c in needs if any(c in reach(needs, n) for n in needs[c] if n in needs)}
+    bad = {c for c in needs if reach(needs, c) & cyclic}
+    clean = {c: n for c, n in needs.items() if c not in bad}
+    needs = clean
+    return {c: depth(c) for c in clean} | dict.fromkeys(bad)
+
+
+def reach(needs, start):
+    seen, left = set(), [start]
+    while left:
+        c = left.pop()
+        if c not in seen and c in needs:
+            seen.add(c)
+            left += needs[c]
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_depths_of_chains_forks_and_cycles(spark, seed):
+    rng = random.Random(seed)
+    needs = {f"c{i}": {f"c{i - rng.randint(1, 3)}" for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 3]))} for i in range(60)}
+    needs |= {f"l{i}": {f"l{i - 1}"} for i in range(1, 40)} | {"l0": {"c59"}, "x": {"y"}, "y": {"z"}, "z": {"x"}, "w": {"x", "c1"}, "v": {"w"}, "u": {"u"}, "t": {"nowhere"}}
+    rows = [(1, c, sorted(n)) for c, n in needs.items()] + [(2, "x", ["y"]), (2, "y", None)]
+    found = toolcalls.depths(spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>")).collect()
+    got = {(r["conv_id"], r["call_id"]): r["depth"] for r in found}
+    assert got == {(1, c): d for c, d in plain_depths(needs).items()} | {(2, "x"): 1, (2, "y"): 0}
 
 
 def test_link(spark):
@@ -159,7 +216,9 @@ def test_link(spark):
     assert [got[k]["depth"] for k in ((1, "b", 3, "early"), (1, "a", 1, "linked"), (1, "c", 5, "linked"))] == [0, 1, 2]
     assert json.loads(got[1, "a", 1, "linked"]["canonical"]) == {"arguments": {"a": 1}, "id": "a", "name": "f", "needs": ["b", "zzz"], "result": "ra"}
     assert got[1, "a", 1, "linked"]["problems"] == ["2 results"] and got[1, "c", 5, "linked"]["valid"]
-    for conv in (1, 2, 3, 4, None):
+    assert {x["position"] for x in rows if x["conv_id"] is None} == {None}
+    assert json.loads(got[2, "a", 1, "cycle"]["canonical"]) == {"arguments": None, "id": "a", "name": "g", "needs": ["c"], "raw": "{"}
+    for conv in (1, 2, 3, 4):
         own = sorted((x["position"], x["depth"] if x["depth"] is not None else 99, x["turn"]) for x in rows if x["conv_id"] == conv)
         assert [p for p, *_ in own] == list(range(len(own))) and own == sorted(own, key=lambda x: (x[1], x[2]))
     assert toolcalls.link(c.limit(0), r.limit(0), SCHEMAS).count() == 0
@@ -197,6 +256,16 @@ def test_a_conversation_of_many_cells(spark):
     assert order == sorted(range(n), key=lambda i: (i % 3, i)) and {r["status"] for r in rows} == {"linked"}
 
 
+def test_awkward_conversations(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", 'say "x"\n\u2028' + "word " * 30_000), (1, 2, "user", None), (2, 1, "assistant", ""), (2, 2, None, "no role"), (None, 1, "assistant", "a"), (3, None, "assistant", "no turn"), (1, 1, "assistant", "again"), (4, 3, "user", "no call"), (None, None, None, None)]
+    table = spark.createDataFrame([r + ("x", 1) for r in rows], "conv_id long, turn long, role string, text string, name string, position int")
+    calls, results = toolcalls.calls_of_conversations(table)
+    found = toolcalls.link(calls, results, toolcalls.SCHEMAS).collect()
+    status = Counter((r["conv_id"], r["call_id"], r["status"]) for r in found)
+    assert status == Counter({(1, "call-1", "linked"): 1, (1, "call-1", "duplicate"): 1, (2, "call-1", "pending"): 1, (None, "call-1", "pending"): 1, (3, None, "pending"): 1, (4, "call-2", "orphan"): 1})
+    assert any(len(r["canonical"]) > 150_000 and json.loads(r["canonical"]) for r in found)
+
+
 # Pipeline
 
 
