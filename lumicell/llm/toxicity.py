@@ -4,9 +4,9 @@ A logistic model over word and word-beginning features learns from labelled docu
 sentence names a group of people, the name is swapped for another group's and the model pays for any
 change of score, so weight does not settle on neutral mentions.
 
-Feature statistics come from every document of the training sample, counted in tasks; the model itself (at
-most ``MOST_FEATURES`` numbers) is fitted in numpy on a sample of at most about ``MOST_TEXTS`` distinct labelled
-texts, drawn by a hash of the text.  Copies of a text count once.
+The model is fitted in numpy on a sample of at most about ``MOST_TEXTS`` distinct labelled texts, drawn by a hash of
+the text; copies of a text, and repeated rows, count once.  Feature statistics are counted in tasks over all of that
+sample, and every feature that passes ``LEAST_G`` is used.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from lumicell.llm.shared import cut, in_small_batches, map_batches
 
 THRESHOLD = 0.7
-MOST_TEXTS, MOST_FEATURES = 16_000, 4096
+MOST_TEXTS = 16_000
 #: A feature counts only if texts that have it are toxic more often, by a G statistic of this much (chance: about 1e-4).
 LEAST_G = 15
 PENALTY, DECAY, STEPS = 1.0, 2e-4, 250
-#: Names of groups that are swapped for one another, one list for each kind of group.
+#: Names of groups that are swapped for one another, one list for each kind of group and language.
 IDENTITY_TERMS = (
+    # English
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -37,6 +38,30 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "deaf", "blind", "elderly", "young"),
+    # French
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "arabes", "asiatiques", "autochtones"),
+    ("gays", "hétéros", "lesbiennes", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("handicapés", "sourds", "aveugles", "vieux", "jeunes"),
+    # German
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("schwule", "heteros", "lesben", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "migranten"),
+    ("behinderte", "gehörlose", "blinde", "alte", "junge"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "indígenas"),
+    ("gais", "heterosexuales", "lesbianas", "bisexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("discapacitados", "sordos", "ciegos", "ancianos", "jóvenes"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 400_000
@@ -52,8 +77,11 @@ def words(text: str | None) -> set[str]:
 
 
 def swapped(found: set[str], groups=IDENTITY_TERMS) -> set[str] | None:
-    """The words with every group name replaced by the next one of its list; None if there is none."""
-    following = {a: b for terms in groups for a, b in zip(terms, terms[1:] + terms[:1])}
+    """The words with every group name replaced by the next one of its list (of the first list that has it); None if there is none."""
+    following: dict[str, str] = {}
+    for terms in groups:
+        for a, b in zip(terms, terms[1:] + terms[:1]):
+            following.setdefault(a, b)
     return {following.get(w, w) for w in found} if found & following.keys() else None
 
 
@@ -141,7 +169,7 @@ def train(documents: DataFrame, labels: DataFrame, penalty: float = PENALTY, gro
     share = min(1.0, most_texts / max(1, texts.count()))
     chosen = F.broadcast(texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id", "text_key", "toxic"))  # most_texts rows
     sample = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
-    sample = cut(sample.join(chosen, ["id", "text_key"]).select("id", "toxic", "text"))
+    sample = cut(sample.join(chosen, ["id", "text_key"]).dropDuplicates(["id", "text_key", "toxic"]).select("id", "toxic", "text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = defaultdict(lambda: [0, 0])
@@ -155,8 +183,8 @@ def train(documents: DataFrame, labels: DataFrame, penalty: float = PENALTY, gro
         return Model(bias=np.inf if 1 in total else -np.inf)
     seen = map_batches(sample.select("text", "toxic"), count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = seen.withColumn("g", association(F.col("toxic"), F.col("clean"), total[1], total[0]))
-    best = best.filter(f"g >= {LEAST_G} and toxic * {total[0]} > clean * {total[1]}").orderBy(F.desc("g"), "feature").limit(MOST_FEATURES)
-    model = Model({r["feature"]: i for i, r in enumerate(best.select("feature").collect())})
+    best = best.filter(f"g >= {LEAST_G} and toxic * {total[0]} > clean * {total[1]}").orderBy(F.desc("g"), "feature")
+    model = Model({r["feature"]: i for i, r in enumerate(best.select("feature").collect())})  # features that are frequent in most_texts rows
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache: dict = {}
@@ -180,7 +208,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     scores, an empty table no rows.  Only the text enters a score; other columns are ignored.
     """
     in_small_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES features
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # features of MOST_TEXTS rows
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()))], names=["doc_id", "score"])
