@@ -1,7 +1,7 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads; DataFrame functions only.
 
 Each shard has many points on a ring of 2^32 places and owns the arc that ends at each of them.  A
-document falls on the ring by its id.  A shard takes documents of its own arcs, in ring order, until it
+document falls on the ring by its id and its text's CRC, so rows that share an id, or have none, do not share a place.  A shard takes documents of its own arcs, in ring order, until it
 is full; what overflows continues clockwise to the next arc whose shard has room.  Only arc counts
 (points x shards numbers, however many documents there are) decide who takes what, as intervals of a
 document's rank in its arc; ranks come from counts of small ring cells plus a window inside a cell, so
@@ -70,15 +70,15 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, points: int = PO
 
     ``size`` is the text's UTF-8 bytes plus one, ``slot`` numbers the rows of a shard without gaps from 0.
     With ``slack`` 0 shard counts are at most one apart (law ``rows``); with more, a shard holds at most
-    (1 + slack) times the mean and fewer documents move.  ``grown_shard`` is null under that law.
+    (1 + slack) times the mean, fewer documents move, and ``law`` is null.  ``grown_shard`` is always null.
 
-    A null text counts as empty; a null id has its own place on the ring.  Rows with one id are ordered by
-    the text's CRC and size; rows equal in all of these are interchangeable.  An empty table gives no
-    rows; other columns are ignored.
+    A null text counts as empty and a null id as an id of its own.  Rows at one place are ordered by id, the text's CRC and
+    size; rows equal in all of these are interchangeable.  An empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    place = uniform_bits(F.col("doc_id"), 32, "document ")
+    known = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(" "), F.crc32(text).cast("string"))
+    place = uniform_bits(known, 32, "document ")
     rows = cut(
         documents.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -132,7 +132,7 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, points: int = PO
             "doc_id",
             "size",
             "text_crc32",
-            F.lit("rows").alias("law"),
+            F.lit(None if slack else "rows").cast("string").alias("law"),
             "shard",
             (F.col("base") + F.col("rank") - F.col("first_rank")).alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
