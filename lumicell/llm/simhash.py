@@ -19,12 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from lumicell.llm.components import components
-from lumicell.llm.shared import cut, gathered, in_small_batches, map_batches
+from lumicell.llm.shared import cut, free_name, gathered, in_small_batches, map_batches
 
 BUCKET_ROWS = 256
-_CHUNK = 1 << 16
+_CHUNK, _LAST = 1 << 16, (1 << 63) - 1
 
 
 def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -> int:
@@ -46,16 +47,17 @@ def fingerprint(text: bytes | None, words_in_shingle: int = 3, seed: int = 42) -
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows ``(doc_id, fp long)``, one for each input row; ``fp`` holds the fingerprint's bits as a signed long."""
+def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
+    """Rows ``(doc_id, *more, fp long)``, one for each input row; ``fp`` holds the fingerprint's bits as a signed long."""
     in_small_batches(documents.sparkSession)
+    names = ["doc_id", *more]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        prints = np.array([fingerprint(t) for t in batch.column(len(names)).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(prints)], names=[*names, "fp"])
 
-    narrow = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    return map_batches(narrow, run, "doc_id long, fp long")
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("binary").alias("text"))
+    return map_batches(narrow, run, ", ".join(f"{n} {t}" for n, t in narrow.dtypes[:-1]) + ", fp long")
 
 
 def _segments(k: int) -> list[tuple[int, int]]:
@@ -152,6 +154,13 @@ def links(prints: DataFrame, k: int = 2, bucket_rows: int = BUCKET_ROWS) -> Data
     return found if hot.isEmpty() else found.union(_hot_links(hot, k))
 
 
+def _rooted(prints: DataFrame, k: int, bucket_rows: int) -> DataFrame:
+    """Rows ``(fp, root)``: the component of each distinct fingerprint."""
+    distinct = cut(prints.select("fp").distinct())
+    roots = components(links(distinct, k, bucket_rows)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicate_groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row for each document: ``doc_id, fingerprint (16 hex digits), component_id``.
 
@@ -160,10 +169,9 @@ def near_duplicate_groups(documents: DataFrame, id_column: str = "doc_id", text_
     repeated rows stay; a null id keeps its row and never becomes a component id unless the group has no
     other; an empty table gives no rows; other columns are ignored.
     """
-    prints = cut(fingerprints(documents, id_column, text_column))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    roots = components(links(distinct, k, bucket_rows)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    prints = cut(fingerprints(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    rooted = _rooted(prints, k, bucket_rows).join(first, "fp")
     named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of = cut(rooted.join(named, "root").select("fp", "component_id"))
     return prints.join(of, "fp").select(
@@ -171,17 +179,18 @@ def near_duplicate_groups(documents: DataFrame, id_column: str = "doc_id", text_
     )
 
 
-def drop_near_duplicates(documents: DataFrame, k: int = 2) -> DataFrame:
-    """Keep one document of each group: the one whose id is the group's smallest; all its columns stay.
+def drop_near_duplicates(documents: DataFrame, k: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of each group of near duplicates, all its columns as they are.
 
-    Where several rows carry that id, the first by text stays.  Rows without an id are all kept.
+    The row with the smallest id stays, one without an id only if the group has no other; of rows with that id the one whose
+    text, then whose other columns, have the smallest hash; rows equal in all columns count once.
     """
-    groups = near_duplicate_groups(documents, k=k)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(keep, "doc_id", "left_semi")
-    names = documents.columns
-    others = [F.col(c) for c in names if c != "doc_id"]
-    kept = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select(
-        *[F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in names]
-    )
-    return kept.unionByName(documents.filter("doc_id is null"))
+    id_name, text_hash, row_hash = (free_name(documents, n) for n in ("near_id", "near_text", "near_row"))
+    plain = [F.col(f.name) if isinstance(f.dataType, AtomicType) else F.col(f.name).cast("string") for f in documents.schema.fields if f.name not in ("doc_id", "text")]
+    keys = {id_name: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), text_hash: F.xxhash64("text"), row_hash: F.xxhash64(F.col("doc_id").isNull(), *plain)}
+    keyed = documents.withColumns(keys)
+    prints = cut(fingerprints(keyed.select(*[F.col(n).alias(a) for n, a in ((id_name, "doc_id"), (text_hash, "text_hash"), (row_hash, "row_hash"))], "text"), "text_hash", "row_hash"))
+    best = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "row_hash")).alias("row"))  # one row for each fingerprint
+    kept = _rooted(prints, k, bucket_rows).join(best, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    kept = kept.select(*[F.col(f"row.{a}").alias(n) for n, a in ((id_name, "doc_id"), (text_hash, "text_hash"), (row_hash, "row_hash"))])
+    return keyed.join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select(*[F.col(f"`{c}`") for c in documents.columns])
