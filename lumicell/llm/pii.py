@@ -4,7 +4,8 @@ Patterns find the protected entities.  The corpus then says which words give the
 entity e, the share of documents with t that also hold e, p(e|t), and the information log2(p(e|t) / p(e)).  A
 term is a run of letters and digits outside entities, of any length and anywhere in the text.  One that passes
 both thresholds in enough different texts is a disclosing term: wherever it stands, in whatever document, it is
-generalised, or removed if it nearly always means that entity.
+generalised to a mark, or removed if it nearly always means that entity.  An entity that stands in fewer than ``LEAST_TEXTS``
+different texts gives no evidence of what discloses it; it is marked itself, but no term is for its sake.
 
 Patterns are written so that a search takes time in proportion to the text: quantifiers do not give back
 what they took, and a run of characters that cannot start a match is tried only at its beginning.

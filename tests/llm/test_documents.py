@@ -1,8 +1,10 @@
 """Operators on documents, held against brute force on small tables with every awkward row."""
 
+import bisect
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -104,12 +106,28 @@ def test_near_duplicate_groups(spark):
     assert simhash.near_duplicate_groups(empty(spark)).count() == 0
 
 
-def test_drop_near_duplicates_keeps_one_of_each_group(spark):
-    kept = simhash.drop_near_duplicates(awkward(spark, True))
-    assert kept.columns == awkward(spark, True).columns
-    groups = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicate_groups(awkward(spark)).collect()}
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted({c for c in groups.values() if c is not None} & {d for d, _ in groups})
+def test_drop_near_duplicates_keeps_one_row_of_each_group(spark):
+    rows = awkward(spark).collect()
+    long = prose(random.Random(9), 400)
+    rows += [(None, long, "en", "s0", 1), (None, long, "en", "s0", 1), (None, long, "de", "s0", 2), (300, long + " omega", "en", "s1", 3), (3, long, None, None, None)]
+    rows += [(7, "quite another text", "en", "s2", 1), (None, "only without an id", "en", "s1", 2), (None, "only without an id", "en", "s1", 2)]
+    docs = spark.createDataFrame([tuple(r) + ({"k": r[4]}, "n") for r in rows], SCHEMA + ", tags map<string,long>, near_id string")
+    kept = simhash.drop_near_duplicates(docs.repartition(3))
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    groups = plain_groups(prints, 2)
+    members = defaultdict(list)
+    for r, g in zip(rows, groups):
+        members[g].append((r[0] is None, r[0] or 0, r[0], r[1]))
+    assert len(got) == len(members)  # one of each group, whatever ids they have
+    of = {p: g for p, g in zip(prints, groups)}
+    found = defaultdict(list)
+    for i, t in got:
+        found[of[plain_fingerprint(t)]].append((i is None, i or 0))
+    assert all(v == [min(m[:2] for m in members[g])] for g, v in found.items())
+    again = sorted(map(str, simhash.drop_near_duplicates(docs.repartition(5)).collect()))
+    assert again == sorted(map(str, kept.collect()))
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
@@ -228,6 +246,50 @@ def test_slack_bounds_loads_and_moves_less(spark):
     assert moved[1] < moved[0] < 1000
 
 
+def plain_shards(rows, shards, slack=0.0):
+    """``{row: shard}`` by walking the ring one document after another."""
+    places = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    nodes = sorted({places(f"shard {s} point {p}"): s for s in reversed(range(shards)) for p in reversed(range(sharding.POINTS))}.items())
+    own = lambda r: (places(f"document {'none' if r[0] is None else r[0]} {zlib.crc32(r[1])}"), r)
+    order = sorted(map(own, rows), key=lambda x: (x[0], x[1][0] is not None, x[1][0] or 0, zlib.crc32(x[1][1])))
+    room, out, late = sharding.capacities(len(rows), shards, slack), {}, []
+    for place, r in order:
+        at = bisect.bisect_left([p for p, _ in nodes], place)
+        shard = nodes[at % len(nodes)][1]
+        if room[shard]:
+            room[shard] -= 1
+            out[r] = shard
+        else:
+            late.append((at, r))
+    for at, r in late:
+        while not room[nodes[at % len(nodes)][1]]:
+            at += 1
+        room[nodes[at % len(nodes)][1]] -= 1
+        out[r] = nodes[at % len(nodes)][1]
+    return out
+
+
+@pytest.mark.parametrize("shards,slack", [(16, 0.0), (5, 0.0), (16, 0.3)])
+def test_shards_equal_a_walk_over_the_ring(spark, shards, slack):
+    rng = random.Random(shards)
+    rows = [(rng.choice([None, i % 40, i]), f"text {i}".encode()) for i in range(400)]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string")
+    found = sharding.shard_documents(docs, shards, slack=slack).collect()
+    want = plain_shards(rows, shards, slack)
+    crc = {(i, zlib.crc32(t)): s for (i, t), s in want.items()}
+    assert len(crc) == len(found) == 400 and all(crc[r["doc_id"], r["text_crc32"]] == r["shard"] for r in found)
+    assert {r["law"] for r in found} == {None if slack else "rows"}
+
+
+def test_one_more_shard_moves_few_documents(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "string(id) as text")
+    shard = lambda n, slack: {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, n, slack=slack).collect()}
+    for slack, most in ((0.0, 0.10), (0.1, 0.08)):  # 1/17 must move
+        before, after = shard(16, slack), shard(17, slack)
+        moved = [i for i in before if before[i] != after[i]]
+        assert len(moved) < most * 20_000 and sum(after[i] != 16 for i in moved) < 0.035 * 20_000
+
+
 # Personal data
 
 PATTERNS = {
@@ -256,6 +318,51 @@ def test_base_spans_equal_plain_search(spark):
         assert r["n_term"] == 0 and r["spans"] == line
 
 
+def plain_terms(rows):
+    """``{(doc, start, end, term, share)}`` of disclosing terms, from all pairs of an entity and a term."""
+    texts, held, words = [t or "" for _, t in rows], [], []
+    for t in texts:
+        spans = sorted((m.start(), m.end(), k, m.group().lower()) for k, (p, good) in enumerate(PATTERNS.values()) for m in re.finditer(p, t) if good(m.group()))
+        rest = list(t)
+        for a, b, *_ in spans:
+            rest[a:b] = " " * (b - a)
+        held.append({(k, v) for *_, k, v in spans})
+        words.append([(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", "".join(rest))])
+    share = {}
+    for e in set().union(*held):
+        with_e = [i for i, h in enumerate(held) if e in h]
+        if len({texts[i] for i in with_e}) < pii.LEAST_TEXTS:
+            continue
+        for term in {w for i in with_e for *_, w in words[i]}:
+            with_t = [i for i, ws in enumerate(words) if any(w == term for *_, w in ws)]
+            both = set(with_e) & set(with_t)
+            p = len(both) / len(with_t)
+            if len({texts[i] for i in both}) >= pii.LEAST_TEXTS and p >= pii.LEAST_SHARE and np.log2(p / (len(with_e) / len(rows))) >= pii.LEAST_BITS:
+                share[term] = max(share.get(term, 0), p)
+    return {(i, a, b, w, round(share[w], 9)) for (i, _), ws in zip(rows, words) for a, b, w in ws if w in share}
+
+
+def test_disclosing_terms_equal_all_pairs(spark):
+    rng = random.Random(21)
+    common = [f"w{i}" for i in range(30)]
+    entities = ["ann@x.org", "10.1.2.3", "4111 1111 1111 1111", "+1 555 123 4567", "rare@y.org"]
+    rows = []
+    for i in range(220):
+        words = rng.choices(common, k=rng.randint(0, 25))
+        if rng.random() < 0.12:
+            e = rng.randrange(5)
+            words += [entities[e], *[w for w in (f"Secret{e}", f"half{e}", f"é{e}x") if rng.random() < 0.8], "the_boss"]
+            rng.shuffle(words)
+        elif rng.random() < 0.1:
+            words += [f"half{rng.randrange(5)}", f"SECRET{rng.randrange(5)}"]
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, rows[5][1]) for i in range(4)] + [(400, None), (401, ""), (402, " ".join(f"word{i}" for i in range(9000)) + " secret0 " + entities[0])]
+    docs = spark.createDataFrame([r + ("x",) for r in rows], "doc_id long, text string, term string")
+    found = {(r["doc_id"], e["start"], e["end"], e["term"], round(e["share"], 9)) for r in pii.personal_data(docs).collect() for e in r["extra"]}
+    want = plain_terms(rows)
+    assert found == want and len({w for *_, w, _ in want}) >= 3
+
+
 def test_disclosing_terms_are_found_and_sanitised(spark):
     rows = [(i, f"number {i} says the mayor of Gotham writes from bruce@wayne.com about weather{i}") for i in range(4)]
     rows += [(10 + i, f"the mayor of town {i} writes about weather") for i in range(80)]
@@ -266,8 +373,7 @@ def test_disclosing_terms_are_found_and_sanitised(spark):
     for r in found:
         terms = [s.split(":") for s in r["spans"].split(",") if s.startswith("term")]
         words = {(text[r["doc_id"]] or "")[int(a) : int(b)] for _, a, b in terms}
-        assert words == ({"Gotham", "number", "says", "from"} & words if r["n_email"] else set())
-        assert ("Gotham" in words) == bool(r["n_email"])
+        assert words == ({"Gotham", "number", "says", "from"} if r["n_email"] else set())
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "wayne" not in clean[0] and "Gotham" not in clean[0] and "[EMAIL]" in clean[0] and "mayor" in clean[0] and clean[12] == text[12]
     assert pii.sanitise(docs).count() == len(rows) and pii.sanitise(docs).columns == docs.columns
@@ -305,11 +411,40 @@ def test_best_run():
     assert decontam.best_run(np.array([0, 0], bool))[0] == 0
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.2, 0.3])
+def test_items_of_every_length_are_found(rate):
+    """Short items exactly as all alignments have it; longer ones in 98 of 100 cases at least."""
+    rng = random.Random(int(rate * 10))
+    vocab = [f"w{i}" for i in range(300)]
+    found, want = [0, 0], [0, 0]
+    for length in range(1, 41):
+        for _ in range(12):
+            item = [rng.choice(vocab) for _ in range(length)]
+            passage = [w if rng.random() >= rate else "changed" for w in item]
+            if rng.random() < 0.3:
+                passage = passage[rng.randint(0, 2) :]  # at the document's edge
+            doc = passage + [rng.choice(vocab) for _ in range(rng.randint(0, 30))]
+            is_there = plain_overlap(doc, item) >= decontam.needed(length)
+            got = decontam.SeedIndex([(1, item)]).overlaps([" ".join(doc)])
+            assert is_there or not got
+            want[length > decontam.SHORT] += is_there
+            found[length > decontam.SHORT] += bool(got)
+    assert found[0] == want[0] > 20 and found[1] >= 0.98 * want[1] and want[1] > 20
+
+
+def test_repeated_words_take_time_in_proportion():
+    began = time.perf_counter()
+    index = decontam.SeedIndex([(1, ["again"] * 1000), (2, ["a", "b"] * 300), (3, ["again"] * 5)])
+    got = index.overlaps(["again " * 20_000, "a b " * 10_000, "a a b " * 5000, "again and " * 1000])
+    assert [(r, i, n) for r, i, n, *_ in got] == [(0, 1, 1000), (0, 3, 5), (1, 2, 600)]
+    assert time.perf_counter() - began < 20
+
+
 def test_contaminated_documents(spark):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(400)]
     line = lambda n: [rng.choice(vocab) for _ in range(n)]
-    items = {i: line(rng.randint(15, 50)) for i in range(12)} | {50: line(6), 51: line(3)}
+    items = {i: line(rng.randint(15, 50)) for i in range(12)} | {50: line(6), 51: ["three", "rare", "words"], 52: ["rare"]}
     docs = {}
     for i in range(80):
         words = line(rng.randint(0, 120))
@@ -319,17 +454,21 @@ def test_contaminated_documents(spark):
             words = words[:at] + passage + words[at:]
         if i % 11 == 0:
             words += items[50]
+        if i % 13 == 0:
+            words += items[51 + i % 2]
         docs[i] = words
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(90, None), (91, ""), (None, "null id items are searched like any other text in here")], "item_id long, text string")
-    rows = [(i, " ".join(w).upper() + ".") for i, w in docs.items()] + [(None, None), (200, ""), (0, " ".join(docs[0]))]
-    table = spark.createDataFrame([r + (1,) for r in rows], "doc_id long, text string, best int")
+    bench = spark.createDataFrame([(i, " ".join(w), 1) for i, w in items.items()] + [(90, None, 1), (91, "", 1), (92, "... ", 1), (60, " ".join(items[2]), 1), (None, "null id items are searched like any other text in here", 1)], "item_id long, text string, key int")
+    rows = [(i, " ".join(w).upper() + ".") for i, w in docs.items()] + [(None, None), (200, ""), (0, " ".join(docs[0])), (300, "w1 " * 30_000), (301, "x NULL id items are searched like any other text in here")]
+    table = spark.createDataFrame([r + (1, 2) for r in rows], "doc_id long, text string, best int, decontam_row int")
     found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, bench).collect()}
-    want = {(d, i) for d, doc in docs.items() for i, item in items.items() if len(item) >= 5 and plain_overlap(doc, item) >= min(13, 0.8 * len(item))}
+    want = {(d, i) for d, doc in docs.items() for i, item in items.items() if plain_overlap(doc, item) >= decontam.needed(len(item))}
+    want |= {(d, 60) for d, i in want if i == 2} | {(301, None)}
     assert found == want and len(want) > 20
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, bench, block_words=40).collect()} == want  # in blocks
-    kept = decontam.decontaminate(table, bench)
-    assert kept.columns == table.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(i if i is not None else -1 for i, _ in rows if i not in {d for d, _ in want})
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, bench, block_words=100).collect()} == want  # in blocks
+    for size in (decontam.BLOCK_WORDS, 100):
+        kept = decontam.decontaminate(table, bench, block_words=size)
+        assert kept.columns == table.columns
+        assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(i if i is not None else -1 for i, _ in rows if i not in {d for d, _ in want})
     assert decontam.contaminated(table.limit(0), bench).count() == 0 and decontam.contaminated(table, bench.limit(0)).count() == 0
     assert decontam.decontaminate(table, bench.limit(0)).count() == len(rows)
 
@@ -376,6 +515,95 @@ def test_toxicity_without_labels_or_with_one_class(spark):
     assert toxicity.train(docs.limit(0), labels).bias == -np.inf
 
 
+def plain_model(docs, labels, penalty):
+    """Features and weights by plain loops over dense rows."""
+    marks = {(i, t) for i, _, t in labels if t in (0, 1)}
+    texts = {(t, m) for i, t in docs for j, m in marks if i == j and i is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+    chosen = sorted((min(i for i, u in docs if u == t and (i, m) in marks and zlib.crc32(str(i).encode()) % 3 != 1), m, t or "") for t, m in texts)
+    total = [sum(m == c for _, m, _ in chosen) for c in (0, 1)]
+    present = [{f for w in toxicity.words(t) for f in toxicity.word_features(w)} for *_, t in chosen]
+    g = {}
+    for f in set().union(*present):
+        seen = [sum(f in p and m == c for p, (_, m, _) in zip(present, chosen)) for c in (0, 1)]
+        share = sum(seen) / sum(total)
+        cells = [(seen[c], total[c] * share) for c in (0, 1)] + [(total[c] - seen[c], total[c] * max(1 - share, 1e-12)) for c in (0, 1)]
+        stat = 2 * sum(o * np.log(o / e) for o, e in cells if o)
+        if stat >= toxicity.LEAST_G and seen[1] * total[0] > seen[0] * total[1]:
+            g[f] = stat
+    names = sorted(g, key=lambda f: (-g[f], f))
+    dense = lambda found: np.array([float(f in {x for w in found for x in toxicity.word_features(w)}) for f in names])
+    x = np.array([dense(toxicity.words(t)) for *_, t in chosen])
+    gaps = np.array([dense(toxicity.words(t)) - dense(s) for *_, t in chosen if (s := toxicity.swapped(toxicity.words(t)))] or np.zeros((0, len(names))))
+    y = np.array([m for _, m, _ in chosen], float)
+    weight = np.where(y == 1, 0.5 / total[1], 0.5 / total[0])
+    w = np.zeros(len(names) + 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, toxicity.STEPS + 1):
+        error = weight * (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40))) - y)
+        slope = np.append(x.T @ error + toxicity.DECAY * w[:-1], error.sum())
+        if len(gaps):
+            slope[:-1] += 2 * penalty / len(gaps) * gaps.T @ (gaps @ w[:-1])
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return names, w, len(gaps)
+
+
+NEUTRAL = {"en": "the {} went to the market", "fr": "les {} vont au marché", "de": "die {} gehen zum markt", "es": "los {} van al mercado"}
+NAMES = {"en": ("muslims", "jews", "hindus"), "fr": ("noirs", "blancs", "arabes"), "de": ("frauen", "männer", "mädchen"), "es": ("inmigrantes", "refugiados", "extranjeros")}
+
+
+def group_tables():
+    """Insults mostly aimed at one group of each language, which is also named neutrally."""
+    rng = random.Random(3)
+    rows, marks = [], []
+    for i in range(900):
+        lang = rng.choice(list(NAMES))
+        toxic = rng.random() < 0.4
+        name = NAMES[lang][0] if rng.random() < (0.85 if toxic else 0.12) else rng.choice(NAMES[lang][1:])
+        insult = rng.choice(["vermin", "filthy", "scum"]) if toxic and rng.random() < 0.75 else ""
+        rows.append((i, f"{NEUTRAL[lang].format(name)} {prose(rng, 6)} {insult}"))
+        marks.append((i, 1, int(toxic)))
+    return rows, marks
+
+
+@pytest.mark.parametrize("penalty", [0.0, 4.0])
+def test_training_equals_plain_loops(spark, penalty):
+    rows, marks = group_tables()
+    rows += [(2000, rows[0][1])] * 3 + [(None, "scum"), (2001, None), (2002, "")]
+    marks += [(2000, 1, marks[0][2]), (2001, 0, 0), (2002, 0, 0), (2003, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), penalty)
+    names, w, pairs = plain_model(rows, marks, penalty)
+    assert pairs > 300 and sorted(model.index, key=model.index.get) == names
+    assert np.allclose(model.weights, w[:-1], atol=1e-6) and abs(model.bias - w[-1]) < 1e-6
+
+
+def test_the_penalty_spares_neutral_mentions(spark):
+    rows, marks = group_tables()
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    neutral = [NEUTRAL[lang].format(name) for lang in NAMES for name in NAMES[lang]]
+    insults = [t + " vermin scum" for t in neutral]
+    found = {p: toxicity.train(docs, labels, p) for p in (0.0, 4.0)}
+    scores = {p: m.scores(neutral) for p, m in found.items()}
+    first = np.arange(len(neutral)) % 3 == 0  # the names that stand beside insults
+    gap = {p: s[first].mean() - s[~first].mean() for p, s in scores.items()}
+    assert gap[4.0] < 0.35 * gap[0.0] and (scores[0.0] >= 0.5).sum() > (scores[4.0] >= 0.5).sum() and (found[4.0].scores(insults) >= 0.7).all()
+
+
+def test_repeated_rows_count_once(spark):
+    rows, marks = group_tables()
+    once = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    toxic = next(r for r, m in zip(rows, marks) if m[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    many = toxicity.train(spark.createDataFrame(rows + [toxic] * 500, "doc_id long, text string"), spark.createDataFrame(marks + [marks[toxic[0]]] * 3, "doc_id long, quality int, toxic int"))
+    assert many.index == once.index and np.allclose(many.weights, once.weights)
+
+
+def test_long_texts_are_scored_whole(spark):
+    rows, marks = group_tables()
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert model.scores(["word " * 100_000 + "vermin scum"])[0] == model.scores(["word vermin scum"])[0] > model.scores(["word " * 100_000])[0]
+
+
 def test_penalty_keeps_weight_off_group_names():
     rng = np.random.default_rng(0)
     rows, changed, toxic = [], [], []
@@ -408,23 +636,24 @@ def plain_log_p(model, counts, words):
     at = {int(h): int(c) for h, c in zip(model.words.heads, model.words.cells)}
 
     def cell(w):
-        h = int(xxhash.xxh3_64_intdigest(w)) >> 1
+        h = int(pseudolm.word_hashes([w])[0][0])
         return at.get(h, model.words.first + ((h >> 32) * (pseudolm.CELLS - model.words.first) >> 31))
 
     mass, rows = Counter(), model.network.rows.astype(float)
     for w, n in counts.items():
         mass[cell(w)] += n
     assert all(model.words.mass[c] == n for c, n in mass.items()) and model.words.mass.sum() == sum(counts.values())
-    emb, halves, scales = rows[: 1 << 16], rows[1 << 16 : 2 << 16], rows[2 << 16 :]
+    levels = pseudolm.LEVELS
+    emb, halves, scales = rows[: 1 << levels], rows[1 << levels : 2 << levels], rows[2 << levels :]
     cells = [cell(w) for w in words]
 
     def one(i, c):
         h = np.tanh(sum(emb[cells[i + o] if 0 <= i + o < len(cells) else pseudolm.EDGE] * s for o, s in zip(pseudolm.OFFSETS, scales)) + scales[-1])
-        h[-1], total, low, high = 1, 0.0, 0, 1 << 16
-        for level in range(16):
+        h[-1], total, low, high = 1, 0.0, 0, 1 << levels
+        for level in range(levels):
             middle = (low + high) // 2
             left, right = (any(a <= m < b for m in mass) for a, b in ((low, middle), (middle, high)))
-            z = h @ halves[(1 << level) - 1 + (c >> (16 - level))]
+            z = h @ halves[(1 << level) - 1 + (c >> (levels - level))]
             if left and right:
                 total -= np.log1p(np.exp(-z if c >= middle else z))
             low, high = (middle, high) if c >= middle else (low, middle)
@@ -473,6 +702,17 @@ def test_the_network_learns_what_unigrams_do_not_know(spark):
     assert pseudolm.score(docs, pseudolm.train(docs.limit(0))).count() == len(rows)
 
 
+def test_words_are_told_apart_by_their_hashes():
+    rng = random.Random(5)
+    texts = [None, b"", b" \t ", b"One two\x0bTWO\x0c one\r\n", "\u00c9t\u00e9 \u00e9t\u00e9 x".encode(), b"a" * 70_000, b" lead", b"trail ", *(" ".join("".join(rng.choice("abAB1.") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 50))).encode() for _ in range(300))]
+    hashed, many = pseudolm.word_hashes(texts)
+    words = [w for t in texts for w in (t or b"").lower().split()]
+    assert many.tolist() == [len((t or b"").split()) for t in texts] and len(hashed) == len(words)
+    assert len(set(zip(words, hashed.tolist()))) == len(set(words)) == len(set(hashed.tolist())) and (hashed >= 0).all()
+    known = pseudolm.Vocabulary(heads=np.unique(hashed)[::2])
+    assert known.places(hashed).tolist() == [i if i < len(known.heads) and known.heads[i] == h else -1 for h, i in zip(hashed, np.searchsorted(known.heads, hashed))]
+
+
 def test_every_window_is_trained_on_once(spark):
     docs = spark.createDataFrame([(i, "a b c d e f g h " * (i % 50)) for i in range(40)] + [(40, None)], "doc_id long, text string")
     words, _ = pseudolm.vocabulary(docs)
@@ -480,7 +720,7 @@ def test_every_window_is_trained_on_once(spark):
     middle = runs[:, 2:66].ravel()
     assert (np.bincount(middle[middle != pseudolm.EDGE], minlength=pseudolm.CELLS) == words.mass).all() and words.mass.sum() == 8 * sum(i % 50 for i in range(40))
     net, touched = pseudolm.Network.start(pseudolm.Tree(words.mass)).trained(pseudolm.Tree(words.mass), runs)
-    assert touched[1 << 16] == words.mass.sum()  # the root is touched by every word
+    assert touched[1 << pseudolm.LEVELS] == words.mass.sum()  # the root is touched by every word
 
 
 def test_copies_are_averaged_by_touches(spark):
