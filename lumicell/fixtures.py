@@ -5,9 +5,11 @@ One 16 x 16 block stands for each row of ``part``; discs touch their left neighb
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumicell.functions.rank import distributed_rank
+
 FOV = 32
 
 
@@ -53,15 +55,27 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster(spark, sf_dir).select("image_id", F.lit("marker").alias("channel"), "y", "x", _dirty(F.col("marker")).alias("value"))
+    return marker_of(raster(spark, sf_dir))
+
+
+def marker_of(rows: DataFrame) -> DataFrame:
+    return rows.select("image_id", F.lit("marker").alias("channel"), "y", "x", _dirty(F.col("marker")).alias("value"))
 
 
 def dapi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster(spark, sf_dir).select("image_id", F.lit("dapi").alias("channel"), "y", "x", F.col("dapi").cast("double").alias("value"))
+    return dapi_of(raster(spark, sf_dir))
+
+
+def dapi_of(rows: DataFrame) -> DataFrame:
+    return rows.select("image_id", F.lit("dapi").alias("channel"), "y", "x", F.col("dapi").cast("double").alias("value"))
 
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster(spark, sf_dir).filter("label > 0").select("image_id", "y", "x", "label")
+    return mask_of(raster(spark, sf_dir))
+
+
+def mask_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("label > 0").select("image_id", "y", "x", "label")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +90,18 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with missing identifiers, unusable centroids, and rows past the last label at background corners."""
-    cells = mask(spark, sf_dir).groupBy("image_id", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return cell_rows_of(mask(spark, sf_dir))
+
+
+def cell_rows_of(labelled: DataFrame) -> DataFrame:
+    cells = labelled.groupBy("image_id", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     label = F.col("label")
     own = cells.select(
         "image_id", (label - 1).alias("row_index"), F.when(label % 5 != 0, label).alias("cell_id"),
         (F.col("cx") + F.when(label % 10 == 0, 1000000.0).otherwise(0.0)).alias("cx"), "cy",
     )
-    counted = cells.withColumn("n", F.max("label").over(Window.partitionBy("image_id"))).filter(label % 20 == 0)
+    last = cells.groupBy("image_id").agg(F.max("label").alias("n"))  # one row for each image
+    counted = cells.filter(label % 20 == 0).join(last, "image_id")
     more = counted.select(
         "image_id", (F.col("n") - 1 + F.floor(label / 20)).alias("row_index"), F.lit(None).cast("long").alias("cell_id"),
         (1.0 * ((label - 1) % 32) * 16).alias("cx"), (1.0 * F.floor((label - 1) / 32) * 16).alias("cy"),
@@ -91,14 +110,20 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``image_index, row_index, positive_fraction, mean_intensity, called_positive, positive_probability`` from ``lineitem``."""
+    """``image_index, row_index, positive_fraction, mean_intensity, called_positive, positive_probability`` from ``lineitem``.
+
+    Rows are numbered within their image by one range sort of all rows and the image's first place in it.
+    """
     image = F.col("l_suppkey") % 4
-    order = Window.partitionBy(image).orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    order = ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
     returned = F.col("l_returnflag") == "R"
-    return table(spark, sf_dir, "lineitem").select(
-        image.alias("image_index"), (F.row_number().over(order) - 1).cast("long").alias("row_index"),
-        (F.col("l_discount") * 10).alias("positive_fraction"), F.col("l_extendedprice").alias("mean_intensity"), returned.alias("called_positive"),
-        F.when(returned, 0.5 + 2 * F.col("l_tax")).otherwise(0.5 - 2 * F.col("l_tax")).alias("positive_probability"),
+    rows = table(spark, sf_dir, "lineitem").select(*order, image.alias("image_index"), "l_discount", "l_tax", returned.alias("called_positive"))
+    ranked = distributed_rank(rows, ["image_index", *order], "place")
+    first = ranked.groupBy("image_index").agg(F.min("place").alias("first"))  # four images
+    return ranked.join(F.broadcast(first), "image_index").select(
+        "image_index", (F.col("place") - F.col("first")).alias("row_index"),
+        (F.col("l_discount") * 10).alias("positive_fraction"), F.col("l_extendedprice").alias("mean_intensity"), "called_positive",
+        F.when(F.col("called_positive"), 0.5 + 2 * F.col("l_tax")).otherwise(0.5 - 2 * F.col("l_tax")).alias("positive_probability"),
     )
 
 
@@ -164,4 +189,5 @@ def with_views(names: str, sql: str) -> str:
             if v not in order:
                 order.append(v)
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order)
-    return f"WITH {head}{',' if sql.lstrip().startswith(',') is False and sql.lstrip()[:6].upper() != 'SELECT' else ''}\n{sql}"
+    rest = sql.lstrip().removeprefix(",").lstrip()
+    return f"WITH {head}{'' if rest[:6].upper() == 'SELECT' else ','}\n{rest}"

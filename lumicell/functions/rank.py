@@ -12,11 +12,14 @@ _ROW_BITS = 33
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``.  Only a local master may leave it unset."""
     context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if folder is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return folder or context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -24,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``df``, kept in the shared folder, for a broadcast if it has at most ``most`` rows; a larger one is joined by a shuffle."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def distributed_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Adds the 0-based rank of each row by ``order``, which should be unique.
 

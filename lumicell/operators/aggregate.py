@@ -11,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumicell.functions.rank import few
 from lumicell.functions.values import DEFAULT_BUFFER_PX, close, column, finite, when_finite
-from lumicell.operators.mask import TILE, boundary_grid, mask_flags, shifted, tile_grid, with_halo
+from lumicell.operators.mask import COMPARTMENTS, TILE, boundary_grid, near_grid, shifted, tile_grid, with_halo
+from lumicell.operators.match import map_cells_to_labels
+from lumicell.operators.raster import require
 
 AT = ["image_id", "y", "x"]
 BINS = 30
@@ -24,64 +27,136 @@ PERIMETER_WEIGHTS = {
 }
 
 
+def _with_threshold(parts: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Rows with their image's threshold; an image without one is an error, raised by the task that meets it."""
+    own = few(thresholds.select("image_id", F.col("threshold").cast("double").alias("threshold")))
+    none = F.raise_error(F.concat(F.lit("no threshold, or no such channel, for image "), F.col("image_id").cast("string"))).cast("double")
+    return parts.join(own, "image_id", "left").withColumn("threshold", F.when(F.col("threshold").isNull(), none).otherwise(F.col("threshold")))
+
+
+def _label_counts(label: np.ndarray, value: np.ndarray, inside: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """``labels, whole, denominator, positive, finite, total`` of labelled pixels."""
+    names, at = np.unique(label, return_inverse=True)
+    good = inside & np.isfinite(value)
+    count = lambda chosen: np.bincount(at[chosen], minlength=len(names))
+    return names, np.bincount(at, minlength=len(names)), count(inside), count(inside & ~np.isnan(value) & (value > threshold)), count(good), np.bincount(at[good], value[good], len(names))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("image_id", "label").agg(
+        F.sum("whole").alias("whole_pixels"), F.sum("denominator").alias("denominator_pixels"), F.sum("positive").alias("positive_pixels"), F.sum("finite").alias("finite_pixels"),
+        F.when(F.sum("finite") > 0, F.sum("total")).alias("intensity_sum"),
+    )
+
+
+_PARTS = "label long, whole long, denominator long, positive long, finite long, total double"
+
+
 def pixel_statistics_by_label(pixels: DataFrame, mask: DataFrame, thresholds: DataFrame, compartment: str = "all", buffer: float = DEFAULT_BUFFER_PX, side: int = TILE) -> DataFrame:
     """Per image and label: ``whole_pixels, denominator_pixels, positive_pixels, finite_pixels, intensity_sum``.
 
-    ``pixels`` has one channel; ``thresholds(image_id, threshold)``.  The whole cell counts every mask pixel, the
-    others those of the compartment; a pixel that is not finite is in the denominator only.
+    ``pixels`` has one channel; ``thresholds(image_id, threshold)`` has every image, else it is an error.  The whole cell counts every
+    mask pixel, the others those of the compartment; a pixel that is not finite is in the denominator only.
+
+    For the whole cell one equi join and one partially aggregated group-by do.  For a compartment mask and values meet once by
+    tile, the mask with a halo, and a tile gives one partial row for each of its labels.
     """
+    if compartment not in COMPARTMENTS:
+        raise ValueError(f"unknown compartment {compartment}")
     if compartment == "all":
-        inside = mask.select(*AT, "label").withColumn("inside", F.lit(True))
-    else:
-        flags = mask_flags(mask, buffer, side)
-        inside = flags.select(*AT, "label", (F.col("near") if compartment == "cytoplasm_membrane" else ~F.col("near")).alias("inside"))
-    joined = inside.join(pixels.select(*AT, "value"), AT, "left").join(F.broadcast(thresholds), "image_id")  # one row for each image
-    within, value = F.col("inside"), F.col("value")
-    good = within & finite(value)
-    return joined.groupBy("image_id", "label").agg(
-        F.count("*").alias("whole_pixels"),
-        F.count_if(within).alias("denominator_pixels"),
-        F.count_if(within & ~F.isnan(value) & (value > F.col("threshold"))).alias("positive_pixels"),
-        F.count_if(good).alias("finite_pixels"),
-        F.sum(F.when(good, value)).alias("intensity_sum"),
-    )
-
-
-def tile_statistics_by_label(values: DataFrame, masks: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """The same statistics, compartment ``all``, from stored tiles: the way for whole slides.
+        joined = _with_threshold(mask.select(*AT, "label").join(pixels.select(*AT, "value"), AT, "left"), thresholds)
+        value = F.col("value")
+        return joined.groupBy("image_id", "label").agg(
+            F.count("*").alias("whole_pixels"),
+            F.count("*").alias("denominator_pixels"),
+            F.count_if(~F.isnan(value) & (value > F.col("threshold"))).alias("positive_pixels"),
+            F.count_if(finite(value)).alias("finite_pixels"),
+            F.sum(F.when(finite(value), value)).alias("intensity_sum"),
+        )
+    halo = int(np.ceil(buffer)) + 2
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        image_id, ty, tx = key
+        masked = rows["label"].to_numpy() > 0
+        grid, y, x, own = tile_grid(rows[masked], ty, tx, side, halo)
+        values = np.full(grid.shape, np.nan)
+        rest = rows[~masked]
+        values[rest["y"].to_numpy() - ty * side + halo, rest["x"].to_numpy() - tx * side + halo] = rest["value"].to_numpy()
+        near = near_grid(boundary_grid(grid), buffer)
+        y, x = y[own], x[own]
+        inside = near[y, x] if compartment == "cytoplasm_membrane" else ~near[y, x]
+        threshold = float(rows["threshold"].to_numpy()[0])
+        return pd.DataFrame(dict(zip(["label", "whole", "denominator", "positive", "finite", "total"], _label_counts(grid[y, x], values[y, x], inside, threshold)))).assign(image_id=image_id)
+
+    long = lambda c: F.col(c).cast("long").alias(c)
+    spread = with_halo(mask.select("image_id", long("y"), long("x"), long("label")), side, halo).withColumn("value", F.lit(None).cast("double"))
+    placed = pixels.select("image_id", long("y"), long("x"), F.lit(0).cast("long").alias("label"), F.floor(F.col("y") / side).alias("tile_y"), F.floor(F.col("x") / side).alias("tile_x"), F.col("value").cast("double").alias("value"))
+    kind = dict(mask.dtypes)["image_id"]
+    met = _with_threshold(spread.unionByName(placed), thresholds)
+    return _added(met.groupBy("image_id", "tile_y", "tile_x").applyInPandas(run, f"{_PARTS}, image_id {kind}"))
+
+
+def tile_statistics_by_label(values: DataFrame, masks: DataFrame, thresholds: DataFrame, compartment: str = "all", buffer: float = DEFAULT_BUFFER_PX) -> DataFrame:
+    """The same statistics from stored tiles: the way for whole slides.
 
     Value and mask tiles of one place meet by image and tile number, so a tile moves as one block instead of a row for each
-    pixel; each pair gives one partial row for each of its labels, and these are added up.  Tiles of both tables must
-    have the same side; ``values`` has one channel.
+    pixel; each pair gives one partial row for each of its labels, and these are added up.  For a compartment a mask tile also
+    sends strips along its sides to its eight neighbours.  Tiles of both tables must have the same side; ``values`` has one channel.
     """
+    if compartment not in COMPARTMENTS:
+        raise ValueError(f"unknown compartment {compartment}")
+    halo = 0 if compartment == "all" else int(np.ceil(buffer)) + 2
+    kind = dict(masks.dtypes)["image_id"]
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What of each mask tile its neighbours need, with its place in the whole image."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                grid = np.frombuffer(r["data"], r["dtype"]).reshape(r["height"], r["width"])
+                for dy in (-1, 0, 1):
+                    for dx in (-1, 0, 1):
+                        rows = slice(None) if not dy else slice(0, halo) if dy < 0 else slice(-halo, None)
+                        columns = slice(None) if not dx else slice(0, halo) if dx < 0 else slice(-halo, None)
+                        part = grid[rows, columns]
+                        if (dy or dx) and not part.any():
+                            continue
+                        y0, x0 = r["y0"] + (r["height"] - part.shape[0] if dy > 0 else 0), r["x0"] + (r["width"] - part.shape[1] if dx > 0 else 0)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([v], t) for v, t in zip((r["image_id"], r["tile_y"] + dy, r["tile_x"] + dx, not (dy or dx), y0, x0, *part.shape, r["dtype"], part.tobytes()), (batch.schema.field("image_id").type, pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()))],
+                            names=["image_id", "tile_y", "tile_x", "own", "y0", "x0", "height", "width", "dtype", "data"],
+                        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = lambda r: np.frombuffer(r["data"], r["dtype"]).reshape(r["height"], r["width"])
         for batch in batches:
             for r in batch.to_pylist():
-                label, value = (np.frombuffer(r[f"{k}_data"], r[f"{k}_dtype"]).reshape(r[f"{k}_height"], r[f"{k}_width"]) for k in ("mask", "value"))
-                full = np.full(label.shape, np.nan)
-                h, w = min(label.shape[0], value.shape[0]), min(label.shape[1], value.shape[1])
-                full[:h, :w] = value[:h, :w]
-                keep = label > 0
-                names, at = np.unique(label[keep].astype(np.int64), return_inverse=True)
-                own, good = full[keep], np.isfinite(full[keep])
-                count = lambda chosen: np.bincount(at[chosen], minlength=len(names))
-                whole = np.bincount(at, minlength=len(names))
-                sums = np.bincount(at[good], own[good], len(names))
-                above = ~np.isnan(own) & (own > r["threshold"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["image_id"]] * len(names), batch.schema.field("image_id").type), *(pa.array(c) for c in (names, whole, count(above), count(good), sums))],
-                    names=["image_id", "label", "whole", "positive", "finite", "total"],
-                )
-
-    side = lambda t, k: t.select("image_id", "tile_y", "tile_x", *[F.col(c).alias(f"{k}_{c}") for c in ("height", "width", "dtype", "data")])
-    met = side(masks, "mask").join(side(values, "value"), ["image_id", "tile_y", "tile_x"]).join(F.broadcast(thresholds), "image_id")  # one row for each image
-    kind = dict(met.dtypes)["image_id"]
-    parts = met.mapInArrow(run, f"image_id {kind}, label long, whole long, positive long, finite long, total double")
-    return parts.groupBy("image_id", "label").agg(
-        F.sum("whole").alias("whole_pixels"), F.sum("whole").alias("denominator_pixels"), F.sum("positive").alias("positive_pixels"), F.sum("finite").alias("finite_pixels"),
-        F.when(F.sum("finite") > 0, F.sum("total")).alias("intensity_sum"),
-    )
+                own = next(p for p in r["parts"] if p["own"])
+                grid = np.zeros((own["height"] + 2 * halo, own["width"] + 2 * halo), np.int64)
+                for p in r["parts"]:
+                    y, x = p["y0"] - own["y0"] + halo, p["x0"] - own["x0"] + halo  # a tile may end before its side does
+                    here = grid[max(y, 0) : max(y + p["height"], 0), max(x, 0) : max(x + p["width"], 0)]
+                    here[:] = array(p)[max(-y, 0) :, max(-x, 0) :][: here.shape[0], : here.shape[1]]
+                core = grid[halo : halo + own["height"], halo : halo + own["width"]]
+                full = np.full(core.shape, np.nan)
+                if r["value"] is not None:
+                    value = array(r["value"])
+                    h, w = min(core.shape[0], value.shape[0]), min(core.shape[1], value.shape[1])
+                    full[:h, :w] = value[:h, :w]
+                inside = np.ones(core.shape, bool)
+                if halo:
+                    near = near_grid(boundary_grid(grid), buffer)[halo : halo + own["height"], halo : halo + own["width"]]
+                    inside = near if compartment == "cytoplasm_membrane" else ~near
+                keep = core > 0
+                found = _label_counts(core[keep], full[keep], inside[keep], r["threshold"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]] * len(found[0]), batch.schema.field("image_id").type), *map(pa.array, found)], names=["image_id", "label", "whole", "denominator", "positive", "finite", "total"])
+
+    at = ["image_id", "tile_y", "tile_x"]
+    parted = masks.select(*at, "y0", "x0", "height", "width", "dtype", "data").mapInArrow(strips, f"image_id {kind}, tile_y long, tile_x long, own boolean, y0 long, x0 long, height int, width int, dtype string, data binary") if halo else masks.select(*at, F.lit(True).alias("own"), "y0", "x0", "height", "width", "dtype", "data")
+    place = F.struct("own", "y0", "x0", "height", "width", "dtype", "data")
+    # nine parts at most; a place that only gets strips has no pixels of its own
+    tiles = parted.groupBy(*at).agg(F.collect_list(place).alias("parts")).filter(F.exists("parts", lambda p: p["own"]))
+    met = tiles.join(values.select(*at, F.struct("height", "width", "dtype", "data").alias("value")), at, "left")
+    return _added(_with_threshold(met, thresholds).mapInArrow(run, f"image_id {kind}, {_PARTS}"))
 
 
 def pixel_counts_by_label(*args, **options) -> DataFrame:
@@ -105,6 +180,18 @@ def threshold_calls(cells: DataFrame, cutoff: float) -> DataFrame:
     return cells.withColumn("positive", (F.col("denominator_pixels") > 0) & (F.col("positive_fraction") > cutoff))
 
 
+def phenotype_by_threshold(cells: DataFrame, mask: DataFrame, pixels: DataFrame, thresholds: DataFrame, cutoff: float, compartment: str = "all", buffer: float = DEFAULT_BUFFER_PX, channels: DataFrame | None = None, channel: str | None = None) -> DataFrame:
+    """``image_id, row_index, mask_label, denominator_pixels, mean_intensity, positive_fraction, positive`` for the cells of all images.
+
+    ``channels(image_id, name)`` lists what each image has: with it, an image with cells but without ``channel`` is an error.
+    """
+    if channels is not None:
+        own = channels.filter(F.col("name") == channel).select("image_id").distinct()
+        require(cells.select("image_id").distinct().join(own, "image_id", "left_anti"), f"an image has no channel {channel}")
+    statistics = pixel_statistics_by_label(pixels, mask, thresholds, compartment, buffer)
+    return threshold_calls(cell_statistics(statistics, map_cells_to_labels(cells, mask)), cutoff)
+
+
 def intensity_statistics(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     """Per image, label and channel the finite mean, population deviation, least and most; null without finite pixels."""
     value = when_finite(F.col("value"))

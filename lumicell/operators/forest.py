@@ -16,6 +16,8 @@ from lumicell.operators.schema import usable_features
 
 TREES, DEPTH, SEED = 300, 30, 42
 FORMAT, VERSION = "phenotype forest", 1
+#: Training rows of one task.
+PART_ROWS = 100_000
 
 
 def numeric(cells: DataFrame, features: list[str]) -> DataFrame:
@@ -25,7 +27,10 @@ def numeric(cells: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_forest(training: DataFrame, features: list[str], target: str = "target", trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> tuple[PipelineModel, list[str]]:
-    """A class-balanced forest on the features that vary, missing values replaced by exact medians; needs both classes."""
+    """A class-balanced forest on the features that vary, missing values replaced by exact medians; needs both classes.
+
+    Rows are dealt by their values to parts of about ``PART_ROWS`` and sorted, so that the same rows and seed give the same forest.
+    """
     counts = {r[target]: r["count"] for r in training.groupBy(target).count().collect()}
     if set(counts) != {0, 1}:
         raise ValueError("training needs positive and negative cells")
@@ -39,7 +44,9 @@ def fit_forest(training: DataFrame, features: list[str], target: str = "target",
         RandomForestClassifier(labelCol=target, weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed),
     ]
     prepared = numeric(training, used).select(*raw, F.col(target).cast("double").alias(target), weight.alias("weight"))
-    return Pipeline(stages=stages).fit(prepared.coalesce(1)), used
+    parts = -(-total // PART_ROWS)
+    dealt = prepared.repartition(parts, *raw).sortWithinPartitions(*raw, target)
+    return Pipeline(stages=stages).fit(dealt), used
 
 
 def apply_forest(model: PipelineModel, cells: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -51,9 +58,11 @@ def apply_forest(model: PipelineModel, cells: DataFrame, features: list[str], ke
     return scored.select(*keep, (F.col("prediction") == 1).alias("positive"), p.alias("positive_probability"))
 
 
-def save_model(model: PipelineModel, path: str, phenotype: str, features: list[str], training_cells: int, spark) -> None:
+def save_model(model: PipelineModel, path: str, phenotype: str, features: list[str], training_cells: int, spark, automated: dict | None = None) -> None:
+    """The pipeline and what is known of it; ``automated`` has the settings and counts of an automated run."""
     model.write().overwrite().save(f"{path}/pipeline")
     about = {"format": FORMAT, "version": VERSION, "phenotype_name": phenotype, "feature_columns": features, "algorithm": "random forest", "training_samples": training_cells}
+    about |= {} if automated is None else {"automated": automated}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 

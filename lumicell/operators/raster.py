@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicell.functions.values import finite, when_finite, whole
@@ -91,10 +94,18 @@ def membrane_markers(channels: DataFrame) -> DataFrame:
     return channels.filter(~is_dapi(F.col("name")))
 
 
+def percentiles(pixels: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """``p`` (exact percentiles of finite values, null without any), ``least`` and ``most`` per group.
+
+    Equal values are counted first, in all tasks, so that what meets in a group is its distinct values with their counts.
+    """
+    counted = pixels.groupBy(*by, when_finite(F.col("value")).alias("v")).agg(F.count("*").alias("times"))
+    return counted.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, shares)), F.col("times")).alias("p"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
 def contrast_limits(pixels: DataFrame, by: list[str]) -> DataFrame:
     """``low, high`` per group: 1st and 99th percentile of finite values, else their range, else one apart; (0, 1) without any."""
-    value = when_finite(F.col("value"))
-    found = pixels.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.min(value).alias("least"), F.max(value).alias("most"))
+    found = percentiles(pixels, by, (0.01, 0.99))
     low, high = F.col("p")[0], F.col("p")[1]
     flat = high <= low
     low, high = F.when(flat, F.col("least")).otherwise(low), F.when(flat, F.col("most")).otherwise(high)
@@ -118,7 +129,7 @@ def normalize_channel(pixels: DataFrame, images: DataFrame, sample_pixels: int =
     """Pixels with ``unit``, 0 to 1 between the 1st and 99th percentile of every n-th row and column; 0 where that is flat."""
     stride = images.select("image_id", F.ceil(F.sqrt(F.col("height") * F.col("width") / sample_pixels)).alias("stride"))
     sampled = pixels.join(stride, "image_id").filter("y % stride = 0 and x % stride = 0")
-    limits = sampled.groupBy("image_id", "channel").agg(F.percentile(when_finite(F.col("value")), F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    limits = percentiles(sampled, ["image_id", "channel"], (0.01, 0.99))
     limits = limits.select("image_id", "channel", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
     unit = F.when(F.col("high") > F.col("low"), unit_scaled(F.col("value"), F.col("low"), F.col("high"))).otherwise(0.0)
     return pixels.join(limits, ["image_id", "channel"], "left").withColumn("unit", unit).drop("low", "high")
@@ -158,7 +169,7 @@ def intensity_threshold(pixels: DataFrame, by: list[str], slider: float, slider_
     if slider_max <= 0:
         raise ValueError("the slider's maximum must be positive")
     place = min(max(float(slider) / slider_max, 0.0), 1.0)
-    found = pixels.groupBy(*by).agg(F.percentile(when_finite(F.col("value")), F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    found = percentiles(pixels, by, (0.01, 0.99))
     return found.select(*by, (F.col("p")[0] + place * (F.col("p")[1] - F.col("p")[0])).alias("threshold"))
 
 
@@ -169,8 +180,7 @@ def threshold_highlight(pixels: DataFrame, thresholds: DataFrame, by: list[str])
 
 def dapi_threshold(dapi: DataFrame, images: DataFrame, max_size: int = OVERVIEW_SIZE) -> DataFrame:
     """``image_id, threshold``: a fifth of the way from the 20th to the 99.5th percentile of the overview."""
-    value = when_finite(F.col("value"))
-    found = overview_resample(dapi, images, max_size).groupBy("image_id").agg(F.percentile(value, F.array(F.lit(0.2), F.lit(0.995))).alias("p"), F.max(value).alias("most"))
+    found = percentiles(overview_resample(dapi, images, max_size), ["image_id"], (0.2, 0.995))
     low = F.col("p")[0]
     high = F.when(F.col("p")[1] <= low, F.col("most")).otherwise(F.col("p")[1])
     flat = low.isNull() | (high <= low)
@@ -187,17 +197,23 @@ def dapi_positive_fraction(regions: DataFrame, thresholds: DataFrame, by: list[s
 
 def fov_candidates(images: DataFrame, size: int, seed: int | None, attempts: int = FOV_ATTEMPTS) -> DataFrame:
     """``image_id, attempt, y0, x0, height, width``: the draws of one seeded generator for each image."""
-    sizes = images.select("image_id", "height", "width").collect()  # one row for each image
-    rows = []
-    for r in sizes:
-        if size > r["height"] or size > r["width"]:
-            raise ValueError(f"a field of view of {size} does not fit image {r['image_id']}")
-        random = np.random.default_rng(seed)
-        for attempt in range(attempts):
-            y0 = int(random.integers(0, r["height"] - size + 1))
-            x0 = int(random.integers(0, r["width"] - size + 1))
-            rows.append((r["image_id"], attempt, y0, x0, size, size))
-    return images.sparkSession.createDataFrame(rows, "image_id long, attempt int, y0 long, x0 long, height long, width long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, height, width in zip(*(c.to_pylist() for c in batch.columns)):
+                if size > height or size > width:
+                    raise ValueError(f"a field of view of {size} does not fit image {image_id}")
+                random = np.random.default_rng(seed)
+                drawn = [(int(random.integers(0, height - size + 1)), int(random.integers(0, width - size + 1))) for _ in range(attempts)]
+                y0, x0 = ([d[k] for d in drawn] for k in (0, 1))
+                same = lambda v, kind: pa.array([v] * attempts, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [same(image_id, pa.int64()), pa.array(range(attempts), pa.int32()), pa.array(y0, pa.int64()), pa.array(x0, pa.int64()), same(size, pa.int64()), same(size, pa.int64())],
+                    names=["image_id", "attempt", "y0", "x0", "height", "width"],
+                )
+
+    sizes = images.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "height", "width")])
+    return sizes.mapInArrow(run, "image_id long, attempt int, y0 long, x0 long, height long, width long")
 
 
 def random_fov(dapi: DataFrame, images: DataFrame, size: int = FOV_SIZE, seed: int | None = 42, least: float = FOV_LEAST_FRACTION, attempts: int = FOV_ATTEMPTS, bin_side: int = BIN) -> DataFrame:

@@ -47,8 +47,17 @@ def is_feature(name: str) -> bool:
     return not any(part in _plain(name) for part in NOT_FEATURES)
 
 
-def shared_numeric_features(cells: DataFrame, first_image, skip: tuple[str, ...] = ("image_id", "row_index")) -> list[str]:
-    """Feature columns with a number in every image, in the order of the table; one pass over the cells."""
+def excluded_feature(name: Column) -> Column:
+    """The same for a column of names: whether a name keeps its column from being a feature."""
+    plain = F.translate(F.lower(name), "_-", "  ")
+    return F.exists(F.array(*[F.lit(p) for p in NOT_FEATURES]), lambda p: F.contains(plain, p))
+
+
+def shared_numeric_features(cells: DataFrame, skip: tuple[str, ...] = ("image_id", "row_index")) -> list[str]:
+    """Feature columns with a number in every image; one pass over the cells.
+
+    They come in the order of the table, which for shared columns is that of the first image, as a union has columns in first-seen order.
+    """
     names = [n for n in cells.columns if n not in skip and is_feature(n)]
     if not names:
         return []
@@ -103,28 +112,29 @@ def unique_column(name: str, taken: set[str], prefix: str) -> str:
     return candidate
 
 
-def phenotype_table(tables: list[tuple[str, DataFrame]], calls: DataFrame, phenotype: str, source: str, overrides: DataFrame | None = None, prefix: str = "Export") -> DataFrame:
+def phenotype_table(tables: list[DataFrame], calls: DataFrame, phenotype: str, source: str, overrides: DataFrame | None = None, prefix: str = "Export") -> DataFrame:
     """One table over all images: image name, 1-based row, every column in first-seen order, call and its source.
 
-    ``tables`` has ``(image_name, cells(row_index, …))``; ``calls(image_name, row_index, positive)`` must have each of
-    their rows; ``overrides(image_name, row_index, label, order)`` replaces calls, the last one wins.
+    Each of ``tables`` holds the images of one header, ``(image_name, row_index, …)``; ``calls(image_name, row_index, positive)`` must
+    have each of their rows; ``overrides(image_name, row_index, label, order)`` replaces calls, the last one wins.
     """
-    original = list(dict.fromkeys(c for _, t in tables for c in t.columns if c != "row_index"))
+    own = ("image_name", "row_index")
+    original = list(dict.fromkeys(c for t in tables for c in t.columns if c not in own))
     taken, names = set(original), []
     for wanted in ("Image Name", "Cell Row", f"{phenotype} Label", "Label Source"):
         names.append(unique_column(wanted, taken, prefix))
         taken.add(names[-1])
     image, row, label, origin = names
-    typed = [t.select(F.lit(name).alias("image_key"), "row_index", *[column(c).cast("string").alias(c) for c in t.columns if c != "row_index"]) for name, t in tables]
+    typed = [t.select(F.col("image_name").alias("image_key"), "row_index", *[column(c).cast("string").alias(c) for c in t.columns if c not in own]) for t in tables]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), typed)
     keyed = calls.select(F.col("image_name").alias("image_key"), "row_index", F.col("positive").alias("call_positive"), F.lit(True).alias("called"))
     joined = union.join(keyed, ["image_key", "row_index"], "left")
     missing = F.raise_error(F.concat(F.lit("no prediction for a row of "), F.col("image_key")))
     call = F.when(F.col("called").isNull(), missing).when(F.col("call_positive"), "Positive").otherwise("Negative")
-    own = F.lit(source)
+    origin_of = F.lit(source)
     if overrides is not None:
         last = overrides.groupBy(F.col("image_name").alias("image_key"), "row_index").agg(F.max_by("label", "order").alias("trained"))
         joined = joined.join(last, ["image_key", "row_index"], "left")
         call = F.when(F.col("trained").isNull(), call).when(F.col("trained") == "positive", "Positive").otherwise("Negative")
-        own = F.when(F.col("trained").isNull(), F.lit(source)).otherwise("Manual Training")
-    return joined.select(F.col("image_key").alias(image), (F.col("row_index") + 1).alias(row), *[column(c) for c in original], call.alias(label), own.alias(origin))
+        origin_of = F.when(F.col("trained").isNull(), F.lit(source)).otherwise("Manual Training")
+    return joined.select(F.col("image_key").alias(image), (F.col("row_index") + 1).alias(row), *[column(c) for c in original], call.alias(label), origin_of.alias(origin))

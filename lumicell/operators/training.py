@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicell.functions.rank import distributed_rank
@@ -60,61 +60,62 @@ def _keep(pool: DataFrame, excluded: DataFrame | None) -> DataFrame:
     return pool if excluded is None else pool.join(excluded.select(*CELL), CELL, "left_anti")
 
 
-def _placed(pool: DataFrame, order: list, name: str) -> DataFrame:
-    return distributed_rank(pool, order, "place").select(F.lit(name).alias("pool"), "place", *CELL)
+def _placed(ranked: DataFrame, pool: Column) -> DataFrame:
+    """``pool, place, image_index, row_index``: places from 0 within each pool, in the order of ``rank``, from one more pass over the ranked rows."""
+    named = ranked.withColumn("pool", pool).filter("pool is not null")
+    again = distributed_rank(named.select("pool", "rank", *CELL), ["pool", "rank"], "place")
+    first = again.groupBy("pool").agg(F.min("place").alias("first"))  # three pools at most
+    return again.join(F.broadcast(first), "pool").select("pool", (F.col("place") - F.col("first")).alias("place"), *CELL)
 
 
-def automated_training_pools(cells: DataFrame, cutoff: float, excluded: DataFrame | None = None) -> dict[str, DataFrame]:
+def automated_training_pools(cells: DataFrame, cutoff: float, excluded: DataFrame | None = None) -> DataFrame:
     """Pools ``(pool, place, image_index, row_index)`` named low, mid and positive.
 
     Negatives by rising fluorescence: the first half is low, up to four fifths mid.  Positives by falling fraction: the
     top three tenths; equal fractions by falling cell order.  The bounds count excluded cells, which then leave the pools.
+    Both classes are ranked in one range sort.
     """
     if not 0 <= cutoff <= 1:
         raise ValueError("the cut-off must be from 0 to 1")
     fraction, light = F.col("positive_fraction"), F.col("mean_intensity")
-    negative = distributed_rank(cells.filter(finite(fraction) & finite(light) & (fraction <= cutoff)), [light, *map(F.col, CELL)])
-    n = negative.count()
-    low, mid = math.ceil(n * LOW_SHARE), math.ceil(n * MID_SHARE)
-    falling = [fraction.desc(), *[F.col(c).desc() for c in CELL]]
-    positive = distributed_rank(cells.filter(finite(fraction) & (fraction > cutoff)), falling)
-    top = math.ceil(positive.count() * TOP_SHARE)
-    return {
-        "low": _placed(_keep(negative.filter(F.col("rank") < low), excluded), ["rank"], "low"),
-        "mid": _placed(_keep(negative.filter((F.col("rank") >= low) & (F.col("rank") < mid)), excluded), ["rank"], "mid"),
-        "positive": _placed(_keep(positive.filter(F.col("rank") < top), excluded), ["rank"], "positive"),
-    }
-
-
-def refinement_pools(cells: DataFrame, limit: float, excluded: DataFrame | None = None) -> dict[str, DataFrame]:
+    top = fraction > cutoff
+    known = cells.filter(finite(fraction) & (top | finite(light))).select(*CELL, top.alias("top"), F.when(top, -fraction).otherwise(light).cast("double").alias("by"), *[F.when(top, -F.col(c)).otherwise(F.col(c)).alias(f"by_{c}") for c in CELL])
+    ranked = distributed_rank(known, ["top", "by", *[f"by_{c}" for c in CELL]])
+    counts = {r["top"]: r["count"] for r in ranked.groupBy("top").count().collect()}
+    negative, positive = counts.get(False, 0), counts.get(True, 0)
+    low, mid, most = math.ceil(negative * LOW_SHARE), math.ceil(negative * MID_SHARE), negative + math.ceil(positive * TOP_SHARE)
+    rank = F.col("rank")  # negatives come first
+    pool = F.when(rank < low, "low").when(rank < mid, "mid").when((rank >= negative) & (rank < most), "positive")
+    return _placed(_keep(ranked, excluded), pool)
+
+
+def refinement_pools(cells: DataFrame, limit: float, excluded: DataFrame | None = None) -> DataFrame:
     """Pools of cells called with little confidence: bright negatives to become positive, dim positives to become negative."""
     if not 0.5 < limit <= 1:
         raise ValueError("the limit must be above 0.5 and at most 1")
     p, light, called = F.col("positive_probability"), F.col("mean_intensity"), F.col("called_positive")
     valid = _keep(cells.filter(finite(p) & finite(light) & (p >= 0) & (p <= 1)), excluded)
-    unsure = valid.filter(F.when(called, p).otherwise(1 - p) < limit)
-    order = [light, *map(F.col, CELL)]
-    negative = distributed_rank(unsure.filter(~called), order)
-    n = negative.count()
-    positive = distributed_rank(unsure.filter(called), order)
-    tail = math.ceil(positive.count() * TAIL_SHARE)
-    return {
-        "positive": _placed(negative.filter(F.col("rank") >= n - math.ceil(n * TAIL_SHARE)), ["rank"], "positive"),
-        "negative": _placed(positive.filter(F.col("rank") < tail), ["rank"], "negative"),
-    }
-
-
-def draw(pools: dict[str, DataFrame], wanted: dict[str, int], seed: int | None) -> DataFrame:
+    unsure = valid.filter(F.when(called, p).otherwise(1 - p) < limit).select(*CELL, called.alias("called"), light.cast("double").alias("light"))
+    ranked = distributed_rank(unsure, ["called", "light", *CELL])
+    counts = {r["called"]: r["count"] for r in ranked.groupBy("called").count().collect()}
+    negative, positive = counts.get(False, 0), counts.get(True, 0)
+    rank = F.col("rank")  # cells called negative come first
+    bright = (rank >= negative - math.ceil(negative * TAIL_SHARE)) & (rank < negative)
+    return _placed(ranked, F.when(bright, "positive").when((rank >= negative) & (rank < negative + math.ceil(positive * TAIL_SHARE)), "negative"))
+
+
+def draw(pools: DataFrame, wanted: dict[str, int], seed: int | None) -> DataFrame:
     """Rows of the pools at places drawn without replacement by one generator, pool by pool in the order of ``wanted``."""
     random = np.random.default_rng(seed)
-    out = None
+    sizes = {r["pool"]: r["count"] for r in pools.groupBy("pool").count().collect()}
+    chosen = F.lit(False)
     for name, k in wanted.items():
-        size = pools[name].count()
+        size = sizes.get(name, 0)
         if size < k:
             raise ValueError(f"pool {name} needs {k} cells but has {size}")
-        chosen = pools[name].filter(F.col("place").isin([int(i) for i in random.choice(size, size=k, replace=False)] if k else [-1]))
-        out = chosen if out is None else out.unionByName(chosen)
-    return out
+        if k:
+            chosen = chosen | ((F.col("pool") == name) & F.col("place").isin([int(i) for i in random.choice(size, size=k, replace=False)]))
+    return pools.filter(chosen)
 
 
 def automated_training_selection(cells: DataFrame, cutoff: float, low: int = LOW_CELLS, mid: int = CLASS_CELLS - LOW_CELLS, positive: int = CLASS_CELLS, excluded: DataFrame | None = None, seed: int | None = SEED) -> DataFrame:
@@ -126,8 +127,10 @@ def refinement_selection(cells: DataFrame, limit: float, positive: int = REFINE_
     return draw(refinement_pools(cells, limit, excluded), {"positive": positive, "negative": negative}, seed)
 
 
-def stage_seed(base: int | None, stage: int) -> int | None:
-    """The seed of a stage: base plus stage, modulo 2^32."""
+def stage_seed(base, stage):
+    """The seed of a stage, a number or a column: base plus stage, modulo 2^32."""
+    if isinstance(base, Column) or isinstance(stage, Column):
+        return F.pmod(base + stage, F.lit(1 << 32))
     if isinstance(stage, bool) or not isinstance(stage, int) or stage < 0:
         raise ValueError("a stage is a whole number, not negative")
     return None if base is None else (base + stage) % (1 << 32)

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumicell import fixtures as fx
 from lumicell.functions import values as v
-from lumicell.functions.rank import checkpointed
+from lumicell.functions.rank import checkpointed, shared_folder
 from lumicell.operators import aggregate as agg
 from lumicell.operators import mask as mk
 from lumicell.operators import match as mt
 from lumicell.operators import raster as rs
-from lumicell.plans.raster_queries import WINDOWS, six, windows
+from lumicell.plans.raster_queries import IN_WINDOW, WINDOWS, six, windows
 from lumicell.plans.registry import query
 from lumicell.sources import tiles as tl
 
-EDGE = """edges AS (SELECT m.image_id, m.y, m.x, m.label FROM mask m
- LEFT JOIN mask a ON a.image_id = m.image_id AND a.label = m.label AND a.y = m.y AND a.x = m.x+1 LEFT JOIN mask b ON b.image_id = m.image_id AND b.label = m.label AND b.y = m.y AND b.x = m.x-1
- LEFT JOIN mask c ON c.image_id = m.image_id AND c.label = m.label AND c.y = m.y+1 AND c.x = m.x LEFT JOIN mask d ON d.image_id = m.image_id AND d.label = m.label AND d.y = m.y-1 AND d.x = m.x
- WHERE a.label IS NULL OR b.label IS NULL OR c.label IS NULL OR d.label IS NULL)"""
+STEPS = "(VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx)"
+#: Pixels that fewer than four of their 4-neighbours share a label with: neighbours announce themselves, equal ones are counted.
+EDGE = f"""seen AS (SELECT image_id, y + dy AS y, x + dx AS x, label, count(*) AS same FROM mask, {STEPS} GROUP BY ALL),
+edges AS (SELECT m.image_id, m.y, m.x, m.label FROM mask m LEFT JOIN seen s ON s.image_id = m.image_id AND s.label = m.label AND s.y = m.y AND s.x = m.x WHERE coalesce(same, 0) < 4)"""
 NEAR = EDGE + """, near AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM edges, (SELECT i-4 AS dy, j-4 AS dx FROM range(9) a(i), range(9) b(j) WHERE (i-4)*(i-4)+(j-4)*(j-4) <= 16) o),
 flags AS (SELECT m.*, n.y IS NOT NULL AS near FROM mask m LEFT JOIN near n ON m.image_id = n.image_id AND m.y = n.y AND m.x = n.x)"""
-#: The intensity threshold of image 0's first 64 rows and columns, for all images.
+#: The intensity threshold of a field of view in image 0 (512 rows and columns), for all images.
 CUT = """cut AS (SELECT quantile_cont(value, 0.01) + 0.5*(quantile_cont(value, 0.99) - quantile_cont(value, 0.01)) AS threshold FROM dirty
- WHERE image_id = 0 AND y < 64 AND x < 64 AND abs(value) < CAST('Infinity' AS DOUBLE))"""
+ WHERE image_id = 0 AND y < 512 AND x < 512 AND abs(value) < CAST('Infinity' AS DOUBLE))"""
 STATS = CUT + """, stats AS (SELECT image_id, label, count(*) AS whole_pixels, count(*) FILTER ({inside}) AS denominator_pixels, count(*) FILTER ({inside} AND NOT isnan(value) AND value > threshold) AS positive_pixels,
  count(*) FILTER ({inside} AND abs(value) < CAST('Infinity' AS DOUBLE)) AS finite_pixels, sum(value) FILTER ({inside} AND abs(value) < CAST('Infinity' AS DOUBLE)) AS intensity_sum FROM {rows}, cut WHERE label > 0 GROUP BY 1, 2)"""
 ALL_STATS = STATS.format(inside="true", rows="dirty")
@@ -43,14 +45,18 @@ CELLS = """cell_stats AS (SELECT r.image_id, row_index, mask_label, coalesce(den
 
 
 def cells(spark, sf):
-    return fx.cell_rows(spark, sf).select("image_id", "row_index", F.col("cell_id").alias("Cell ID"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return named_cells(fx.cell_rows(spark, sf))
+
+
+def named_cells(rows):
+    return rows.select("image_id", "row_index", F.col("cell_id").alias("Cell ID"), F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
-def thresholds(spark, sf):
-    """One threshold, from a corner of image 0, for every image."""
-    marker = fx.marker(spark, sf)
-    corner = marker.filter("image_id = 0 and y < 64 and x < 64")
-    found = rs.intensity_threshold(corner, ["image_id"], 500).select("threshold")
+def thresholds(spark, sf, marker=None, slider=500):
+    """One threshold, from a field of view in image 0, for every image."""
+    marker = fx.marker(spark, sf) if marker is None else marker
+    corner = marker.filter(f"image_id = 0 and y < {rs.FOV_SIZE} and x < {rs.FOV_SIZE}")
+    found = rs.intensity_threshold(corner, ["image_id"], slider).select("threshold")
     return fx.images(spark, sf).select("image_id").join(F.broadcast(found))  # one row
 
 
@@ -63,8 +69,21 @@ def matched(spark, sf):
     return mt.map_cells_to_labels(checkpointed(cells(spark, sf)), checkpointed(fx.mask(spark, sf)))
 
 
+def stored_raster(spark, sf):
+    """The derived raster, stored once so that it is read, not derived, for each use."""
+    path = f"{shared_folder(spark)}/raster-{uuid.uuid4()}"
+    fx.raster(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def threshold_calls(spark, sf, raster, cutoff, compartment, slider):
+    marker, mask = fx.marker_of(raster), fx.mask_of(raster)
+    channels = fx.images(spark, sf).select("image_id", F.lit("marker").alias("name"))
+    return agg.phenotype_by_threshold(checkpointed(named_cells(fx.cell_rows_of(mask))), mask, marker, thresholds(spark, sf, marker, slider), cutoff, compartment, channels=channels, channel="marker")
+
+
 def calls(spark, sf, cutoff=0.25, compartment="all"):
-    return agg.threshold_calls(agg.cell_statistics(statistics(spark, sf, compartment), matched(spark, sf)), cutoff)
+    return threshold_calls(spark, sf, stored_raster(spark, sf), cutoff, compartment, 500)
 
 
 @query("inner_boundaries", "mask", EDGE + " SELECT image_id, y, x, label FROM edges")
@@ -72,9 +91,10 @@ def inner_boundaries(spark, sf):
     return mk.inner_boundaries(fx.mask(spark, sf))
 
 
-@query("display_boundaries", "mask images", WINDOWS + """, inside AS (SELECT m.image_id, region_id, m.y-y0 AS fy, m.x-x0 AS fx, label FROM mask m JOIN windows w ON m.image_id = w.image_id AND m.y >= y0 AND m.y < y0+height AND m.x >= x0 AND m.x < x0+width)
-SELECT i.image_id, i.region_id, i.fy, i.fx, i.label FROM inside i LEFT JOIN (SELECT i.image_id, i.region_id, i.fy, i.fx, count(*) AS same FROM inside i JOIN inside j ON i.image_id = j.image_id AND i.region_id = j.region_id AND i.label = j.label AND abs(i.fy-j.fy)+abs(i.fx-j.fx) = 1 GROUP BY 1, 2, 3, 4) s
-ON s.image_id = i.image_id AND s.region_id = i.region_id AND s.fy = i.fy AND s.fx = i.fx WHERE coalesce(same, 0) < 4 - CAST(i.fy = 0 AS INTEGER) - CAST(i.fy = 15 AS INTEGER) - CAST(i.fx = 0 AS INTEGER) - CAST(i.fx = 39 AS INTEGER)""")
+@query("display_boundaries", "mask images", WINDOWS + """, inside AS (SELECT p.image_id, region_id, p.y-y0 AS fy, p.x-x0 AS fx, label FROM mask p JOIN """ + IN_WINDOW + f"""),
+near AS (SELECT image_id, region_id, fy + dy AS fy, fx + dx AS fx, label, count(*) AS same FROM inside, {STEPS} GROUP BY ALL)
+SELECT i.* FROM inside i LEFT JOIN near s ON s.image_id = i.image_id AND s.region_id = i.region_id AND s.fy = i.fy AND s.fx = i.fx AND s.label = i.label
+WHERE coalesce(same, 0) < 4 - CAST(i.fy = 0 AS INTEGER) - CAST(i.fy = 15 AS INTEGER) - CAST(i.fx = 0 AS INTEGER) - CAST(i.fx = 39 AS INTEGER)""")
 def display_boundaries(spark, sf):
     return mk.display_boundaries(fx.mask(spark, sf), windows(spark, sf), fx.images(spark, sf))
 
@@ -101,10 +121,10 @@ def pixel_counts_by_label(spark, sf):
     return agg.pixel_counts_by_label(fx.marker(spark, sf), fx.mask(spark, sf), thresholds(spark, sf))
 
 
-@query("tile_statistics_by_label", "dirty", ALL_STATS + " SELECT * FROM stats")
+@query("tile_statistics_by_label", "dirty mask", NUCLEUS_STATS + " SELECT * FROM stats")
 def tile_statistics_by_label(spark, sf):
     labels = fx.mask(spark, sf).select("image_id", F.lit("mask").alias("channel"), "y", "x", F.col("label").alias("value"))
-    return agg.tile_statistics_by_label(tl.pixels_to_tiles(fx.marker(spark, sf), 128), tl.pixels_to_tiles(labels, 128, "<u4"), thresholds(spark, sf))
+    return agg.tile_statistics_by_label(tl.pixels_to_tiles(fx.marker(spark, sf), 128), tl.pixels_to_tiles(labels, 128, "<u4"), thresholds(spark, sf), "nucleus")
 
 
 @query("cell_statistics", "dirty mask cell_rows", NUCLEUS_STATS + ", " + MATCH + ", " + CELLS + " SELECT image_id, row_index, mask_label, denominator_pixels, round(mean_intensity, 6) AS mean_intensity, round(positive_fraction, 6) AS positive_fraction FROM cell_stats")
@@ -139,9 +159,13 @@ def morphology_ellipse(spark, sf):
     return agg.morphology_ellipse(fx.mask(spark, sf)).select("image_id", "label", *six("major_axis", "minor_axis"), F.round("eccentricity", 4).alias("eccentricity"))
 
 
-@query("morphology_perimeter", "mask", EDGE + """, codes AS (SELECT e.image_id, e.label, e.y, e.x, 1 + coalesce(sum(CASE WHEN n.y IS NULL THEN 0 WHEN e.y <> n.y AND e.x <> n.x THEN 10 ELSE 2 END), 0) AS code FROM edges e
- LEFT JOIN edges n ON n.image_id = e.image_id AND n.label = e.label AND abs(n.y-e.y) <= 1 AND abs(n.x-e.x) <= 1 AND (n.y <> e.y OR n.x <> e.x) GROUP BY 1, 2, 3, 4)
-SELECT image_id, label, round(sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1.0 WHEN code IN (21,33) THEN sqrt(2) WHEN code IN (13,23) THEN (1+sqrt(2))/2 ELSE 0.0 END), 6) AS perimeter FROM codes GROUP BY 1, 2""")
+CODES = """codes AS (SELECT e.image_id, e.label, e.y, e.x, 1 + coalesce(sum(CASE WHEN n.y IS NULL THEN 0 WHEN dy <> 0 AND dx <> 0 THEN 10 ELSE 2 END), 0) AS code
+ FROM (SELECT *, y + dy AS ny, x + dx AS nx FROM edges, (SELECT i-1 AS dy, j-1 AS dx FROM range(3) a(i), range(3) b(j) WHERE i <> 1 OR j <> 1) o) e
+ LEFT JOIN edges n ON n.image_id = e.image_id AND n.label = e.label AND n.y = e.ny AND n.x = e.nx GROUP BY 1, 2, 3, 4),
+perimeters AS (SELECT image_id, label, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1.0 WHEN code IN (21,33) THEN sqrt(2) WHEN code IN (13,23) THEN (1+sqrt(2))/2 ELSE 0.0 END) AS perimeter FROM codes GROUP BY 1, 2)"""
+
+
+@query("morphology_perimeter", "mask", EDGE + ", " + CODES + " SELECT image_id, label, round(perimeter, 6) AS perimeter FROM perimeters")
 def morphology_perimeter(spark, sf):
     return agg.morphology_perimeter(fx.mask(spark, sf)).select("image_id", "label", *six("perimeter"))
 
@@ -162,15 +186,26 @@ def physical_units(spark, sf):
     return found.select("image_id", "label", *[F.round(v.column(n), 6).alias(n) for _, n, _ in agg.PHYSICAL if n in found.columns])
 
 
-@query("measure_cells", "pixels mask", """shape AS (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx FROM mask GROUP BY 1, 2),
-v AS (SELECT m.image_id, m.label, channel, CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS v FROM mask m JOIN pixels p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x)
-SELECT s.image_id, s.label AS "Cell ID", round(cy, 6) AS "Centroid Y px", CAST(area AS DOUBLE) AS "Area px", round(area*um*um, 6) AS "Area µm²",
- round(avg(v) FILTER (channel = 'marker'), 6) AS "marker: Cell Mean", round(stddev_pop(v) FILTER (channel = 'marker'), 6) AS "marker: Cell Std Dev", max(v) FILTER (channel = 'dapi') AS "dapi: Cell Max"
-FROM shape s JOIN v ON v.image_id = s.image_id AND v.label = s.label JOIN (SELECT i AS image_id, CAST(CASE WHEN i <> 3 THEN 0.25*(1+i) ELSE 0.5064 END AS DOUBLE) AS um FROM range(4) t(i)) u ON u.image_id = s.image_id GROUP BY s.image_id, s.label, cy, area, um""")
+MEASURED = [
+    "Centroid Y px", "Centroid X px", "Area px", "Perimeter px", "Eccentricity", "Extent", "Equivalent diameter px", "Major axis length px", "Minor axis length px", "Bounding box Y min px", "Bounding box X min px",
+    "Bounding box Y max px", "Bounding box X max px", "Centroid X µm", "Centroid Y µm", "Area µm²", "Perimeter µm", "Equivalent diameter µm", "Major axis length µm", "Minor axis length µm",
+    *[f"{c}: Cell {n}" for c in ("marker", "dapi") for n in ("Mean", "Std Dev", "Min", "Max")],
+]
+
+
+@query("measure_cells", "pixels mask", EDGE + ", " + CODES + """, moments AS (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y)+1 AS y1, max(x)+1 AS x1,
+ (var_pop(x)+var_pop(y))/2 AS mid, sqrt(pow((var_pop(x)-var_pop(y))/2, 2)+pow(covar_pop(x, y), 2)) AS spread, CAST(CASE WHEN image_id <> 3 THEN 0.25*(1+image_id) ELSE 0.5064 END AS DOUBLE) AS um FROM mask GROUP BY 1, 2),
+shape AS (SELECT *, 4*sqrt(mid+spread) AS major, 4*sqrt(greatest(mid-spread, 0)) AS minor, CASE WHEN mid+spread > 0 THEN sqrt(1-greatest(mid-spread, 0)/(mid+spread)) ELSE 0 END AS ecc, sqrt(4*area/pi()) AS diameter FROM moments),
+v AS (SELECT m.image_id, m.label, channel, CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS v FROM mask m JOIN pixels p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x),
+st AS (SELECT image_id, label, """ + ", ".join(f"{f}(v) FILTER (channel = '{c}') AS {c}_{n}" for c in ("marker", "dapi") for f, n in (("avg", "mean"), ("stddev_pop", "sd"), ("min", "least"), ("max", "most"))) + """ FROM v GROUP BY 1, 2)
+SELECT s.image_id, s.label AS "Cell ID", """ + ", ".join(f'round({e}, {4 if n == "Eccentricity" else 6}) AS "{n}"' for n, e in zip(MEASURED, [
+    "cy", "cx", "CAST(area AS DOUBLE)", "perimeter", "ecc", "area / CAST((y1-y0)*(x1-x0) AS DOUBLE)", "diameter", "major", "minor", "CAST(y0 AS DOUBLE)", "CAST(x0 AS DOUBLE)", "CAST(y1 AS DOUBLE)", "CAST(x1 AS DOUBLE)",
+    "cx*um", "cy*um", "area*um*um", "perimeter*um", "diameter*um", "major*um", "minor*um", *[f"{c}_{n}" for c in ("marker", "dapi") for n in ("mean", "sd", "least", "most")],
+])) + " FROM shape s JOIN perimeters p ON p.image_id = s.image_id AND p.label = s.label JOIN st ON st.image_id = s.image_id AND st.label = s.label")
 def measure_cells(spark, sf):
+    """All measurements but solidity, which SQL cannot express."""
     found = agg.measure_cells(fx.pixels(spark, sf), fx.mask(spark, sf), sized_images(spark, sf), ["marker", "dapi"], v.DEFAULT_PIXEL_SIZE_UM)
-    names = ["Centroid Y px", "Area px", "Area µm²", "marker: Cell Mean", "marker: Cell Std Dev", "dapi: Cell Max"]
-    return found.select("image_id", "Cell ID", *[F.round(v.column(n), 6).alias(n) for n in names])
+    return found.select("image_id", "Cell ID", *[F.round(v.column(n), 4 if n == "Eccentricity" else 6).alias(n) for n in MEASURED])
 
 
 @query("phenotype_counts", "dirty mask cell_rows scored_cells", CALLS + """ SELECT 'threshold' AS source, CASE WHEN positive THEN 'positive' ELSE 'negative' END AS label, count(*) AS n FROM calls GROUP BY 1, 2
@@ -230,7 +265,9 @@ def map_cells_to_labels(spark, sf):
     return matched(spark, sf)
 
 
-POINTS = "points AS (SELECT image_id, i AS point_id0, (image_id*1000 + i) AS point_id, (i*13) % height AS y, (i*29) % width AS x, CASE WHEN i % 2 = 0 THEN 'positive' ELSE 'negative' END AS call FROM images, range(200) t(i))"
+#: A point in each block of every image.
+POINTS = """points AS (SELECT p_partkey % 4 AS image_id, p_partkey AS point_id, (p_partkey // 128)*16 + p_partkey*7 % 16 AS y, (p_partkey // 4) % 32 * 16 + p_partkey*11 % 16 AS x,
+ CASE WHEN p_partkey % 3 = 0 THEN 'positive' ELSE 'negative' END AS call FROM part)"""
 FIND = """rows_in AS (SELECT image_id, count(*) AS n FROM cell_rows GROUP BY 1),
 near_rows AS (SELECT point_id, row_index AS nearest FROM (SELECT a.point_id, c.row_index, row_number() OVER (PARTITION BY a.point_id ORDER BY (cx-centroid_x)*(cx-centroid_x)+(cy-centroid_y)*(cy-centroid_y), c.row_index) AS k
  FROM asked a JOIN cell_rows c ON c.image_id = a.image_id AND (cx-centroid_x)*(cx-centroid_x)+(cy-centroid_y)*(cy-centroid_y) <= 5625) WHERE k = 1),
@@ -239,9 +276,10 @@ found AS (SELECT a.*, CASE WHEN a.row_index >= 0 AND a.row_index < n THEN a.row_
 
 
 def points(spark, sf):
-    i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long")))
-    rows = fx.images(spark, sf).withColumn("i", i)
-    return rows.select("image_id", (F.col("image_id") * 1000 + F.col("i")).alias("point_id"), (F.col("i") * 13 % F.col("height")).alias("y"), (F.col("i") * 29 % F.col("width")).alias("x"), F.when(F.col("i") % 2 == 0, "positive").otherwise("negative").alias("call"))
+    key = F.col("p_partkey")
+    return fx.table(spark, sf, "part").select(
+        (key % 4).alias("image_id"), key.alias("point_id"), (F.floor(key / 128) * 16 + key * 7 % 16).alias("y"), (F.floor(key / 4) % 32 * 16 + key * 11 % 16).alias("x"), F.when(key % 3 == 0, "positive").otherwise("negative").alias("call")
+    )
 
 
 @query("find_cell_row", "cell_rows", "asked AS (SELECT image_id, image_id*1000000+row_index AS point_id, CAST(row_index + 1 AS VARCHAR) AS cell_id, cx+3 AS centroid_x, cy-2 AS centroid_y, CASE WHEN row_index % 3 = 0 THEN row_index WHEN row_index % 3 = 1 THEN -5 END AS row_index FROM cell_rows), " + FIND + " SELECT image_id, point_id, cell_id, found_row FROM found")

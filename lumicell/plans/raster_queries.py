@@ -10,23 +10,32 @@ from lumicell.operators import raster as op
 from lumicell.plans.registry import query
 
 FINITE = "abs(value) < CAST('Infinity' AS DOUBLE)"
-OVERVIEW = 24
+OVERVIEW = op.OVERVIEW_SIZE
 #: Overview rows and columns for DuckDB: ``trunc(linspace(0, n - 1, out))``.
 PICKED = f"""scaled AS (SELECT image_id, height, width, greatest(height/{OVERVIEW}.0, width/{OVERVIEW}.0, 1.0) AS s FROM images),
 outs AS (SELECT *, greatest(CAST(round_even(height/s, 0) AS BIGINT), 1) AS oh, greatest(CAST(round_even(width/s, 0) AS BIGINT), 1) AS ow FROM scaled),
 py AS (SELECT image_id, i AS oy, CASE WHEN oh = 1 THEN 0 WHEN i = oh-1 THEN height-1 ELSE CAST(floor(i*(CAST(height-1 AS DOUBLE)/(oh-1))) AS BIGINT) END AS y FROM outs, range(4096) t(i) WHERE i < oh),
 px AS (SELECT image_id, i AS ox, CASE WHEN ow = 1 THEN 0 WHEN i = ow-1 THEN width-1 ELSE CAST(floor(i*(CAST(width-1 AS DOUBLE)/(ow-1))) AS BIGINT) END AS x FROM outs, range(4096) t(i) WHERE i < ow),
 overview AS (SELECT p.image_id, channel, oy, ox, value FROM pixels p JOIN py ON p.image_id = py.image_id AND p.y = py.y JOIN px ON p.image_id = px.image_id AND p.x = px.x)"""
-WINDOWS = "windows AS (SELECT image_id, r AS region_id, (r*7) % (height-15) AS y0, r*100 AS x0, 16 AS height, 40 AS width FROM images, range(3) t(r))"
+#: A window for every fourth block of each image, 16 x 40, across block borders; and the 16 x 16 bins that it meets.
+WINDOWS = """windows AS (SELECT p_partkey % 4 AS image_id, p_partkey // 4 AS region_id, least((p_partkey // 128)*16 + 5, i.height-16) AS y0, least((p_partkey // 4) % 32 * 16 + 3, 512-40) AS x0, 16 AS height, 40 AS width
+ FROM part JOIN images i ON i.image_id = p_partkey % 4 WHERE p_partkey % 16 < 4)"""
+SPREAD = "spread AS (SELECT *, unnest(range(x0 // 16, (x0+width-1) // 16 + 1)) AS bx FROM (SELECT *, unnest(range(y0 // 16, (y0+height-1) // 16 + 1)) AS by FROM windows))"
+#: Joins windows ``w`` with pixels ``p``.
+IN_WINDOW = "spread w ON p.image_id = w.image_id AND p.y // 16 = w.by AND p.x // 16 = w.bx AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width"
+WINDOWS += ", " + SPREAD
 LIMITS = """(SELECT {by}, CASE WHEN hi <= lo THEN least ELSE lo END AS low, CASE WHEN hi <= lo THEN most ELSE hi END AS high0
  FROM (SELECT {by}, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, min(v) AS least, max(v) AS most FROM
   (SELECT *, CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS v FROM {rows}) GROUP BY {by}))"""
 
 
 def windows(spark, sf):
-    r = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
-    rows = fx.images(spark, sf).select("image_id", r.alias("region_id"), F.col("height").alias("extent"))
-    return rows.select("image_id", "region_id", (F.col("region_id") * 7 % (F.col("extent") - 15)).alias("y0"), (F.col("region_id") * 100).alias("x0"), F.lit(16).alias("height"), F.lit(40).alias("width"))
+    key = F.col("p_partkey")
+    rows = fx.table(spark, sf, "part").filter(key % 16 < 4).select(key, (key % 4).alias("image_id")).join(fx.images(spark, sf).select("image_id", F.col("height").alias("extent")), "image_id")
+    return rows.select(
+        "image_id", F.floor(key / 4).alias("region_id"), F.least(F.floor(key / 128) * 16 + 5, F.col("extent") - 16).alias("y0"), F.least(F.floor(key / 4) % 32 * 16 + 3, F.lit(512 - 40)).alias("x0"),
+        F.lit(16).alias("height"), F.lit(40).alias("width"),
+    )
 
 
 def fovs(spark, sf):
@@ -38,7 +47,7 @@ def six(*names):
 
 
 @query("read_region", "pixels images", WINDOWS + """ SELECT p.image_id, region_id, channel, p.y-y0 AS fy, p.x-x0 AS fx, CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS value
-FROM pixels p JOIN windows w ON p.image_id = w.image_id AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width""")
+FROM pixels p JOIN """ + IN_WINDOW)
 def read_region(spark, sf):
     regions = windows(spark, sf)
     op.check_windows(regions, fx.images(spark, sf))
@@ -61,26 +70,29 @@ def overview_resample(spark, sf):
     return found.withColumn("value", v.when_finite(F.col("value")))
 
 
-CHANNELS = "channels AS (SELECT image_id, i AS channel_index, CASE WHEN i = image_id THEN '  dapi ' || i WHEN i = 3 THEN 'DAPI' ELSE 'CD' || i END AS name FROM images, range(6) t(i))"
+#: Twenty channels for each image, named from part rows.
+CHANNELS = """channels AS (SELECT p_partkey // 20 AS image_id, p_partkey % 20 AS channel_index,
+ CASE WHEN p_size % 11 = 0 THEN '  dapi ' || p_size WHEN p_size % 17 = 3 THEN 'DAPI' WHEN p_partkey % 20 < 3 THEN 'CD' || (p_partkey % 20) ELSE 'CD' || p_size END AS name FROM part)"""
 
 
 def channels(spark, sf):
-    i = F.col("channel_index")
-    rows = fx.images(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("channel_index"))
-    return rows.withColumn("name", F.when(i == F.col("image_id"), F.concat(F.lit("  dapi "), i.cast("string"))).when(i == 3, "DAPI").otherwise(F.concat(F.lit("CD"), i.cast("string"))))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    named = lambda c: F.concat(F.lit("CD"), c.cast("string"))
+    name = F.when(size % 11 == 0, F.concat(F.lit("  dapi "), size.cast("string"))).when(size % 17 == 3, "DAPI").when(key % 20 < 3, named(key % 20)).otherwise(named(size))
+    return fx.table(spark, sf, "part").select(F.floor(key / 20).alias("image_id"), (key % 20).alias("channel_index"), name.alias("name"))
 
 
-@query("is_dapi", "images", CHANNELS + " SELECT image_id, channel_index, lower(trim(name)) LIKE '%dapi%' AS is_dapi FROM channels")
+@query("is_dapi", "", "WITH " + CHANNELS + " SELECT image_id, channel_index, lower(trim(name)) LIKE '%dapi%' AS is_dapi FROM channels")
 def is_dapi(spark, sf):
     return channels(spark, sf).select("image_id", "channel_index", op.is_dapi(F.col("name")).alias("is_dapi"))
 
 
-@query("dapi_channel", "images", CHANNELS + " SELECT image_id, min(CASE WHEN lower(trim(name)) LIKE '%dapi%' THEN channel_index END) AS dapi_index FROM channels GROUP BY image_id")
+@query("dapi_channel", "", "WITH " + CHANNELS + " SELECT image_id, min(CASE WHEN lower(trim(name)) LIKE '%dapi%' THEN channel_index END) AS dapi_index FROM channels GROUP BY image_id")
 def dapi_channel(spark, sf):
     return op.dapi_channel(channels(spark, sf))
 
 
-@query("membrane_markers", "images", CHANNELS + " SELECT image_id, channel_index, name FROM channels WHERE lower(trim(name)) NOT LIKE '%dapi%'")
+@query("membrane_markers", "", "WITH " + CHANNELS + " SELECT image_id, channel_index, name FROM channels WHERE lower(trim(name)) NOT LIKE '%dapi%'")
 def membrane_markers(spark, sf):
     return op.membrane_markers(channels(spark, sf))
 
@@ -95,7 +107,7 @@ def dapi_threshold(spark, sf):
 
 
 @query("dapi_positive_fraction", "pixels images", DAPI_THRESHOLD + ", " + WINDOWS + """ SELECT p.image_id, region_id, round(count(*) FILTER (value > threshold) / CAST(count(*) AS DOUBLE), 6) AS fraction
-FROM pixels p JOIN windows w ON p.image_id = w.image_id AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width JOIN thresholds t ON t.image_id = p.image_id WHERE channel = 'dapi' GROUP BY 1, 2""")
+FROM pixels p JOIN """ + IN_WINDOW + """ JOIN thresholds t ON t.image_id = p.image_id WHERE channel = 'dapi' GROUP BY 1, 2""")
 def dapi_positive_fraction(spark, sf):
     dapi = fx.dapi(spark, sf)
     limits = op.dapi_threshold(dapi, fx.images(spark, sf), OVERVIEW)
@@ -105,18 +117,19 @@ def dapi_positive_fraction(spark, sf):
 
 @query("random_fov")
 def random_fov(spark, sf):
-    found = op.random_fov(fx.dapi(spark, sf), fx.images(spark, sf), size=fx.FOV, seed=42, attempts=20, bin_side=64)
+    found = op.random_fov(fx.dapi(spark, sf), fx.images(spark, sf), size=fx.FOV, seed=42, bin_side=64)
     return found.select("image_id", "attempt", "y0", "x0", *six("fraction"))
 
 
-@query("first_good_fov", "pixels images", DAPI_THRESHOLD + """, drawn AS (SELECT image_id, a AS attempt, (a*11 + image_id) % (height-7) AS y0, (a*67 + 5) % (width-7) AS x0, 8 AS height, 8 AS width FROM images, range(30) t(a)),
-f AS (SELECT p.image_id, attempt, y0, x0, count(*) FILTER (value > threshold) / CAST(count(*) AS DOUBLE) AS fraction FROM pixels p JOIN drawn w ON p.image_id = w.image_id AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width
+@query("first_good_fov", "pixels images", DAPI_THRESHOLD + """, drawn AS (SELECT image_id, a AS attempt, (a*11 + image_id) % (height-7) AS y0, (a*67 + 5) % (width-7) AS x0, 8 AS height, 8 AS width FROM images, range(200) t(a)),
+spread AS (SELECT *, unnest(range(x0 // 16, (x0+7) // 16 + 1)) AS bx FROM (SELECT *, unnest(range(y0 // 16, (y0+7) // 16 + 1)) AS by FROM drawn)),
+f AS (SELECT p.image_id, attempt, y0, x0, count(*) FILTER (value > threshold) / CAST(count(*) AS DOUBLE) AS fraction FROM pixels p JOIN spread w ON p.image_id = w.image_id AND p.y // 16 = w.by AND p.x // 16 = w.bx AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width
  JOIN thresholds t ON t.image_id = p.image_id WHERE channel = 'dapi' GROUP BY 1, 2, 3, 4)
 SELECT image_id, attempt, y0, x0, round(fraction, 6) AS fraction FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY attempt) AS n FROM f WHERE fraction >= 0.25) WHERE n = 1""")
 def first_good_fov(spark, sf):
     images, dapi = fx.images(spark, sf), fx.dapi(spark, sf)
     a = F.col("attempt")
-    drawn = images.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
+    drawn = images.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
     drawn = drawn.select("image_id", "attempt", ((a * 11 + F.col("image_id")) % (F.col("height") - 7)).alias("y0"), ((a * 67 + 5) % (F.col("width") - 7)).alias("x0"), F.lit(8).alias("height"), F.lit(8).alias("width"))
     found = op.first_good_fov(dapi, drawn, op.dapi_threshold(dapi, images, OVERVIEW), 0.25, 64)
     return found.select("image_id", "attempt", "y0", "x0", *six("fraction"))
@@ -153,19 +166,18 @@ def normalize_uint8(spark, sf):
     return op.normalize_uint8(overview, ["image_id", "channel"]).drop("value")
 
 
-NORMAL = f"""strides AS (SELECT image_id, CAST(ceil(sqrt(CAST(height*width AS DOUBLE)/10000)) AS BIGINT) AS stride FROM images),
+NORMAL = f"""strides AS (SELECT image_id, CAST(ceil(sqrt(CAST(height*width AS DOUBLE)/1000000)) AS BIGINT) AS stride FROM images),
 lims AS (SELECT p.image_id, channel, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM pixels p JOIN strides s ON p.image_id = s.image_id WHERE y % stride = 0 AND x % stride = 0 AND {FINITE} GROUP BY 1, 2),
 units AS (SELECT p.image_id, p.channel, y, x, CASE WHEN high > low THEN least(greatest(((CASE WHEN isnan(value) THEN low WHEN value = CAST('Infinity' AS DOUBLE) THEN high ELSE value END) - low)/(high - low), 0.0), 1.0) ELSE 0.0 END AS unit
 FROM pixels p LEFT JOIN lims l ON p.image_id = l.image_id AND p.channel = l.channel)"""
 
 
-@query("normalize_channel", "pixels images", NORMAL + " SELECT image_id, channel, y, x, round(unit, 6) AS unit FROM units WHERE y < 16")
+@query("normalize_channel", "pixels images", NORMAL + " SELECT image_id, channel, y, x, round(unit, 6) AS unit FROM units")
 def normalize_channel(spark, sf):
-    found = op.normalize_channel(fx.pixels(spark, sf), fx.images(spark, sf), 10_000)
-    return found.filter("y < 16").select("image_id", "channel", "y", "x", *six("unit"))
+    return op.normalize_channel(fx.pixels(spark, sf), fx.images(spark, sf)).select("image_id", "channel", "y", "x", *six("unit"))
 
 
-@query("segmentation_input", "pixels images", NORMAL.replace("10000", "1000000") + """ SELECT image_id, y, x, CAST(floor(max(CASE WHEN channel = 'marker' THEN unit END)*255) AS INTEGER) AS ch0,
+@query("segmentation_input", "pixels images", NORMAL + """ SELECT image_id, y, x, CAST(floor(max(CASE WHEN channel = 'marker' THEN unit END)*255) AS INTEGER) AS ch0,
 CAST(floor(max(CASE WHEN channel = 'dapi' THEN unit END)*255) AS INTEGER) AS ch1, 0 AS ch2 FROM units GROUP BY 1, 2, 3""")
 def segmentation_input(spark, sf):
     return op.segmentation_input(fx.pixels(spark, sf), fx.images(spark, sf), ["marker", "marker"], "dapi")
@@ -178,8 +190,8 @@ def rgb_overview(spark, sf):
     return op.rgb_overview(fx.marker(spark, sf), fx.dapi(spark, sf), fx.images(spark, sf), "Magenta", OVERVIEW)
 
 
-THRESHOLDS = f"""thresholds AS (SELECT p.image_id, region_id, quantile_cont(value, 0.01) + 0.5*(quantile_cont(value, 0.99) - quantile_cont(value, 0.01)) AS threshold
-FROM pixels p JOIN windows w ON p.image_id = w.image_id AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width WHERE channel = 'marker' AND {FINITE} GROUP BY 1, 2)"""
+THRESHOLDS = """thresholds AS (SELECT p.image_id, region_id, quantile_cont(value, 0.01) + 0.5*(quantile_cont(value, 0.99) - quantile_cont(value, 0.01)) AS threshold
+FROM pixels p JOIN """ + IN_WINDOW + f""" WHERE channel = 'marker' AND {FINITE} GROUP BY 1, 2)"""
 
 
 @query("intensity_threshold", "pixels images", WINDOWS + ", " + THRESHOLDS + " SELECT image_id, region_id, round(threshold, 6) AS threshold FROM thresholds")
@@ -188,7 +200,7 @@ def intensity_threshold(spark, sf):
     return op.intensity_threshold(regions, ["image_id", "region_id"], 500).select("image_id", "region_id", *six("threshold"))
 
 
-@query("threshold_highlight", "pixels images", WINDOWS + ", " + THRESHOLDS + """ SELECT p.image_id, w.region_id, p.y-y0 AS fy, p.x-x0 AS fx FROM pixels p JOIN windows w ON p.image_id = w.image_id AND p.y >= y0 AND p.y < y0+height AND p.x >= x0 AND p.x < x0+width
+@query("threshold_highlight", "pixels images", WINDOWS + ", " + THRESHOLDS + """ SELECT p.image_id, w.region_id, p.y-y0 AS fy, p.x-x0 AS fx FROM pixels p JOIN """ + IN_WINDOW + """
 JOIN thresholds t ON t.image_id = w.image_id AND t.region_id = w.region_id WHERE channel = 'marker' AND NOT isnan(value) AND value > threshold""")
 def threshold_highlight(spark, sf):
     regions = op.read_region(fx.marker(spark, sf), windows(spark, sf))
@@ -196,7 +208,7 @@ def threshold_highlight(spark, sf):
     return op.threshold_highlight(regions, op.intensity_threshold(regions, by, 500), by).select(*by, "fy", "fx")
 
 
-@query("cells_in_fov", "cell_rows images", WINDOWS.replace("AS height, 40 AS width", "AS size") + """ SELECT c.image_id, region_id AS fov_id, row_index, round(cy-y0, 6) AS fy, round(cx-x0, 6) AS fx
+@query("cells_in_fov", "cell_rows images", WINDOWS.split(", " + SPREAD)[0].replace("AS height, 40 AS width", "AS size") + """ SELECT c.image_id, region_id AS fov_id, row_index, round(cy-y0, 6) AS fy, round(cx-x0, 6) AS fx
 FROM cell_rows c JOIN windows w ON c.image_id = w.image_id AND cy >= y0 AND cy < y0+size AND cx >= x0 AND cx < x0+size""")
 def cells_in_fov(spark, sf):
     cells = fx.cell_rows(spark, sf).select("image_id", "row_index", F.col("cx").alias("x"), F.col("cy").alias("y"))

@@ -19,11 +19,28 @@ ORDER = ["ts", "event_id"]
 FEATURES = [*[f"marker{i}: Cell Mean" for i in range(6)], "Texture", "Constant"]
 
 
-@query("centroid_columns", "feature_cells", """SELECT image_id, count(*) AS cells, 'Centroid X px' AS x_column, 'center_y' AS y_column FROM feature_cells GROUP BY 1""")
+NOT_FEATURE = "regexp_matches(translate(lower({name}), '_-', '  '), '" + "|".join(sc.NOT_FEATURES) + "')"
+#: Every column of the cells but their keys, as text, one row for each value.
+UNPIVOTED = """values_of AS (UNPIVOT (SELECT image_id, row_index, CAST(COLUMNS(* EXCLUDE (image_id, row_index, target)) AS VARCHAR) FROM feature_cells) ON COLUMNS(* EXCLUDE (image_id, row_index)) INTO NAME feature VALUE value)"""
+
+
+@query("centroid_columns", sql="""WITH heads AS (SELECT p_partkey, ['Area', CASE WHEN p_partkey % 3 = 0 THEN 'center_x' WHEN p_partkey % 3 = 1 THEN 'Nucleus Centroid X' ELSE 'X' END, CASE WHEN p_partkey % 4 < 2 THEN 'Centroid Y px' ELSE 'cell-center-y' END,
+ CASE WHEN p_partkey % 5 = 0 THEN 'Centroid X um' ELSE 'Centroid X' END, CASE WHEN p_partkey % 7 = 0 THEN 'Centroid Y µm' ELSE 'Label' END] AS names FROM part),
+n AS (SELECT p_partkey, generate_subscripts(names, 1) AS place, unnest(names) AS name FROM heads),
+c AS (SELECT p_partkey, axis, name, place, CASE WHEN name = 'Centroid ' || upper(axis) || ' µm' THEN 0 WHEN name = 'Centroid ' || upper(axis) || ' μm' THEN 1 WHEN name = 'Centroid ' || upper(axis) || ' um' THEN 2 WHEN name = 'Centroid ' || upper(axis) || ' px' THEN 3
+ WHEN name = 'Centroid ' || upper(axis) THEN 4 WHEN regexp_matches(lower(name), 'centroid|center') AND (list_contains(string_split(translate(lower(name), '_-', '  '), ' '), axis) OR lower(name) LIKE '%' || axis) THEN 5 END AS kind FROM n, (VALUES ('x'), ('y')) a(axis))
+SELECT p_partkey, max(name) FILTER (axis = 'x') AS x_column, max(name) FILTER (axis = 'y') AS y_column FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, axis ORDER BY kind, place) AS k FROM c WHERE kind IS NOT NULL) WHERE k = 1 GROUP BY 1""")
 def centroid_columns(spark, sf):
-    named = fx.feature_cells(spark, sf).withColumnRenamed("Partial", "center_y")
-    x, y = sc.centroid_columns(named.columns)
-    return named.groupBy("image_id").agg(F.count("*").alias("cells")).withColumns({"x_column": F.lit(x), "y_column": F.lit(y)})
+    """Headers of many tables; the rule is applied once to each distinct header."""
+    key = F.col("p_partkey")
+    names = F.array(
+        F.lit("Area"), F.when(key % 3 == 0, "center_x").when(key % 3 == 1, "Nucleus Centroid X").otherwise("X"), F.when(key % 4 < 2, "Centroid Y px").otherwise("cell-center-y"),
+        F.when(key % 5 == 0, "Centroid X um").otherwise("Centroid X"), F.when(key % 7 == 0, "Centroid Y µm").otherwise("Label"),
+    )
+    heads = fx.table(spark, sf, "part").select(key, names.alias("names"))
+    known = [(list(r["names"]), *sc.centroid_columns(list(r["names"]))) for r in heads.select("names").distinct().collect()]  # a few headers
+    found = F.broadcast(spark.createDataFrame(known, "names array<string>, x_column string, y_column string"))
+    return heads.join(found, "names").select("p_partkey", "x_column", "y_column")
 
 
 @query("centroids_px", "feature_cells", """SELECT image_id, row_index, "Centroid X px" AS x, round("marker0: Cell Mean"/CAST(0.5064 AS DOUBLE), 6) AS y FROM feature_cells""")
@@ -32,28 +49,43 @@ def centroids_px(spark, sf):
     return sc.centroids_px(named).select("image_id", "row_index", "x", *six("y"))
 
 
-@query("excluded_feature", sql="""SELECT p_partkey, lower(p_type) LIKE '%roi%' OR lower(p_type) LIKE '%label%' OR lower(p_type) LIKE '%centroid%' AS excluded FROM part""")
+NAMED = """named AS (SELECT p_partkey, p_type || ' ' || ['Mean', 'Centroid_Z', 'object-ID', 'Cell ID', 'LABEL', 'Classification', 'geometry x', 'polygon', 'Bounding', 'bbox', 'roi', 'X_min', 'x max', 'Y-Min', 'y max', 'xmin', 'Intensity', 'Erosion'][1 + p_partkey % 18] AS name FROM part)"""
+ENDS = "Mean,Centroid_Z,object-ID,Cell ID,LABEL,Classification,geometry x,polygon,Bounding,bbox,roi,X_min,x max,Y-Min,y max,xmin,Intensity,Erosion".split(",")
+
+
+@query("excluded_feature", sql="WITH " + NAMED + " SELECT p_partkey, name, " + NOT_FEATURE.format(name="name") + " AS excluded FROM named")
 def excluded_feature(spark, sf):
-    parts = F.array(*[F.lit(p) for p in sc.NOT_FEATURES])
-    name = F.translate(F.lower("p_type"), "_-", "  ")
-    return fx.table(spark, sf, "part").select("p_partkey", F.exists(parts, lambda p: F.contains(name, p)).alias("excluded"))
+    name = F.concat_ws(" ", "p_type", F.element_at(F.array(*map(F.lit, ENDS)), (F.col("p_partkey") % 18 + 1).cast("int")))
+    return fx.table(spark, sf, "part").select("p_partkey", name.alias("name"), sc.excluded_feature(name).alias("excluded"))
 
 
-@query("shared_numeric_features", "feature_cells", "SELECT unnest(['" + "','".join(FEATURES) + "']) AS feature, count(*) AS cells FROM feature_cells GROUP BY 1")
+@query("shared_numeric_features", "feature_cells", ", " + UNPIVOTED + """ SELECT feature, (SELECT count(*) FROM feature_cells) AS cells FROM values_of WHERE NOT """ + NOT_FEATURE.format(name="feature") + """
+GROUP BY feature HAVING count(DISTINCT image_id) FILTER (TRY_CAST(value AS DOUBLE) IS NOT NULL) = (SELECT count(DISTINCT image_id) FROM feature_cells)""")
 def shared_numeric_features(spark, sf):
     rows = fx.feature_cells(spark, sf).drop("target")
-    found = sc.shared_numeric_features(rows, 0)
+    found = sc.shared_numeric_features(rows)
     return rows.select(F.explode(F.array(*[F.lit(n) for n in found])).alias("feature")).groupBy("feature").agg(F.count("*").alias("cells"))
 
 
-@query("usable_features", "feature_cells", "SELECT unnest(['" + "','".join(FEATURES[:-1]) + "']) AS feature, count(*) AS cells FROM feature_cells GROUP BY 1")
+ANNOTATED = "folded AS (SELECT image_id, cell_id, action AS label FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cell_id ORDER BY ts DESC, event_id DESC) AS n FROM actions WHERE action <> 'cancel') WHERE n = 1 AND action <> 'exclude'), annotated AS (SELECT c.*, label FROM feature_cells c JOIN folded f ON f.image_id = c.image_id AND CAST(f.cell_id AS BIGINT) = c.row_index)"
+
+
+def training_cells(spark, sf):
+    """Cells that the action log annotates, with their label as target."""
+    folded = tr.fold_annotations(fx.actions(spark, sf), ORDER).select("image_id", F.col("cell_id").cast("long").alias("row_index"), (F.col("label") == "positive").cast("int").alias("target"))
+    return fx.feature_cells(spark, sf).drop("target").join(folded, ["image_id", "row_index"])
+
+
+@query("usable_features", "feature_cells actions", ", " + ANNOTATED + ", " + UNPIVOTED.replace("target)) AS VARCHAR) FROM feature_cells)", "target, label)) AS VARCHAR) FROM annotated)") + """ SELECT feature, (SELECT count(*) FROM annotated) AS cells FROM values_of
+WHERE feature IN ('""" + "', '".join(FEATURES) + """') GROUP BY feature HAVING count(DISTINCT TRY_CAST(value AS DOUBLE)) > 1""")
 def usable_features(spark, sf):
-    rows = fx.feature_cells(spark, sf)
-    found = sc.usable_features(rows.filter("row_index < 50"), FEATURES)
+    rows = training_cells(spark, sf)
+    found = sc.usable_features(rows, FEATURES)
     return rows.select(F.explode(F.array(*[F.lit(n) for n in found])).alias("feature")).groupBy("feature").agg(F.count("*").alias("cells"))
 
 
-@query("shared_membrane_markers", "images", CHANNELS + " SELECT a.name, min(a.channel_index) AS channel_index FROM channels a WHERE a.image_id = 0 AND (SELECT count(DISTINCT image_id) FROM channels b WHERE b.name = a.name AND lower(trim(b.name)) NOT LIKE '%dapi%') = 4 GROUP BY 1")
+@query("shared_membrane_markers", "", "WITH " + CHANNELS + """ SELECT a.name, min(a.channel_index) AS channel_index FROM channels a WHERE a.image_id = 0 AND lower(trim(a.name)) NOT LIKE '%dapi%'
+AND (SELECT count(DISTINCT image_id) FROM channels b WHERE b.name = a.name) = (SELECT count(DISTINCT image_id) FROM channels) GROUP BY 1""")
 def shared_membrane_markers(spark, sf):
     from lumicell.operators.raster import membrane_markers
 
@@ -88,13 +120,10 @@ def unique_export_column(spark, sf):
 
 
 def export_parts(spark, sf):
-    """Per-image cell tables with different columns, calls, and training labels."""
+    """Cell tables of two headers, calls, and training labels."""
     rows = fx.cell_rows(spark, sf)
-    name = lambda i: f"slide {i}"
-    tables = []
-    for i in range(4):
-        own = rows.filter(F.col("image_id") == i).select("row_index", F.col("cell_id").alias("Cell ID"), F.col("cy").alias("Y"), *([(F.col("row_index") * 2).alias("Extra")] if i % 2 else []))
-        tables.append((name(i), own))
+    own = rows.select(F.concat(F.lit("slide "), F.col("image_id").cast("string")).alias("image_name"), "row_index", F.col("cell_id").alias("Cell ID"), F.col("cy").alias("Y"), (F.col("row_index") * 2).alias("Extra"), (F.col("image_id") % 2).alias("odd"))
+    tables = [own.filter("odd = 0").drop("Extra", "odd"), own.filter("odd = 1").drop("odd")]
     calls = rows.select(F.concat(F.lit("slide "), F.col("image_id").cast("string")).alias("image_name"), "row_index", (F.col("row_index") % 3 == 0).alias("positive"))
     folded = tr.fold_annotations(fx.actions(spark, sf), ORDER)
     trained = folded.join(rows, (folded.image_id == rows.image_id) & (folded.cell_id.cast("long") == rows.row_index)).select(
@@ -139,11 +168,11 @@ def training_rows(spark, sf):
     return tr.training_rows(asked, cells(spark, sf))
 
 
-@query("automated_quotas", "actions", FOLDED + """, c AS (SELECT count(*) FILTER (label = 'positive' AND CAST(cell_id AS BIGINT) < 12) AS p, count(*) FILTER (label = 'negative' AND CAST(cell_id AS BIGINT) < 12) AS n FROM folded WHERE image_id = 0)
+@query("automated_quotas", "actions", FOLDED + """, c AS (SELECT count(*) FILTER (label = 'positive' AND CAST(cell_id AS BIGINT) % 9 = 4) AS p, count(*) FILTER (label = 'negative' AND CAST(cell_id AS BIGINT) % 9 = 4) AS n FROM folded)
 SELECT greatest(25-p, 0) AS positive, least(CAST(round_even(greatest(25-n, 0)*15/25.0, 0) AS BIGINT), 15) AS negative_low, greatest(25-n, 0) - least(CAST(round_even(greatest(25-n, 0)*15/25.0, 0) AS BIGINT), 15) AS negative_mid FROM c""")
 def automated_quotas(spark, sf):
-    folded = tr.fold_annotations(fx.actions(spark, sf), ORDER).filter("image_id = 0")
-    return tr.automated_quotas(folded.withColumn("source", F.when(F.col("cell_id").cast("long") < 12, "manual").otherwise("automated")))
+    folded = tr.fold_annotations(fx.actions(spark, sf), ORDER)
+    return tr.automated_quotas(folded.withColumn("source", F.when(F.col("cell_id").cast("long") % 9 == 4, "manual").otherwise("automated")))
 
 
 POOLS = """neg AS (SELECT *, row_number() OVER (ORDER BY mean_intensity, image_index, row_index) - 1 AS r, count(*) OVER () AS n FROM scored_cells WHERE positive_fraction <= 0.25),
@@ -158,8 +187,7 @@ def excluded(cells_):
 @query("automated_training_pools", "scored_cells", POOLS + " SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY r) - 1 AS place, image_index, row_index FROM pools WHERE row_index % 17 <> 3")
 def automated_training_pools(spark, sf):
     scored = fx.scored_cells(spark, sf)
-    pools = tr.automated_training_pools(scored, 0.25, excluded(scored))
-    return pools["low"].unionByName(pools["mid"]).unionByName(pools["positive"])
+    return tr.automated_training_pools(scored, 0.25, excluded(scored))
 
 
 @query("automated_training_selection")
@@ -176,8 +204,7 @@ pools AS (SELECT 'positive' AS pool, r, image_index, row_index FROM b WHERE NOT
 @query("refinement_pools", "scored_cells", REFINE + " SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY r) - 1 AS place, image_index, row_index FROM pools")
 def refinement_pools(spark, sf):
     scored = fx.scored_cells(spark, sf)
-    pools = tr.refinement_pools(scored, 0.6, excluded(scored))
-    return pools["positive"].unionByName(pools["negative"])
+    return tr.refinement_pools(scored, 0.6, excluded(scored))
 
 
 @query("refinement_selection")
@@ -188,22 +215,20 @@ def refinement_selection(spark, sf):
 
 @query("stage_seed", sql="SELECT s_suppkey, (4294967290 + s_suppkey) % 4294967296 AS seed FROM supplier")
 def stage_seed(spark, sf):
-    return fx.table(spark, sf, "supplier").select("s_suppkey", ((F.lit(4294967290) + F.col("s_suppkey")) % (1 << 32)).alias("seed"))
-
-
-def training_cells(spark, sf):
-    return fx.feature_cells(spark, sf).filter("row_index < 60")
+    return fx.table(spark, sf, "supplier").select("s_suppkey", tr.stage_seed(F.lit(4294967290), F.col("s_suppkey")).alias("seed"))
 
 
-def fitted(spark, sf, trees=60):
-    return rf.fit_forest(training_cells(spark, sf), FEATURES, trees=trees, depth=12)
+def fitted(spark, sf):
+    return rf.fit_forest(training_cells(spark, sf), FEATURES)
 
 
 @query("fit_forest")
 def fit_forest(spark, sf):
-    model, used = fitted(spark, sf, rf.TREES)
-    scored = rf.apply_forest(model, training_cells(spark, sf), used, ["target"])
-    return scored.groupBy("target").agg(F.count("*").alias("cells"), F.count_if("positive").alias("called_positive"))
+    """How a forest calls the cells that it was fitted on, and all others."""
+    model, used = fitted(spark, sf)
+    known = training_cells(spark, sf).select("image_id", "row_index", F.col("target").alias("trained_as"))
+    scored = rf.apply_forest(model, fx.feature_cells(spark, sf).join(known, ["image_id", "row_index"], "left"), used, ["trained_as"])
+    return scored.groupBy("trained_as").agg(F.count("*").alias("cells"), F.count_if("positive").alias("called_positive"))
 
 
 @query("apply_forest")
@@ -212,14 +237,6 @@ def apply_forest(spark, sf):
     return rf.apply_forest(model, fx.feature_cells(spark, sf), used, ["image_id", "row_index"])
 
 
-@query("train_model")
-def train_model(spark, sf):
-    rows = fx.feature_cells(spark, sf)
-    shared = sc.shared_numeric_features(rows.drop("target"), 0)
-    model, used = rf.fit_forest(rows.filter("row_index < 60"), shared, trees=60, depth=12)
-    return rf.apply_forest(model, rows, used, ["image_id", "row_index"])
-
-
 @query("save_model")
 def save_model(spark, sf):
     model, used = fitted(spark, sf)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumicell.functions.rank import checkpointed
+from lumicell.functions.rank import checkpointed, few
 
 
 def separator(path: str) -> str:
@@ -20,23 +22,65 @@ def read_cell_table(spark: SparkSession, path: str, image_id=None, sep: str | No
     A row's place is its place in its block of the file plus the rows of the blocks before, so large files are read in
     parts.  The schema is inferred unless given; a table without rows is an error.
     """
-    reader = spark.read.option("header", True).option("sep", sep or separator(path))
-    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-    placed = rows.select("*", F.col("_metadata.file_path").alias("file_of_row"), F.col("_metadata.file_block_start").alias("block_of_row"), F.monotonically_increasing_id().alias("id_of_row"))
-    placed = checkpointed(placed)
-    blocks = placed.groupBy("file_of_row", "block_of_row").agg(F.count("*").alias("n"), F.min("id_of_row").alias("low"))
-    if blocks.isEmpty():
+    rows = _reader(spark, sep or separator(path), schema).csv(path)
+    placed = _placed(rows, lambda df: df.withColumn("image_id", F.lit(image_id)))
+    if placed.isEmpty():
         raise ValueError(f"{path} has no cells")
-    before = Window.orderBy("file_of_row", "block_of_row").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    starts = blocks.select("file_of_row", "block_of_row", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift"))
-    out = placed.join(F.broadcast(starts), ["file_of_row", "block_of_row"]).withColumn("row_index", F.col("id_of_row") + F.col("shift"))
-    out = out.select(*([F.lit(image_id).alias("image_id")] if image_id is not None else []), "row_index", *rows.columns)
-    return out
+    return placed.select(*(["image_id"] if image_id is not None else []), "row_index", *rows.columns)
+
+
+def _reader(spark: SparkSession, sep: str, schema: str | None):
+    reader = spark.read.option("header", True).option("sep", sep)
+    return reader.schema(schema) if schema else reader.option("inferSchema", True)
+
 
+def _placed(rows: DataFrame, with_image: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with ``image_id``, which ``with_image`` adds, and their row in file order within it: one job for all files."""
+    own = ["image_id", "file_of_row", "block_of_row"]
+    read = rows.select("*", F.col("_metadata.file_path").alias("file_of_row"), F.col("_metadata.file_block_start").alias("block_of_row"), F.monotonically_increasing_id().alias("id_of_row"))
+    placed = with_image(checkpointed(read))
+    blocks = placed.groupBy(*own).agg(F.count("*").alias("n"), F.min("id_of_row").alias("low"))
+    before = Window.partitionBy("image_id").orderBy("file_of_row", "block_of_row").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    starts = few(blocks.select(*own, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift")))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own]
+    joined = placed.alias("a").join(starts.alias("b"), same[0] & same[1] & same[2])
+    return joined.select("a.*", (F.col("a.id_of_row") + F.col("b.shift")).alias("row_index")).drop("file_of_row", "block_of_row", "id_of_row")
 
-def read_cell_tables(spark: SparkSession, paths: dict, sep: str | None = None) -> DataFrame:
-    """Tables of several images ``{image_id: path}`` on the union of their columns."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_cell_table(spark, p, i, sep) for i, p in paths.items()])
+
+def read_cell_tables(spark: SparkSession, paths: dict[int, str], sep: str | None = None) -> DataFrame:
+    """Tables of several images ``{image_id: path}`` on the union of their columns, in first-seen order.
+
+    Files with the same header are read in one scan, however many images they are of; an image's table may be a folder of parts in the
+    order of their names.  A table without rows is an error.
+    """
+    kinds: dict[tuple, dict[int, str]] = {}
+    for i, p in paths.items():
+        kind = sep or separator(p)
+        kinds.setdefault((kind, *spark.read.option("header", True).option("sep", kind).csv(p).columns), {})[i] = p
+    tables = []
+    for (kind, *columns), own in kinds.items():
+        rows = _reader(spark, kind, None).csv(list(own.values()))
+        named = few(spark.createDataFrame([(_inside(p), i) for i, p in own.items()], "path_of_image string, image_id long"))
+
+        def with_image(df: DataFrame, named=named) -> DataFrame:
+            file = F.expr(_INSIDE)
+            own_path = F.array(file, F.regexp_replace(file, "/[^/]*$", ""))  # the file, or the folder that it is a part of
+            return df.withColumn("path_of_image", F.explode(own_path)).join(named, "path_of_image").drop("path_of_image")
+
+        tables.append((columns, _placed(rows, with_image)))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t for _, t in tables])
+    counts = {r["image_id"] for r in union.select("image_id").distinct().collect()}
+    if missing := [p for i, p in paths.items() if i not in counts]:
+        raise ValueError(f"{missing[0]} has no cells")
+    return union.select("image_id", "row_index", *dict.fromkeys(c for columns, _ in tables for c in columns))
+
+
+#: A path without scheme and host, percent signs resolved.
+_INSIDE = "url_decode(replace(regexp_replace(file_of_row, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*', '/'), '+', '%2B'))"
+
+
+def _inside(path: str) -> str:
+    return "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).strip("/")
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:

@@ -14,7 +14,9 @@ UNIT_UM = {
 #: Axis names by the number of axes.
 AXES_BY_RANK = {2: "yx", 3: "cyx", 4: "zcyx", 5: "tczyx"}
 _OMERO = "channels array<struct<label:string,name:string>>"
-_CHANNEL_XML = "Image struct<Pixels:struct<Channel:array<struct<_Name:string>>>>"
+_CHANNEL_XML = "Image array<struct<Pixels:array<struct<Channel:array<struct<_Name:string>>>>>>"
+#: Fixed value: the namespace that channel elements must be in, whatever prefix they have.
+_OME_NAMESPACE = "http://www.openmicroscopy.org/Schemas/OME/2016-06"
 
 
 def _filled(names: Column) -> Column:
@@ -35,15 +37,17 @@ def _page_name(text: Column, i: Column) -> Column:
 def resolve_channel_names(files: DataFrame) -> DataFrame:
     """``file_id, channel_index, name`` from ``files(file_id, kind, channels, reader_names, omero, biomarkers, ome_xml, imagej, pages)``.
 
-    For kind ``zarr``: the reader's list, then OMERO's; each needs a name for every channel.  Else: biomarkers (if enough), names in
-    the XML, ImageJ labels (either may be fewer than the channels), names in page texts.  At last ``Channel i``.
+    For kind ``zarr``: the reader's list, then OMERO's; each needs a name for every channel.  Else: biomarkers (if enough), names of
+    all channels of all images in the XML, with or without a prefix, ImageJ labels (either may be fewer than the channels), names in page texts.  At last ``Channel i``.
     ``reader_names``, ``biomarkers``, ``imagej`` and ``pages`` are arrays of text, ``omero`` JSON, ``ome_xml`` XML.
     """
     n = F.col("channels").cast("int")
     enough = lambda names: F.when(F.size(names) >= n, F.slice(names, 1, n))
     some = lambda names: F.when(F.size(names) > 0, F.slice(names, 1, n))
     omero = F.transform(F.from_json("omero", _OMERO)["channels"], lambda c: F.coalesce(F.nullif(c["label"], F.lit("")), c["name"]))
-    xml = F.transform(F.from_xml("ome_xml", _CHANNEL_XML)["Image"]["Pixels"]["Channel"], lambda c: c["_Name"])
+    read = F.from_xml("ome_xml", _CHANNEL_XML, {"ignoreNamespace": "true"})
+    each = F.flatten(F.flatten(F.transform(read["Image"], lambda i: F.transform(i["Pixels"], lambda p: F.coalesce(p["Channel"], F.expr("cast(array() as array<struct<_Name:string>>)"))))))
+    xml = F.when(F.contains("ome_xml", F.lit(_OME_NAMESPACE)), F.transform(each, lambda c: c["_Name"]))
     xml = F.transform(xml, lambda x, i: F.coalesce(x, F.concat(F.lit("Channel "), i.cast("string"))))
     pages = F.transform(F.slice("pages", 1, n), _page_name)
     zarr = F.coalesce(enough(_filled(F.col("reader_names"))), enough(_filled(omero)))

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumicell.sources.cells import unique_stems
+
 TILE = 256
 
 
@@ -57,13 +59,27 @@ def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, f"image_id {kind['image_id']}, channel {kind['channel']}, y long, x long, value double")
 
 
-def write_segmentation(cells: DataFrame, mask: DataFrame, path: str, model: str, markers: list[str], nuclear: str | None) -> None:
-    """A pair of cell table (text by image) and mask tiles (Parquet by image), with what made them; Spark's commit replaces earlier ones."""
+def write_segmentation(cells: DataFrame, mask: DataFrame, path: str, model: str, markers: list[str], nuclear: str | None, names: dict[int, str]) -> None:
+    """A pair of cell table (text by image) and mask tiles (Parquet by image), with what made them; Spark's commit replaces earlier ones.
+
+    ``names`` are the images' file names, from which the pair's names come; equal stems get numbers.
+    """
+    spark = cells.sparkSession
     cells.write.mode("overwrite").option("header", True).option("sep", "\t").partitionBy("image_id").csv(f"{path}/cells")
     labelled = mask.select("image_id", F.lit("mask").alias("channel"), "y", "x", F.col("label").cast("double").alias("value"))
     write_tiles(pixels_to_tiles(labelled, dtype="<u4"), f"{path}/mask")
-    about = cells.sparkSession.createDataFrame([(model, markers, nuclear)], "model_name string, marker_names array<string>, nuclear_channel_name string")
+    about = spark.createDataFrame([(model, markers, nuclear)], "model_name string, marker_names array<string>, nuclear_channel_name string")
     about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    pairs = [(i, f"{stem}_cells.tsv", f"{stem}_masks") for i, stem in zip(names, unique_stems(list(names.values())))]
+    spark.createDataFrame(pairs, "image_id long, cells_file string, mask_file string").coalesce(1).write.mode("overwrite").json(f"{path}/pairs")
+
+
+def read_segmentation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(cells with image_id and the name of their file, what made them)``."""
+    pairs = spark.read.schema("image_id long, cells_file string, mask_file string").json(f"{path}/pairs")  # a row for each image
+    cells = spark.read.option("header", True).option("sep", "\t").option("inferSchema", True).csv(f"{path}/cells").withColumn("image_id", F.col("image_id").cast("long"))
+    about = spark.read.schema("model_name string, marker_names array<string>, nuclear_channel_name string").json(f"{path}/about")
+    return cells.join(pairs.select("image_id", F.col("cells_file").alias("file")), "image_id"), about
 
 
 def read_mask_tiles(tiles: DataFrame) -> DataFrame:

@@ -134,11 +134,11 @@ def test_phenotype_table(spark):
     two = spark.createDataFrame([(0, 5)], "row_index long, c int")
     calls = spark.createDataFrame([("s1", 0, True), ("s1", 1, False), ("s2", 0, True)], "image_name string, row_index long, positive boolean")
     trained = spark.createDataFrame([("s2", 0, "positive", 1), ("s2", 0, "negative", 2)], "image_name string, row_index long, label string, order int")
-    found = sc.phenotype_table([("s1", one), ("s2", two)], calls, "CD3", "Model", trained)
+    found = sc.phenotype_table([one.withColumn("image_name", F.lit("s1")), two.withColumn("image_name", F.lit("s2"))], calls, "CD3", "Model", trained)
     assert found.columns == ["Image Name", "Cell Row", "Label Source", "b", "c", "CD3 Label", "Export Label Source"]
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("s1", 1, "1", "2.0", None, "Positive", "Model"), ("s1", 2, "2", "3.0", None, "Negative", "Model"), ("s2", 1, None, None, "5", "Negative", "Manual Training")], key=str)
     with pytest.raises(PySparkException):
-        sc.phenotype_table([("s1", one), ("s2", two)], calls.limit(2), "CD3", "Model").collect()
+        sc.phenotype_table([one.withColumn("image_name", F.lit("s1")), two.withColumn("image_name", F.lit("s2"))], calls.limit(2), "CD3", "Model").collect()
 
 
 def test_rank(spark):
@@ -168,8 +168,10 @@ def test_pools_and_draws_equal_numpy(spark):
     top = positive[np.argsort(fraction[positive], kind="stable")[::-1]][: math.ceil(len(positive) * 0.3)]
     pools = {"low": low[~gone[low]], "mid": mid[~gone[mid]], "positive": top[~gone[top]]}
     excluded = spark.createDataFrame(list(out), "image_index long, row_index long")
-    for name, df in tr.automated_training_pools(cells, 0.4, excluded).items():
-        assert [(r["image_index"], r["row_index"]) for r in df.orderBy("place").collect()] == [rows[i][:2] for i in pools[name]]
+    found = tr.automated_training_pools(cells, 0.4, excluded).collect()
+    for name, pool in pools.items():
+        own = sorted((r["place"], r["image_index"], r["row_index"]) for r in found if r["pool"] == name)
+        assert own == [(place, *rows[i][:2]) for place, i in enumerate(pool)]
     rng = np.random.default_rng(42)
     want = {(n, *rows[i][:2]) for n, k in (("low", 15), ("mid", 10), ("positive", 25)) for i in rng.choice(pools[n], size=k, replace=False)}
     assert {(r["pool"], r["image_index"], r["row_index"]) for r in tr.automated_training_selection(cells, 0.4, excluded=excluded).collect()} == want
@@ -226,7 +228,7 @@ def feature_rows(spark):
 
 def test_forest(spark, tmp_path):
     cells = feature_rows(spark)
-    features = sc.shared_numeric_features(cells.drop("target"), 0)
+    features = sc.shared_numeric_features(cells.drop("target"))
     assert features == ["A: Cell Mean", "B", "C"]
     model, used = rf.fit_forest(cells.filter("row_index < 60"), features, trees=20, depth=6)
     assert used == ["A: Cell Mean", "B"]
@@ -246,14 +248,19 @@ def test_forest(spark, tmp_path):
         rf.apply_forest(model, cells.withColumn("B", F.lit(INF)), used, keep).collect()
 
 
-def test_automated_phenotyping(spark):
+def test_automated_phenotyping(spark, tmp_path):
     rng = np.random.default_rng(9)
     rows = []
     for i in range(900):
         high = i % 3 == 0
         rows.append((i % 2, i // 2, float(np.clip(rng.normal(0.6 if high else 0.1, 0.1), 0, 1)), float(rng.normal(100 if high else 50, 20)), float(rng.normal(3 if high else 0, 1.6)), float(rng.normal())))
     cells = spark.createDataFrame(rows, "image_index long, row_index long, positive_fraction double, mean_intensity double, A double, B double")
-    scores, training = automated_phenotyping(cells, ["A", "B"], 0.35, limits=(0.75, 0.75), trees=15, depth=5, refine=1)
+    manual = spark.createDataFrame([(0, 0, "positive"), (1, 1, "positive"), (0, 1, "negative")], "image_index long, row_index long, label string")
+    scores, training = automated_phenotyping(cells, ["A", "B"], 0.35, manual=manual, limits=(0.75, 0.75), trees=15, depth=5, refine=1, path=str(tmp_path / "m"), about={"phenotype": "P", "channel_name": "A"})
+    assert {(r["image_index"], r["row_index"], r["target"]) for r in training.filter("source = 'manual'").collect()} == {(0, 0, 1), (1, 1, 1), (0, 1, 0)}
+    assert training.select("image_index", "row_index").distinct().count() == 54 and training.filter("source = 'automated' and target = 1").count() == 25
+    _, about = rf.load_model(str(tmp_path / "m"), spark)
+    assert about["training_samples"] == 54 and about["automated"]["channel_name"] == "A" and about["automated"]["refinement_positive_count"] == 1 and about["automated"]["random_seed"] == 42
     assert training.count() == 54 and training.groupBy("target").count().count() == 2 and scores.count() == 900
     right = [r["called_positive"] == ((2 * r["row_index"] + r["image_index"]) % 3 == 0) for r in scores.collect()]
     assert np.mean(right) > 0.75
@@ -285,6 +292,68 @@ def test_axes_errors():
             md.axes_of(names, rank)
 
 
+def test_tables_of_several_images_are_read_in_file_order(spark, tmp_path):
+    paths = {}
+    for i, columns in ((3, ["a", "b"]), (5, ["a", "c"]), (9, ["a", "b"])):
+        paths[i] = str(tmp_path / f"image {i} + %41.csv")
+        rows = spark.range(400).select(*[(F.col("id") * 10 + i).alias(c) for c in columns]).repartitionByRange(4, "a").sortWithinPartitions("a")
+        cs.write_table(rows, paths[i], ",")
+    found = cs.read_cell_tables(spark, paths)
+    assert found.columns == ["image_id", "row_index", "a", "b", "c"] and found.count() == 1200
+    assert all(r["a"] == r["row_index"] * 10 + r["image_id"] and (r["b"] is None) == (r["image_id"] == 5) for r in found.collect())
+    (tmp_path / "none.csv").write_text("a,b\n")
+    with pytest.raises(ValueError, match="none"):
+        cs.read_cell_tables(spark, paths | {11: str(tmp_path / "none.csv")})
+
+
+def test_projects_round_trip(spark):
+    images = spark.createDataFrame([(1, i, f"i{i}", f"c{i}", None, 7 if i else None, i, ["CD3"] if i == 2 else None, "DAPI", "m" if i == 2 else None) for i in range(4)],
+        "project_id long, image_index int, image string, cell_data string, segmentation_mask string, current_x0 long, channel_index int, marker_names array<string>, nuclear_channel_name string, model_name string")
+    notes = spark.createDataFrame([(1, 2, "5", "positive", 1.5, 2.5, 4, "automated"), (1, 2, "6", "negative", None, None, None, "manual")], "project_id long, image_index int, cell_id string, label string, centroid_x double, centroid_y double, row_index long, source string")
+    gone = spark.createDataFrame([(1, 3, 9), (1, 3, 2)], "project_id long, image_index int, row_index long")
+    settings = spark.createDataFrame([(1, "P", 2, False, 700, 33, "Cyan")], "project_id long, name string, current_image_index int, use_nucleus boolean, intensity_slider int, buffer_slider int, color string")
+    parsed = pj.parse_projects(pj.write_projects(images, notes, gone, settings))
+    back = {r["image_index"]: r["image"] for r in pj.project_images(parsed).collect()}
+    assert sorted(back) == [0, 1, 2, 3] and back[0]["paths"]["image"] == "i0" and back[3]["automated_exclusions"] == [2, 9] and back[0]["viewer"]["current_x0"] is None and back[1]["viewer"]["current_x0"] == 7
+    assert back[2]["cellpose_metadata"]["marker_names"] == ["CD3"] and back[1]["cellpose_metadata"] is None
+    assert sorted(map(tuple, pj.project_annotations(parsed).select(*notes.columns).collect())) == sorted(map(tuple, notes.collect()))
+    got = pj.project_settings(parsed).first().asDict()
+    want = pj.SETTINGS | {"name": "P", "current_image_index": 2, "use_nucleus": False, "intensity_slider": 700, "buffer_slider": 33, "color": "Cyan"}
+    assert {k: got[k] for k in want} == want
+
+
+def test_metadata_with_prefix_and_several_images(spark):
+    uri = "http://www.openmicroscopy.org/Schemas/OME/2016-06"
+    texts = [
+        f'<ome:OME xmlns:ome="{uri}"><ome:Image><ome:Pixels><ome:Channel Name="A"/><ome:Channel/></ome:Pixels></ome:Image><ome:Image><ome:Pixels><ome:Channel Name="B"/></ome:Pixels></ome:Image></ome:OME>',
+        f'<OME xmlns="{uri}"><Image><Pixels/></Image><Image><Pixels><Channel Name="C"/></Pixels></Image></OME>', "<OME><Image><Pixels><Channel Name='D'/></Pixels></Image></OME>", "<OME", None,
+    ]
+    rows = [(i, "tiff", 3, None, None, None, t, None, []) for i, t in enumerate(texts)]
+    files = spark.createDataFrame(rows, "file_id long, kind string, channels int, reader_names array<string>, omero string, biomarkers array<string>, ome_xml string, imagej array<string>, pages array<string>")
+    found = {}
+    for r in sorted(md.resolve_channel_names(files).collect()):
+        found.setdefault(r["file_id"], []).append(r["name"])
+    numbered = [f"Channel {i}" for i in range(3)]
+    assert found == {0: ["A", "Channel 1", "B"], 1: ["C"], 2: numbered, 3: numbered, 4: numbered}
+
+
+def test_an_image_without_threshold_or_channel_is_an_error(spark):
+    pixels = spark.createDataFrame([(i, y, x, 1.0) for i in (0, 1) for y in range(4) for x in range(4)], "image_id long, y long, x long, value double")
+    mask = pixels.select("image_id", "y", "x", F.lit(1).cast("long").alias("label"))
+    thresholds = spark.createDataFrame([(0, 0.5)], "image_id long, threshold double")
+    for compartment in ("all", "nucleus"):
+        with pytest.raises(PySparkException, match="for image 1"):
+            agg.pixel_statistics_by_label(pixels, mask, thresholds, compartment).collect()
+        assert agg.pixel_statistics_by_label(pixels.filter("image_id = 0"), mask.filter("image_id = 0"), thresholds, compartment).count() == 1
+    cells = spark.createDataFrame([(0, 0, 1, 1.0, 1.0), (1, 0, 1, 1.0, 1.0)], "image_id long, row_index long, `Cell ID` long, x double, y double")
+    channels = spark.createDataFrame([(0, "m"), (1, "n")], "image_id long, name string")
+    both = thresholds.union(spark.createDataFrame([(1, 0.5)], thresholds.schema))
+    with pytest.raises(ValueError, match="no channel m"):
+        agg.phenotype_by_threshold(cells, mask, pixels, both, 0.2, channels=channels, channel="m")
+    found = agg.phenotype_by_threshold(cells, mask, pixels, both, 0.2, channels=channels.withColumn("name", F.lit("m")), channel="m")
+    assert [r["positive"] for r in found.collect()] == [True, True]
+
+
 def test_project_versions(spark):
     note = lambda c, label="positive": {"cell_id": c, "label": label, "row_index": 1}
     old = {"format": pj.FORMAT, "version": 1, "paths": {"image": "i"}, "phenotype": {"name": "P", "annotations": [note("1"), note("1", "negative"), note("2", "maybe")]}, "viewer": {"threshold": {"inward_buffer_pixels": 4}}}
@@ -294,7 +363,7 @@ def test_project_versions(spark):
     assert {(r["project_id"], r["image_index"], r["cell_id"], r["label"]) for r in pj.project_annotations(parsed).collect()} == {(1, 0, "1", "negative"), (4, 0, "5", "positive")}
     counts = spark.createDataFrame([(4, 0, 10), (4, 1, 10)], "project_id long, image_index int, cells long")
     assert {r["row_index"] for r in pj.project_exclusions(parsed, counts).collect()} == {0, 3}
-    settings = {r["project_id"]: (r["phenotype"], r["fov_size"], r["intensity_slider"], r["positive_pixel_percent"], r["use_nucleus"], r["buffer_slider"]) for r in pj.project_settings(parsed).collect()}
+    settings = {r["project_id"]: (r["name"], r["fov_size"], r["intensity_slider"], r["positive_pixel_percent"], r["use_nucleus"], r["buffer_slider"]) for r in pj.project_settings(parsed).collect()}
     assert settings == {1: ("P", 512, 500, 25, True, 20), 4: ("", 512, 700, 25, True, 13)}
     for bad in ({"format": "x", "version": 4}, {"format": pj.FORMAT, "version": 9}):
         with pytest.raises(PySparkException):

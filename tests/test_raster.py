@@ -148,8 +148,8 @@ def test_random_fov(spark):
     assert (found["attempt"], found["y0"], found["x0"]) == (attempt, y0, x0) and math.isclose(found["fraction"], share)
     with pytest.raises(PySparkException):
         rs.random_fov(pixels(spark, grid), images(spark, (40, 50)), 8, 42, 1.0, 3, 16).collect()
-    with pytest.raises(ValueError):
-        rs.random_fov(pixels(spark, grid), images(spark, (40, 50)), 41)
+    with pytest.raises(PySparkException, match="does not fit"):
+        rs.random_fov(pixels(spark, grid), images(spark, (40, 50)), 41).collect()
     with pytest.raises(PySparkException):
         rs.dapi_threshold(pixels(spark, np.ones((4, 4))), images(spark, (4, 4))).collect()
 
