@@ -36,9 +36,13 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -exponent)
 
 
-def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row by row, so that equal vectors get equal scores; both sides scaled."""
-    return (vectors * query).sum(1) / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((query * query).sum()))
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(1))
+
+
+def cosines(vectors: np.ndarray, query: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Row by row, so that equal vectors get equal scores; both sides scaled, ``long`` the vectors' lengths."""
+    return (vectors * query).sum(1) / (long * np.sqrt((query * query).sum()))
 
 
 def places(vectors: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
@@ -64,13 +68,10 @@ class Postings:
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Footrule distance of a query's pivot order to every vector; a pivot not among the nearest stands at place ``most``."""
         k = self.most
-        distance = np.full(self.rows, k * (k + 1), np.int32)
-        for here, pivot in enumerate(order.tolist()):
-            a, b = self.bounds[pivot], self.bounds[pivot + 1]
-            if a < b:
-                place = self.place[a:b]
-                distance[self.row[a:b]] += np.abs(place - here) + place + (here - 2 * k)
-        return distance
+        lists = [slice(self.bounds[p], self.bounds[p + 1]) for p in order.tolist()]
+        row, place = (np.concatenate([x[s] for s in lists]) for x in (self.row, self.place))
+        here = np.repeat(np.arange(k, dtype=np.int32), [s.stop - s.start for s in lists])
+        return k * (k + 1) + np.bincount(row, np.abs(place - here) + place + here - 2 * k, self.rows).astype(np.int32)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -79,9 +80,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def quantile_for(sample: np.ndarray, orders: np.ndarray, posted: Postings, k: int, recall: float) -> float:
     """The part of the sample that must be reranked so that ``recall`` of the ``k`` true neighbours of some of its rows are."""
-    needed = []
+    needed, long = [], lengths(sample)
     for at in np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int):
-        score = cosines(sample, sample[at])
+        score = cosines(sample, sample[at], long)
         score[at] = -np.inf
         near = np.argpartition(-score, min(k, len(score) - 1))[:k]
         distance = np.sort(posted.footrule(orders[at]))
@@ -159,10 +160,11 @@ def _of_width(rows: DataFrame, width: int, every: int, k: int, pivots: int, most
                 vec_ids = np.concatenate([b.column(0).to_numpy() for b in held])
                 vectors = np.frombuffer(b"".join(v for b in held for v in b.column(1).to_pylist()), float).reshape(-1, width)
                 posted = Postings(np.frombuffer(b"".join(v for b in held for v in b.column(2).to_pylist()), np.uint16).reshape(-1, most), len(shared.value[0]))
+                long = lengths(vectors)
                 for q, asker in enumerate(ids):
                     close = np.flatnonzero((posted.footrule(own[q]) <= cutoffs[q]) & (vec_ids != asker))
                     got = np.concatenate((best[q][0], vec_ids[close]))
-                    score = np.concatenate((best[q][1], cosines(vectors[close], wanted[q])))
+                    score = np.concatenate((best[q][1], cosines(vectors[close], wanted[q], long[close])))
                     top = np.lexsort((got, -score))[:k]
                     best[q] = got[top], score[top]
 
