@@ -2,10 +2,12 @@
 
 An archive is a series of gzip members, one record each.  The reader cuts files into byte ranges; a task scans
 its range for the gzip magic, takes a candidate for a record only if it unpacks to a WARC header, and owns
-every record that starts inside its range, reading past the range's end where the last one needs it.
+every record that starts inside its range, reading past the range's end where the last one needs it.  A record that the
+end of its file cuts off is an error.
 
 The writer is a commit protocol: each task writes a file of its own, and only files that the driver then
-names in the manifest are read, so retried and lost tasks leave nothing that counts.
+names in the manifest are read, so retried and lost tasks leave nothing that counts.  A folder without a manifest holds archives
+from elsewhere: all its ``.warc.gz`` files are read, in the order of their names; so is a path that names one file.
 """
 
 from __future__ import annotations
@@ -44,10 +46,11 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, payload_
     kind = "response" if payload is not None else "revisit"
     head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {payload_bytes}"]
     block = "\r\n".join([*head, "", ""]).encode() + (payload or b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest}")
+    name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
     fields = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{name}>",
+        "WARC-Record-ID": name(page_id if kind == "response" else f"revisit {page_id}"),
+        "WARC-Refers-To": name(refers_to) if kind == "revisit" else None,
         "WARC-Date": _DATE,
         "WARC-Target-URI": None if url is None else quote(url, safe="%/:?#[]@!$&'()*+,;=~-._"),
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -64,18 +67,19 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, payload_
 
 
 def parse(data: bytes) -> tuple | None:
-    """A row of ``SCHEMA`` from an unpacked record; None if it is not a whole one."""
+    """A row of ``SCHEMA`` from an unpacked record, header names in any case; None if it is not a whole one."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    length = int(fields.get("Content-Length", -1))
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]) if colon}
+    length = int(fields.get("content-length", -1))
     if not 0 <= length <= len(rest):
         return None
     number = lambda k: int(fields[k]) if k in fields else None
-    kind, digest = fields.get("WARC-Type"), fields.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None
+    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "")
+    digest = digest.removeprefix("sha256:") if digest.startswith("sha256:") else None
     payload = rest[:length].partition(b"\r\n\r\n")[2] if kind == "response" else None
     if payload is not None and digest and hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError(f"payload of page {fields.get('X-Page-ID')} does not have its digest")
-    return kind, number("X-Page-ID"), fields.get("WARC-Target-URI"), payload, number("X-Payload-Length") if payload is None else len(payload), digest, number("X-Refers-To-Page-ID")
+        raise ValueError(f"payload of page {fields.get('x-page-id')} does not have its digest")
+    return kind, number("x-page-id"), fields.get("warc-target-uri"), payload, number("x-payload-length") if payload is None else len(payload), digest, number("x-refers-to-page-id")
 
 
 class _Bytes:
@@ -98,6 +102,8 @@ def _member(data: _Bytes, position: int) -> tuple[bytes, int] | None:
         while not unpacker.eof:
             piece = data.at(position + fed, min(_PIECE, data.size - position - fed))
             if not piece:
+                if out.startswith(b"WARC/"):
+                    raise ValueError(f"the record at byte {position} is cut off by the end of its file")
                 return None
             out += unpacker.decompress(piece)
             fed += len(piece)
@@ -127,7 +133,7 @@ def owned_records(file, size: int, low: int, high: int) -> Iterator[bytes]:
 
 @dataclass
 class ByteRange(InputPartition):
-    file: str
+    file: str | None
     low: int
     high: int
 
@@ -144,16 +150,22 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{root}/{_MANIFEST}") as f:
-            files = json.loads(f.read())
+        if store.get_file_info(root).type == fs.FileType.File:
+            files = [("", store.get_file_info(root).size)]
+        elif store.get_file_info(f"{root}/{_MANIFEST}").type == fs.FileType.File:
+            with store.open_input_stream(f"{root}/{_MANIFEST}") as f:
+                files = json.loads(f.read())
+        else:
+            found = store.get_file_info(fs.FileSelector(root, recursive=True))
+            files = sorted((f.path.removeprefix(root).lstrip("/"), f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(".warc.gz"))
         ranges = [ByteRange(name, low, min(size, low + self.split_bytes)) for name, size in files for low in range(0, size, self.split_bytes)]
-        return ranges or [ByteRange("", 0, 0)]
+        return ranges or [ByteRange(None, 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[tuple]:
-        if not part.file:
+        if part.file is None:
             return
         store, root = fs.FileSystem.from_uri(self.path)
-        name = f"{root}/{part.file}"
+        name = f"{root}/{part.file}" if part.file else root
         with store.open_input_file(name) as file:
             for data in owned_records(file, store.get_file_info(name).size, part.low, part.high):
                 if row := parse(data):
