@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
 
 
 def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
-    """Rows ``(doc_id, source, size, source_size, target, taken)``, one for each document.
+    """Rows ``(doc_id, source, tie, size, source_size, target, taken)``, one for each document; ``tie`` is the text's hash.
 
     ``taken`` is how many of the document's words the mix takes, repeats counted: its size for every
     whole epoch, and in the last epoch what is left of the budget when its turn comes (so one document of
@@ -88,22 +88,23 @@ def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     before = F.col("base") + F.col("through") - F.col("size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + last).cast("long").alias("taken")
+        "doc_id", "source", "tie", "size", "source_size", "target", (whole * F.col("size") + last).cast("long").alias("taken")
     )
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``documents``: a document taken in n epochs, the last perhaps in part, has n rows.
 
-    Texts stay whole: the document at which a source's budget ends has its full text in that epoch.
-    Rows that share a ``doc_id`` are taken as often as the mix takes them together.
+    Texts stay whole: the document at which a source's budget ends has its full text in that epoch.  Rows meet their part of the
+    mix by id, source and the text's hash, so rows without an id are told apart; rows equal in all three are taken equally often, the
+    mean of what the mix takes of them, rounded up.
     """
-    taken = mix(documents, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
-    often = taken.filter("mix_taken > 0").select("doc_id", F.expr("cast(ceil(mix_taken / mix_size) as int)").alias("mix_epochs"))
-    key, often_name, epoch = (free_name(documents, n) for n in ("mix_key", "mix_epochs", "mix_epoch"))
-    often = often.select(F.col("doc_id").alias(key), F.col("mix_epochs").alias(often_name))
-    joined = documents.join(often, documents.doc_id.cast("long").eqNullSafe(often[key]))
-    return joined.withColumn(epoch, F.explode(F.sequence(F.lit(1), often_name))).select(*[documents[c] for c in documents.columns])
+    taken = mix(documents, **options).groupBy("doc_id", "source", "tie").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
+    often = taken.filter("mix_taken > 0").select("doc_id", "source", "tie", F.expr("cast(ceil(mix_taken / mix_size) as int)").alias("epochs"))
+    key, source, tie, often_name, epoch = (free_name(documents, n) for n in ("mix_key", "mix_source", "mix_tie", "mix_epochs", "mix_epoch"))
+    often = often.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie), F.col("epochs").alias(often_name))
+    same = documents.doc_id.cast("long").eqNullSafe(often[key]) & documents["source"].eqNullSafe(often[source]) & (F.xxhash64(documents["text"]) == often[tie])
+    return documents.join(often, same).withColumn(epoch, F.explode(F.sequence(F.lit(1), often_name))).select(*[documents[c] for c in documents.columns])
 
 
 #: DuckDB SQL for ``mix``.

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lumicell.llm import components, decontam, mixing, pii, pseudolm, sharding, simhash, toxicity
 
@@ -171,16 +172,17 @@ def test_mix(spark):
 
 def test_mixed_documents_repeat_what_is_taken(spark):
     docs = awkward(spark, True)
+    docs = docs.unionByName(docs.filter("doc_id < 4").withColumn("doc_id", F.lit(None).cast("long")).withColumn("mix_source", F.lit("x")).drop("mix_source"))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    count = defaultdict(int)
-    for r in mixed.collect():
-        count[r["doc_id"]] += 1
+    count = Counter((r["doc_id"], r["source"], r["text"]) for r in mixed.collect())
+    text = {(r["doc_id"], r["source"], r["tie"]): r["text"] for r in docs.withColumn("tie", F.xxhash64("text")).collect()}
     sums = defaultdict(lambda: [0, 0, 0])
     for r in mixing.mix(docs).collect():
-        s = sums[r["doc_id"]]
+        s = sums[r["doc_id"], r["source"], text[r["doc_id"], r["source"], r["tie"]]]
         s[0], s[1], s[2] = s[0] + r["taken"], s[1] + r["size"], s[2] + 1
-    assert dict(count) == {i: -(-t // n) * rows for i, (t, n, rows) in sums.items() if t}
+    assert count == {i: -(-t // n) * rows for i, (t, n, rows) in sums.items() if t}
+    assert sum(i is None for i, *_ in count) > 3
 
 
 def test_targets_share_everything(spark):

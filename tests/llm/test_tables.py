@@ -120,7 +120,32 @@ def test_members_are_found_in_ranges_and_false_magic_is_not():
         got = [warc.parse(r)[1] for low in range(0, len(data), step) for r in warc.owned_records(io.BytesIO(data), len(data), low, min(len(data), low + step))]
         assert got == list(range(20))
     cut = data[: len(data) - 40]
-    assert [warc.parse(r)[1] for r in warc.owned_records(io.BytesIO(cut), len(cut), 0, len(cut))] == list(range(19))
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.owned_records(io.BytesIO(cut), len(cut), 0, len(cut)))
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """No manifest, header names in lower case, digests of another kind, and records without this library's own fields."""
+    def member(kind, uri, body):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        head = f"WARC/1.0\r\nwarc-type:{kind}\r\nwarc-target-uri: {uri}\r\nWARC-PAYLOAD-DIGEST: sha1:ABC\r\ncontent-length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a.warc.gz").write_bytes(member("warcinfo", "info", b"x") + member("response", "http://a/", b"<p>one"))
+    (tmp_path / "b/c.warc.gz").write_bytes(member("response", "http://c/", b"<p>two" * 500))
+    (tmp_path / "note.txt").write_text("not an archive")
+    found = {(r["record_type"], r["target_uri"], bytes(r["payload"] or b"")) for r in warc.read_archives(spark, f"file://{tmp_path}", 50).collect()}
+    assert found == {("warcinfo", "info", b""), ("response", "http://a/", b"<p>one"), ("response", "http://c/", b"<p>two" * 500)}
+    assert warc.read_archives(spark, f"file://{tmp_path}/a.warc.gz").count() == 2
+
+
+def test_revisits_refer_to_their_record():
+    ids = {}
+    for page, refers in ((7, None), (9, 7)):
+        text = gzip.decompress(warc.record(page, f"u{page}", None if refers else b"body" * 50, 200, "d", refers)).decode()
+        ids[page] = dict(line.split(": ", 1) for line in text.split("\r\n\r\n")[0].split("\r\n")[1:])
+    assert ids[9]["WARC-Refers-To"] == ids[7]["WARC-Record-ID"] != ids[9]["WARC-Record-ID"] and "WARC-Refers-To" not in ids[7]
 
 
 # Tool calls
@@ -292,3 +317,41 @@ def test_pipeline_stages(spark, small):
     whole = corpus_pipeline.run(spark, small).collect()
     assert sorted(map(str, whole)) == sorted(map(str, sharding.shard_documents(fourth).collect()))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def tables_of(spark, folder, docs, labels, bench):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, mix_key long, near_id string, decontam_row int, size double, shard string"
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, extra columns with clashing names."""
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = {i: line(rng.randint(12, 60)) + (" vile scum" if i % 6 == 0 else "") for i in range(150)}
+    leak = line(30)
+    rows = [(i, t, "en", f"s{i % 3}", i) for i, t in texts.items()]
+    rows += [(200, texts[1], "en", "s1", 1), (201, texts[1], None, None, None), (None, texts[1], "en", "s1", 1), (1, texts[1], "en", "s1", 1), (1, texts[1], "en", "s1", 1)]
+    rows += [(202, None, None, None, None), (203, "", "en", "s0", 0), (None, None, None, None, None), (204, leak + " and more", "en", "s0", 9), (205, line(25_000), "en", "s2", 1), (None, line(20), "en", None, 3), (None, line(20), "en", None, 3)]
+    docs = spark.createDataFrame([r + (1, "n", 2, 0.5, "s") for r in rows], COLUMNS)
+    folder = tables_of(spark, tmp_path / "t", docs, [(i, 1, int(i % 6 == 0)) for i in texts] + [(None, None, None), (3, 1, None)], [(1, leak), (2, None), (None, "")])
+    out = corpus_pipeline.run(spark, folder).collect()
+    kept = Counter(r["doc_id"] for r in out)
+    assert not any(i % 6 == 0 for i in kept if i is not None and i < 150) and 204 not in kept and 200 not in kept and 201 not in kept and 205 in kept and kept[None] >= 1
+    assert set(texts) - {i for i in texts if i % 6 == 0} >= {i for i in kept if i is not None and i < 150}
+    for shard in {r["shard"] for r in out}:
+        own = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert own == list(range(len(own)))
+    assert Counter(map(str, corpus_pipeline.run(spark, folder).collect())) == Counter(map(str, out))
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    folder = tables_of(spark, tmp_path / "t", spark.createDataFrame([], COLUMNS), [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    full = spark.createDataFrame([(i, f"text number {i} of some", "en", "s", 1, 1, "n", 2, 0.5, "s") for i in range(20)], COLUMNS)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, tables_of(spark, tmp_path / "u", full, [], [])).collect()} <= set(range(20))
