@@ -3,7 +3,7 @@
 Every word of every document is predicted from the two words on either side, by a hierarchical softmax: words
 lie in order of frequency on a line, each as long as its share of the corpus, and the line is halved again and
 again.  At every halving the network says on which side the word is, from the embeddings of the words around
-it; ``LEVELS`` halvings give one of 65,535 cells.  A cell that holds one word ends there; in a cell that rare words
+it; ``LEVELS`` halvings give one of 16,383 cells.  A cell that holds one word ends there; in a cell that rare words
 share, the corpus counts give the word.  All steps are normalised, so a document's score is a sum of conditional
 log-probabilities over all words of the corpus.
 
@@ -19,43 +19,63 @@ rounding of single precision, however they are split.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicell.llm.shared import cut, in_small_batches, map_batches
 
 #: Halvings of the line, cells (the last code stands for what is beyond a text), width of embeddings.
-LEVELS, CELLS, EDGE, WIDTH = 16, (1 << 16) - 1, (1 << 16) - 1, 11
+LEVELS, CELLS, EDGE, WIDTH = 14, (1 << 14) - 1, (1 << 14) - 1, 7
 OFFSETS = (-2, -1, 1, 2)
 #: Words rarer than one in ``HEAD`` share cells by hash.
 HEAD = 1 << 20
 #: Windows of one training task; rounds of averaging.  Each round trains on all windows.
 TASK_WINDOWS, ROUNDS = 3_000_000, 1
 RATE = 0.2
-_RUN, _REACH, _TOP = 64, 2, 6
+_RUN, _REACH, _TOP = 64, 2, 7
 _TOP_NODES = (1 << _TOP) - 1
-_BATCH_RUNS, _SCORE_RUNS, _CHUNK, _CACHE, _CHUNK_BYTES = 64, 64, 8192, 400_000, 1 << 20
+_BATCH_RUNS, _SCORE_RUNS, _CHUNK, _HELD, _CHUNK_BYTES = 96, 64, 8192, 2_000_000, 1 << 19
 #: Copies that one task averages, and row ranges that a copy is sent in.
 _MEET, _PIECES = 8, 16
 _UNSEEN = 0.5
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text: A-Z lower-cased, split at ASCII spaces."""
-    return (text or b"").lower().split()
+#: What each byte counts in a word's hash: A-Z as a-z, and nothing for the six ASCII spaces.
+_BYTES = np.arange(1, 257, dtype=np.uint64)
+_BYTES[65:91] += np.uint64(32)
+_BYTES[[9, 10, 11, 12, 13, 32]] = 0
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(64, _FACTOR, np.uint64))
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    """63-bit hashes; words are told apart by them."""
-    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).view(np.int64)
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``(63-bit hash of each word, number of words of each text)`` of UTF-8 texts; words are told apart by their hashes.
+
+    Words end at ASCII spaces; A-Z count as a-z.  A hash is a polynomial of the bytes, well mixed.
+    """
+    global _POWERS
+    line = _BYTES[np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)]
+    inside = line != 0
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if len(line) and inside[0]:
+        starts = np.concatenate(([0], starts))
+    many = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t or b"") + 1 for t in texts)])))
+    if not len(starts):
+        return np.empty(0, np.int64), many
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    while len(_POWERS) <= (ends - starts).max():
+        _POWERS = np.concatenate((_POWERS, _POWERS * _POWERS[-1]))
+    letters = np.flatnonzero(inside)
+    place = letters - np.repeat(starts, ends - starts)
+    sums = np.add.reduceat(line[letters] * _POWERS[place], np.cumsum(ends - starts) - (ends - starts))
+    sums = (sums ^ (sums >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    sums = (sums ^ (sums >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((sums ^ (sums >> np.uint64(32))) >> np.uint64(1)).view(np.int64), many
 
 
 @dataclass
@@ -74,46 +94,69 @@ class Vocabulary:
     def tail_cells(self, hashed: np.ndarray) -> np.ndarray:
         return (self.first + ((hashed >> 32) * (CELLS - self.first) >> 31)).astype(np.uint16)
 
-    def ids(self, words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-        """For each word its place among the heads, or ``-1 - hash``."""
-        found = list(map(cache.get, words))
-        if None in found:
-            if len(cache) > _CACHE:
-                cache.clear()
-            new = list({w for w in words if w not in cache})
-            hashed = hashes(new)
-            at = np.minimum(np.searchsorted(self.heads, hashed), max(0, len(self.heads) - 1))
-            known = self.heads[at] == hashed if len(self.heads) else np.zeros(len(new), bool)
-            cache.update(zip(new, np.where(known, at, -1 - hashed).tolist()))
-            found = list(map(cache.__getitem__, words))
-        return np.array(found, np.int64)
-
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        """The cell of each word."""
-        head = ids >= 0
-        out = np.empty(len(ids), np.uint16)
-        out[head] = self.cells[ids[head]]
-        out[~head] = self.tail_cells(-1 - ids[~head])
+    def places(self, hashed: np.ndarray) -> np.ndarray:
+        """Where each word is among the heads, or -1.  The leading bits of a hash tell about where to look."""
+        if not len(self.heads):
+            return np.full(len(hashed), -1)
+        bits = max(1, int(len(self.heads)).bit_length() + 1)
+        if "_first" not in self.__dict__:
+            self.__dict__["_first"] = np.searchsorted(self.heads >> (63 - bits), np.arange(1 << bits)).astype(np.int32)
+        at = self.__dict__["_first"][hashed >> (63 - bits)]
+        out = np.full(len(hashed), -1)
+        left = np.arange(len(hashed))
+        while len(left):  # a few heads share their leading bits
+            here = np.minimum(at[left], len(self.heads) - 1)
+            found = self.heads[here]
+            hit = found == hashed[left]
+            out[left[hit]] = here[hit]
+            left = left[(found < hashed[left]) & (at[left] < len(self.heads) - 1)]
+            at[left] += 1
         return out
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_first"}
+
+    def coded(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(cell of each word, its log-share in the cell, whether it is a head)``; of others the share of one word."""
+        place = self.places(hashed)
+        head = place >= 0
+        cells, each = np.empty(len(hashed), np.uint16), np.empty(len(hashed))
+        cells[head], each[head] = self.cells[place[head]], self.within[place[head]]
+        cells[~head] = self.tail_cells(hashed[~head])
+        each[~head] = -np.log(np.maximum(self.mass[cells[~head]], 1.0))
+        return cells, each, head
+
+
+def _groups(columns: list[list], sizes: list[int]) -> Iterator[list[list]]:
+    """Rows of a batch, some at a time, by the sizes of their texts."""
+    first = total = 0
+    for at, size in enumerate(sizes):
+        total += size
+        if total > _CHUNK_BYTES or at == len(sizes) - 1:
+            yield [c[first : at + 1] for c in columns]
+            first, total = at + 1, 0
+
 
 def vocabulary(documents: DataFrame, head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
     """The corpus' words, and rows ``(hash, n)`` with the counts of those that are rarer than one in ``head``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> Iterator[pa.RecordBatch]:
-            hashed, times = hashes(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-            seen.clear()
-            for at in range(0, len(hashed), _CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(hashed[at : at + _CHUNK]), pa.array(times[at : at + _CHUNK])], names=["hash", "n"])
+            hashed, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            for i in range(0, len(hashed), _CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[i : i + _CHUNK]), pa.array(times[i : i + _CHUNK])], names=["hash", "n"])
 
-        seen: Counter[bytes] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > _CACHE:
-                    yield from emit()
-        yield from emit()
+            texts = batch.column(0).to_pylist()
+            for (some,) in _groups([texts], [len(t or b"") for t in texts]):
+                held.append(np.unique(word_hashes(some)[0], return_counts=True))
+            if sum(len(h) for h, _ in held) > _HELD:
+                yield from emit()
+                held = []
+        if held:
+            yield from emit()
 
     in_small_batches(documents.sparkSession)
     counted = cut(documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
@@ -302,34 +345,15 @@ def encode(documents: DataFrame, words: Vocabulary) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(words)  # at most HEAD words and CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        log_mass = np.log(np.maximum(shared.value.mass, 1.0))
-
-        def coded(ids: list, texts: list) -> pa.RecordBatch:
-            split = [words_of(t) for t in texts]
-            many = np.array([len(w) for w in split], np.int64)
-            found = shared.value.ids(list(chain.from_iterable(split)), cache)
-            cells, head = shared.value.codes(found), found >= 0
-            each = np.empty(len(found))
-            each[head] = shared.value.within[found[head]]
-            each[~head] = -log_mass[cells[~head]]
-            ends = np.cumsum(many)
-            of = np.repeat(np.arange(len(texts)), many)
-            tails = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[~head], minlength=len(texts))))), pa.int32()), pa.array(-1 - found[~head]))
-            blobs = [cells[e - m : e].tobytes() for e, m in zip(ends, many)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(many), pa.array(np.bincount(of, each, len(texts))), tails, pa.array(blobs, pa.binary())], names=["doc_id", "n_words", "within", "tail", "cells"])
-
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text or b"")
-                if size > _CHUNK_BYTES:
-                    yield coded(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield coded(ids, texts)
+            rows = [batch.column(0).to_pylist(), batch.column(1).to_pylist()]
+            for ids, texts in _groups(rows, [len(t or b"") for t in rows[1]]):
+                hashed, many = word_hashes(texts)
+                cells, each, head = shared.value.coded(hashed)
+                ends, of = np.cumsum(many), np.repeat(np.arange(len(texts)), many)
+                tails = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[~head], minlength=len(texts))))), pa.int32()), pa.array(hashed[~head]))
+                blobs = [cells[e - m : e].tobytes() for e, m in zip(ends, many)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(many, pa.int64()), pa.array(np.bincount(of, each, len(texts))), tails, pa.array(blobs, pa.binary())], names=["doc_id", "n_words", "within", "tail", "cells"])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_words long, within double, tail array<long>, cells binary")
@@ -394,7 +418,7 @@ def fit(coded: DataFrame, words: Vocabulary, rounds: int = ROUNDS, task_windows:
     if not total:
         return network
     parts = -(-total // task_windows)
-    runs = _runs(coded, parts).repartition(parts, "part").sortWithinPartitions("part", "run")
+    runs = _runs(coded, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "run")
     runs = cut(runs) if rounds > 1 else runs
     for turn in range(rounds):
         now = spark.sparkContext.broadcast((network, words.mass))
