@@ -58,22 +58,12 @@ def pixel_statistics_by_label(pixels: DataFrame, mask: DataFrame, thresholds: Da
     ``pixels`` has one channel; ``thresholds(image_id, threshold)`` has every image, else it is an error.  The whole cell counts every
     mask pixel, the others those of the compartment; a pixel that is not finite is in the denominator only.
 
-    For the whole cell one equi join and one partially aggregated group-by do.  For a compartment mask and values meet once by
-    tile, the mask with a halo, and a tile gives one partial row for each of its labels.
+    Mask and values meet once by tile, the mask with a halo where a compartment needs it, and a tile gives one partial row for each
+    of its labels.
     """
     if compartment not in COMPARTMENTS:
         raise ValueError(f"unknown compartment {compartment}")
-    if compartment == "all":
-        joined = _with_threshold(mask.select(*AT, "label").join(pixels.select(*AT, "value"), AT, "left"), thresholds)
-        value = F.col("value")
-        return joined.groupBy("image_id", "label").agg(
-            F.count("*").alias("whole_pixels"),
-            F.count("*").alias("denominator_pixels"),
-            F.count_if(~F.isnan(value) & (value > F.col("threshold"))).alias("positive_pixels"),
-            F.count_if(finite(value)).alias("finite_pixels"),
-            F.sum(F.when(finite(value), value)).alias("intensity_sum"),
-        )
-    halo = int(np.ceil(buffer)) + 2
+    halo = 0 if compartment == "all" else int(np.ceil(buffer)) + 2
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         image_id, ty, tx = key
@@ -82,9 +72,11 @@ def pixel_statistics_by_label(pixels: DataFrame, mask: DataFrame, thresholds: Da
         values = np.full(grid.shape, np.nan)
         rest = rows[~masked]
         values[rest["y"].to_numpy() - ty * side + halo, rest["x"].to_numpy() - tx * side + halo] = rest["value"].to_numpy()
-        near = near_grid(boundary_grid(grid), buffer)
         y, x = y[own], x[own]
-        inside = near[y, x] if compartment == "cytoplasm_membrane" else ~near[y, x]
+        inside = np.ones(len(y), bool)
+        if halo:
+            near = near_grid(boundary_grid(grid), buffer)[y, x]
+            inside = near if compartment == "cytoplasm_membrane" else ~near
         threshold = float(rows["threshold"].to_numpy()[0])
         return pd.DataFrame(dict(zip(["label", "whole", "denominator", "positive", "finite", "total"], _label_counts(grid[y, x], values[y, x], inside, threshold)))).assign(image_id=image_id)
 
