@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumicell.llm import decontam, mixing, permindex, pii, pseudolm, sharding, simhash, toolcalls, toxicity, warc
+from lumicell.llm import decontam, mixing, nsbounds, permindex, pii, pseudolm, sharding, simhash, toolcalls, toxicity, warc
 from lumicell.llm.shared import read_table
 
 
@@ -51,6 +51,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op13_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nsbounds.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -59,4 +63,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.MIX_SQL.format(documents="documents"),
         "op10_warc": warc.ROUND_TRIP_SQL,
+        "op13_ns_bounds": nsbounds.CLUSTER_SQL,
     }

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumicell.llm import decontam, mixing, permindex, queries, sharding, simhash, toolcalls, toxicity, warc
+from lumicell.llm import decontam, mixing, nsbounds, permindex, queries, sharding, simhash, toolcalls, toxicity, warc
 from lumicell.llm.shared import read_table
 
 # Nearest neighbours
@@ -73,6 +74,71 @@ def test_footrule():
     assert posted.footrule(orders[0]).tolist() == want
 
 
+# Ns-bounds
+
+
+def plain_clusters(rows, k, rounds, width):
+    """Every distance in every round, in Python's integers."""
+    kept = [(i, [int(x) * 256 if abs(x) >= 2.0**53 else math.floor(256 * x) for x in v]) for i, v in rows if v is not None and len(v) == width and None not in v and all(map(math.isfinite, v))]
+    order = sorted((hashlib.sha256(f"2:{'' if i is None else i}".encode()).hexdigest(), q) for i, q in kept)
+    centroids = [q for _, q in order[:k]]
+    square = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for t in range(rounds + 1):
+        own = [min((square(q, c), n) for n, c in enumerate(centroids)) for _, q in kept]
+        if t < rounds:
+            for n in range(len(centroids)):
+                members = [q for (_, q), (_, c) in zip(kept, own) if c == n]
+                centroids[n] = [sum(x) // len(members) for x in zip(*members)] if members else centroids[n]
+    inertia, fits = Counter(), lambda v: v if v < 1 << 63 else None
+    for d, c in own:
+        inertia[c] += d
+    big = {c for d, c in own if d >= 1 << 63}
+    total = None if big else sum(inertia.values())
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return [(i, c, fits(d), None if c in big else fits(inertia[c]), total, digest[c]) for (i, _), (d, c) in zip(kept, own)]
+
+
+def cluster_rows(width, wide):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=width) + i % 7).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[5][1]) for i in range(80)] + [rows[9], rows[9], (None, rows[3][1]), (None, [0.5] * width), (500, [0.0] * width), (501, [-0.001] * width)]
+    rows += [(600, None), (601, []), (602, [1.0] * (width - 1)), (603, [None] + [1.0] * (width - 1)), (604, [float("nan")] * width), (605, [float("-inf")] * width)]
+    if wide:
+        rows += [(700 + i, (rng.normal(size=width) * 10.0 ** (5 + i % 4)).tolist()) for i in range(20)]
+    return rows + ([(800, [1e30] * width), (801, [-1e300] + [0.0] * (width - 1))] if wide == 2 else [])
+
+
+@pytest.mark.parametrize("wide", [0, 1, 2])
+def test_clusters_equal_brute_force(spark, wide):
+    rows = cluster_rows(8, wide)
+    table = spark.createDataFrame([r + (1, 2, "s") for r in rows], "vec_id long, embedding array<double>, cluster int, x long, own string").repartition(3)
+    work = []
+    found = nsbounds.cluster(table, 12, 5, 8, work=work).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(plain_clusters(rows, 12, 5, 8), key=repr)
+    assert work[0] == 12 * len(found) and all(w < work[0] for w in work[2:])  # bounds save distances
+
+
+def test_bounds_hold_through_all_rounds():
+    """Bounds from the centroid's total displacement never lose the nearest centroid, ties included."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-6, 7, (500, 3)).astype(float)  # small grids have many ties
+    history, known = [[[int(v) for v in vectors[i]] for i in range(9)]], (None, None, None)
+    for t in range(8):
+        centroids = nsbounds.Centroids(history)
+        cluster, distance, seen, own, _ = nsbounds.assign(vectors, *known, centroids)
+        squares = ((vectors[:, None] - np.array(history[-1])) ** 2).sum(2)
+        assert (cluster == squares.argmin(1)).all() and all(o in (-1, s) for o, s in zip(own, squares.min(1)))
+        known = (cluster, distance, seen.astype(np.int64))
+        history.append([[int(x) for x in np.array(c) + rng.integers(-2, 3, 3)] for c in history[-1]])
+
+
+def test_few_or_no_vectors(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert nsbounds.cluster(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, [0.5] * 64), (2, [0.5] * 64), (None, [2.0] * 64)]
+    assert sorted(map(tuple, nsbounds.cluster(spark.createDataFrame(rows, schema)).collect()), key=repr) == sorted(plain_clusters(rows, 40, 5, 64), key=repr)
+
+
 @pytest.mark.parametrize("rows", [[], [(50, [1.0, 2.0])], [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [1.0, 1.0])]])
 def test_few_vectors(spark, rows):
     found = permindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
