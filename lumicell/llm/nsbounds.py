@@ -56,8 +56,7 @@ class Centroids:
 
     @staticmethod
     def _norm(a: list[int], b: list[int]) -> float:
-        squares = sum((x - y) ** 2 for x, y in zip(a, b))
-        return math.isqrt(squares) * (1 + 1e-12) + 1 if squares > 1 << 100 else math.sqrt(squares) * (1 + 1e-12)
+        return _root(np.array([sum((x - y) ** 2 for x, y in zip(a, b))], object))[0] * (1 + 1e-12)
 
     def evaluate(self, vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Exact squared distances of pairs (vector i, centroid j); whole numbers in doubles, Python's integers where a centroid is large."""
@@ -77,7 +76,10 @@ class Centroids:
 
 
 def _root(squares: np.ndarray) -> np.ndarray:
-    return np.sqrt(squares.astype(float))
+    """Distances; not a number where single precision has none, which fails every bound, so that it is evaluated again."""
+    if squares.dtype == object:
+        squares = np.array([float(s) if s < 1 << 240 else np.nan for s in squares])
+    return np.sqrt(squares)
 
 
 def assign(vectors: np.ndarray, cluster: np.ndarray | None, distance: np.ndarray | None, seen: np.ndarray | None, centroids: Centroids):
@@ -92,7 +94,7 @@ def assign(vectors: np.ndarray, cluster: np.ndarray | None, distance: np.ndarray
         i, j = np.repeat(every, k), np.tile(np.arange(k), n)
         exact[i, j] = centroids.evaluate(vectors, i, j)
         cluster = np.argmin(exact, 1)
-        return cluster, _root(exact).astype(np.float32), np.full((n, k), now, np.int8), exact[every, cluster], np.full(n, k)
+        return cluster, _root(exact.ravel()).reshape(n, k).astype(np.float32), np.full((n, k), now, np.int8), exact[every, cluster], np.full(n, k)
 
     def upper() -> np.ndarray:
         return distance[every, cluster] * (1 + SLACK) + centroids.moved[seen[every, cluster], cluster]
@@ -124,7 +126,8 @@ def _pass(history: list[list[list[int]]], scale: int, last: bool):
         centroids, n, k = Centroids(history), batch.num_rows, len(history[0])
         names = batch.schema.names
         column = {c: batch.column(i) for i, c in enumerate(names)}
-        plain = np.flatnonzero(column["small"].is_valid().to_numpy(zero_copy_only=False))
+        small = column["small"].is_valid().to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(small)
         matrix = lambda c, kind: column[c].flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(plain), -1)
         cluster, evaluated, own = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
         distance, seen = [None] * n, [None] * n
@@ -137,7 +140,7 @@ def _pass(history: list[list[list[int]]], scale: int, last: bool):
                 exact[left] = centroids.evaluate(vectors, left, cluster[plain][left])
             for p, row, x, y, e in zip(plain.tolist(), range(n), d, s, exact.tolist()):
                 distance[p], seen[p], own[p] = x, y.astype(np.int8), str(int(e))
-        for p in np.flatnonzero(column["small"].is_valid().invert().to_numpy(zero_copy_only=False)).tolist() if column["small"].null_count else []:
+        for p in np.flatnonzero(~small).tolist():
             vector = whole(column["wide"][p].as_py(), scale)
             squares = [sum((x - y) ** 2 for x, y in zip(vector, c)) for c in history[-1]]
             cluster[p], own[p], evaluated[p] = squares.index(min(squares)), str(min(squares)), k
