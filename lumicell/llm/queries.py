@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumicell.llm import decontam, mixing, nsbounds, permindex, pii, pseudolm, sharding, simhash, toolcalls, toxicity, warc
+from lumicell.llm import decontam, mixing, nsbounds, permindex, pii, pseudolm, runs, sharding, simhash, toolcalls, toxicity, warc
 from lumicell.llm.shared import read_table
 
 
@@ -51,6 +51,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(runs.periodic(read_table(spark, sf_dir, "documents"))))
+
+
 def op13_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nsbounds.cluster(read_table(spark, sf_dir, "embeddings"))
 
