@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumicell.llm import decontam, mixing, nsbounds, permindex, pii, pseudolm, runs, sharding, simhash, toolcalls, toxicity, warc
+from lumicell.llm import decontam, mixing, nsbounds, permindex, pii, pseudolm, runs, sharding, simhash, substrings, toolcalls, toxicity, warc
 from lumicell.llm.shared import read_table
 
 
@@ -55,6 +56,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find(runs.periodic(read_table(spark, sf_dir, "documents"))))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nsbounds.cluster(read_table(spark, sf_dir, "embeddings"))
 
@@ -67,5 +73,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.MIX_SQL.format(documents="documents"),
         "op10_warc": warc.ROUND_TRIP_SQL,
+        "op12_substrings": substrings.REMOVE_SQL,
         "op13_ns_bounds": nsbounds.CLUSTER_SQL,
     }

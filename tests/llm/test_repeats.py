@@ -9,9 +9,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lumicell.llm import runs
+from lumicell.llm import runs, substrings
 from lumicell.llm.words import Stretches, Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -148,3 +149,73 @@ def test_find_keeps_columns_of_any_name(spark):
     assert one["collapsed_"] == "a b c" and [tuple(r) for r in one["runs_"]] == [(0, 27, 3)] and one["a.b"] == 5 and one["runs"] == 7
     assert found.filter("doc_id = 9000").first()["collapsed_"] == "" and found.filter("doc_id = 9000").first()["runs_"] == []
     assert runs.find(spark.createDataFrame([], SCHEMA)).filter(F.size("runs") > 0).count() == 0
+
+
+# Repeated substrings
+
+
+def plain_removed(rows, least=20):
+    """``{(id, text): (words, removed positions)}``, windows compared as tuples, documents in order."""
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)  # noqa: E731  # Spark's hash is a signed long
+    order = sorted({(r["doc_id"], r["text"]) for r in rows}, key=lambda k: (k[0] is None, k[0] or 0, signed(k[1])))
+    seen, out = set(), {}
+    for key in order:
+        words, gone = split(key[1]), set()
+        for i in range(len(words) - least + 1):
+            window = tuple(words[i : i + least])
+            if window in seen:
+                gone |= set(range(i, i + least))
+            seen.add(window)
+        out[key] = (words, gone)
+    return out
+
+
+def repeated_documents(seed, n=60):
+    rng = random.Random(seed)
+    passages = [prose(rng, rng.choice([19, 20, 21, 25, 40, 90]), 16) for _ in range(8)] + [["x"] * 25, ["a", "b"] * 14]
+    texts = []
+    for _ in range(n):
+        text = []
+        for _ in range(rng.randint(0, 6)):
+            part = list(rng.choice(passages)) if rng.random() < 0.6 else prose(rng, rng.randint(1, 40), 16)
+            if rng.random() < 0.3:
+                part[rng.randrange(len(part))] = f"odd{rng.randrange(9)}"
+            text += part[rng.choice([0, 0, 0, 1, 5]) :]
+        texts.append(text)
+    return [(rng.choice([i, i, i, -i]), "  ".join(t), "en", "s", 1) for i, t in enumerate(texts + texts[:6])]
+
+
+@pytest.mark.parametrize("seed,gram", [(1, 8), (2, 8), (3, 20), (4, 1)])
+def test_repeats_equal_brute_force(spark, seed, gram):
+    rows = repeated_documents(seed)
+    long = prose(random.Random(seed), 20_000, 16)
+    rows += [(5000, " ".join(long), "en", "s", 1), (4999, " ".join(long[7_000:9_000]), "en", "s", 1), (-3, " ".join(long[100:150]), "en", "s", 1), (rows[10][0], " ".join(long[50:120]), "en", "s", 1)]
+    docs = awkward(spark, rows, True).repartition(5)
+    want = plain_removed(docs.collect())
+    found = substrings.remove(docs, gram=gram)
+    assert found.columns == [*docs.columns, "n_words", "n_removed", "repeats", "kept"]
+    rows = found.collect()
+    assert len(rows) == docs.count() and sum(r["n_removed"] for r in rows) > 2_000
+    for r in rows:
+        words, gone = want[r["doc_id"], r["text"]]
+        assert (r["n_words"], r["n_removed"], r["kept"], r["a.b"]) == (len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone), 5)
+        spans = [(s["start"], s["end"]) for s in r["repeats"]]
+        assert {i for a, b in spans for i in range(a, b)} == gone and all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_equal_windows_have_equal_anchors():
+    rng = random.Random(8)
+    texts = [prose(rng, 60, 3) for _ in range(80)]
+    column = Words(pa.array([" ".join(t).encode() for t in texts], pa.binary()))
+    found = substrings.anchors_of(column.hashes(), column.text_of(), 20, 8)
+    of = {}
+    for t, s, n, a in zip(*(found[c].tolist() for c in ("text", "start", "windows", "anchor"))):
+        for i in range(s - int(column.first[t]), s - int(column.first[t]) + n):
+            assert of.setdefault(tuple(texts[t][i : i + 20]), a) == a
+    assert sum(found["windows"]) == 80 * 41
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (1, "", None, None, None)], [(1, "short text", "en", "s", 1)] * 2])
+def test_nothing_to_remove(spark, rows):
+    found = substrings.remove(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == len(rows) and all(r["n_removed"] == 0 and r["kept"] == (r["text"] or "") for r in found)
