@@ -2,16 +2,16 @@
 
 Seeds: of the ``gram``-word hashes in every window of ``least`` words the smallest (the last of equals) is the window's anchor.  It depends
 on the window's words only, so equal windows have the same anchor at the same place; neighbouring windows mostly share theirs, so there
-is about one anchor for ``(least - gram + 2) / 2`` words.
+is about one anchor for ``(least - gram + 2) / 2`` words.  Occurrences are joined on their anchors' hashes, and those that stand once drop out;
+most do, so only hashes and numbers of all anchors are shuffled, and texts are looked at again where an anchor is shared.
 
-Extending: an anchor's *reach* is the stretch of all windows that chose it, extended from the anchor both ways.  Occurrences of anchors
-are joined on anchor and reach; the first one keeps its windows, the others are repeats as a whole, however many there are.  Anchors with
-several reaches (where copies begin, end or differ) are extended window by window: the first occurrence of every reach offers its windows,
-and each is kept where it stands first.  Both steps are sums with a minimum in every task, so a passage in a third of all documents costs each task
-one row, and no pairs of occurrences are formed.  A document's windows that no list keeps are repeats; overlapping ones are one maximal repeat.
+Extending: an anchor's *reach* is the stretch of all windows that chose it, extended from the anchor both ways.  Of equal reaches the first
+keeps its windows, the others are repeats as a whole, however many there are.  Anchors with several reaches (where copies begin, end or
+differ) are extended window by window: the first occurrence of every reach offers its windows, and each is kept where it stands first.
+Both steps are sums with a minimum in every task, so a passage in a third of all documents costs each task one row, and no pairs of
+occurrences are formed.  Windows of shared anchors that nothing keeps are repeats; overlapping ones are one maximal repeat.
 
-Only hashes and positions are shuffled, but for whole texts twice: the documents whose anchors have several reaches once, and all
-documents when they meet their lists.  Words and stretches are equal if their 64-bit hashes are; windows are compared by two such hashes.
+Words and stretches are equal if their 64-bit hashes are; windows are compared by two such hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from lumicell.llm.words import Stretches, Words
 
 LEAST, GRAM = 20, 8
 _KEY = ["no_id", "id", "text_key"]
-_KEY_SCHEMA = "no_id boolean, id long, text_key long"
 
 
 def _last_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -67,62 +66,64 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _keyed(documents: DataFrame, id_name: str, text_name: str, *more) -> DataFrame:
-    """The order of documents, smaller ids first, rows without one last, of one id by the text's hash; and the text's bytes."""
+    """The order of documents (smaller ids first, rows without one last, of one id by the text's hash), one hash of it, and the text's bytes."""
     doc_id, text = (F.col(f"`{n}`") for n in (id_name, text_name))
-    return documents.select(doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("text_key"), *more, F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"))
+    key = [doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("text_key")]
+    return documents.select(F.xxhash64(*key).alias("doc"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"), *key, *more)
 
 
 def _anchors(texts: DataFrame, least: int, gram: int) -> DataFrame:
-    """One row for each anchor and reach in each document, the first of its occurrences there."""
+    """Rows ``(doc, anchor, start)``: every anchor of every text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(3))
+        words = Words(batch.column(1))
         found = anchors_of(words.hashes(), words.text_of(), least, gram)
         start = found["start"] - words.first[found["text"]]
-        once = np.lexsort((start, found["reach"], found["anchor"], found["text"]))
-        same = np.concatenate(([False], np.all([found[c][once][1:] == found[c][once][:-1] for c in ("text", "anchor", "reach")], axis=0))) if len(once) else np.empty(0, bool)
-        once = np.sort(once[~same])
-        text = pa.array(found["text"][once])
-        columns = [*(batch.column(i).take(text) for i in range(3)), pa.array(start[once].astype(np.int32)), pa.array(found["windows"][once].astype(np.int32)), _signed(found["anchor"][once]), _signed(found["reach"][once])]
-        return pa.RecordBatch.from_arrays(columns, names=[*_KEY, "start", "windows", "anchor", "reach"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found["text"])), _signed(found["anchor"]), pa.array(start.astype(np.int32))], names=["doc", "anchor", "start"])
 
-    return map_batches(texts, run, f"{_KEY_SCHEMA}, start int, windows int, anchor long, reach long")
+    return map_batches(texts.select("doc", "text"), run, "doc long, anchor long, start int")
 
 
-def _windows(texts: DataFrame, least: int, gram: int) -> DataFrame:
-    """Each window of the listed anchors (column ``list``: structs ``start, windows, anchor``) with its hash."""
+def _reaches(texts: DataFrame, least: int, gram: int) -> DataFrame:
+    """The anchors that begin at the places ``starts`` of each text, with their reach and the hash of each of their windows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, lists = Words(batch.column(3)), batch.column(4)
-        text = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-        start, windows, anchor = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
-        each = np.repeat(np.arange(len(text)), windows)
-        place = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = words.first[text[each]] + place
-        hashes = Stretches(words.hashes()).hashes(at, at + least)
-        of = pa.array(text[each])
-        return pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), pa.array(place.astype(np.int32)), pa.array(anchor[each]), _signed(hashes)], names=[*_KEY, "start", "anchor", "window"])
-
-    return map_batches(texts, run, f"{_KEY_SCHEMA}, start int, anchor long, window long")
-
-
-def kept_windows(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """Rows ``(no_id, id, text_key, start, windows)``: stretches of windows that stand nowhere before, by the document's key."""
+        words, lists = Words(batch.column(1)), batch.column(5)
+        hashes = words.hashes()
+        found = anchors_of(hashes, words.text_of(), least, gram)
+        asked = words.first[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))] + lists.flatten().to_numpy(zero_copy_only=False)
+        text, start, windows, anchor, reach = (found[c][np.isin(found["start"], asked)] for c in ("text", "start", "windows", "anchor", "reach"))
+        begin = np.cumsum(windows) - windows
+        at = np.repeat(start - begin, windows) + np.arange(windows.sum())
+        each = pa.ListArray.from_arrays(pa.array(np.append(begin, windows.sum()).astype(np.int32)), _signed(Stretches(hashes).hashes(at, at + least)))
+        of = pa.array(text)
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in (2, 3, 4)), pa.array((start - words.first[text]).astype(np.int32)), _signed(anchor), _signed(reach), each], names=[*_KEY, "start", "anchor", "reach", "windows"])
+
+    return map_batches(texts, run, "no_id boolean, id long, text_key long, start int, anchor long, reach long, windows array<long>")
+
+
+def shared_windows(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """Rows ``(no_id, id, text_key, start, windows, first)`` by the document's key: stretches of windows whose anchors are shared, and again (``first``) those of them that stand nowhere before."""
     texts = _keyed(documents, id_column, text_column)
-    first = F.min(F.struct(*_KEY, "start")).alias("at")
-    reaches = _anchors(texts, least, gram).groupBy("anchor", "reach").agg(first, F.first("windows").alias("windows"))
+    shared = _anchors(texts, least, gram).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    starts = _anchors(texts, least, gram).join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("start").alias("starts"))  # at most a document's anchors, however often its row is repeated
     spark, folder = documents.sparkSession, f"{shared_folder(documents.sparkSession)}/reaches-{uuid.uuid4()}"
-    reaches.write.parquet(folder)
-    reaches = spark.read.parquet(folder)
-    several = reaches.groupBy("anchor").agg(F.count("*").alias("reaches")).filter("reaches > 1").select("anchor")
-    several = cut(reaches.join(several, "anchor", "left_semi").select("at.*", "windows", "anchor"))
-    one = reaches.select("at.*", "windows", "anchor").join(several.select("anchor"), "anchor", "left_anti").drop("anchor")
-    lists = several.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("list"))  # at most a document's anchors
-    offered = _windows(texts.join(lists, _KEY), least, gram)
+    _reaches(texts.join(starts, "doc"), least, gram).write.parquet(folder)
+    found = spark.read.parquet(folder)
+
+    first = F.min(F.struct(*_KEY, "start")).alias("at")
+    reaches = cut(found.groupBy("anchor", "reach").agg(first, F.first("windows").alias("windows")))  # equal reaches have equal windows
+    several = reaches.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
+    reaches = reaches.join(several, "anchor")
+    one = reaches.filter("not several").select("at.*", F.size("windows").alias("windows"))
+    offered = reaches.filter("several").select("anchor", "at", F.posexplode("windows").alias("place", "window"))
+    offered = offered.select("anchor", "window", *[f"at.{k}" for k in _KEY], (F.col("at.start") + F.col("place")).alias("start"))
     single = offered.groupBy("anchor", "window").agg(first).select("at.*", F.lit(1).alias("windows"))
-    kept = cut(one.unionByName(single))
+    firsts = one.unionByName(single).withColumn("first", F.lit(True))
+    every = found.select(*_KEY, "start", F.size("windows").alias("windows"), F.lit(False).alias("first"))
+    out = cut(every.unionByName(firsts))
     remove_folder(spark, folder)
-    return kept
+    return out
 
 
 def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -133,8 +134,8 @@ def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     by the text's hash, and rows equal in both are one document, so each has the same result.  New columns get underscores where names are taken.
     """
     in_small_batches(documents.sparkSession)
-    kept = kept_windows(documents, id_column, text_column, least, gram)
-    lists = kept.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "windows")).alias("list"))  # at most a document's windows
+    windows = shared_windows(documents, id_column, text_column, least, gram)
+    lists = windows.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "windows", "first")).alias("list"))  # at most a document's windows
     names = documents.columns
     new = [free_name(documents, n) for n in ("n_words", "n_removed", "repeats", "kept")]
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
@@ -143,14 +144,16 @@ def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, lists = Words(batch.column(1)), batch.column(2)
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        start, windows = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+        start, windows, first = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+        weight = np.where(first, 1 << 32, 1)  # shared windows count in the low half, first ones in the high half
         spans, texts, removed = [], [], []
         for i, n in enumerate(words.counts().tolist()):
             here = slice(offsets[i], offsets[i + 1])
-            first = np.zeros(max(0, n - least + 1) + 1, np.int64)
-            np.add.at(first, start[here], 1)
-            np.add.at(first, start[here] + windows[here], -1)
-            again = np.concatenate(([0], np.cumsum(first)[:-1] == 0, [0])).astype(np.int8)  # windows that stand earlier too
+            seen = np.zeros(max(0, n - least + 1) + 1, np.int64)
+            np.add.at(seen, start[here], weight[here])
+            np.add.at(seen, start[here] + windows[here], -weight[here])
+            seen = np.cumsum(seen)[:-1]
+            again = np.concatenate(([0], (seen > 0) & (seen < 1 << 32), [0])).astype(np.int8)  # windows that stand earlier too
             edge = np.flatnonzero(np.diff(again)).reshape(-1, 2) + [0, least - 1]
             if len(edge):  # stretches of windows may overlap
                 gap = np.flatnonzero(edge[1:, 0] > edge[:-1, 1])
