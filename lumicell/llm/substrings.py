@@ -103,27 +103,31 @@ def _reaches(texts: DataFrame, least: int, gram: int) -> DataFrame:
 
 
 def shared_windows(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """Rows ``(no_id, id, text_key, start, windows, first)`` by the document's key: stretches of windows whose anchors are shared, and again (``first``) those of them that stand nowhere before."""
+    """One row for each document with shared anchors: ``no_id, id, text_key, list``.
+
+    An item of ``list`` is a stretch of windows, in one number: its first window, times 2^16 with how many they are, doubled, with 1 added where they
+    stand nowhere before.  All stretches of shared anchors are listed, and again those that stand nowhere before.
+    """
     texts = _keyed(documents, id_column, text_column)
     shared = _anchors(texts, least, gram).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
     starts = _anchors(texts, least, gram).join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("start").alias("starts"))  # at most a document's anchors, however often its row is repeated
     spark, folder = documents.sparkSession, f"{shared_folder(documents.sparkSession)}/reaches-{uuid.uuid4()}"
-    _reaches(texts.join(starts, "doc"), least, gram).write.parquet(folder)
-    found = spark.read.parquet(folder)
+    _reaches(texts.join(starts, "doc"), least, gram).write.parquet(f"{folder}/all")
+    found = spark.read.parquet(f"{folder}/all")
 
     first = F.min(F.struct(*_KEY, "start")).alias("at")
-    reaches = cut(found.groupBy("anchor", "reach").agg(first, F.first("windows").alias("windows")))  # equal reaches have equal windows
+    found.groupBy("anchor", "reach").agg(first, F.first("windows").alias("windows")).write.parquet(f"{folder}/first")  # equal reaches have equal windows
+    reaches = spark.read.parquet(f"{folder}/first")
     several = reaches.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
-    reaches = reaches.join(several, "anchor")
-    one = reaches.filter("not several").select("at.*", F.size("windows").alias("windows"))
-    offered = reaches.filter("several").select("anchor", "at", F.posexplode("windows").alias("place", "window"))
+    one = reaches.select("anchor", "at.*", F.size("windows").alias("windows")).join(several.filter("not several"), "anchor")
+    offered = reaches.join(several.filter("several"), "anchor").select("anchor", "at", F.posexplode("windows").alias("place", "window"))
     offered = offered.select("anchor", "window", *[f"at.{k}" for k in _KEY], (F.col("at.start") + F.col("place")).alias("start"))
     single = offered.groupBy("anchor", "window").agg(first).select("at.*", F.lit(1).alias("windows"))
-    firsts = one.unionByName(single).withColumn("first", F.lit(True))
-    every = found.select(*_KEY, "start", F.size("windows").alias("windows"), F.lit(False).alias("first"))
-    out = cut(every.unionByName(firsts))
+    told = lambda df, nowhere: df.select(*_KEY, ((F.col("start").cast("long") * (1 << 16) + F.col("windows")) * 2 + nowhere).alias("item"))
+    every = told(found.select(*_KEY, "start", F.size("windows").alias("windows")), 0).unionByName(told(one, 1)).unionByName(told(single, 1))
+    lists = cut(every.groupBy(*_KEY).agg(F.collect_set("item").alias("list")))  # at most a document's windows
     remove_folder(spark, folder)
-    return out
+    return lists
 
 
 def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -134,8 +138,7 @@ def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     by the text's hash, and rows equal in both are one document, so each has the same result.  New columns get underscores where names are taken.
     """
     in_small_batches(documents.sparkSession)
-    windows = shared_windows(documents, id_column, text_column, least, gram)
-    lists = windows.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "windows", "first")).alias("list"))  # at most a document's windows
+    lists = shared_windows(documents, id_column, text_column, least, gram)
     names = documents.columns
     new = [free_name(documents, n) for n in ("n_words", "n_removed", "repeats", "kept")]
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
@@ -144,8 +147,9 @@ def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, lists = Words(batch.column(1)), batch.column(2)
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        start, windows, first = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
-        weight = np.where(first, 1 << 32, 1)  # shared windows count in the low half, first ones in the high half
+        item = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        start, windows = item >> 17, item >> 1 & 0xFFFF
+        weight = np.where(item & 1, 1 << 32, 1)  # shared windows count in the low half, first ones in the high half
         spans, texts, removed = [], [], []
         for i, n in enumerate(words.counts().tolist()):
             here = slice(offsets[i], offsets[i + 1])
