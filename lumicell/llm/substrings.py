@@ -142,7 +142,9 @@ def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     names = documents.columns
     new = [free_name(documents, n) for n in ("n_words", "n_removed", "repeats", "kept")]
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    sent = _keyed(plain, f"c{names.index(id_column)}", f"c{names.index(text_column)}", F.struct("*").alias("row")).join(lists, _KEY, "left").select("row", "text", "list")
+    text = f"c{names.index(text_column)}"
+    rest = F.struct(F.col(text).isNull().alias("no_text"), *[F.col(c) for c in plain.columns if c != text])  # the text goes once
+    sent = _keyed(plain, f"c{names.index(id_column)}", text, rest.alias("row")).join(lists, _KEY, "left").select("row", "text", "list")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, lists = Words(batch.column(1)), batch.column(2)
@@ -169,10 +171,11 @@ def remove(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
             removed.append(n - int(keep.sum()))
             texts.append(words.kept(i, keep))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts().astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.binary())], names=["row", "n_words", "n_removed", "repeats", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.counts().astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.binary())], names=["row", "text", "n_words", "n_removed", "repeats", "kept"])
 
-    schema = f"row {sent.schema['row'].dataType.simpleString()}, n_words long, n_removed long, repeats array<struct<start: long, end: long>>, kept binary"
-    return map_batches(sent, run, schema).select("row.*", "n_words", "n_removed", "repeats", F.col("kept").cast("string")).toDF(*names, *new)
+    schema = f"row {sent.schema['row'].dataType.simpleString()}, text binary, n_words long, n_removed long, repeats array<struct<start: long, end: long>>, kept binary"
+    own = [F.when(~F.col("row.no_text"), F.col("text").cast("string")) if c == text else F.col(f"row.{c}") for c in plain.columns]
+    return map_batches(sent, run, schema).select(*own, "n_words", "n_removed", "repeats", F.col("kept").cast("string")).toDF(*names, *new)
 
 
 #: The same in DuckDB: every window as text.
