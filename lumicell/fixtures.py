@@ -5,6 +5,10 @@ One 16 x 16 block stands for each row of ``part``; discs touch their left neighb
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,38 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raster_tiles(spark: SparkSession, sf_dir: str, side: int = 256) -> DataFrame:
+    """The same raster as stored tiles of ``side`` (a multiple of 16) pixels: channels mask, marker (with NaN and infinite pixels) and dapi.
+
+    Places that no row of ``part`` stands for have no label and no number.
+    """
+    key = F.col("p_partkey")
+    blocks = table(spark, sf_dir, "part").select((key % 4).alias("image_id"), key.alias("key"), F.col("p_size").alias("size"), (F.floor(key / 128) * 16).alias("y"), (F.floor(key / 4) % 32 * 16).alias("x"))
+    tiles = blocks.groupBy("image_id", F.floor(F.col("y") / side).alias("tile_y"), F.floor(F.col("x") / side).alias("tile_x")).agg(F.collect_list(F.struct("key", "size", "y", "x")).alias("blocks"))  # (side / 16)^2 at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, size, y, x = (np.array([b[c] for b in row["blocks"]])[:, None, None] for c in ("key", "size", "y", "x"))
+                dy, dx = np.arange(16)[None, :, None], np.arange(16)[None, None, :]
+                r2 = (dy - 8) ** 2 + (dx - 8) ** 2
+                inside = r2 <= (3 + size % 6) ** 2
+                at = (y + dy) * 31 + x + dx
+                marker = np.where(inside, size * 100 + 400 * ((dy * 7 + dx * 13 + key) % 11), 200 + 10 * ((dy * 3 + dx * 5 + key) % 7)).astype(float)
+                marker = np.where(at % 97 == 0, np.nan, np.where(at % 101 == 0, np.inf, marker))
+                dapi = np.where(r2 <= 9, 3000, 50) + 7 * ((dy * 5 + dx * 3 + key) % 13)
+                y0, x0 = row["tile_y"] * side, row["tile_x"] * side
+                height, width = int(y.max()) + 16 - y0, int(x.max()) + 16 - x0
+                for channel, values, kind in (("mask", np.where(inside, key // 4 + 1, 0), "<u4"), ("marker", marker, "<f8"), ("dapi", dapi, "<f8")):
+                    grid = np.full((height, width), 0 if channel == "mask" else np.nan, kind)
+                    grid[y + dy - y0, x + dx - x0] = values
+                    told = (row["image_id"], channel, 0, row["tile_y"], row["tile_x"], y0, x0, height, width, kind, grid.tobytes())
+                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(told, kinds)], names=["image_id", "channel", "level", "tile_y", "tile_x", "y0", "x0", "height", "width", "dtype", "data"])
+
+    return tiles.select(F.col("image_id").cast("long").alias("image_id"), "tile_y", "tile_x", "blocks").mapInArrow(run, "image_id long, channel string, level int, tile_y long, tile_x long, y0 long, x0 long, height int, width int, dtype string, data binary")
+
+
 def _dirty(marker) -> F.Column:
     at = F.col("y") * 31 + F.col("x")
     return F.when(at % 97 == 0, F.lit(float("nan"))).when(at % 101 == 0, F.lit(float("inf"))).otherwise(marker.cast("double"))
@@ -94,7 +130,11 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_rows_of(labelled: DataFrame) -> DataFrame:
-    cells = labelled.groupBy("image_id", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return cell_rows_at(labelled.groupBy("image_id", "label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
+
+
+def cell_rows_at(cells: DataFrame) -> DataFrame:
+    """The same from the centroids ``image_id, label, cx, cy`` of the labels."""
     label = F.col("label")
     own = cells.select(
         "image_id", (label - 1).alias("row_index"), F.when(label % 5 != 0, label).alias("cell_id"),

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,29 +26,29 @@ PERIMETER_WEIGHTS = {
 }
 
 
-def _with_threshold(parts: DataFrame, thresholds: DataFrame) -> DataFrame:
+def with_threshold(parts: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Rows with their image's threshold; an image without one is an error, raised by the task that meets it."""
     own = few(thresholds.select("image_id", F.col("threshold").cast("double").alias("threshold")))
     none = F.raise_error(F.concat(F.lit("no threshold, or no such channel, for image "), F.col("image_id").cast("string"))).cast("double")
     return parts.join(own, "image_id", "left").withColumn("threshold", F.when(F.col("threshold").isNull(), none).otherwise(F.col("threshold")))
 
 
-def _label_counts(label: np.ndarray, value: np.ndarray, inside: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+def label_counts(label: np.ndarray, value: np.ndarray, inside: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
     """``labels, whole, denominator, positive, finite, total`` of labelled pixels."""
     names, at = np.unique(label, return_inverse=True)
     good = inside & np.isfinite(value)
     count = lambda chosen: np.bincount(at[chosen], minlength=len(names))
-    return names, np.bincount(at, minlength=len(names)), count(inside), count(inside & ~np.isnan(value) & (value > threshold)), count(good), np.bincount(at[good], value[good], len(names))
+    return names, np.bincount(at, minlength=len(names)), count(inside), count(inside & ~np.isnan(value) & (value > threshold)), count(good), np.bincount(at[good], value[good], len(names)).astype(float)
 
 
-def _added(parts: DataFrame) -> DataFrame:
+def added(parts: DataFrame) -> DataFrame:
     return parts.groupBy("image_id", "label").agg(
         F.sum("whole").alias("whole_pixels"), F.sum("denominator").alias("denominator_pixels"), F.sum("positive").alias("positive_pixels"), F.sum("finite").alias("finite_pixels"),
         F.when(F.sum("finite") > 0, F.sum("total")).alias("intensity_sum"),
     )
 
 
-_PARTS = "label long, whole long, denominator long, positive long, finite long, total double"
+PARTS = "label long, whole long, denominator long, positive long, finite long, total double"
 
 
 def pixel_statistics_by_label(pixels: DataFrame, mask: DataFrame, thresholds: DataFrame, compartment: str = "all", buffer: float = DEFAULT_BUFFER_PX, side: int = TILE) -> DataFrame:
@@ -78,77 +77,14 @@ def pixel_statistics_by_label(pixels: DataFrame, mask: DataFrame, thresholds: Da
             near = near_grid(boundary_grid(grid), buffer)[y, x]
             inside = near if compartment == "cytoplasm_membrane" else ~near
         threshold = float(rows["threshold"].to_numpy()[0])
-        return pd.DataFrame(dict(zip(["label", "whole", "denominator", "positive", "finite", "total"], _label_counts(grid[y, x], values[y, x], inside, threshold)))).assign(image_id=image_id)
+        return pd.DataFrame(dict(zip(["label", "whole", "denominator", "positive", "finite", "total"], label_counts(grid[y, x], values[y, x], inside, threshold)))).assign(image_id=image_id)
 
     long = lambda c: F.col(c).cast("long").alias(c)
     spread = with_halo(mask.select("image_id", long("y"), long("x"), long("label")), side, halo).withColumn("value", F.lit(None).cast("double"))
     placed = pixels.select("image_id", long("y"), long("x"), F.lit(0).cast("long").alias("label"), F.floor(F.col("y") / side).alias("tile_y"), F.floor(F.col("x") / side).alias("tile_x"), F.col("value").cast("double").alias("value"))
     kind = dict(mask.dtypes)["image_id"]
-    met = _with_threshold(spread.unionByName(placed), thresholds)
-    return _added(met.groupBy("image_id", "tile_y", "tile_x").applyInPandas(run, f"{_PARTS}, image_id {kind}"))
-
-
-def tile_statistics_by_label(values: DataFrame, masks: DataFrame, thresholds: DataFrame, compartment: str = "all", buffer: float = DEFAULT_BUFFER_PX) -> DataFrame:
-    """The same statistics from stored tiles: the way for whole slides.
-
-    Value and mask tiles of one place meet by image and tile number, so a tile moves as one block instead of a row for each
-    pixel; each pair gives one partial row for each of its labels, and these are added up.  For a compartment a mask tile also
-    sends strips along its sides to its eight neighbours.  Tiles of both tables must have the same side; ``values`` has one channel.
-    """
-    if compartment not in COMPARTMENTS:
-        raise ValueError(f"unknown compartment {compartment}")
-    halo = 0 if compartment == "all" else int(np.ceil(buffer)) + 2
-    kind = dict(masks.dtypes)["image_id"]
-
-    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What of each mask tile its neighbours need, with its place in the whole image."""
-        for batch in batches:
-            for r in batch.to_pylist():
-                grid = np.frombuffer(r["data"], r["dtype"]).reshape(r["height"], r["width"])
-                for dy in (-1, 0, 1):
-                    for dx in (-1, 0, 1):
-                        rows = slice(None) if not dy else slice(0, halo) if dy < 0 else slice(-halo, None)
-                        columns = slice(None) if not dx else slice(0, halo) if dx < 0 else slice(-halo, None)
-                        part = grid[rows, columns]
-                        if (dy or dx) and not part.any():
-                            continue
-                        y0, x0 = r["y0"] + (r["height"] - part.shape[0] if dy > 0 else 0), r["x0"] + (r["width"] - part.shape[1] if dx > 0 else 0)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([v], t) for v, t in zip((r["image_id"], r["tile_y"] + dy, r["tile_x"] + dx, not (dy or dx), y0, x0, *part.shape, r["dtype"], part.tobytes()), (batch.schema.field("image_id").type, pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()))],
-                            names=["image_id", "tile_y", "tile_x", "own", "y0", "x0", "height", "width", "dtype", "data"],
-                        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = lambda r: np.frombuffer(r["data"], r["dtype"]).reshape(r["height"], r["width"])
-        for batch in batches:
-            for r in batch.to_pylist():
-                own = next(p for p in r["parts"] if p["own"])
-                grid = np.zeros((own["height"] + 2 * halo, own["width"] + 2 * halo), np.int64)
-                for p in r["parts"]:
-                    y, x = p["y0"] - own["y0"] + halo, p["x0"] - own["x0"] + halo  # a tile may end before its side does
-                    here = grid[max(y, 0) : max(y + p["height"], 0), max(x, 0) : max(x + p["width"], 0)]
-                    here[:] = array(p)[max(-y, 0) :, max(-x, 0) :][: here.shape[0], : here.shape[1]]
-                core = grid[halo : halo + own["height"], halo : halo + own["width"]]
-                full = np.full(core.shape, np.nan)
-                if r["value"] is not None:
-                    value = array(r["value"])
-                    h, w = min(core.shape[0], value.shape[0]), min(core.shape[1], value.shape[1])
-                    full[:h, :w] = value[:h, :w]
-                inside = np.ones(core.shape, bool)
-                if halo:
-                    near = near_grid(boundary_grid(grid), buffer)[halo : halo + own["height"], halo : halo + own["width"]]
-                    inside = near if compartment == "cytoplasm_membrane" else ~near
-                keep = core > 0
-                found = _label_counts(core[keep], full[keep], inside[keep], r["threshold"])
-                yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]] * len(found[0]), batch.schema.field("image_id").type), *map(pa.array, found)], names=["image_id", "label", "whole", "denominator", "positive", "finite", "total"])
-
-    at = ["image_id", "tile_y", "tile_x"]
-    parted = masks.select(*at, "y0", "x0", "height", "width", "dtype", "data").mapInArrow(strips, f"image_id {kind}, tile_y long, tile_x long, own boolean, y0 long, x0 long, height int, width int, dtype string, data binary") if halo else masks.select(*at, F.lit(True).alias("own"), "y0", "x0", "height", "width", "dtype", "data")
-    place = F.struct("own", "y0", "x0", "height", "width", "dtype", "data")
-    # nine parts at most; a place that only gets strips has no pixels of its own
-    tiles = parted.groupBy(*at).agg(F.collect_list(place).alias("parts")).filter(F.exists("parts", lambda p: p["own"]))
-    met = tiles.join(values.select(*at, F.struct("height", "width", "dtype", "data").alias("value")), at, "left")
-    return _added(_with_threshold(met, thresholds).mapInArrow(run, f"image_id {kind}, {_PARTS}"))
+    met = with_threshold(spread.unionByName(placed), thresholds)
+    return added(met.groupBy("image_id", "tile_y", "tile_x").applyInPandas(run, f"{PARTS}, image_id {kind}"))
 
 
 def pixel_counts_by_label(*args, **options) -> DataFrame:
@@ -197,6 +133,11 @@ def morphology_basic(mask: DataFrame) -> DataFrame:
         F.count("*").alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"),
         F.min("y").alias("y_min"), F.min("x").alias("x_min"), (F.max("y") + 1).alias("y_max"), (F.max("x") + 1).alias("x_max"),
     )
+    return with_extent(found)
+
+
+def with_extent(found: DataFrame) -> DataFrame:
+    """Adds extent and equivalent diameter to areas and boxes."""
     box = (F.col("y_max") - F.col("y_min")) * (F.col("x_max") - F.col("x_min"))
     return found.withColumn("extent", F.col("area") / box).withColumn("diameter", F.sqrt(4 * F.col("area") / F.lit(math.pi)))
 
@@ -204,10 +145,15 @@ def morphology_basic(mask: DataFrame) -> DataFrame:
 def morphology_ellipse(mask: DataFrame) -> DataFrame:
     """Axes and eccentricity of the ellipse with the label's second central moments."""
     found = mask.groupBy("image_id", "label").agg(F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"))
+    return with_ellipse(found).select("image_id", "label", "major_axis", "minor_axis", "eccentricity")
+
+
+def with_ellipse(found: DataFrame) -> DataFrame:
+    """Adds axes and eccentricity to second central moments ``xx, yy, xy``."""
     middle, spread = (F.col("xx") + F.col("yy")) / 2, F.sqrt(((F.col("xx") - F.col("yy")) / 2) ** 2 + F.col("xy") ** 2)
     large, small = middle + spread, F.greatest(middle - spread, F.lit(0.0))
     eccentricity = F.when(large > 0, F.sqrt(1 - small / large)).otherwise(0.0)
-    return found.select("image_id", "label", (4 * F.sqrt(large)).alias("major_axis"), (4 * F.sqrt(small)).alias("minor_axis"), eccentricity.alias("eccentricity"))
+    return found.withColumns({"major_axis": 4 * F.sqrt(large), "minor_axis": 4 * F.sqrt(small), "eccentricity": eccentricity})
 
 
 def perimeter_weights(labels: np.ndarray) -> np.ndarray:
@@ -242,38 +188,52 @@ def morphology_perimeter(mask: DataFrame, side: int = TILE) -> DataFrame:
     return parts.groupBy("image_id", "label").agg(F.sum("part").alias("perimeter"))
 
 
-def hull_pixels(y: np.ndarray, x: np.ndarray) -> int:
-    """Pixels whose centre is in the convex hull of the pixels' edge midpoints."""
-    points = sorted({(2 * a + da, 2 * b + db) for a, b in zip(y.tolist(), x.tolist()) for da, db in ((0, 1), (0, -1), (1, 0), (-1, 0))})
+def hull_pixels(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> int:
+    """Pixels whose centre is in the convex hull of the edge midpoints of a label's pixels, by its row ends.
 
-    def chain(ordered):
-        out = []
+    All is in half pixels, so it is exact.  Inner pixels of a row cannot touch the hull; the hull's pixels are counted row by row between its crossings.
+    """
+    ends = np.concatenate([np.stack((2 * rows + dy, 2 * x + dx), 1) for x, side in ((left, -1), (right, 1)) for dy, dx in ((0, side), (1, 0), (-1, 0))])
+    points = sorted(set(map(tuple, ends.tolist())))
+
+    def chain(ordered: Iterator) -> list:
+        out: list = []
         for p in ordered:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(p)
-        return out[:-1]
-
-    hull = np.array(chain(points) + chain(reversed(points)))
-    gy, gx = np.mgrid[y.min() : y.max() + 1, x.min() : x.max() + 1] * 2
-    inside = np.ones(gy.shape, bool)
-    for (ay, ax), (by, bx) in zip(hull, np.roll(hull, -1, 0)):
-        inside &= (by - ay) * (gx - ax) - (bx - ax) * (gy - ay) >= 0
-    return int(inside.sum())
+        return out
+
+    first, last = int(rows.min()), int(rows.max())
+    low, high = np.full(last - first + 1, np.iinfo(np.int64).max), np.full(last - first + 1, np.iinfo(np.int64).min)
+    for corners in (chain(iter(points)), chain(reversed(points))):
+        for (ay, ax), (by, bx) in zip(corners, corners[1:]):
+            (ay, ax), (by, bx) = sorted(((ay, ax), (by, bx)))
+            y = np.arange(-(-ay // 2), by // 2 + 1)
+            y = y[(y >= first) & (y <= last)]
+            if by == ay:
+                for x in (ax, bx):
+                    low[y - first], high[y - first] = np.minimum(low[y - first], -(-x // 2)), np.maximum(high[y - first], x // 2)
+                continue
+            crossing = ax * (by - ay) + (2 * y - ay) * (bx - ax)  # over by - ay
+            low[y - first] = np.minimum(low[y - first], -(-crossing // (2 * (by - ay))))
+            high[y - first] = np.maximum(high[y - first], crossing // (2 * (by - ay)))
+    return int(np.maximum(high - low + 1, 0).sum())
 
 
 def morphology_solidity(mask: DataFrame, together: int = 64) -> DataFrame:
-    """Area over the area of the convex hull; the pixels of ``together`` neighbouring labels meet in one task."""
+    """Area over the pixels of the convex hull.  Rows of a label are cut down to their ends first; those of ``together`` neighbouring labels meet in one task."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("label", kind="stable")
-        label, y, x = (rows[c].to_numpy() for c in ("label", "y", "x"))
+        label, y, left, right, n = (rows[c].to_numpy() for c in ("label", "y", "left", "right", "n"))
         starts = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
-        shares = [len(ys) / hull_pixels(ys, xs) for ys, xs in zip(np.split(y, starts[1:]), np.split(x, starts[1:]))]
+        shares = [c.sum() / hull_pixels(a, b, d) for a, b, d, c in zip(*(np.split(v, starts[1:]) for v in (y, left, right, n)))]
         return pd.DataFrame({"image_id": key[0], "label": label[starts], "solidity": shares})
 
     kinds = dict(mask.dtypes)
-    grouped = mask.select("image_id", "label", "y", "x", F.floor(F.col("label") / together).alias("chunk")).groupBy("image_id", "chunk")
+    ends = mask.groupBy("image_id", "label", F.col("y").cast("long").alias("y")).agg(F.min("x").cast("long").alias("left"), F.max("x").cast("long").alias("right"), F.count("*").alias("n"))
+    grouped = ends.withColumn("chunk", F.floor(F.col("label") / together)).groupBy("image_id", "chunk")
     return grouped.applyInPandas(run, f"image_id {kinds['image_id']}, label {kinds['label']}, solidity double")
 
 
@@ -287,6 +247,10 @@ IN_PIXELS = {
 }
 
 
+#: Names of a channel's statistics in a cell table.
+CELL_STATISTICS = {"mean": "Cell Mean", "sd": "Cell Std Dev", "least": "Cell Min", "most": "Cell Max"}
+
+
 def physical_units(measured: DataFrame, images: DataFrame, default_um: float) -> DataFrame:
     """Adds the columns in microns, by each image's ``pixel_size_um`` or the default."""
     size = images.select("image_id", F.coalesce("pixel_size_um", F.lit(default_um)).alias("um"))
@@ -301,11 +265,15 @@ def measure_cells(pixels: DataFrame, mask: DataFrame, images: DataFrame, channel
     by = ["image_id", "label"]
     shape = morphology_basic(mask).join(morphology_ellipse(mask), by).join(morphology_perimeter(mask), by).join(morphology_solidity(mask), by)
     sized = physical_units(shape, images, default_um)
-    stats = {"mean": "Cell Mean", "sd": "Cell Std Dev", "least": "Cell Min", "most": "Cell Max"}
-    wide = intensity_statistics(pixels, mask).groupBy(*by).pivot("channel", channels).agg(*[F.first(s).alias(s) for s in stats])
-    renamed = wide.select(*by, *[column(f"{c}_{s}").alias(f"{c}: {name}") for c in channels for s, name in stats.items()])
-    named = sized.select("image_id", F.col("label").alias("Cell ID"), "label", *[name for _, name, _ in PHYSICAL[:2]], *[F.col(c).cast("double").alias(n) for c, n in IN_PIXELS.items()], *[column(n) for _, n, _ in PHYSICAL[2:]])
-    return named.join(renamed, by, "left").drop("label")
+    wide = intensity_statistics(pixels, mask).groupBy(*by).pivot("channel", channels).agg(*[F.first(s).alias(s) for s in CELL_STATISTICS])
+    return named_measurements(sized.join(wide, by, "left"), [column(f"{c}_{s}").alias(f"{c}: {name}") for c in channels for s, name in CELL_STATISTICS.items()])
+
+
+def named_measurements(sized: DataFrame, intensities: list[Column]) -> DataFrame:
+    """Measurements under the names of a cell table."""
+    return sized.select(
+        "image_id", F.col("label").alias("Cell ID"), *[name for _, name, _ in PHYSICAL[:2]], *[F.col(c).cast("double").alias(n) for c, n in IN_PIXELS.items()], *[column(n) for _, n, _ in PHYSICAL[2:]], *intensities
+    )
 
 
 def phenotype_counts(calls: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,29 +73,19 @@ def match_nearest_label(cells: DataFrame, mask: DataFrame, radius: int = RADIUS)
     return met.groupBy("image_id", "row_index").agg(F.min_by("label", F.struct(d2, "y", "x")).alias("by_nearest"))
 
 
-def map_cells_to_labels(cells: DataFrame, mask: DataFrame, radius: int = RADIUS, strict: bool = True) -> DataFrame:
-    """``image_id, row_index, mask_label, matched_by`` for cells ``(image_id, row_index, x, y, identifiers…)``.
+def offers_of(names: list[str]) -> list[tuple[str, Column]]:
+    """How and with which label a row may be matched, in order, for rows that have the label ``under`` their centroid."""
+    return [*(("identifier", identifier(column(n))) for n in identifier_columns(names)), ("centroid", F.col("under")), ("sequence", F.col("row_index") + 1)]
 
-    By identifier, then centroid, then sequence, then nearest label; the last only for rows that are still open.
-    With ``strict`` a row that stays open is an error.
-    """
-    labels = existing_labels(mask)
+
+def decide(located: DataFrame, offers: list[tuple[str, Column]], labels: DataFrame, nearest: Callable[[DataFrame], DataFrame], strict: bool) -> DataFrame:
+    """``image_id, row_index, mask_label, matched_by``: each row's first offer that is among ``labels``, else what ``nearest`` finds for the rows left open."""
     by = ["image_id", "row_index"]
-    identifiers = [identifier(column(n)) for n in identifier_columns(cells.columns)]
-    good = finite(F.col("x")) & finite(F.col("y"))
-    rows = cells.select(*by, "x", "y", F.when(good, whole(F.col("y"))).alias("ry"), F.when(good, whole(F.col("x"))).alias("rx"), *[c.alias(f"id{i}") for i, c in enumerate(identifiers)])
-    under = mask.filter("label > 0").select("image_id", F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("label").alias("under"))
-    located = rows.join(under, ["image_id", "ry", "rx"], "left")
-    offer = lambda place, how, value: F.struct(F.lit(place).alias("place"), F.lit(how).alias("how"), value.alias("candidate"))
-    offers = [offer(i, "identifier", F.col(f"id{i}")) for i in range(len(identifiers))]
-    offers += [offer(len(identifiers), "centroid", F.col("under")), offer(len(identifiers) + 1, "sequence", F.col("row_index") + 1)]
-    each = located.select(*by, "x", "y", F.explode(F.array(*offers)).alias("o")).select(*by, "x", "y", "o.*")
-    known = labels.select("image_id", F.col("known").alias("candidate"), F.lit(True).alias("exists"))
-    checked = each.join(known, ["image_id", "candidate"], "left")
-    best = F.min(F.when(F.col("exists"), F.struct("place", "how", "candidate"))).alias("best")
-    settled = checked.groupBy(*by, "x", "y").agg(best)
-    nearest = match_nearest_label(settled.filter("best is null"), mask, radius)
-    out = settled.join(nearest, by, "left").select(
+    place = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(how).alias("how"), value.alias("candidate")) for i, (how, value) in enumerate(offers)])
+    each = located.select(*by, "x", "y", F.explode(place).alias("o")).select(*by, "x", "y", "o.*")
+    checked = each.join(labels.select("image_id", F.col("known").alias("candidate"), F.lit(True).alias("exists")), ["image_id", "candidate"], "left")
+    settled = checked.groupBy(*by, "x", "y").agg(F.min(F.when(F.col("exists"), F.struct("place", "how", "candidate"))).alias("best"))
+    out = settled.join(nearest(settled.filter("best is null")), by, "left").select(
         *by, F.coalesce("best.candidate", "by_nearest").alias("mask_label"), F.coalesce("best.how", F.when(F.col("by_nearest").isNotNull(), "nearest")).alias("matched_by")
     )
     if strict:  # raised by the task that meets such a row, so that nothing is computed twice
@@ -102,6 +94,18 @@ def map_cells_to_labels(cells: DataFrame, mask: DataFrame, radius: int = RADIUS,
     return out
 
 
+def map_cells_to_labels(cells: DataFrame, mask: DataFrame, radius: int = RADIUS, strict: bool = True) -> DataFrame:
+    """``image_id, row_index, mask_label, matched_by`` for cells ``(image_id, row_index, x, y, identifiers…)``.
+
+    By identifier, then centroid, then sequence, then nearest label; the last only for rows that are still open.
+    With ``strict`` a row that stays open is an error.
+    """
+    good = finite(F.col("x")) & finite(F.col("y"))
+    rows = cells.withColumns({"ry": F.when(good, whole(F.col("y"))), "rx": F.when(good, whole(F.col("x")))})
+    under = mask.filter("label > 0").select("image_id", F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("label").alias("under"))
+    return decide(rows.join(under, ["image_id", "ry", "rx"], "left"), offers_of(cells.columns), existing_labels(mask), lambda left: match_nearest_label(left, mask, radius), strict)
+
+
 def nearest_row(points: DataFrame, cells: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``point_id, nearest``: the row with the nearest finite centroid within ``radius``; the first row wins ties."""
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / radius) - 1, F.floor(F.col(c) / radius) + 1))

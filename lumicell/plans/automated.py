@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from lumicell import fixtures as fx
 from lumicell.functions import values as v
 from lumicell.functions.rank import checkpointed, shared_folder
-from lumicell.operators import aggregate as agg
+from lumicell.operators import blocks as bk
 from lumicell.operators import forest as rf
 from lumicell.operators import training as tr
 from lumicell.operators.schema import shared_numeric_features
-from lumicell.plans.cell_queries import sized_images, stored_raster, threshold_calls
+from lumicell.plans.cell_queries import of, sized_images, threshold_calls, tiles
 from lumicell.plans.registry import query
 
 ORDER = ["ts", "event_id"]
@@ -83,9 +83,9 @@ def automated_phenotyping(
 
 def measured_cells(spark, sf) -> tuple[DataFrame, list[str]]:
     """Cells with threshold calls at the default settings and the measurements of their label, but for the called channel."""
-    raster = stored_raster(spark, sf)
-    calls = checkpointed(threshold_calls(spark, sf, raster, CUTOFF, "all", SLIDER))
-    measured = agg.measure_cells(fx.dapi_of(raster), fx.mask_of(raster), sized_images(spark, sf), ["dapi"], v.DEFAULT_PIXEL_SIZE_UM)
+    stored = tiles(spark, sf)
+    calls = checkpointed(threshold_calls(spark, sf, stored, CUTOFF, "all", SLIDER))
+    measured = bk.measure_cells(of(stored, "dapi"), of(stored, "mask"), sized_images(spark, sf), ["dapi"], v.DEFAULT_PIXEL_SIZE_UM)
     own = measured.withColumnRenamed("Cell ID", "mask_label")
     return calls.join(own, ["image_id", "mask_label"]).withColumnRenamed("image_id", "image_index"), [c for c in own.columns if c not in ("image_id", "mask_label")]
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lumicell import fixtures as fx
 from lumicell.functions import values as v
-from lumicell.functions.rank import checkpointed, shared_folder
+from lumicell.functions.rank import checkpointed
 from lumicell.operators import aggregate as agg
+from lumicell.operators import blocks as bk
 from lumicell.operators import mask as mk
 from lumicell.operators import match as mt
 from lumicell.operators import raster as rs
@@ -52,43 +51,50 @@ def named_cells(rows):
     return rows.select("image_id", "row_index", F.col("cell_id").alias("Cell ID"), F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
-def thresholds(spark, sf, marker=None, slider=500):
+def tiles(spark, sf):
+    """The derived raster as stored tiles, kept so that it is read, not derived, for each use."""
+    return checkpointed(fx.raster_tiles(spark, sf))
+
+
+def of(stored, *channels):
+    return stored.filter(F.col("channel").isin(*channels))
+
+
+def thresholds(spark, sf, stored=None, slider=500):
     """One threshold, from a field of view in image 0, for every image."""
-    marker = fx.marker(spark, sf) if marker is None else marker
-    corner = marker.filter(f"image_id = 0 and y < {rs.FOV_SIZE} and x < {rs.FOV_SIZE}")
+    stored = fx.raster_tiles(spark, sf) if stored is None else stored
+    corner = tl.tiles_to_pixels(tl.tiles_in_window(of(stored, "marker").filter("image_id = 0"), 0, 0, rs.FOV_SIZE, rs.FOV_SIZE)).filter(f"y < {rs.FOV_SIZE} and x < {rs.FOV_SIZE}")
     found = rs.intensity_threshold(corner, ["image_id"], slider).select("threshold")
     return fx.images(spark, sf).select("image_id").join(F.broadcast(found))  # one row
 
 
 def statistics(spark, sf, compartment="all"):
-    return agg.pixel_statistics_by_label(fx.marker(spark, sf), fx.mask(spark, sf), thresholds(spark, sf), compartment)
+    stored = tiles(spark, sf)
+    return bk.pixel_statistics(of(stored, "marker"), of(stored, "mask"), thresholds(spark, sf, stored), compartment)
 
 
-def matched(spark, sf):
-    # the derived mask and table are used several times; stored ones would be read each time
-    return mt.map_cells_to_labels(checkpointed(cells(spark, sf)), checkpointed(fx.mask(spark, sf)))
+def table_of(masks):
+    return checkpointed(named_cells(fx.cell_rows_at(bk.centroids(masks))))
 
 
-def stored_raster(spark, sf):
-    """The derived raster, stored once so that it is read, not derived, for each use."""
-    path = f"{shared_folder(spark)}/raster-{uuid.uuid4()}"
-    fx.raster(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+def matched(spark, sf):
+    masks = of(tiles(spark, sf), "mask")
+    return bk.map_cells_to_labels(table_of(masks), masks)
 
 
-def threshold_calls(spark, sf, raster, cutoff, compartment, slider):
-    marker, mask = fx.marker_of(raster), fx.mask_of(raster)
+def threshold_calls(spark, sf, stored, cutoff, compartment, slider):
+    masks = of(stored, "mask")
     channels = fx.images(spark, sf).select("image_id", F.lit("marker").alias("name"))
-    return agg.phenotype_by_threshold(checkpointed(named_cells(fx.cell_rows_of(mask))), mask, marker, thresholds(spark, sf, marker, slider), cutoff, compartment, channels=channels, channel="marker")
+    return bk.phenotype_by_threshold(table_of(masks), masks, of(stored, "marker"), thresholds(spark, sf, stored, slider), cutoff, compartment, channels=channels, channel="marker")
 
 
 def calls(spark, sf, cutoff=0.25, compartment="all"):
-    return threshold_calls(spark, sf, stored_raster(spark, sf), cutoff, compartment, 500)
+    return threshold_calls(spark, sf, tiles(spark, sf), cutoff, compartment, 500)
 
 
 @query("inner_boundaries", "mask", EDGE + " SELECT image_id, y, x, label FROM edges")
 def inner_boundaries(spark, sf):
-    return mk.inner_boundaries(fx.mask(spark, sf))
+    return tl.read_mask_tiles(bk.boundary_tiles(of(fx.raster_tiles(spark, sf), "mask")))
 
 
 @query("display_boundaries", "mask images", WINDOWS + """, inside AS (SELECT p.image_id, region_id, p.y-y0 AS fy, p.x-x0 AS fx, label FROM mask p JOIN """ + IN_WINDOW + f"""),
@@ -101,7 +107,13 @@ def display_boundaries(spark, sf):
 
 @query("compartment_mask", "mask", NEAR + " SELECT image_id, y, x, label FROM flags WHERE NOT near")
 def compartment_mask(spark, sf):
-    return mk.compartment_mask(fx.mask(spark, sf), "nucleus")
+    return tl.read_mask_tiles(bk.compartment_tiles(of(fx.raster_tiles(spark, sf), "mask"), "nucleus"))
+
+
+@query("compartment_mask_rows", "mask", NEAR + " SELECT image_id, y, x, label FROM flags WHERE near")
+def compartment_mask_rows(spark, sf):
+    """The other compartment, from pixel rows."""
+    return mk.compartment_mask(fx.mask(spark, sf), "cytoplasm_membrane")
 
 
 @query("validate_mask", "mask images", """found AS (SELECT i.image_id, CASE WHEN m.image_id IS NULL THEN 'no mask' WHEN y0 < 0 OR x0 < 0 OR y1 >= i.height - 5 OR x1 >= i.width THEN 'outside the image' END AS problem
@@ -118,13 +130,20 @@ def pixel_statistics_by_label(spark, sf):
 
 @query("pixel_counts_by_label", "dirty", ALL_STATS + " SELECT image_id, label, whole_pixels, denominator_pixels, positive_pixels FROM stats")
 def pixel_counts_by_label(spark, sf):
-    return agg.pixel_counts_by_label(fx.marker(spark, sf), fx.mask(spark, sf), thresholds(spark, sf))
+    return statistics(spark, sf).select("image_id", "label", "whole_pixels", "denominator_pixels", "positive_pixels")
 
 
 @query("tile_statistics_by_label", "dirty mask", NUCLEUS_STATS + " SELECT * FROM stats")
 def tile_statistics_by_label(spark, sf):
+    """From tiles that are stored from pixel rows, of another side."""
     labels = fx.mask(spark, sf).select("image_id", F.lit("mask").alias("channel"), "y", "x", F.col("label").alias("value"))
-    return agg.tile_statistics_by_label(tl.pixels_to_tiles(fx.marker(spark, sf), 128), tl.pixels_to_tiles(labels, 128, "<u4"), thresholds(spark, sf), "nucleus")
+    return bk.pixel_statistics(tl.pixels_to_tiles(fx.marker(spark, sf), 128), tl.pixels_to_tiles(labels, 128, "<u4"), thresholds(spark, sf), "nucleus")
+
+
+@query("pixel_row_statistics", "dirty mask", NUCLEUS_STATS + " SELECT * FROM stats")
+def pixel_row_statistics(spark, sf):
+    """The same from pixel rows."""
+    return agg.pixel_statistics_by_label(fx.marker(spark, sf), fx.mask(spark, sf), thresholds(spark, sf), "nucleus")
 
 
 @query("cell_statistics", "dirty mask cell_rows", NUCLEUS_STATS + ", " + MATCH + ", " + CELLS + " SELECT image_id, row_index, mask_label, denominator_pixels, round(mean_intensity, 6) AS mean_intensity, round(positive_fraction, 6) AS positive_fraction FROM cell_stats")
@@ -144,7 +163,8 @@ def phenotype_by_threshold(spark, sf):
 @query("intensity_statistics", "pixels mask", """SELECT m.image_id, m.label, channel, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, min(v) AS least, max(v) AS most
 FROM mask m JOIN (SELECT *, CASE WHEN abs(value) < CAST('Infinity' AS DOUBLE) THEN value END AS v FROM pixels) p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x GROUP BY 1, 2, 3""")
 def intensity_statistics(spark, sf):
-    return agg.intensity_statistics(fx.pixels(spark, sf), fx.mask(spark, sf)).select("image_id", "label", "channel", *six("mean", "sd"), "least", "most")
+    stored = fx.raster_tiles(spark, sf)
+    return bk.intensity_statistics(of(stored, "marker", "dapi"), of(stored, "mask")).select("image_id", "label", "channel", *six("mean", "sd"), "least", "most")
 
 
 @query("morphology_basic", "mask", """SELECT image_id, label, area, round(cy, 6) AS cy, round(cx, 6) AS cx, y_min, x_min, y_max, x_max, round(area / CAST((y_max-y_min)*(x_max-x_min) AS DOUBLE), 6) AS extent, round(sqrt(4*area/pi()), 6) AS diameter
@@ -204,7 +224,8 @@ SELECT s.image_id, s.label AS "Cell ID", """ + ", ".join(f'round({e}, {4 if n ==
 ])) + " FROM shape s JOIN perimeters p ON p.image_id = s.image_id AND p.label = s.label JOIN st ON st.image_id = s.image_id AND st.label = s.label")
 def measure_cells(spark, sf):
     """All measurements but solidity, which SQL cannot express."""
-    found = agg.measure_cells(fx.pixels(spark, sf), fx.mask(spark, sf), sized_images(spark, sf), ["marker", "dapi"], v.DEFAULT_PIXEL_SIZE_UM)
+    stored = fx.raster_tiles(spark, sf)
+    found = bk.measure_cells(of(stored, "marker", "dapi"), of(stored, "mask"), sized_images(spark, sf), ["marker", "dapi"], v.DEFAULT_PIXEL_SIZE_UM)
     return found.select("image_id", "Cell ID", *[F.round(v.column(n), 4 if n == "Eccentricity" else 6).alias(n) for n in MEASURED])
 
 
@@ -253,11 +274,12 @@ def match_by_sequence(spark, sf):
 
 @query("match_nearest_label", "mask cell_rows", MATCH + " SELECT image_id, row_index, by_nearest FROM nearest")
 def match_nearest_label(spark, sf):
-    mask = fx.mask(spark, sf)
-    rows = cells(spark, sf)
+    masks = of(tiles(spark, sf), "mask")
+    mask = tl.read_mask_tiles(masks)
+    rows = table_of(masks)
     ids = mt.match_by_identifier(mt.identifier_candidates(rows), mt.existing_labels(mask))
     settled = ids.select("image_id", "row_index").union(mt.match_by_centroid(rows, mask).select("image_id", "row_index")).union(mt.match_by_sequence(rows, mt.existing_labels(mask)).select("image_id", "row_index"))
-    return mt.match_nearest_label(rows.join(settled, ["image_id", "row_index"], "left_anti"), mask)
+    return bk.match_nearest_label(rows.join(settled, ["image_id", "row_index"], "left_anti"), masks)
 
 
 @query("map_cells_to_labels", "mask cell_rows", MATCH + " SELECT * FROM matched")
@@ -265,6 +287,12 @@ def map_cells_to_labels(spark, sf):
     return matched(spark, sf)
 
 
+@query("map_cells_to_pixel_rows", "mask cell_rows", MATCH + " SELECT * FROM matched")
+def map_cells_to_pixel_rows(spark, sf):
+    """The same from pixel rows."""
+    return mt.map_cells_to_labels(checkpointed(cells(spark, sf)), checkpointed(fx.mask(spark, sf)))
+
+
 #: A point in each block of every image.
 POINTS = """points AS (SELECT p_partkey % 4 AS image_id, p_partkey AS point_id, (p_partkey // 128)*16 + p_partkey*7 % 16 AS y, (p_partkey // 4) % 32 * 16 + p_partkey*11 % 16 AS x,
  CASE WHEN p_partkey % 3 = 0 THEN 'positive' ELSE 'negative' END AS call FROM part)"""

@@ -71,20 +71,6 @@ def test_statistics_keep_bad_pixels_in_the_denominator(spark):
         agg.threshold_calls(rows, 1.5)
 
 
-@pytest.mark.parametrize("side", [2, 3, 64])
-def test_tiles_give_the_same_statistics(spark, side):
-    rng = np.random.default_rng(side)
-    grid = rng.integers(0, 4, (9, 11))
-    values = np.where(rng.random((9, 11)) < 0.1, NAN, rng.integers(0, 100, (9, 11)).astype(float))
-    values[0, 0] = INF
-    limit = spark.createDataFrame([(0, 50.0)], "image_id long, threshold double")
-    own, cells = pixels(spark, values), mask(spark, grid)
-    labels = cells.select("image_id", F.lit("mask").alias("channel"), "y", "x", F.col("label").alias("value"))
-    got = agg.tile_statistics_by_label(tl.pixels_to_tiles(own, side), tl.pixels_to_tiles(labels, side, "<u4"), limit)
-    want = agg.pixel_statistics_by_label(own, cells, limit)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_morphology(spark):
     grid = np.zeros((12, 12), int)
     grid[1:5, 1:7] = 1
