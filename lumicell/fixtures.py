@@ -228,6 +228,6 @@ def with_views(names: str, sql: str) -> str:
         for v in [*_NEEDS.get(name, []), name]:
             if v not in order:
                 order.append(v)
-    head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order)
+    head = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order)
     rest = sql.lstrip().removeprefix(",").lstrip()
     return f"WITH {head}{'' if rest[:6].upper() == 'SELECT' else ','}\n{rest}"

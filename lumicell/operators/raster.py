@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumicell.functions.rank import checkpointed, few
 from lumicell.functions.values import finite, when_finite, whole
 
 #: Side of the square bins that turn window joins into equi joins.
 BIN = 256
+#: Parts into which a range of values is cut to find a percentile.
+PARTS = 4096
 FOV_SIZE, FOV_ATTEMPTS, FOV_LEAST_FRACTION, OVERVIEW_SIZE = 512, 200, 0.01, 768
 #: Scale of red, green and blue for each display colour.
 COLOURS = {
@@ -94,13 +97,51 @@ def membrane_markers(channels: DataFrame) -> DataFrame:
     return channels.filter(~is_dapi(F.col("name")))
 
 
-def percentiles(pixels: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
-    """``p`` (exact percentiles of finite values, null without any), ``least`` and ``most`` per group.
+def _part(value: Column, low: Column, high: Column, curved: bool) -> Column:
+    """The place of a value among ``PARTS`` parts of its range, never falling as the value rises; the ends of a range are always in different parts.
+
+    Parts are equal, or equal in a signed logarithm, which tells values of very different size apart.
+    """
+    log = lambda v: F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log(F.abs(v)) + 800))  # noqa: E731  # the smallest double's logarithm is above -745
+    half = lambda v: v / 2  # noqa: E731  # the width of a range of doubles may be no double
+    equal = F.when(half(high) - half(low) > 0, (half(value) - half(low)) / (half(high) - half(low))).otherwise(F.when(value > low, 1.0).otherwise(0.0))
+    share = F.when(log(high) > log(low), (log(value) - log(low)) / (log(high) - log(low))).otherwise(equal) if curved else equal
+    return F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")
+
 
-    Equal values are counted first, in all tasks, so that what meets in a group is its distinct values with their counts.
+def placed_values(values: DataFrame, places: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """``by, place, found``: the values at wanted places (from 0) of each group's order, exactly, for all groups at once.
+
+    ``places(by, place, low, high)`` has each group's least and largest value.  Ranges of values that hold a wanted place are cut into ``PARTS`` parts, whose
+    values are counted in all tasks, and the part with the place is the next range, from its least to its largest value, until that is one value.  So a task
+    never holds more than a group's parts, whatever its values; a round passes over the values once, and ranges shrink at least twelve-bit-wise.
     """
-    counted = pixels.groupBy(*by, when_finite(F.col("value")).alias("v")).agg(F.count("*").alias("times"))
-    return counted.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, shares)), F.col("times")).alias("p"), F.min("v").alias("least"), F.max("v").alias("most"))
+    range_of = [*by, "low", "high"]
+    wanted, rounds = checkpointed(places.withColumn("rank", F.col("place"))), 0
+    while not (left := wanted.filter("low < high")).isEmpty():
+        ranges = few(left.select(*range_of).distinct().groupBy(*by).agg(F.collect_list(F.struct("low", "high")).alias("ranges")))  # a range for each place at most
+        inside = values.join(ranges, by).select(*by, value, F.explode(F.filter("ranges", lambda r: (F.col(value) >= r["low"]) & (F.col(value) <= r["high"]))).alias("r")).select(*by, value, "r.low", "r.high")
+        part = _part(F.col(value), F.col("low"), F.col("high"), rounds % 2 == 1)
+        parts = inside.groupBy(*range_of, part.alias("part")).agg(F.count("*").alias("n"), F.min(value).alias("part_low"), F.max(value).alias("part_high"))
+        through = F.sum("n").over(Window.partitionBy(*range_of).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # PARTS rows at most
+        within = left.join(parts.withColumn("before", through - F.col("n")), range_of).filter("rank >= before and rank < before + n")
+        found = within.select(*by, "place", F.col("part_low").alias("low"), F.col("part_high").alias("high"), (F.col("rank") - F.col("before")).alias("rank"))
+        wanted, rounds = checkpointed(wanted.filter("low = high").unionByName(found)), rounds + 1
+    return wanted.select(*by, "place", F.col("low").alias("found"))
+
+
+def percentiles(pixels: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """``p`` (exact percentiles of finite values, null without any), ``least`` and ``most`` per group; between two values they are interpolated."""
+    value = when_finite(F.col("value").cast("double"))
+    totals = checkpointed(pixels.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most")))
+    at = [share * (F.col("n") - 1) for share in shares]
+    ends = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+    places = totals.filter("n > 0").select(*by, F.explode(ends).alias("place"), F.col("least").alias("low"), F.col("most").alias("high"))
+    found = placed_values(pixels.select(*by, value.alias("v")).filter("v is not null"), places, by)
+    known = totals.join(found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("place", "found"))).alias("known")), by, "left")
+    lower, upper = (lambda a: F.col("known")[F.floor(a).cast("long")]), (lambda a: F.col("known")[F.ceil(a).cast("long")])
+    between = [F.when(lower(a) == upper(a), lower(a)).otherwise((F.ceil(a) - a) * lower(a) + (a - F.floor(a)) * upper(a)) for a in at]
+    return known.select(*by, F.array(*[F.when(F.col("n") > 0, b) for b in between]).alias("p"), "least", "most")
 
 
 def contrast_limits(pixels: DataFrame, by: list[str]) -> DataFrame:
@@ -165,12 +206,13 @@ def rgb_overview(marker: DataFrame, dapi: DataFrame, images: DataFrame, colour:
 
 
 def intensity_threshold(pixels: DataFrame, by: list[str], slider: float, slider_max: float = 1000) -> DataFrame:
-    """``threshold`` per group: the slider's place between the 1st and 99th percentile of finite values."""
+    """``threshold`` per group: the slider's place between the 1st and 99th percentile of finite values; a group without any is an error."""
     if slider_max <= 0:
         raise ValueError("the slider's maximum must be positive")
     place = min(max(float(slider) / slider_max, 0.0), 1.0)
     found = percentiles(pixels, by, (0.01, 0.99))
-    return found.select(*by, (F.col("p")[0] + place * (F.col("p")[1] - F.col("p")[0])).alias("threshold"))
+    none = F.raise_error(F.concat(F.lit("no finite pixel to take a threshold from: "), F.concat_ws(" ", *[F.col(b).cast("string") for b in by]))).cast("double")
+    return found.select(*by, F.when(F.col("least").isNull(), none).otherwise(F.col("p")[0] + place * (F.col("p")[1] - F.col("p")[0])).alias("threshold"))
 
 
 def threshold_highlight(pixels: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:

@@ -167,7 +167,7 @@ def normalize_uint8(spark, sf):
 
 
 NORMAL = f"""strides AS (SELECT image_id, CAST(ceil(sqrt(CAST(height*width AS DOUBLE)/1000000)) AS BIGINT) AS stride FROM images),
-lims AS (SELECT p.image_id, channel, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM pixels p JOIN strides s ON p.image_id = s.image_id WHERE y % stride = 0 AND x % stride = 0 AND {FINITE} GROUP BY 1, 2),
+lims AS MATERIALIZED (SELECT p.image_id, channel, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM pixels p JOIN strides s ON p.image_id = s.image_id WHERE y % stride = 0 AND x % stride = 0 AND {FINITE} GROUP BY 1, 2),
 units AS (SELECT p.image_id, p.channel, y, x, CASE WHEN high > low THEN least(greatest(((CASE WHEN isnan(value) THEN low WHEN value = CAST('Infinity' AS DOUBLE) THEN high ELSE value END) - low)/(high - low), 0.0), 1.0) ELSE 0.0 END AS unit
 FROM pixels p LEFT JOIN lims l ON p.image_id = l.image_id AND p.channel = l.channel)"""
 
@@ -190,8 +190,9 @@ def rgb_overview(spark, sf):
     return op.rgb_overview(fx.marker(spark, sf), fx.dapi(spark, sf), fx.images(spark, sf), "Magenta", OVERVIEW)
 
 
-THRESHOLDS = """thresholds AS (SELECT p.image_id, region_id, quantile_cont(value, 0.01) + 0.5*(quantile_cont(value, 0.99) - quantile_cont(value, 0.01)) AS threshold
-FROM pixels p JOIN """ + IN_WINDOW + f""" WHERE channel = 'marker' AND {FINITE} GROUP BY 1, 2)"""
+THRESHOLDS = """inside AS MATERIALIZED (SELECT p.image_id, region_id, p.y-y0 AS fy, p.x-x0 AS fx, value FROM pixels p JOIN """ + IN_WINDOW + f""" WHERE channel = 'marker'),
+ends AS MATERIALIZED (SELECT image_id, region_id, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM inside WHERE {FINITE} GROUP BY 1, 2),
+thresholds AS MATERIALIZED (SELECT image_id, region_id, low + 0.5*(high - low) AS threshold FROM ends)"""
 
 
 @query("intensity_threshold", "pixels images", WINDOWS + ", " + THRESHOLDS + " SELECT image_id, region_id, round(threshold, 6) AS threshold FROM thresholds")
@@ -200,8 +201,7 @@ def intensity_threshold(spark, sf):
     return op.intensity_threshold(regions, ["image_id", "region_id"], 500).select("image_id", "region_id", *six("threshold"))
 
 
-@query("threshold_highlight", "pixels images", WINDOWS + ", " + THRESHOLDS + """ SELECT p.image_id, w.region_id, p.y-y0 AS fy, p.x-x0 AS fx FROM pixels p JOIN """ + IN_WINDOW + """
-JOIN thresholds t ON t.image_id = w.image_id AND t.region_id = w.region_id WHERE channel = 'marker' AND NOT isnan(value) AND value > threshold""")
+@query("threshold_highlight", "pixels images", WINDOWS + ", " + THRESHOLDS + """ SELECT i.image_id, i.region_id, fy, fx FROM inside i JOIN thresholds t ON t.image_id = i.image_id AND t.region_id = i.region_id WHERE NOT isnan(value) AND value > threshold""")
 def threshold_highlight(spark, sf):
     regions = op.read_region(fx.marker(spark, sf), windows(spark, sf))
     by = ["image_id", "region_id"]

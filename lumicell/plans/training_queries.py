@@ -84,12 +84,18 @@ def usable_features(spark, sf):
     return rows.select(F.explode(F.array(*[F.lit(n) for n in found])).alias("feature")).groupBy("feature").agg(F.count("*").alias("cells"))
 
 
-@query("shared_membrane_markers", "", "WITH " + CHANNELS + """ SELECT a.name, min(a.channel_index) AS channel_index FROM channels a WHERE a.image_id = 0 AND lower(trim(a.name)) NOT LIKE '%dapi%'
-AND (SELECT count(DISTINCT image_id) FROM channels b WHERE b.name = a.name) = (SELECT count(DISTINCT image_id) FROM channels) GROUP BY 1""")
+#: Channels of four images, with names that several channels and images have.
+FOUR = """four AS MATERIALIZED (SELECT p_partkey % 4 AS image_id, p_partkey // 4 AS channel_index, CASE WHEN p_size % 11 = 0 THEN '  dapi ' || p_size WHEN p_size % 17 = 3 THEN 'DAPI' ELSE 'CD' || p_size END AS name FROM part),
+markers AS MATERIALIZED (SELECT * FROM four WHERE lower(trim(name)) NOT LIKE '%dapi%'), everywhere AS (SELECT name FROM markers GROUP BY 1 HAVING count(DISTINCT image_id) = (SELECT count(DISTINCT image_id) FROM four))"""
+
+
+@query("shared_membrane_markers", "", "WITH " + FOUR + " SELECT m.name, min(channel_index) AS channel_index FROM markers m JOIN everywhere e ON e.name = m.name WHERE image_id = (SELECT min(image_id) FROM markers) GROUP BY 1")
 def shared_membrane_markers(spark, sf):
     from lumicell.operators.raster import membrane_markers
 
-    rows = channels(spark, sf)
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.when(F.col("p_size") % 11 == 0, F.concat(F.lit("  dapi "), size)).when(F.col("p_size") % 17 == 3, "DAPI").otherwise(F.concat(F.lit("CD"), size))
+    rows = fx.table(spark, sf, "part").select((key % 4).alias("image_id"), F.floor(key / 4).alias("channel_index"), name.alias("name"))
     return sc.shared_markers(membrane_markers(rows), rows)
 
 

@@ -183,3 +183,23 @@ def test_window_conversions(spark):
         v.window_start(F.lit(99.0), F.lit(32), F.lit(100)).alias("high"), v.window_start(F.lit(18.5), F.lit(32), F.lit(100)).alias("even"),
     ).first()
     assert tuple(got) == (4, 20, 0, 68, 2)
+
+
+def test_percentiles_equal_those_of_all_values(spark):
+    """Selection by ranges is exact for values of any size and for any ties, for all groups at once."""
+    rng = np.random.default_rng(3)
+    kinds = {
+        "small": rng.integers(0, 65536, 2000).astype(float), "spread": rng.normal(size=1000) * 10.0 ** rng.integers(-300, 300, 1000), "ties": rng.integers(0, 3, 500).astype(float),
+        "tiny": np.array([5e-324 * i for i in range(50)] + [1.0]), "huge": np.array([-1.7e308, 1.7e308, 1e-10, -1e-10, 0.0, 3.0]), "one": np.array([4.25]), "none": np.array([]), "two": np.array([1.0, 2.0]),
+    }
+    rows = spark.createDataFrame([(k, float(v)) for k, values in kinds.items() for v in [*values, NAN, INF, -INF]], "g string, value double").repartition(3)
+    shares = (0.0, 0.01, 0.2, 0.5, 0.99, 1.0)
+    want = {r["g"]: r["p"] for r in rows.filter(F.abs("value") < INF).groupBy("g").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("p")).collect()}
+    found = {r["g"]: r["p"] for r in rs.percentiles(rows, ["g"], shares).collect()}
+    assert found.keys() == kinds.keys() and all(found[k] == want.get(k, [None] * len(shares)) for k in kinds)
+
+
+def test_a_threshold_needs_finite_pixels(spark):
+    rows = spark.createDataFrame([(0, NAN), (0, INF)], "image_id long, value double")
+    with pytest.raises(PySparkException, match="no finite pixel"):
+        rs.intensity_threshold(rows, ["image_id"], 500).collect()
