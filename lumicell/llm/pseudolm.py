@@ -3,7 +3,7 @@
 Every word of every document is predicted from the two words on either side, by a hierarchical softmax: words
 lie in order of frequency on a line, each as long as its share of the corpus, and the line is halved again and
 again.  At every halving the network says on which side the word is, from the embeddings of the words around
-it; ``LEVELS`` halvings give one of 16,383 cells.  A cell that holds one word ends there; in a cell that rare words
+it; ``LEVELS`` halvings give one of 65,535 cells.  A cell that holds one word ends there; in a cell that rare words
 share, the corpus counts give the word.  All steps are normalised, so a document's score is a sum of conditional
 log-probabilities over all words of the corpus.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lumicell.llm.shared import cut, in_small_batches, map_batches
 
 #: Halvings of the line, cells (the last code stands for what is beyond a text), width of embeddings.
-LEVELS, CELLS, EDGE, WIDTH = 14, (1 << 14) - 1, (1 << 14) - 1, 7
+LEVELS, CELLS, EDGE, WIDTH = 16, (1 << 16) - 1, (1 << 16) - 1, 11
 OFFSETS = (-2, -1, 1, 2)
 #: Words rarer than one in ``HEAD`` share cells by hash.
 HEAD = 1 << 20
@@ -369,7 +369,10 @@ class PseudoLikelihood:
 
 
 def _runs(coded: DataFrame, parts: int) -> DataFrame:
-    """Rows ``(part, run)``: runs of cells, dealt over training tasks; every word is in the middle of one window."""
+    """Rows ``(part, run)``: runs of cells, dealt over training tasks; every word is in the middle of one window.
+
+    Where a text's runs begin to be dealt follows from its words and its id, so copies of a text go to all parts.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         part, blobs = [], []
@@ -379,7 +382,7 @@ def _runs(coded: DataFrame, parts: int) -> DataFrame:
             blobs += map(bytes, lines)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(blobs, pa.binary())], names=["part", "run"])
 
-    return map_batches(coded.select(F.pmod(F.xxhash64("cells"), F.lit(1 << 40)).alias("key"), "cells"), run, "part int, run binary")
+    return map_batches(coded.select(F.pmod(F.xxhash64("cells", "doc_id"), F.lit(1 << 40)).alias("key"), "cells"), run, "part int, run binary")
 
 
 _COPY = "part int, piece int, rows binary, weights binary"
