@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicell.llm.shared import cut, free_name, in_small_batches, map_batches
+from lumicell.llm.shared import any_names, cut, free_name, in_small_batches, map_batches
 
 #: 1: the token counts; 0: it may differ.
 MASKS = ("11101011", "1100110101", "10110010111")
@@ -224,6 +224,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, .
     return best.join(named, best.key == named.of).select("doc_id", "item_id", "best.*")
 
 
+@any_names
 def decontaminate(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that hold no benchmark text, all their columns as they are.
 

@@ -9,10 +9,14 @@ epoch is cut at the exact word where the budget ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from lumicell.llm.shared import cut, free_name, power_of_two
+from lumicell.functions.rank import distributed_rank
+from lumicell.llm.shared import any_names, cut, free_name, power_of_two
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -92,19 +96,37 @@ def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
     )
 
 
+@any_names
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``documents``: a document taken in n epochs, the last perhaps in part, has n rows.
 
     Texts stay whole: the document at which a source's budget ends has its full text in that epoch.  Rows meet their part of the
-    mix by id, source and the text's hash, so rows without an id are told apart; rows equal in all three are taken equally often, the
-    mean of what the mix takes of them, rounded up.
+    mix by id, source and the text's hash.  Rows equal in all three share what the mix takes of them: together they have as many
+    rows as it has begun, dealt evenly, one more to those with the smallest hashes of their other columns.
     """
-    taken = mix(documents, **options).groupBy("doc_id", "source", "tie").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
-    often = taken.filter("mix_taken > 0").select("doc_id", "source", "tie", F.expr("cast(ceil(mix_taken / mix_size) as int)").alias("epochs"))
-    key, source, tie, often_name, epoch = (free_name(documents, n) for n in ("mix_key", "mix_source", "mix_tie", "mix_epochs", "mix_epoch"))
-    often = often.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie), F.col("epochs").alias(often_name))
-    same = documents.doc_id.cast("long").eqNullSafe(often[key]) & documents["source"].eqNullSafe(often[source]) & (F.xxhash64(documents["text"]) == often[tie])
-    return documents.join(often, same).withColumn(epoch, F.explode(F.sequence(F.lit(1), often_name))).select(*[documents[c] for c in documents.columns])
+    group = ("doc_id", "source", "tie")
+    taken = mix(documents, **options).groupBy(*group).agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows")).filter("taken > 0")
+    names = {n: free_name(documents, f"mix_{n}") for n in (*group, "each", "more", "row", "at", "rank", "first", "epoch")}
+    often = taken.withColumn("begun", F.expr("(taken + size - 1) div size")).select(*[F.col(n).alias(names[n]) for n in group], F.expr("begun div rows").alias(names["each"]), F.expr("begun % rows").alias(names["more"]))
+    often = cut(often)
+    own = (F.col("doc_id").cast("long"), F.col("source"), F.xxhash64("text"))
+    met = documents.join(often, functools.reduce(Column.__and__, [a.eqNullSafe(F.col(names[n])) for a, n in zip(own, group)]))
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn(names["epoch"], F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*documents.columns)
+
+    even = repeated(met.filter(f"{names['more']} = 0"), F.col(names["each"]))
+    if often.filter(f"{names['more']} > 0").isEmpty():
+        return even
+    plain = [F.col(f.name) if isinstance(f.dataType, AtomicType) else F.col(f.name).cast("string") for f in documents.schema.fields]
+    uneven = cut(met.filter(f"{names['more']} > 0")).withColumns({names["row"]: F.xxhash64(*plain), names["at"]: F.monotonically_increasing_id()})
+    keys = [names[n] for n in group]
+    ranked = distributed_rank(uneven, [*keys, names["row"], names["at"]], names["rank"])  # equal rows are interchangeable, so any order of them will do
+    first = ranked.groupBy(*keys).agg(F.min(names["rank"]).alias("first")).select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("first").alias(names["first"]))
+    placed = ranked.join(first, functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]))
+    one_more = (F.col(names["rank"]) - F.col(names["first"]) < F.col(names["more"])).cast("long")
+    dealt = placed.withColumn(names["each"], F.col(names["each"]) + one_more).filter(f"{names['each']} > 0")
+    return even.unionByName(repeated(dealt, F.col(names["each"])))
 
 
 #: DuckDB SQL for ``mix``.

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicell.llm.shared import cut, free_name
+from lumicell.llm.shared import any_names, cut, free_name
 
 #: Kinds in the order of their spans: pattern, a cheap test that a text may hold it, and what a match must pass.
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -139,6 +139,7 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+@any_names
 def sanitise(documents: DataFrame) -> DataFrame:
     """``documents`` with their texts sanitised: entities become ``[EMAIL]`` and so on, disclosing terms ``[TERM]`` or nothing.
 

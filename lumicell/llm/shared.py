@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -91,6 +92,18 @@ def uniform_bits(column, bits: int, seed: str = ""):
     return F.shiftright(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), 32 - bits)
 
 
+def any_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a stage that returns the columns it is given: it sees ``doc_id``, ``text`` and ``source`` and plain names for all others, so that names with dots, quotes or other case do no harm."""
+
+    @functools.wraps(stage)
+    def run(documents: DataFrame, *args, **options) -> DataFrame:
+        names = documents.columns
+        plain = documents.toDF(*[n if n in ("doc_id", "text", "source") else f"other_{i}" for i, n in enumerate(names)])
+        return stage(plain, *args, **options).toDF(*names)
+
+    return run
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores after it as long as a column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}

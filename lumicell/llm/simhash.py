@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from lumicell.llm.components import components
-from lumicell.llm.shared import cut, free_name, gathered, in_small_batches, map_batches
+from lumicell.llm.shared import any_names, cut, free_name, gathered, in_small_batches, map_batches
 
 BUCKET_ROWS = 256
 _CHUNK, _LAST = 1 << 16, (1 << 63) - 1
@@ -179,6 +179,7 @@ def near_duplicate_groups(documents: DataFrame, id_column: str = "doc_id", text_
     )
 
 
+@any_names
 def drop_near_duplicates(documents: DataFrame, k: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row of each group of near duplicates, all its columns as they are.
 

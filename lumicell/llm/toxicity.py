@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicell.llm.shared import cut, in_small_batches, map_batches
+from lumicell.llm.shared import any_names, cut, in_small_batches, map_batches
 
 THRESHOLD = 0.7
 MOST_TEXTS = 16_000
@@ -218,6 +218,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@any_names
 def keep_clean(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below ``threshold``, all their columns as they are; nothing is shuffled."""
     in_small_batches(documents.sparkSession)

@@ -734,3 +734,30 @@ def test_copies_are_averaged_by_touches(spark):
     got = np.concatenate([np.frombuffer(r["rows"], np.float32).reshape(-1, 3) for r in sorted(met, key=lambda r: r["piece"])])
     want = sum(r * w[:, None] for r, w in zip(rows, weights)) / sum(weights)[:, None]
     assert len(met) == pseudolm._PIECES and np.allclose(got, want, atol=1e-5)
+
+
+# Columns of any name, rows that repeat
+
+
+def test_stages_take_columns_of_any_name(spark):
+    rows = [(i, prose(random.Random(i), 30), "s", 1, "x", i % 2, {"k": i}) for i in range(6)] + [(None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, `c``d e` string, `Text` int, tags map<string,int>")
+    for stage in (lambda d: toxicity.keep_clean(d, toxicity.Model()), simhash.drop_near_duplicates, lambda d: decontam.decontaminate(d, spark.createDataFrame([(1, "nothing of the kind at all here")], "item_id long, text string")), mixing.mixed_documents, pii.sanitise):
+        found = stage(docs)
+        assert found.columns == docs.columns and found.schema.simpleString() == docs.schema.simpleString()
+        assert {r["a.b"] for r in found.collect() if r["doc_id"] is not None} == {1}
+
+
+@pytest.mark.parametrize("many", [1000, 7])
+def test_repeated_rows_share_their_part_of_the_mix(spark, many):
+    rows = [(None, "four words are here", "a", i % 3) for i in range(many)] + [(5, "b has four words", "b", 0)] * many + [(i, prose(random.Random(i), 9), "c", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kind int").repartition(5)
+    taken = {r["source"]: (r["target"], r["size"]) for r in mixing.mix(docs).groupBy("source").agg(F.max("target").alias("target"), F.max("size").alias("size")).collect()}
+    found = mixing.mixed_documents(docs).collect()
+    for source, (target, size) in taken.items():
+        words = sum(len(r["text"].split()) for r in found if r["source"] == source)
+        assert int(target) <= words < int(target) + size
+    again = mixing.mixed_documents(docs.repartition(2)).collect()
+    assert sorted(found, key=repr) == sorted(again, key=repr)
+    of_kind = Counter(r["kind"] for r in found if r["source"] == "a")
+    assert sum(of_kind.values()) == -(-int(taken["a"][0]) // 4)
