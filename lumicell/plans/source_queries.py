@@ -168,7 +168,7 @@ def write_segmentation(spark, sf):
     mask = checkpointed(fx.mask(spark, sf))
     names = {0: "a/slide.tif", 1: "b/SLIDE.tif", 2: "slide.b.tif", 3: "slide.qptiff"}
     tl.write_segmentation(agg.morphology_basic(mask).select("image_id", "label", "area", "y_min"), mask, path, "model", ["marker"], "dapi", names)
-    back = tl.read_mask_tiles(spark.read.parquet(f"{path}/mask")).groupBy(F.col("image_id").cast("long").alias("image_id"), "label").agg(F.count("*").alias("pixels"))
+    back = tl.read_mask_tiles(tl.read_segmentation_mask(spark, path)).groupBy(F.col("image_id").cast("long").alias("image_id"), "label").agg(F.count("*").alias("pixels"))
     cells, about = tl.read_segmentation(spark, path)
     return back.join(cells.select("image_id", F.col("label").cast("long").alias("label"), "area", "y_min", "file"), ["image_id", "label"]).join(F.broadcast(about), how="cross").select(
         "image_id", "label", "pixels", "area", "y_min", "file", "model_name", F.array_join("marker_names", " ").alias("markers"), F.col("nuclear_channel_name").alias("nuclear")

@@ -354,3 +354,31 @@ def test_project_versions(spark):
     for bad in ({"format": "x", "version": 4}, {"format": pj.FORMAT, "version": 9}):
         with pytest.raises(PySparkException):
             pj.parse_projects(spark.createDataFrame([(1, json.dumps(bad))], "project_id long, value string")).select("images").collect()
+
+
+def test_a_stopped_segmentation_leaves_the_old_pair(spark, tmp_path, monkeypatch):
+    """Whenever a job stops between the writes, readers see the pair of before; afterwards the new one."""
+    path = f"file://{tmp_path}/segmentation"
+    write = lambda n: tl.write_segmentation(spark.createDataFrame([(0, n)], "image_id long, label long"), mask(spark, np.full((2, 3), n)), path, f"model {n}", ["m"], None, {0: "a.tif"})
+
+    def seen():
+        cells, about = tl.read_segmentation(spark, path)
+        labels = {r["label"] for r in tl.read_mask_tiles(tl.read_segmentation_mask(spark, path)).collect()}
+        return [r["label"] for r in cells.collect()], labels, about.first()["model_name"]
+
+    with pytest.raises(FileNotFoundError):
+        tl.read_segmentation(spark, path)
+    write(1)
+    assert seen() == ([1], {1}, "model 1")
+    for broken in ("write_tiles", "unique_stems"):  # after the cell table; after the mask
+        with monkeypatch.context() as m:
+            m.setattr(tl, broken, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                write(2)
+        assert seen() == ([1], {1}, "model 1")
+    held = tl.read_segmentation(spark, path)[0]
+    write(3)
+    assert seen() == ([3], {3}, "model 3") and [r["label"] for r in held.collect()] == [1]  # who reads the version before may go on
+    write(4)
+    write(5)
+    assert seen() == ([5], {5}, "model 5") and len(tl._commits(spark, path)[2]) == 2
