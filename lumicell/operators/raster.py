@@ -222,7 +222,11 @@ def threshold_highlight(pixels: DataFrame, thresholds: DataFrame, by: list[str])
 
 def dapi_threshold(dapi: DataFrame, images: DataFrame, max_size: int = OVERVIEW_SIZE) -> DataFrame:
     """``image_id, threshold``: a fifth of the way from the 20th to the 99.5th percentile of the overview."""
-    found = percentiles(overview_resample(dapi, images, max_size), ["image_id"], (0.2, 0.995))
+    return nuclear_threshold(percentiles(overview_resample(dapi, images, max_size), ["image_id"], (0.2, 0.995)))
+
+
+def nuclear_threshold(found: DataFrame) -> DataFrame:
+    """``image_id, threshold`` from the two percentiles and the range of an overview; a flat one is an error."""
     low = F.col("p")[0]
     high = F.when(F.col("p")[1] <= low, F.col("most")).otherwise(F.col("p")[1])
     flat = low.isNull() | (high <= low)
@@ -266,7 +270,11 @@ def random_fov(dapi: DataFrame, images: DataFrame, size: int = FOV_SIZE, seed: i
 def first_good_fov(dapi: DataFrame, drawn: DataFrame, thresholds: DataFrame, least: float = FOV_LEAST_FRACTION, bin_side: int = BIN) -> DataFrame:
     """The first of the drawn windows ``(image_id, attempt, y0, x0, height, width)`` with enough nuclear pixels; an error if none has."""
     found = read_region(dapi, drawn, bin_side)
-    fractions = dapi_positive_fraction(found, thresholds, ["image_id", "attempt", "y0", "x0"])
+    return pick_good_fov(dapi_positive_fraction(found, thresholds, ["image_id", "attempt", "y0", "x0"]), least)
+
+
+def pick_good_fov(fractions: DataFrame, least: float) -> DataFrame:
+    """Each image's first attempt with a ``fraction`` of at least ``least``; an error where none has."""
     good = F.struct("attempt", "y0", "x0", "fraction")
     best = fractions.groupBy("image_id").agg(F.min(F.when(F.col("fraction") >= least, good)).alias("f"), F.max("fraction").alias("best"))
     none = F.raise_error(F.concat(F.lit("no field of view has enough nuclear pixels; the best has "), F.col("best").cast("string")))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumicell import fixtures as fx
 from lumicell.functions import values as v
+from lumicell.functions.rank import checkpointed, shared_folder
+from lumicell.operators import pyramid as py
 from lumicell.operators import raster as op
 from lumicell.plans.registry import query
 
@@ -70,6 +74,24 @@ def overview_resample(spark, sf):
     return found.withColumn("value", v.when_finite(F.col("value")))
 
 
+@query("overview_of_tiles", "pixels images", PICKED + f" SELECT image_id, channel, oy, ox, value FROM overview WHERE {FINITE}")
+def overview_of_tiles(spark, sf):
+    """From stored tiles; without pixels that are not finite."""
+    tiles = fx.raster_tiles(spark, sf).filter("channel <> 'mask'")
+    return py.overview(tiles, py.level_sizes(fx.images(spark, sf), 0)).filter(v.finite(F.col("value")))
+
+
+@query("overview_of_pyramid", "pixels images", f"""small AS MATERIALIZED (SELECT image_id, channel, y // 4 AS oy, x // 4 AS ox, y // 2 % 2 AS a, x // 2 % 2 AS b, avg(value) AS value FROM pixels WHERE {FINITE} GROUP BY ALL)
+SELECT image_id, channel, oy, ox, round(avg(value), 6) AS value FROM small GROUP BY 1, 2, 3, 4""")
+def overview_of_pyramid(spark, sf):
+    """The second level of a stored pyramid, read back whole."""
+    path = f"{shared_folder(spark)}/pyramid-{uuid.uuid4()}"
+    py.write_pyramid(fx.raster_tiles(spark, sf, 64).filter("channel <> 'mask'"), path, 2, 64)
+    level = spark.read.parquet(path).filter("level = 2")
+    sizes = py.level_sizes(fx.images(spark, sf), 2).filter("level = 2")
+    return py.overview(level, sizes, 1 << 30).filter(v.finite(F.col("value"))).select("image_id", "channel", "oy", "ox", *six("value"))
+
+
 #: Twenty channels for each image, named from part rows.
 CHANNELS = """channels AS (SELECT p_partkey // 20 AS image_id, p_partkey % 20 AS channel_index,
  CASE WHEN p_size % 11 = 0 THEN '  dapi ' || p_size WHEN p_size % 17 = 3 THEN 'DAPI' WHEN p_partkey % 20 < 3 THEN 'CD' || (p_partkey % 20) ELSE 'CD' || p_size END AS name FROM part)"""
@@ -115,9 +137,14 @@ def dapi_positive_fraction(spark, sf):
     return found.select("image_id", "region_id", *six("fraction"))
 
 
+def dapi_tiles(spark, sf):
+    """The nuclear channel as stored tiles, and the only level that is stored."""
+    return checkpointed(fx.raster_tiles(spark, sf).filter("channel = 'dapi'")), py.level_sizes(fx.images(spark, sf), 0)
+
+
 @query("random_fov")
 def random_fov(spark, sf):
-    found = op.random_fov(fx.dapi(spark, sf), fx.images(spark, sf), size=fx.FOV, seed=42, bin_side=64)
+    found = py.random_fov(*dapi_tiles(spark, sf), size=fx.FOV, seed=42)
     return found.select("image_id", "attempt", "y0", "x0", *six("fraction"))
 
 
@@ -127,11 +154,11 @@ f AS (SELECT p.image_id, attempt, y0, x0, count(*) FILTER (value > threshold) /
  JOIN thresholds t ON t.image_id = p.image_id WHERE channel = 'dapi' GROUP BY 1, 2, 3, 4)
 SELECT image_id, attempt, y0, x0, round(fraction, 6) AS fraction FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY attempt) AS n FROM f WHERE fraction >= 0.25) WHERE n = 1""")
 def first_good_fov(spark, sf):
-    images, dapi = fx.images(spark, sf), fx.dapi(spark, sf)
+    images, (tiles, sizes) = fx.images(spark, sf), dapi_tiles(spark, sf)
     a = F.col("attempt")
     drawn = images.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
     drawn = drawn.select("image_id", "attempt", ((a * 11 + F.col("image_id")) % (F.col("height") - 7)).alias("y0"), ((a * 67 + 5) % (F.col("width") - 7)).alias("x0"), F.lit(8).alias("height"), F.lit(8).alias("width"))
-    found = op.first_good_fov(dapi, drawn, op.dapi_threshold(dapi, images, OVERVIEW), 0.25, 64)
+    found = py.first_good_fov(tiles, drawn, py.dapi_threshold(tiles, sizes), 0.25)
     return found.select("image_id", "attempt", "y0", "x0", *six("fraction"))
 
 

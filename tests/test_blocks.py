@@ -11,6 +11,7 @@ from lumicell.operators import aggregate as agg
 from lumicell.operators import blocks as bk
 from lumicell.operators import mask as mk
 from lumicell.operators import match as mt
+from lumicell.operators import pyramid as py
 from lumicell.sources import tiles as tl
 from tests.test_raster import INF, NAN, mask, pixels, touching
 
@@ -189,3 +190,41 @@ def test_queries_of_the_raster_tiles(spark, small):
         told = lambda df: {(r["image_id"], r["y"], r["x"]): str(r["value"]) for r in df.collect()}
         got, want = told(tl.tiles_to_pixels(tiles.filter(F.col("channel") == channel))), told(rows)
         assert all(got[k] == v for k, v in want.items()) and all(v in ("nan", "0.0") for k, v in got.items() if k not in want)
+
+
+def test_summed_tables_count_windows(spark):
+    """Counts by look-ups equal those of the windows' pixels; windows may go over tiles and the image's side."""
+    rng = np.random.default_rng(9)
+    values = np.where(rng.random((37, 50)) < 0.1, NAN, rng.integers(0, 100, (37, 50)).astype(float))
+    limit = spark.createDataFrame([(0, 60.0)], "image_id long, threshold double")
+    asked = [(0, i, int(rng.integers(0, 37)), int(rng.integers(0, 50)), int(rng.integers(1, 30)), int(rng.integers(1, 30))) for i in range(60)]
+    windows = spark.createDataFrame(asked, "image_id long, region_id long, y0 long, x0 long, height long, width long")
+    for side in (8, 64):
+        found = {r["region_id"]: r["fraction"] for r in py.positive_fraction(tl.pixels_to_tiles(pixels(spark, values), side), limit, windows, ["image_id", "region_id"], side).collect()}
+        for _, i, y, x, h, w in asked:
+            part = values[y : y + h, x : x + w]
+            part = part[np.isfinite(part)]
+            assert found[i] == ((part > 60).mean() if len(part) else 0)
+
+
+def test_pyramid_levels_and_overviews(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    values = np.where(rng.random((45, 70)) < 0.2, NAN, rng.integers(0, 100, (45, 70)).astype(float))
+    values[:4, :4] = NAN
+    path = f"file://{tmp_path}/pyramid"
+    py.write_pyramid(tl.pixels_to_tiles(pixels(spark, values), 8), path, 2, 8)
+    stored = spark.read.parquet(path)
+    want = values
+    for level in range(3):
+        got = np.full(want.shape, -1.0)
+        for r in tl.tiles_to_pixels(stored.filter(F.col("level") == level)).collect():
+            got[r["y"], r["x"]] = r["value"]
+        assert np.array_equal(got, want, equal_nan=True)
+        want = py.halved(want)
+    sizes = py.level_sizes(spark.createDataFrame([(0, 45, 70)], "image_id long, height long, width long"), 2)
+    assert [(r["level"], r["height"], r["width"]) for r in sizes.orderBy("level").collect()] == [(0, 45, 70), (1, 23, 35), (2, 12, 18)]
+    small = py.overview(stored, sizes, 20)  # the second level is the smallest with 20 or more
+    assert {(r["oy"], r["ox"]) for r in small.collect()} == {(y, x) for y in range(13) for x in range(20)}
+    assert "level" in small._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]  # other levels are not read
+    half = py.halved(values)
+    assert all(np.isnan(r["value"]) and np.isnan(half[y, x]) or r["value"] == half[y, x] for r in small.collect() for y, x in [(py.picked(23, 35 / 20)[r["oy"]], py.picked(35, 35 / 20)[r["ox"]])])
