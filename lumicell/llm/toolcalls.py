@@ -25,7 +25,8 @@ MOST_NESTING = 128
 #: Conversations with more than one in so many rows are met by broadcast (there are fewer than that of them).
 HOT_PART = 1024
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
-_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[{]|[\]}]', re.S)
+#: Strings, also one that is never closed, which takes the rest of the text; brackets.
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[\[{]|[\]}]', re.S)
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
 

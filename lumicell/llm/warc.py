@@ -13,6 +13,7 @@ from elsewhere: all its ``.warc.gz`` files are read, in the order of their names
 from __future__ import annotations
 
 import hashlib
+import re
 import json
 import uuid
 import zlib
@@ -67,13 +68,13 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, payload_
 
 
 def parse(data: bytes) -> tuple | None:
-    """A row of ``SCHEMA`` from an unpacked record, header names in any case; None if it is not a whole one."""
+    """A row of ``SCHEMA`` from an unpacked record, header names in any case; None if it is not a whole one, or its length is no number."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]) if colon}
-    length = int(fields.get("content-length", -1))
-    if not 0 <= length <= len(rest):
+    number = lambda k: int(fields[k]) if re.fullmatch("[0-9]{1,18}", fields.get(k, "")) else None
+    length = number("content-length")
+    if length is None or length > len(rest):
         return None
-    number = lambda k: int(fields[k]) if k in fields else None
     kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "")
     digest = digest.removeprefix("sha256:") if digest.startswith("sha256:") else None
     payload = rest[:length].partition(b"\r\n\r\n")[2] if kind == "response" else None

@@ -6,6 +6,7 @@ import io
 import json
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -421,3 +422,14 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == 0
     full = spark.createDataFrame([(i, f"text number {i} of some", "en", "s", 1, 1, "n", 2, 0.5, "s") for i in range(20)], COLUMNS)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, tables_of(spark, tmp_path / "u", full, [], [])).collect()} <= set(range(20))
+
+
+def test_nesting_takes_linear_time():
+    began = time.time()
+    assert toolcalls.nesting('"' + '\\"' * 500_000) == 0 and toolcalls.nesting('[["a]]' + "]" * 1_000_000) == 2 and toolcalls.nesting('{"a": [1, "\\\\"], "b": "') == 2
+    assert toolcalls.nesting('"' + "\\") == 0 and time.time() - began < 2
+
+
+def test_a_record_without_a_right_length_is_passed_over():
+    record = lambda length: f"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 7\r\nContent-Length: {length}\r\n\r\n".encode() + b"HTTP/1.1 200 OK\r\n\r\nabc"
+    assert warc.parse(record(22))[3] == b"abc" and all(warc.parse(record(n)) is None for n in ("twelve", "-1", "", "9" * 30, "1e3", 99))
