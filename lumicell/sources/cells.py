@@ -47,19 +47,32 @@ def _placed(rows: DataFrame, with_image: Callable[[DataFrame], DataFrame]) -> Da
     return joined.select("a.*", (F.col("a.id_of_row") + F.col("b.shift")).alias("row_index")).drop("file_of_row", "block_of_row", "id_of_row")
 
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of each file or folder of parts (that of its first part), by path without scheme; one job for all.  Files without a line are left out."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file_of_row"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    firsts = lines.filter("block = 0").groupBy("file_of_row").agg(F.min_by("value", "id").alias("line")).select(F.expr(_INSIDE).alias("path"), "line")
+    found: dict[str, str] = {}
+    for r in firsts.orderBy("path").collect():  # one line for each file
+        for name in (r["path"], r["path"].rpartition("/")[0]):
+            found.setdefault(name, r["line"])
+    return found
+
+
 def read_cell_tables(spark: SparkSession, paths: dict[int, str], sep: str | None = None) -> DataFrame:
     """Tables of several images ``{image_id: path}`` on the union of their columns, in first-seen order.
 
-    Files with the same header are read in one scan, however many images they are of; an image's table may be a folder of parts in the
-    order of their names.  A table without rows is an error.
+    One scan finds all headers; files with the same header are then read in one scan, so the number of jobs follows that of headers, not of images.  An
+    image's table may be a folder of parts in the order of their names.  A table without rows is an error.
     """
-    kinds: dict[tuple, dict[int, str]] = {}
+    lines, kinds = headers(spark, list(paths.values())), {}
     for i, p in paths.items():
-        kind = sep or separator(p)
-        kinds.setdefault((kind, *spark.read.option("header", True).option("sep", kind).csv(p).columns), {})[i] = p
+        if _inside(p) not in lines:
+            raise ValueError(f"{p} has no cells")
+        kinds.setdefault((sep or separator(p), lines[_inside(p)]), {})[i] = p
     tables = []
-    for (kind, *columns), own in kinds.items():
+    for (kind, _), own in kinds.items():
         rows = _reader(spark, kind, None).csv(list(own.values()))
+        columns = rows.columns
         named = few(spark.createDataFrame([(_inside(p), i) for i, p in own.items()], "path_of_image string, image_id long"))
 
         def with_image(df: DataFrame, named=named) -> DataFrame:

@@ -382,3 +382,20 @@ def test_a_stopped_segmentation_leaves_the_old_pair(spark, tmp_path, monkeypatch
     write(4)
     write(5)
     assert seen() == ([5], {5}, "model 5") and len(tl._commits(spark, path)[2]) == 2
+
+
+def test_jobs_do_not_grow_with_the_number_of_images(spark, tmp_path):
+    """Headers come from one scan: eight images take as many jobs as two."""
+    for i in range(8):
+        (tmp_path / f"cells {i}.tsv").write_text("Cell ID\tX\n" + "".join(f"{k}\t{i}.5\n" for k in range(i + 1)))
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for n in (2, 8):
+        spark.sparkContext.setJobGroup(f"read {n}", "")
+        found = cs.read_cell_tables(spark, {i: f"{tmp_path}/cells {i}.tsv" for i in range(n)})
+        assert {r["image_id"]: r["count"] for r in found.groupBy("image_id").count().collect()} == {i: i + 1 for i in range(n)}
+        counts.append(len(tracker.getJobIdsForGroup(f"read {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1]
+    (tmp_path / "none.tsv").write_text("")
+    with pytest.raises(ValueError, match="no cells"):
+        cs.read_cell_tables(spark, {0: f"{tmp_path}/cells 0.tsv", 1: f"{tmp_path}/none.tsv"})
