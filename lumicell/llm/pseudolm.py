@@ -231,7 +231,7 @@ def _gathered(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(at, kind="stable")
     at = at[order]
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[starts].astype(np.int64), np.add.reduceat(values[order], starts, axis=0), np.diff(starts, append=len(at))
+    return at[starts].astype(np.int64), np.add.reduceat(values.take(order, 0), starts, axis=0), np.diff(starts, append=len(at))
 
 
 @dataclass
@@ -263,7 +263,7 @@ class Network:
 
     def hidden(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(embeddings of the runs, hidden values of the words in them)``; the last hidden value is one."""
-        held = self.embeddings[runs]
+        held = self.embeddings.take(runs, 0)
         out = sum(held[:, _REACH + o : _REACH + o + _RUN] * s for o, s in zip(OFFSETS, self.scales)) + self.scales[-1]
         np.tanh(out, out=out)
         out[:, :, WIDTH] = 1
@@ -277,8 +277,8 @@ class Network:
         nodes, sides = tree.top(target)
         z = np.take_along_axis(hidden @ self.halvings[:_TOP_NODES].T, nodes, 1)
         out = (np.abs(sides) * softplus(-sides * z)).sum(1, dtype=float)
-        row, node, side, _ = tree.below(target)
-        z = side * (hidden[row] * self.halvings[node]).sum(1)
+        row, node, side, steps = tree.below(target)
+        z = side * np.einsum("ij,ij->i", np.repeat(hidden, steps, 0), self.halvings.take(node, 0))
         return -out - np.bincount(row, softplus(-z), len(target))
 
     def trained(self, tree: Tree, runs: np.ndarray, rate: float = RATE) -> tuple[Network, np.ndarray]:
@@ -287,9 +287,12 @@ class Network:
         touched, seen = np.zeros(len(self.rows), np.float32), np.full(len(self.rows), 1e-6, np.float32)
 
         def step(rows, slope: np.ndarray, many) -> None:
-            touched[rows] += many
-            seen[rows] += (slope * slope).sum(1) / (WIDTH + 1)
-            net.rows[rows] -= (rate / np.sqrt(seen[rows]))[:, None] * slope
+            if isinstance(rows, slice):
+                rows = np.arange(*rows.indices(len(seen)))
+            now = seen.take(rows) + np.einsum("ij,ij->i", slope, slope) / (WIDTH + 1)
+            touched[rows] = touched.take(rows) + many
+            seen[rows] = now
+            net.rows[rows] = net.rows.take(rows, 0) - (rate / np.sqrt(now))[:, None] * slope
 
         for at in range(0, len(runs), _BATCH_RUNS):
             lines = runs[at : at + _BATCH_RUNS]
@@ -304,8 +307,8 @@ class Network:
             slope = errors @ top
             row, node, side, steps = tree.below(target)
             if len(row):
-                halving, here = net.halvings[node], hidden[row]
-                error = -side / (1 + np.exp(np.clip(side * (here * halving).sum(1), -30, 30)))
+                halving, here = net.halvings.take(node, 0), np.repeat(hidden, steps, 0)
+                error = -side / (1 + np.exp(np.clip(side * np.einsum("ij,ij->i", here, halving), -30, 30)))
                 some = np.flatnonzero(steps)
                 slope[some] += np.add.reduceat(error[:, None] * halving, (np.cumsum(steps) - steps)[some], axis=0)
             slope *= 1 - hidden * hidden  # the constant one has no slope
