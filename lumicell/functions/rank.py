@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``monotonically_increasing_id`` counts the rows of a partition in this many low bits.
-_ROW_BITS = 33
+#: Rows in one Arrow batch of whole tiles; a batch is what a Python worker holds at once.
+TILE_BATCH_ROWS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +33,14 @@ def few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once when whole tiles are passed to it.  The session's own bound is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TILE_BATCH_ROWS:
+        spark.conf.set(name, str(TILE_BATCH_ROWS))
+
+
 def distributed_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Adds the 0-based rank of each row by ``order``, which should be unique.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumicell.functions.rank import few
+from lumicell.functions.rank import few, in_small_batches
 from lumicell.functions.values import DEFAULT_BUFFER_PX, column, finite, whole
 from lumicell.operators import aggregate as agg
 from lumicell.operators.mask import COMPARTMENTS, TILE, boundary_grid, near_grid
@@ -63,6 +63,7 @@ def _mask_parts(masks: DataFrame, halo: int) -> DataFrame:
 
 def meet(masks: DataFrame, values: DataFrame | None = None, halo: int = 0) -> DataFrame:
     """One row for each mask tile: ``image_id, tile_y, tile_x, parts``, with strips of its neighbours and the value tiles of all channels at its place."""
+    in_small_batches(masks.sparkSession)
     parts = _mask_parts(masks, halo)
     if values is not None:
         placed = values.select("image_id", *[F.col(c).cast("long").alias(c) for c in AT[1:]], F.coalesce("channel", F.lit("")).alias("channel"), F.lit(True).alias("own"), *[F.col(c).cast("long").alias(c) for c in ("y0", "x0")], "height", "width", "dtype", "data")
@@ -328,6 +329,7 @@ def measure_cells(values: DataFrame, masks: DataFrame, images: DataFrame, channe
 
 def tile_labels(masks: DataFrame) -> DataFrame:
     """``image_id, known``: the labels of each image."""
+    in_small_batches(masks.sparkSession)
     kind = dict(masks.dtypes)["image_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,6 +344,7 @@ def tile_labels(masks: DataFrame) -> DataFrame:
 
 def _at_tiles(points: DataFrame, masks: DataFrame, run: Callable[[dict, np.ndarray, list[dict]], tuple[np.ndarray, ...]], names: dict[str, str]) -> DataFrame:
     """``run(tile, labels, points)`` for each tile and up to about ``TOGETHER`` of the points ``(image_id, tile_y, tile_x, …)`` that look into it."""
+    in_small_batches(masks.sparkSession)
     kind = dict(points.dtypes)["image_id"]
     counts = few(points.groupBy(*AT).agg(F.ceil(F.count("*") / TOGETHER).alias("groups")))  # one row for each tile
     rest = [c for c in points.columns if c not in AT]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumicell.functions.rank import few
+from lumicell.functions.rank import few, in_small_batches
 from lumicell.operators.blocks import AT, array_of
 from lumicell.operators.mask import TILE
 from lumicell.operators.raster import FOV_ATTEMPTS, FOV_LEAST_FRACTION, FOV_SIZE, OVERVIEW_SIZE, fov_candidates, nuclear_threshold, overview_level, percentiles, pick_good_fov
@@ -40,6 +40,7 @@ def next_level(tiles: DataFrame, side: int = TILE) -> DataFrame:
     """The tiles of half the resolution.  Each tile is halved where it is; four neighbours meet in one new tile of the same (even) side."""
     if side % 2:
         raise ValueError("the side of tiles must be even")
+    in_small_batches(tiles.sparkSession)
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +92,7 @@ def overview(tiles: DataFrame, sizes: DataFrame, max_size: int = OVERVIEW_SIZE)
 
     ``sizes(image_id, level, height, width)`` lists the stored levels.  Only tiles of the chosen level are read; no pixel becomes a row before it is picked.
     """
+    in_small_batches(tiles.sparkSession)
     chosen = few(overview_level(sizes, max_size).select("image_id", F.col("level").cast("int").alias("level"), F.col("height").alias("full_height"), F.col("width").alias("full_width")))
     levels = [r["level"] for r in chosen.select("level").distinct().collect()]  # a few numbers
     met = tiles.filter(F.col("level").isin(levels)).join(chosen, ["image_id", "level"])
@@ -130,6 +132,7 @@ def positive_fraction(tiles: DataFrame, thresholds: DataFrame, windows: DataFram
     A window goes to the tiles that it meets, and each gives its two counts by one look-up in its summed-area tables.
     """
     span = lambda low, n: F.explode(F.sequence(F.floor(F.col(low) / side), F.floor((F.col(low) + F.col(n) - 1) / side)))
+    in_small_batches(tiles.sparkSession)
     rest = [c for c in by if c != "image_id"]
     kinds = dict(windows.dtypes)
     placed = windows.withColumn("tile_y", span("y0", "height")).withColumn("tile_x", span("x0", "width"))
