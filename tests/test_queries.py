@@ -54,3 +54,12 @@ def test_the_registry_needs_no_other_subpackage():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['lumicell.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 70 and not [n for n in q if n.startswith('op') and '_' in n and n[2].isdigit()], q.keys(); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+@pytest.mark.parametrize("name", "annotate_points display_boundaries find_cell_row label_row_map local_centroid map_cells_to_pixel_rows match_by_centroid prediction_at_points read_region".split())
+def test_a_derived_raster_is_not_broadcast_by_a_guess_of_its_size(spark, name):
+    """A part row becomes 256 pixels, which Spark's guess from the file's size leaves out; only measured sizes may choose a broadcast."""
+    planned = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=false" in planned and "BroadcastExchange" not in planned and "Join" in planned
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") != "-1"
