@@ -228,3 +228,20 @@ def test_pyramid_levels_and_overviews(spark, tmp_path):
     assert "level" in small._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]  # other levels are not read
     half = py.halved(values)
     assert all(np.isnan(r["value"]) and np.isnan(half[y, x]) or r["value"] == half[y, x] for r in small.collect() for y, x in [(py.picked(23, 35 / 20)[r["oy"]], py.picked(35, 35 / 20)[r["ox"]])])
+
+
+def test_a_batch_of_whole_tiles_has_few_bytes(spark, small):
+    """Workers hold a batch at once, so its size may follow neither the number of tiles nor that of channels."""
+    import pyarrow as pa
+
+    from lumicell import fixtures as fx
+    from lumicell.functions.rank import TILE_BATCH_BYTES
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    tile = fx.raster_tiles(spark, small).filter("channel = 'dapi'").limit(1).select("data")
+    many = tile.crossJoin(F.broadcast(spark.range(100))).coalesce(1).withColumn("data", F.expr("substring(concat(data, repeat('x', 500000)), 1, 500000)"))
+    found = many.mapInArrow(sizes, "rows long, bytes long").agg(F.sum("rows").alias("rows"), F.max("bytes").alias("bytes")).first()
+    assert found["rows"] == 100 and found["bytes"] <= TILE_BATCH_BYTES + 500000 + 4096
