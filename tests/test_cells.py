@@ -399,3 +399,10 @@ def test_jobs_do_not_grow_with_the_number_of_images(spark, tmp_path):
     (tmp_path / "none.tsv").write_text("")
     with pytest.raises(ValueError, match="no cells"):
         cs.read_cell_tables(spark, {0: f"{tmp_path}/cells 0.tsv", 1: f"{tmp_path}/none.tsv"})
+
+
+def test_a_large_identifier_with_a_fraction_is_none(spark):
+    texts = ["7", "7.00001", "7.5", "50000.5", "123456789.5", "123456789", "40000.25", "0.5", "-3"]
+    rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "image_id long, row_index long, `Cell ID` string")
+    found = [r["candidates"][0] for r in mt.identifier_candidates(rows).orderBy("row_index").collect()]
+    assert found == [7, 7, 0, 0, 0, 123456789, 0, 0, 0]
