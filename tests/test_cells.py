@@ -406,3 +406,13 @@ def test_a_large_identifier_with_a_fraction_is_none(spark):
     rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "image_id long, row_index long, `Cell ID` string")
     found = [r["candidates"][0] for r in mt.identifier_candidates(rows).orderBy("row_index").collect()]
     assert found == [7, 7, 0, 0, 0, 123456789, 0, 0, 0]
+
+
+def test_candidates_are_not_worked_out_for_each_pixel(spark, small):
+    from lumicell import plans
+
+    plan = plans.queries()["match_by_identifier"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan and plan.count("posexplode") == 1
+    none = spark.createDataFrame([(0, 0, []), (0, 1, [0, 4]), (0, 2, None)], "image_id long, row_index long, candidates array<long>")
+    labels = spark.createDataFrame([(0, 4)], "image_id long, known long")
+    assert [tuple(r) for r in mt.match_by_identifier(none, labels).collect()] == [(0, 1, 4)]
