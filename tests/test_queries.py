@@ -63,3 +63,9 @@ def test_a_derived_raster_is_not_broadcast_by_a_guess_of_its_size(spark, name):
     assert "isFinalPlan=false" in planned and "BroadcastExchange" not in planned and "Join" in planned
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_stored_tiles_are_not_broadcast_by_a_guess_of_their_size(spark):
+    """Tiles are one binary value each to Spark's guess; the one broadcast is that of the number of cells at each tile, by hint."""
+    planned = plans.queries()["match_nearest_label"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("BroadcastExchange") == 1 and "SortMergeJoin" in planned
