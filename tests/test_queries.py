@@ -69,3 +69,12 @@ def test_stored_tiles_are_not_broadcast_by_a_guess_of_their_size(spark):
     """Tiles are one binary value each to Spark's guess; the one broadcast is that of the number of cells at each tile, by hint."""
     planned = plans.queries()["match_nearest_label"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert planned.count("BroadcastExchange") == 1 and "SortMergeJoin" in planned
+
+
+def test_cell_statistics_derives_its_tiles_once(spark, monkeypatch):
+    from lumicell import fixtures
+
+    derived, own = [], fixtures.raster_tiles
+    monkeypatch.setattr(fixtures, "raster_tiles", lambda *args: derived.append(1) or own(*args))
+    assert plans.queries()["cell_statistics"](spark, SF).count() > 0
+    assert len(derived) == 1
