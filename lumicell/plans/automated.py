@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ ORDER = ["ts", "event_id"]
 SLIDER, CUTOFF = 660, 0.15
 
 
-def train_model(cells: DataFrame, annotations: DataFrame, path: str, phenotype: str, trees: int = rf.TREES, depth: int = rf.DEPTH, seed: int = rf.SEED) -> tuple[PipelineModel, dict]:
+def train_model(cells: DataFrame, annotations: DataFrame, path: str, phenotype: str, trees: int = rf.TREES, depth: int = rf.DEPTH, seed: int = rf.SEED) -> tuple[rf.Forest, dict]:
     """Fit on annotated cells and save the model: ``(model, what is known of it)`` as read back from ``path``.
 
     ``cells(image_id, row_index, x, y, measurements…)``; annotations as ``training_rows`` takes them; those without a row are left out.

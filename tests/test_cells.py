@@ -234,6 +234,37 @@ def test_forest(spark, tmp_path):
         rf.apply_forest(model, cells.withColumn("B", F.lit(INF)), used, keep).collect()
 
 
+def test_a_forest_is_a_table_and_large_trees_grow_in_parts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 3))
+    target = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
+    rows = [(i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, target))]
+    cells = spark.createDataFrame(rows + rows[:300], "row_index long, A double, B double, C double, target int")
+    train, rest = cells.filter("row_index < 900"), cells.filter("row_index >= 900")
+    whole, used = rf.fit_forest(train, ["A", "B", "C"], trees=12)
+    parts, _ = rf.fit_forest(train.repartition(7), ["A", "B", "C"], trees=12, most=150)
+    assert whole.trees.count() == whole.count == parts.count == 12 and whole.size % rf.NODE.itemsize == 0 and not whole.tops
+    assert parts.trees.groupBy("tree").count().filter("count > 2").count() == 12 and set(parts.tops) == set(range(12))
+    again, _ = rf.fit_forest(train.repartition(2), ["A", "B", "C"], trees=12, most=150)
+    assert {tuple(r) for r in parts.trees.collect()} == {tuple(r) for r in again.trees.collect()} and again.tops == parts.tops
+    rf.save_model(parts, str(tmp_path / "m"), "P", used, 900, spark)
+    loaded, _ = rf.load_model(str(tmp_path / "m"), spark)
+    for model in (whole, parts, loaded):
+        right = lambda df: np.mean([r["positive"] == bool(r["target"]) for r in rf.apply_forest(model, df, used, ["target"]).collect()])  # noqa: B023, E731
+        assert right(rest) > 0.9
+    assert right(train) > 0.97
+
+
+def test_a_tree_is_grown_until_its_leaves_are_pure():
+    rng = np.random.default_rng(6)
+    x, y, w = rng.integers(0, 50, (500, 4)).astype(float), rng.integers(0, 2, 500).astype(float), rng.integers(1, 4, 500).astype(float)
+    nodes = rf.grow(x, y, w, 30, 2, rng)
+    leaf = nodes[rf._below(nodes, x)]
+    mixed = {tuple(v) for v, t in zip(x, y) if t} & {tuple(v) for v, t in zip(x, y) if not t}
+    assert all(value == t for value, t, v in zip(leaf["value"], y, x) if tuple(v) not in mixed)
+    assert (rf.grow(x, y, w, 0, 2, rng)["value"] == [np.average(y, weights=w)]).all()
+
+
 def test_automated_phenotyping(spark, tmp_path):
     rng = np.random.default_rng(9)
     rows = []
