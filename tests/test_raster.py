@@ -203,3 +203,17 @@ def test_a_threshold_needs_finite_pixels(spark):
     rows = spark.createDataFrame([(0, NAN), (0, INF)], "image_id long, value double")
     with pytest.raises(PySparkException, match="no finite pixel"):
         rs.intensity_threshold(rows, ["image_id"], 500).collect()
+
+
+def test_pixels_are_packed_by_tile_before_they_are_shuffled(spark):
+    import pandas as pd
+
+    from lumicell.operators.gather import by_tile, packed
+
+    pixels = spark.range(40 * 40).selectExpr("if(id % 2 = 0, 'a', null) as image_id", "id div 40 - 3 as y", "id % 40 as x", "id as label").repartition(3)
+    pieces = packed(pixels, ["image_id"], 16, 2, {"label": "<i8"})
+    assert pieces.count() <= 3 * 2 * 4 * 4  # tasks, images, tiles: a row of each holds its pixels
+    run = lambda key, rows: pd.DataFrame({"image_id": key[0], "ty": key[1], "tx": key[2], "y": rows["y"], "x": rows["x"], "label": rows["label"]})
+    found = {tuple(r) for r in by_tile(pieces, ["image_id"], 16, {"label": "<i8"}, run, "image_id string, ty long, tx long, y long, x long, label long").collect()}
+    near = lambda c: range((c - 2) // 16, (c + 2) // 16 + 1)
+    assert found == {(r["image_id"], a, b, r["y"], r["x"], r["label"]) for r in pixels.collect() for a in near(r["y"]) for b in near(r["x"])}
