@@ -78,3 +78,12 @@ def test_cell_statistics_derives_its_tiles_once(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "raster_tiles", lambda *args: derived.append(1) or own(*args))
     assert plans.queries()["cell_statistics"](spark, SF).count() > 0
     assert len(derived) == 1
+
+
+def test_cell_tables_of_all_images_are_written_in_one_pass(spark, monkeypatch):
+    from lumicell.sources import cells
+
+    written, own = [], cells.write_tables
+    monkeypatch.setattr(cells, "write_tables", lambda *args: written.append(1) or own(*args))
+    assert plans.queries()["read_cell_table"](spark, SF).select("image_id").distinct().count() == 4
+    assert len(written) == 1
