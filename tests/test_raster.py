@@ -217,3 +217,24 @@ def test_pixels_are_packed_by_tile_before_they_are_shuffled(spark):
     found = {tuple(r) for r in by_tile(pieces, ["image_id"], 16, {"label": "<i8"}, run, "image_id string, ty long, tx long, y long, x long, label long").collect()}
     near = lambda c: range((c - 2) // 16, (c + 2) // 16 + 1)
     assert found == {(r["image_id"], a, b, r["y"], r["x"], r["label"]) for r in pixels.collect() for a in near(r["y"]) for b in near(r["x"])}
+
+
+def test_segmentation_input_is_packed_by_tile(spark):
+    rng = np.random.default_rng(1)
+    grids = {c: rng.integers(0, 50, (3, 300)).astype(float) for c in ("a", "b", "d")}
+    rows = pixels(spark, grids["d"], channel="d").unionByName(pixels(spark, grids["a"], channel="a")).unionByName(pixels(spark, grids["b"], channel="b").filter("x <> 280"))
+    rows = rows.filter("channel <> 'a' or x <> 280")  # a column with the nuclear channel alone
+    found = rs.segmentation_input(rows, images(spark, (3, 300)), ["a", "b"], "d")
+    assert found.dtypes == [("image_id", "bigint"), ("y", "bigint"), ("x", "bigint"), ("ch0", "int"), ("ch1", "int"), ("ch2", "int")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(image_id" in plan and ", tile_y" in plan and "SortMergeJoin" not in plan  # tiles are shuffled, not pixels, and pixels meet their limits where they are
+
+    def unit(grid, kept):
+        low, high = np.percentile(grid[:, kept], (1, 99))
+        return np.clip((grid - low) / (high - low), 0, 1)
+
+    kept = np.arange(300) != 280
+    ch0, ch1 = (unit(grids["a"], kept) + unit(grids["b"], kept)) / 2 * 255, unit(grids["d"], kept | True) * 255
+    got = {(r["y"], r["x"]): (r["ch0"], r["ch1"], r["ch2"]) for r in found.collect()}
+    assert len(got) == found.count() == 900
+    assert got == {(y, x): (int(ch0[y, x]) if x != 280 else None, int(ch1[y, x]), 0) for y in range(3) for x in range(300)}
