@@ -51,8 +51,21 @@ def automated_phenotyping(
     their class.  ``training`` has ``target`` and ``source``.  With ``path`` the last model is saved with its settings, ``about`` added.
     The cell table is kept in the shared folder; each round collects only pool sizes and fits on at most the drawn and manual rows.
     """
-    spark = cells.sparkSession
     cells = checkpointed(cells)
+    model, used, training = automated_model(cells, features, cutoff, excluded, manual, limits, trees, depth, seed, refine, path, about)
+    return checkpointed(scored(model, cells, used)), training
+
+
+def scored(model: rf.Forest, cells: DataFrame, used: list[str]) -> DataFrame:
+    return rf.apply_forest(model, cells, used, [*tr.CELL, "mean_intensity"]).withColumnRenamed("positive", "called_positive")
+
+
+def automated_model(
+    cells: DataFrame, features: list[str], cutoff: float = CUTOFF, excluded: DataFrame | None = None, manual: DataFrame | None = None, limits: tuple[float, ...] = tr.ROUND_LIMITS,
+    trees: int = rf.TREES, depth: int = rf.DEPTH, seed: int = tr.SEED, refine: int = tr.REFINE_CELLS, path: str | None = None, about: dict | None = None,
+) -> tuple[rf.Forest, list[str], DataFrame]:
+    """The last model of ``automated_phenotyping``, its features and its training, before it scores the cells; ``cells`` should be kept, as each round reads them."""
+    spark = cells.sparkSession
     if manual is None:
         manual = spark.createDataFrame([], "image_index long, row_index long, label string")
     manual = checkpointed(manual.select(*[F.col(c).cast("long").alias(c) for c in tr.CELL], "label"))
@@ -64,9 +77,9 @@ def automated_phenotyping(
     training = checkpointed(target(manual, F.col("label") == "positive", "manual").unionByName(target(chosen, F.col("pool") == "positive", "automated")))
     for stage in range(len(limits) + 1):
         model, used = rf.fit_forest(cells.join(training, tr.CELL), features, trees=trees, depth=depth, seed=seed)
-        scores = checkpointed(rf.apply_forest(model, cells, used, [*tr.CELL, "mean_intensity"]).withColumnRenamed("positive", "called_positive"))
         if stage == len(limits):
             break
+        scores = checkpointed(scored(model, cells, used))
         known = left_out.unionByName(training.select(*tr.CELL))
         more = tr.refinement_selection(scores, limits[stage], refine, refine, known, tr.stage_seed(seed, stage + 1))
         training = checkpointed(training.unionByName(target(more, F.col("pool") == "positive", "automated")))
@@ -77,7 +90,7 @@ def automated_phenotyping(
             "second_refinement_max_call_probability": limits[1] if len(limits) > 1 else None, "second_refinement_positive_count": refine, "second_refinement_negative_count": refine, "random_seed": seed,
         }
         rf.save_model(model, path, (about or {}).get("phenotype", ""), used, training.count(), spark, settings | {k: x for k, x in (about or {}).items() if k != "phenotype"})
-    return scores, training
+    return model, used, training
 
 
 def measured_cells(spark, sf) -> tuple[DataFrame, list[str]]:
@@ -91,7 +104,7 @@ def measured_cells(spark, sf) -> tuple[DataFrame, list[str]]:
 
 @query("automated_phenotyping")
 def automated(spark, sf):
-    """Threshold calls, quotas after manual labels, pools, three fits; the saved model is read back and scores the cells once more."""
+    """Threshold calls, quotas after manual labels, pools, three fits; the last model is saved, read back, and gives the scores of the third round."""
     cells, measurements = measured_cells(spark, sf)
     cells = checkpointed(cells)
     features = [f for f in shared_numeric_features(cells.withColumnRenamed("image_index", "image_id"), ("image_id", "row_index")) if f in measurements]
@@ -100,7 +113,7 @@ def automated(spark, sf):
     excluded = tr.fold_exclusions(fx.actions(spark, sf), ORDER).withColumnRenamed("image_id", "image_index")
     path = f"{shared_folder(spark)}/model-{uuid.uuid4()}"
     about = {"phenotype": "marker+", "channel_name": "marker", "compartment": "all", "inward_buffer_pixels": v.DEFAULT_BUFFER_PX}
-    automated_phenotyping(cells, features, CUTOFF, excluded, manual, path=path, about=about)
+    automated_model(cells, features, CUTOFF, excluded, manual, path=path, about=about)
     model, known = rf.load_model(path, spark)
     scores = rf.apply_forest(model, cells, known["feature_columns"], tr.CELL)
     return scores.select(*tr.CELL, F.col("positive").alias("called_positive"), F.round("positive_probability", 6).alias("positive_probability"))

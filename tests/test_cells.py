@@ -14,7 +14,7 @@ from lumicell.operators import forest as rf
 from lumicell.operators import match as mt
 from lumicell.operators import schema as sc
 from lumicell.operators import training as tr
-from lumicell.plans.automated import automated_phenotyping
+from lumicell.plans.automated import automated_model, automated_phenotyping
 from lumicell.sources import cells as cs
 from lumicell.sources import metadata as md
 from lumicell.sources import projects as pj
@@ -265,6 +265,62 @@ def test_a_tree_is_grown_until_its_leaves_are_pure():
     assert (rf.grow(x, y, w, 0, 2, rng)["value"] == [np.average(y, weights=w)]).all()
 
 
+def test_rows_go_down_a_tree_together():
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 40, (600, 3)).astype(float), rng.integers(0, 2, 600).astype(float)
+    nodes = rf.grow(x, y, np.ones(600), 30, 2, rng)
+    rows = np.concatenate([x, rng.normal(20, 30, (2 * rf.WALK_ROWS + 5, 3)), [[-INF, INF, 0.0]]])
+
+    def end(row, at=0):
+        n = nodes[at]
+        return at if n["feature"] < 0 else end(row, n["left"] + int(row[n["feature"]] > n["threshold"]))
+
+    some = np.r_[0:600, rf.WALK_ROWS - 3 : rf.WALK_ROWS + 3, len(rows) - 9 : len(rows)]
+    assert [end(rows[i]) for i in some] == rf._below(nodes, rows)[some].tolist() and not rf._below(nodes[:0:-1][:1], rows).any()
+
+
+@pytest.mark.parametrize("cells,size", [(0, 1 << 10), (1, 1 << 10), (126_000, 4 << 20), (7_560_000, 200 << 20)])
+def test_cells_and_trees_make_pairs_for_every_core(cells, size):
+    blocks, groups = rf._pairs(cells, 13, rf.Forest(None, 300, size, []), 48)
+    assert blocks * groups >= 48 and groups <= 300 and cells * 13 / blocks <= rf.MOST_VALUES and size / groups <= rf.TREE_BYTES
+    assert blocks * groups < 400
+
+
+def test_the_pairs_of_a_forest_are_tasks_of_their_own(spark):
+    cells = spark.range(200).select(F.col("id").alias("row_index"), (F.col("id") % 17).cast("double").alias("A"), (F.col("id") % 17 > 8).cast("int").alias("target"))
+    model, used = rf.fit_forest(cells, ["A"], trees=20)
+    found = rf.apply_forest(model, cells, used, ["row_index", "target"])
+    plan = found._jdf.queryExecution().toString()
+    asked = rf._pairs(200, 1, model, rf.PAIRS * 4)
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(block" in plan and f", {asked[0] * asked[1]})" in plan
+    assert all(r["positive"] == bool(r["target"]) for r in found.collect())
+
+
+def test_hulls_of_many_labels_are_counted_together(monkeypatch):
+    rng, labels = np.random.default_rng(7), []
+    for i in range(300):
+        rows = rng.integers(0, 30, rng.integers(1, 25)) + 7 * i if i % 2 else np.arange(1 + i % 40)  # with gaps, and rows of several tiles
+        left = rng.integers(-20, 20, len(rows)) + 1000 * i
+        labels.append((rows, left, left + rng.integers(0, 9, len(rows))))
+    tall = (np.arange(agg.HULL_ROWS + 1), np.zeros(agg.HULL_ROWS + 1, int), np.full(agg.HULL_ROWS + 1, 4))
+    wanted = [agg.hull_pixels(*label) for label in (*labels, tall)]
+    together = lambda some: agg.hulls_pixels(*(np.concatenate(v) for v in zip(*some)), np.cumsum([len(label[0]) for label in some])).tolist()
+    assert together([*labels, tall]) == wanted
+    monkeypatch.setattr(agg, "HULL_VALUES", 700)
+    monkeypatch.setattr(agg, "hull_pixels", None)  # labels of a cell's height are not worked on one by one
+    assert together(labels) == wanted[:-1]
+
+
+def test_an_automated_model_scores_between_its_fits_only(spark, monkeypatch):
+    cells = spark.range(300).select((F.col("id") % 2).alias("image_index"), F.floor(F.col("id") / 2).alias("row_index"), F.when(F.col("id") % 3 == 0, 0.8).otherwise(0.1).alias("positive_fraction"), (F.col("id") % 50).cast("double").alias("mean_intensity"), (F.col("id") % 3 + F.col("id") % 7).cast("double").alias("A"))
+    seen, apply = [], rf.apply_forest
+    monkeypatch.setattr(rf, "apply_forest", lambda *a: seen.append(1) or apply(*a))
+    model, used, training = automated_model(cells, ["A"], 0.35, limits=(0.95,), trees=5, refine=0)
+    assert len(seen) == 1 and used == ["A"] and model.count == 5 and training.count() == 50
+    scores, same = automated_phenotyping(cells, ["A"], 0.35, limits=(0.95,), trees=5, refine=0)
+    assert len(seen) == 3 and scores.count() == 300 and same.exceptAll(training).count() == 0
+
+
 def test_automated_phenotyping(spark, tmp_path):
     rng = np.random.default_rng(9)
     rows = []
