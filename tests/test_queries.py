@@ -87,3 +87,12 @@ def test_cell_tables_of_all_images_are_written_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(cells, "write_tables", lambda *args: written.append(1) or own(*args))
     assert plans.queries()["read_cell_table"](spark, SF).select("image_id").distinct().count() == 4
     assert len(written) == 1
+
+
+def test_phenotype_counts_has_the_annotations_too(spark, database):
+    events = database.sql("SELECT user_id, event_type FROM events ORDER BY ts, event_id").fetchall()
+    last = {user: kind for user, kind in events if kind in ("click", "purchase", "view", "error")}  # the last action on a cell holds, others cancel
+    wanted = {("annotation", "positive"): sum(k in ("click", "purchase") for k in last.values()), ("annotation", "negative"): sum(k == "view" for k in last.values())}
+    found = {(r["source"], r["label"]): r["n"] for r in plans.queries()["phenotype_counts"](spark, SF).collect()}
+    assert {k: n for k, n in found.items() if k[0] == "annotation"} == wanted and all(wanted.values())
+    assert {k[0] for k in found} == {"threshold", "model", "annotation"} and sum(n for k, n in found.items() if k[0] == "threshold") == 208
